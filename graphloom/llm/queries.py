@@ -41,5 +41,5 @@ each AS (SELECT r, doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS a
 keyed AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM each),
 often AS (SELECT key FROM keyed WHERE key <> '' GROUP BY key HAVING count(DISTINCT r) >= 10)
 SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(o.key) AS n_dropped,
- sha256(coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (o.key IS NULL), '')) AS kept_sha256
+ sha256(coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (WHERE o.key IS NULL), '')) AS kept_sha256
 FROM keyed LEFT JOIN often o USING (key) GROUP BY r"""
