@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.llm import mixing, packing, toxicity
 from graphloom.llm.line_dedup import line_dedup
 from graphloom.llm.token_counts import documents_token_counts
 from graphloom.llm.token_files import read_token_files, write_token_files
@@ -37,9 +38,37 @@ SQL: dict[str, str] = {}
 
 SQL["op1_line_dedup"] = r"""
 WITH docs AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
-each AS (SELECT r, doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS at FROM docs),
+each AS (SELECT r, doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS pos FROM docs),
 keyed AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM each),
 often AS (SELECT key FROM keyed WHERE key <> '' GROUP BY key HAVING count(DISTINCT r) >= 10)
 SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(o.key) AS n_dropped,
- sha256(coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (WHERE o.key IS NULL), '')) AS kept_sha256
+ sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE o.key IS NULL), '')) AS kept_sha256
 FROM keyed LEFT JOIN often o USING (key) GROUP BY r"""
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
+QUERIES["op9_toxicity"] = op9_toxicity
+
+#: Weights 5, 2, 1 on the mean: the first sources fade out, the second stay, the third come late.
+CURRICULUM = mixing.repeating([[(0.0, 6.0), (1.0, 4.0)], 2.0, [(0.0, 0.5), (0.5, 0.75), (1.0, 2.0)]])
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return packed.select(F.col("id").alias("doc_id"), "length", "bucket", "bucket_length", "batch", "slot")
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planned, found = mixing.plan(_table(spark, sf_dir, "documents"), CURRICULUM)
+    copies = mixing.positions(planned, found).groupBy("source", "size", "rank").agg(F.sum("size").alias("taken"), F.min("position").alias("first_position"))
+    copies = copies.select(F.col("source").alias("s"), F.col("size").alias("z"), F.col("rank").alias("k"), "taken", "first_position")
+    same = planned["source"].eqNullSafe(copies["s"]) & (planned["size"] == copies["z"]) & (planned["rank"] == copies["k"])
+    return planned.join(copies, same, "left").select(F.col("id").alias("doc_id"), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), "first_position")
+
+
+QUERIES |= {"op3_packing": op3_packing, "op4_mixing": op4_mixing}
