@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm import mixing, packing, toxicity
 from graphloom.llm.line_dedup import line_dedup
+from graphloom.llm.minhash import minhash_dedup
 from graphloom.llm.token_counts import documents_token_counts
 from graphloom.llm.token_files import read_token_files, write_token_files
 
@@ -72,3 +73,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op3_packing": op3_packing, "op4_mixing": op4_mixing}
+
+
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"), shingle_words=4)
+
+
+QUERIES["op7_minhash"] = op7_minhash
