@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import mixing, packing, toxicity
+from graphloom.llm.html_text import html_text
 from graphloom.llm.line_dedup import line_dedup
 from graphloom.llm.minhash import minhash_dedup
 from graphloom.llm.token_counts import documents_token_counts
@@ -80,3 +81,10 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op7_minhash"] = op7_minhash
+
+
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+QUERIES["op6_html_text"] = op6_html_text
