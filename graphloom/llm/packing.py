@@ -87,3 +87,16 @@ def pack(docs: DataFrame, buckets: int = 16, budget: int = 16_384, length: Colum
     of = F.element_at(F.array(*(F.lit(e).cast("long") for e in ends)), (F.col("bucket") + 1).cast("int"))
     room = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest(F.lit(1), F.col("bucket_length")))).cast("long")
     return ranked.withColumn("bucket_length", of).select("id", "row", "length", "bucket", "bucket_length", F.floor(F.col("rank") / room).cast("long").alias("batch"), (F.col("rank") % room).alias("slot"))
+
+
+def pack_documents(docs: DataFrame, buckets: int = 16, budget: int = 16_384, length: Column | None = None, order: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``pack`` with all columns of ``docs`` beside the place: length, bucket, bucket_length, batch, slot.
+
+    Columns of ``docs`` with these names are replaced.
+    """
+    new = ["length", "bucket", "bucket_length", "batch", "slot"]
+    packed = pack(docs, buckets, budget, length, order, id_col, text_col).withColumnsRenamed({"id": "_id", "row": "_place"})
+    text = docs.withColumn("_row", F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))).dropDuplicates([id_col, "_row"])
+    kept = [c for c in docs.columns if c.lower() not in new]
+    text = text.select(*(F.col(f"`{c}`") for c in kept), "_row")
+    return text.join(packed, text[id_col].eqNullSafe(packed["_id"]) & (text["_row"] == packed["_place"])).select(*(F.col(f"`{c}`") for c in kept), *new)

@@ -7,11 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import mixing, packing, toxicity
+from graphloom.llm.embedding_dedup import embedding_dedup
 from graphloom.llm.html_text import html_text
 from graphloom.llm.line_dedup import line_dedup
 from graphloom.llm.minhash import minhash_dedup
 from graphloom.llm.token_counts import documents_token_counts
 from graphloom.llm.token_files import read_token_files, write_token_files
+from graphloom.llm.topk import exact_topk
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 SEPARATOR = 50256
@@ -88,3 +90,31 @@ def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op6_html_text"] = op6_html_text
+
+
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup(_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES["op5_embedding_dedup"] = op5_embedding_dedup
+SQL["op5_embedding_dedup"] = """
+WITH RECURSIVE v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS x FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+  AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0 AND len(list_filter(embedding, lambda e: e <> 0)) > 0),
+l AS (SELECT a.id AS a, b.id AS b FROM v a JOIN v b ON a.id <> b.id AND len(a.x) = len(b.x) AND list_cosine_similarity(a.x, b.x) >= 0.9),
+r(id, c) USING KEY (id) AS (SELECT DISTINCT a, a FROM l UNION SELECT l.b, min(r.c) FROM r JOIN l ON l.a = r.id JOIN recurring.r q ON q.id = l.b WHERE r.c < q.c GROUP BY l.b)
+SELECT e.vec_id, count(l.b) AS n_links, coalesce(any_value(r.c), e.vec_id) AS component_id, coalesce(any_value(r.c), e.vec_id) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN l ON l.a = e.vec_id LEFT JOIN r ON r.id = e.vec_id GROUP BY e.vec_id"""
+
+
+def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return exact_topk(vectors, vectors.where("vec_id % 50 = 0"))
+
+
+QUERIES["op10_exact_topk"] = op10_exact_topk
+SQL["op10_exact_topk"] = """
+WITH v AS (SELECT vec_id AS id, list_transform(embedding::DOUBLE[], lambda e: floor(256 * e)) AS x FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0
+  AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+s AS (SELECT q.id AS query_id, v.id AS vec_id, list_dot_product(q.x, v.x)::BIGINT AS score FROM v q JOIN v ON q.id <> v.id AND len(q.x) = len(v.x) WHERE q.id % 50 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s
+QUALIFY rank <= 5"""
