@@ -63,7 +63,7 @@ class Shingler:
             return h
         k = min(self.words, len(h))
         n = len(h) - k + 1
-        total = np.full(n, _U(k) * _FINAL)
+        total = np.full(n, k, dtype=np.uint64) * _FINAL
         for i in range(k):
             total = (total ^ (total >> _U(29))) * _STEP + h[i : i + n]
         return np.unique((total ^ (total >> _U(32))) * _FINAL)
