@@ -1,39 +1,387 @@
-"""All queries of the graph library with the SQL that gives the same rows."""
+"""All queries of the graph library with the SQL that gives the same rows.
+
+The graphs are derived from the tables: parts bought together (undirected),
+suppliers that share orders (undirected, dense), users that follow each other
+in the error log (directed, cyclic), each customer's chain of orders (directed
+acyclic) and the tree of regions, nations and customers.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from graphloom.plans import connected_components
+from graphloom.graph import Graph, from_edges
+from graphloom.operators import algebra, centrality, community, connectivity, dag, generators, health, model, multigraph, paths, structure, transforms
+from graphloom.plans import running_total, save
 
-QUERIES: dict = {}
-SQL: dict = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def copurchase(spark: SparkSession, sf_dir: str, least: int = 2) -> DataFrame:
-    """Parts of one order, src < dst, weighted by the number of line pairs."""
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
-    a, b = lines.withColumnRenamed("l_partkey", "src"), lines.withColumnRenamed("l_partkey", "dst")
-    pairs = a.join(b, "l_orderkey").where("src < dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("weight"))
-    return pairs.where(F.col("weight") >= least)
+# --- graphs ---------------------------------------------------------------
+
+
+def _shared(lines: DataFrame, by: str, end: str, least: int) -> Graph:
+    """Ends that share ``by``, weighted by the number of row pairs."""
+    a, b = lines.select(by, F.col(end).alias("src")), lines.select(by, F.col(end).alias("dst"))
+    pairs = a.join(b, by).where("src < dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("weight"))
+    return from_edges(save(pairs.where(F.col("weight") >= least), "pairs"), False)
+
+
+def parts(spark: SparkSession, sf_dir: str, least: int = 2) -> Graph:
+    return _shared(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey", least)
+
+
+def suppliers(spark: SparkSession, sf_dir: str, least: int = 30) -> Graph:
+    return _shared(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_suppkey", least)
+
+
+def users(spark: SparkSession, sf_dir: str) -> Graph:
+    """Each error's user to the next error's user; the global order is numbered across partitions, not in one task."""
+    errors = table(spark, sf_dir, "events").where("event_type = 'error'").select("ts", "event_id", "user_id", F.lit(0).alias("g"))
+    at = save(running_total(errors, ["g"], [F.col("ts"), F.col("event_id")], F.lit(1).cast("long"), "n"), "numbered")
+    pairs = at.select("n", F.col("user_id").alias("src")).join(at.select((F.col("n") - 1).alias("n"), F.col("user_id").alias("dst")), "n")
+    return from_edges(pairs.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("weight")), True)
+
+
+def chains(spark: SparkSession, sf_dir: str) -> Graph:
+    by = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("src"), F.lead("o_orderkey").over(by).alias("dst"), F.lit(1).cast("long").alias("weight"), "o_custkey")
+    return Graph(orders.select(F.col("src").alias("id"), F.col("o_custkey").alias("data")), orders.where("dst is not null").select("src", "dst", "weight"), True)
+
+
+def geography(spark: SparkSession, sf_dir: str) -> Graph:
+    """Region r is -1 - r, nation n is -100 - n, customer c is c; arcs point down."""
+    nation, customer = table(spark, sf_dir, "nation"), table(spark, sf_dir, "customer")
+    down = nation.select((-1 - F.col("n_regionkey")).cast("long").alias("src"), (-100 - F.col("n_nationkey")).cast("long").alias("dst"))
+    down = down.unionByName(customer.select((-100 - F.col("c_nationkey")).cast("long").alias("src"), F.col("c_custkey").alias("dst")))
+    return from_edges(down, True)
+
+
+def bipartite(spark: SparkSession, sf_dir: str) -> Graph:
+    """Customers (negative, -1 - key) and the suppliers of parts that cost them most (their largest line)."""
+    big = table(spark, sf_dir, "lineitem").where("l_quantity >= 49").select("l_orderkey", "l_suppkey")
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+    return from_edges(big.join(orders, "l_orderkey").select((-1 - F.col("o_custkey")).alias("src"), F.col("l_suppkey").alias("dst")), False, "count")
+
+
+_PARTS = """e AS (SELECT a.l_partkey AS src, b.l_partkey AS dst, count(*) AS weight FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey GROUP BY 1, 2 HAVING count(*) >= 2),
+v AS (SELECT src AS id FROM e UNION SELECT dst FROM e), a AS (SELECT src, dst, weight FROM e UNION ALL SELECT dst, src, weight FROM e)"""
+_SUPPLIERS = _PARTS.replace("l_partkey", "l_suppkey").replace(">= 2", ">= 30")
+_USERS = """l AS (SELECT user_id AS src, lead(user_id) OVER (ORDER BY ts, event_id) AS dst FROM events WHERE event_type = 'error'),
+e AS (SELECT src, dst, count(*) AS weight FROM l WHERE dst IS NOT NULL GROUP BY 1, 2), v AS (SELECT src AS id FROM e UNION SELECT dst FROM e), a AS (SELECT src, dst, weight FROM e)"""
+_CHAINS = """o AS (SELECT o_orderkey AS src, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS dst, o_custkey FROM orders),
+e AS (SELECT src, dst, 1 AS weight FROM o WHERE dst IS NOT NULL), v AS (SELECT src AS id, o_custkey FROM o)"""
+_GEO = """e AS (SELECT (-1 - n_regionkey)::BIGINT AS src, (-100 - n_nationkey)::BIGINT AS dst, 1 AS weight FROM nation UNION ALL SELECT (-100 - c_nationkey)::BIGINT, c_custkey, 1 FROM customer),
+v AS (SELECT src AS id FROM e UNION SELECT dst FROM e)"""
+_BIPARTITE = """e AS (SELECT -1 - o_custkey AS src, l_suppkey AS dst, count(*) AS weight FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_quantity >= 49 GROUP BY 1, 2),
+v AS (SELECT src AS id FROM e UNION SELECT dst FROM e), a AS (SELECT src, dst, weight FROM e UNION ALL SELECT dst, src, weight FROM e)"""
+_COMPONENTS = """s AS (SELECT src AS p, dst AS q FROM e UNION ALL SELECT dst, src FROM e),
+r(id, lab) USING KEY (id) AS (SELECT DISTINCT id, id FROM v UNION SELECT s.q, min(r.lab) FROM r JOIN s ON s.p = r.id JOIN recurring.r k ON k.id = s.q WHERE r.lab < k.lab GROUP BY s.q)"""
+_NEAR = "n AS (SELECT DISTINCT src, dst FROM a WHERE src <> dst)"
+
+
+def add(name: str, query: Callable[[SparkSession, str], DataFrame], sql: str | None = None, recursive: bool = False) -> None:
+    QUERIES[name] = query
+    if sql:
+        SQL[name] = f"WITH {'RECURSIVE ' if recursive else ''}{sql}"
+
+
+_hundreds = lambda g: g.vertices.where("id % 100 = 0").select("id")
+
+# --- model ----------------------------------------------------------------
+
+add("copurchase_component_sizes", lambda s, d: connectivity.weak_components(parts(s, d)).groupBy("component").agg(F.count(F.lit(1)).alias("n_nodes")),
+    f"{_PARTS}, {_COMPONENTS} SELECT lab AS component, count(*) AS n_nodes FROM r GROUP BY lab", True)
+add("edges_undirected", lambda s, d: parts(s, d).edges, f"{_PARTS} SELECT src, dst, weight FROM e")
+add("edges_directed", lambda s, d: users(s, d).edges, f"{_USERS} SELECT src, dst, weight FROM e")
+add("order_and_size", lambda s, d: (g := parts(s, d)) and model.order(g).join(model.size(g)), f"{_PARTS} SELECT (SELECT count(*) FROM v) AS n_nodes, (SELECT count(*) FROM e) AS n_edges")
+add("degrees_undirected", lambda s, d: model.degrees(parts(s, d)),
+    f"{_PARTS} SELECT src AS id, count(*) AS out_degree, count(*) AS in_degree, count(*) AS degree FROM a GROUP BY src")
+add("degrees_directed", lambda s, d: model.degrees(users(s, d)),
+    f"{_USERS}, o AS (SELECT src, count(*) AS c FROM e GROUP BY 1), i AS (SELECT dst, count(*) AS c FROM e GROUP BY 1) SELECT id, coalesce(o.c, 0) AS out_degree, coalesce(i.c, 0) AS in_degree, coalesce(o.c, 0) + coalesce(i.c, 0) AS degree FROM v LEFT JOIN o ON o.src = id LEFT JOIN i ON i.dst = id")
+add("strengths", lambda s, d: model.strengths(users(s, d)).withColumn("strength", F.col("strength").cast("double")),
+    f"{_USERS} SELECT id, coalesce(sum(weight), 0)::DOUBLE AS strength FROM v LEFT JOIN e ON src = id GROUP BY id")
+add("successors", lambda s, d: (g := users(s, d)) and model.successors(g, _hundreds(g)), f"{_USERS} SELECT src AS id, dst AS successor, weight FROM e WHERE src % 100 = 0")
+add("predecessors", lambda s, d: (g := users(s, d)) and model.predecessors(g, _hundreds(g)), f"{_USERS} SELECT dst AS id, src AS predecessor, weight FROM e WHERE dst % 100 = 0")
+add("neighbors", lambda s, d: (g := users(s, d)) and model.neighbors(g, _hundreds(g)),
+    f"{_USERS} SELECT src AS id, dst AS neighbor, weight FROM e WHERE src % 100 = 0 UNION ALL SELECT dst, src, weight FROM e x WHERE dst % 100 = 0 AND NOT EXISTS (SELECT 1 FROM e y WHERE y.src = x.dst AND y.dst = x.src)")
+add("remove_nodes", lambda s, d: (g := parts(s, d)) and model.remove_nodes(g, g.vertices.where("id % 2 = 0")).edges, f"{_PARTS} SELECT * FROM e WHERE src % 2 = 1 AND dst % 2 = 1")
+add("add_edges_combine", lambda s, d: (g := parts(s, d)) and model.add_edges(g, g.edges.where("src % 3 = 0"), "sum").edges.withColumn("weight", F.col("weight").cast("double")),
+    f"{_PARTS} SELECT src, dst, (weight * CASE WHEN src % 3 = 0 THEN 2 ELSE 1 END)::DOUBLE AS weight FROM e")
+add("remove_edges", lambda s, d: (g := parts(s, d)) and model.remove_edges(g, g.edges.where("weight > 2").select(F.col("dst").alias("src"), F.col("src").alias("dst"))).edges, f"{_PARTS} SELECT * FROM e WHERE weight <= 2")
+add("heaviest_arcs", lambda s, d: transforms.heaviest_arcs(suppliers(s, d), 3).withColumn("rank", F.col("rank").cast("long")),
+    f"{_SUPPLIERS} SELECT src, dst, weight, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS rank FROM a QUALIFY rank <= 3")
+
+# --- transforms -----------------------------------------------------------
+
+add("transpose", lambda s, d: transforms.transpose(users(s, d)).edges, f"{_USERS} SELECT dst AS src, src AS dst, weight FROM e")
+add("to_directed", lambda s, d: transforms.to_directed(parts(s, d)).edges, f"{_PARTS} SELECT * FROM a")
+add("to_undirected", lambda s, d: transforms.to_undirected(users(s, d), "sum").edges.withColumn("weight", F.col("weight").cast("double")),
+    f"{_USERS} SELECT least(src, dst) AS src, greatest(src, dst) AS dst, sum(weight)::DOUBLE AS weight FROM e GROUP BY 1, 2")
+add("remove_self_loops", lambda s, d: transforms.remove_self_loops(users(s, d)).edges, f"{_USERS} SELECT * FROM e WHERE src <> dst")
+add("add_self_loops", lambda s, d: transforms.add_self_loops(users(s, d)).edges, f"{_USERS} SELECT * FROM e UNION ALL SELECT id, id, 1 FROM v WHERE id NOT IN (SELECT src FROM e WHERE src = dst)")
+add("map_edges", lambda s, d: transforms.map_edges(users(s, d), F.col("weight") * 2 + F.col("src")).edges, f"{_USERS} SELECT src, dst, weight * 2 + src AS weight FROM e")
+add("map_nodes", lambda s, d: transforms.map_nodes(chains(s, d), parity=F.col("id") % 2).vertices.select("id", "parity"), f"{_CHAINS} SELECT id, id % 2 AS parity FROM v")
+add("filter_nodes", lambda s, d: transforms.filter_nodes(parts(s, d), F.col("id") < 1000).edges, f"{_PARTS} SELECT * FROM e WHERE src < 1000 AND dst < 1000")
+add("filter_edges", lambda s, d: transforms.filter_edges(users(s, d), F.col("weight") > 1).edges, f"{_USERS} SELECT * FROM e WHERE weight > 1")
+add("subgraph", lambda s, d: (g := suppliers(s, d)) and transforms.subgraph(g, g.vertices.where("id % 3 = 1")).edges, f"{_SUPPLIERS} SELECT * FROM e WHERE src % 3 = 1 AND dst % 3 = 1")
+add("ego_graph", lambda s, d: transforms.ego_graph(parts(s, d), 1, 2).edges,
+    f"{_PARTS}, i AS (SELECT 1::BIGINT AS id UNION SELECT dst FROM a WHERE src = 1 UNION SELECT y.dst FROM a x JOIN a y ON x.dst = y.src WHERE x.src = 1) SELECT * FROM e WHERE src IN (FROM i) AND dst IN (FROM i)")
+add("normalize_ids", lambda s, d: transforms.normalize_ids(parts(s, d)).edges,
+    f"{_PARTS}, k AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS n FROM v) SELECT x.n AS src, y.n AS dst, weight FROM e JOIN k x ON x.id = src JOIN k y ON y.id = dst")
+add("relabel", lambda s, d: (g := parts(s, d)) and transforms.relabel(g, g.vertices.select("id", (-F.col("id")).alias("new"))).edges, f"{_PARTS} SELECT -dst AS src, -src AS dst, weight FROM e")
+add("complement", lambda s, d: transforms.complement(suppliers(s, d)).edges.select("src", "dst"), f"{_SUPPLIERS} SELECT x.id AS src, y.id AS dst FROM v x JOIN v y ON x.id < y.id WHERE NOT EXISTS (SELECT 1 FROM e WHERE src = x.id AND dst = y.id)")
+add("contract", lambda s, d: transforms.contract(suppliers(s, d), 1, 2).edges.withColumn("weight", F.col("weight").cast("double")),
+    f"{_SUPPLIERS}, m AS (SELECT CASE WHEN src = 2 THEN 1 ELSE src END AS x, CASE WHEN dst = 2 THEN 1 ELSE dst END AS y, weight FROM e WHERE NOT (src = 1 AND dst = 2)) SELECT least(x, y) AS src, greatest(x, y) AS dst, sum(weight)::DOUBLE AS weight FROM m GROUP BY 1, 2")
+add("quotient", lambda s, d: (g := parts(s, d)) and transforms.quotient(g, g.vertices.select("id", (F.col("id") % 25).alias("block"))).edges.withColumn("weight", F.col("weight").cast("double")),
+    f"{_PARTS} SELECT least(src % 25, dst % 25) AS src, greatest(src % 25, dst % 25) AS dst, sum(weight)::DOUBLE AS weight FROM e WHERE src % 25 <> dst % 25 GROUP BY 1, 2")
+add("transitive_closure", lambda s, d: transforms.transitive_closure(chains(s, d)).edges.select("src", "dst"),
+    "o AS (SELECT o_orderkey AS k, o_custkey AS c, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders) SELECT x.k AS src, y.k AS dst FROM o x JOIN o y ON x.c = y.c AND x.n < y.n")
+add("transitive_reduction", lambda s, d: (g := chains(s, d)) and transforms.transitive_reduction(transforms.transitive_closure(g)).edges.select("src", "dst"), f"{_CHAINS} SELECT src, dst FROM e")
+
+# --- algebra --------------------------------------------------------------
+
+
+def _two(s: SparkSession, d: str) -> tuple[Graph, Graph]:
+    g = suppliers(s, d)
+    return transforms.filter_nodes(g, F.col("id") < 60), transforms.map_edges(transforms.filter_nodes(g, F.col("id") >= 40), F.col("weight") * 10)
+
+
+_TWO = f"{_SUPPLIERS}, e1 AS (SELECT * FROM e WHERE src < 60 AND dst < 60), e2 AS (SELECT src, dst, weight * 10 AS weight FROM e WHERE src >= 40 AND dst >= 40)"
+add("graph_union", lambda s, d: algebra.union(*_two(s, d)).edges, f"{_TWO} SELECT * FROM e2 UNION ALL SELECT * FROM e1 WHERE NOT (src >= 40 AND dst >= 40)")
+add("graph_intersection", lambda s, d: algebra.intersection(*_two(s, d)).edges, f"{_TWO} SELECT * FROM e1 WHERE src >= 40 AND dst >= 40")
+add("graph_difference", lambda s, d: algebra.difference(*_two(s, d)).edges, f"{_TWO} SELECT * FROM e1 WHERE src < 40 AND dst < 40")
+add("edge_difference", lambda s, d: algebra.edge_difference(*_two(s, d)).edges, f"{_TWO} SELECT * FROM e1 WHERE NOT (src >= 40 AND dst >= 40)")
+add("symmetric_difference", lambda s, d: algebra.symmetric_difference(*_two(s, d)).edges, f"{_TWO} SELECT * FROM e1 WHERE src < 40 AND dst < 40 UNION ALL SELECT * FROM e2 WHERE src >= 60 AND dst >= 60")
+add("disjoint_union", lambda s, d: algebra.disjoint_union(*_two(s, d)).edges.select(*(F.col(f"{c}.{x}").cast("long").alias(f"{c}_{x}") for c in ("src", "dst") for x in ("side", "id"))),
+    f"{_TWO} SELECT 0::BIGINT AS src_side, src AS src_id, 0::BIGINT AS dst_side, dst AS dst_id FROM e1 UNION ALL SELECT 1, src, 1, dst FROM e2")
+_ARCS = lambda t: f"(SELECT src, dst FROM {t} UNION SELECT dst, src FROM {t})"
+_SMALL = "WHERE s < t OR (s = t)"
+
+
+def _product(kind: Callable[[Graph, Graph], Graph]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(s: SparkSession, d: str) -> DataFrame:
+        g = suppliers(s, d)
+        return kind(transforms.filter_nodes(g, F.col("id") < 12), transforms.filter_nodes(g, F.col("id").between(50, 60))).edges.select("src", "dst")
+
+    return run
+
+
+_PAIRS = f"""{_SUPPLIERS}, va AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS k FROM v WHERE id < 12), vb AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS k FROM v WHERE id BETWEEN 50 AND 60), nb AS (SELECT count(*) AS n FROM vb),
+ea AS (SELECT x.k AS s, y.k AS d FROM a JOIN va x ON x.id = src JOIN va y ON y.id = dst), eb AS (SELECT x.k AS p, y.k AS q FROM a JOIN vb x ON x.id = src JOIN vb y ON y.id = dst)"""
+_IDS = "SELECT DISTINCT least(s * n + p, d * n + q) AS src, greatest(s * n + p, d * n + q) AS dst FROM"
+_CART = "SELECT s, d, k AS p, k AS q FROM ea, vb UNION ALL SELECT k, k, p, q FROM eb, va"
+add("cartesian_product", _product(algebra.cartesian_product), f"{_PAIRS} {_IDS} ({_CART}), nb")
+add("tensor_product", _product(algebra.tensor_product), f"{_PAIRS} {_IDS} (SELECT s, d, p, q FROM ea, eb), nb")
+add("strong_product", _product(algebra.strong_product), f"{_PAIRS} {_IDS} ({_CART} UNION ALL SELECT s, d, p, q FROM ea, eb), nb")
+add("lexicographic_product", _product(algebra.lexicographic_product), f"{_PAIRS} {_IDS} (SELECT s, d, x.k AS p, y.k AS q FROM ea, vb x, vb y UNION ALL SELECT k, k, p, q FROM eb, va), nb")
+add("line_graph", lambda s, d: algebra.line_graph(users(s, d)).edges.select(F.col("src.src").alias("s1"), F.col("src.dst").alias("d1"), F.col("dst.src").alias("s2"), F.col("dst.dst").alias("d2")),
+    f"{_USERS} SELECT x.src AS s1, x.dst AS d1, y.src AS s2, y.dst AS d2 FROM e x JOIN e y ON x.dst = y.src WHERE NOT (x.src = y.src AND x.dst = y.dst)")
+add("graph_power", lambda s, d: algebra.power(parts(s, d), 2).edges.select("src", "dst"), f"{_PARTS} SELECT src, dst FROM e UNION SELECT x.src, y.dst FROM a x JOIN a y ON x.dst = y.src WHERE x.src < y.dst")
+add("is_subgraph", lambda s, d: (g := suppliers(s, d)) and algebra.is_subgraph(transforms.filter_nodes(g, F.col("id") < 60), g), "x AS (SELECT 1) SELECT true AS is_subgraph FROM x")
+
+# --- traversal and paths --------------------------------------------------
+
+_BFS = "b(id, depth) USING KEY (id) AS (SELECT {src}::BIGINT, 0 UNION SELECT a.dst, min(b.depth + 1) FROM b JOIN a ON a.src = b.id WHERE a.dst NOT IN (SELECT id FROM recurring.b) GROUP BY a.dst)"
+_from = lambda g, i: g.vertices.where(F.col("id") == i).select("id")
+add("bfs_depths", lambda s, d: (g := parts(s, d)) and paths.bfs(g, _from(g, 1)).select("id", F.col("depth").cast("long").alias("depth")), f"{_PARTS}, {_BFS.format(src=1)} SELECT id, depth::BIGINT AS depth FROM b", True)
+add("bfs_parents", lambda s, d: (g := parts(s, d)) and paths.bfs(g, _from(g, 1)).where("parent is not null").select("id", "parent"),
+    f"{_PARTS}, {_BFS.format(src=1)} SELECT y.id, min(x.id) AS parent FROM b x JOIN a ON a.src = x.id JOIN b y ON y.id = a.dst AND y.depth = x.depth + 1 GROUP BY y.id", True)
+_SSSP = "p(id, dist) USING KEY (id) AS (SELECT {src}::BIGINT, {one}::DOUBLE UNION SELECT a.dst, {best}({ext}) FROM p JOIN a ON a.src = p.id LEFT JOIN recurring.p q ON q.id = a.dst WHERE q.id IS NULL OR {ext} {cmp} q.dist GROUP BY a.dst)"
+add("shortest_distances", lambda s, d: (g := suppliers(s, d)) and paths.sssp(g, _from(g, 1)).select("id", "dist"), f"{_SUPPLIERS}, {_SSSP.format(src=1, one=0, best='min', ext='p.dist + a.weight', cmp='<')} SELECT id, dist FROM p", True)
+add("widest_paths", lambda s, d: (g := suppliers(s, d)) and paths.sssp(g, _from(g, 1), paths_semiring()).where("id <> 1").select("id", "dist"),
+    f"{_SUPPLIERS}, {_SSSP.format(src=1, one=1e18, best='max', ext='least(p.dist, a.weight)', cmp='>')} SELECT id, dist FROM p WHERE id <> 1", True)
+add("negative_weights", lambda s, d: (g := chains(s, d)) and paths.sssp(transforms.map_edges(g, -(F.col("dst") % 7)), g.vertices.join(g.edges, F.col("id") == F.col("dst"), "left_anti").where("id % 50 = 0").select("id")).select("source", "id", "dist"),
+    "o AS (SELECT o_orderkey AS k, o_custkey AS c, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders), f AS (SELECT k AS source, c FROM o WHERE n = 1 AND k % 50 = 0) SELECT source, k AS id, (-sum(CASE WHEN n > 1 THEN k % 7 ELSE 0 END) OVER (PARTITION BY o.c ORDER BY n))::DOUBLE AS dist FROM o JOIN f ON f.c = o.c")
+_HOPS = "h(source, id, hops) USING KEY (source, id) AS (SELECT {start}, 0 UNION SELECT h.source, a.dst, min(h.hops + 1) FROM h JOIN a ON a.src = h.id WHERE NOT EXISTS (SELECT 1 FROM recurring.h q WHERE q.source = h.source AND q.id = a.dst) GROUP BY 1, 2)"
+add("all_pairs_hops", lambda s, d: paths.all_pairs_hops(suppliers(s, d)).select("source", "id", F.col("hops").cast("long").alias("hops")), f"{_SUPPLIERS}, {_HOPS.format(start='id, id')} SELECT source, id, hops::BIGINT AS hops FROM h".replace(", 0 UNION", ", 0 FROM v UNION"), True)
+_DIST = "p(source, id, dist) USING KEY (source, id) AS (SELECT id, id, 0::DOUBLE FROM v UNION SELECT p.source, a.dst, min(p.dist + a.weight) FROM p JOIN a ON a.src = p.id LEFT JOIN recurring.p q ON q.source = p.source AND q.id = a.dst WHERE q.id IS NULL OR p.dist + a.weight < q.dist GROUP BY 1, 2)"
+add("distance_matrix", lambda s, d: (g := suppliers(s, d)) and paths.distance_matrix(g, g.vertices.where("id % 5 = 0")), f"{_SUPPLIERS}, {_DIST} SELECT source, id, dist FROM p WHERE source % 5 = 0 AND id % 5 = 0", True)
+add("shortest_path", lambda s, d: paths.shortest_path(suppliers(s, d), 1, 50).agg(F.max("dist").alias("dist"), F.min("id").isNotNull().alias("found")),
+    f"{_SUPPLIERS}, {_SSSP.format(src=1, one=0, best='min', ext='p.dist + a.weight', cmp='<')} SELECT max(dist) AS dist, count(*) > 0 AS found FROM p WHERE id = 50", True)
+add("k_hop_counts", lambda s, d: paths.k_hop_counts(parts(s, d), 2),
+    f"{_PARTS}, h AS (SELECT src, dst FROM a UNION SELECT x.src, y.dst FROM a x JOIN a y ON x.dst = y.src) SELECT id, count(dst) AS n FROM v LEFT JOIN h ON src = id AND dst <> id GROUP BY id")
+add("random_walks", lambda s, d: (g := users(s, d)) and paths.random_walks(g, g.vertices.select(F.col("id").alias("walk"), "id"), 5, 1).groupBy("walk").agg(F.max("step").cast("long").alias("steps")))
+add("lowest_common_ancestors", lambda s, d: (g := geography(s, d)) and paths.lowest_common_ancestors(g, g.vertices.where("id >= 0 and id < 100").select(F.col("id").alias("a"), (F.col("id") + 100).alias("b"))),
+    "c AS (SELECT c_custkey AS k, c_nationkey AS n, n_regionkey AS r FROM customer JOIN nation ON n_nationkey = c_nationkey) SELECT x.k AS a, y.k AS b, (CASE WHEN x.n = y.n THEN -100 - x.n ELSE -1 - x.r END)::BIGINT AS lca FROM c x JOIN c y ON y.k = x.k + 100 WHERE x.k < 100 AND x.r = y.r")
+
+
+def paths_semiring():
+    from graphloom.functions.semirings import MAX_MIN
+
+    return MAX_MIN
+
+
+# --- connectivity and order -----------------------------------------------
+
+add("weak_components", lambda s, d: connectivity.weak_components(parts(s, d)), f"{_PARTS}, {_COMPONENTS} SELECT id, lab AS component FROM r", True)
+_REACH = "h(source, id) AS (SELECT DISTINCT src, dst FROM e UNION SELECT h.source, e.dst FROM h JOIN e ON e.src = h.id)"
+add("strong_components", lambda s, d: connectivity.strong_components(transforms.filter_edges(users(s, d), F.col("weight") > 1)),
+    f"{_USERS.replace('GROUP BY 1, 2)', 'GROUP BY 1, 2 HAVING count(*) > 1)', 1)}, {_REACH}, w AS (SELECT src AS id FROM l UNION SELECT dst FROM l WHERE dst IS NOT NULL) SELECT w.id, least(w.id, min(x.id)) AS component FROM w LEFT JOIN h x ON x.source = w.id AND EXISTS (SELECT 1 FROM h y WHERE y.source = x.id AND y.id = w.id) GROUP BY w.id", True)
+add("reachability_counts", lambda s, d: connectivity.reachability_counts(chains(s, d)),
+    "o AS (SELECT o_orderkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n, count(*) OVER (PARTITION BY o_custkey) AS m FROM orders) SELECT id, m - n AS descendants, n - 1 AS ancestors FROM o")
+add("core_numbers", lambda s, d: connectivity.core_numbers(parts(s, d)))
+add("two_core", lambda s, d: connectivity.k_core(parts(s, d), 2).edges.select("src", "dst"))
+add("degeneracy", lambda s, d: connectivity.degeneracy(parts(s, d)))
+add("reachability_estimates", lambda s, d: connectivity.reachability_estimates(users(s, d)))
+add("bridges", lambda s, d: connectivity.bridges(parts(s, d)))
+add("topological_generations", lambda s, d: dag.generations(chains(s, d)).select("id", F.col("generation").cast("long").alias("generation")),
+    "o AS (SELECT o_orderkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS generation FROM orders) SELECT id, generation FROM o")
+add("topological_order", lambda s, d: dag.topological_order(geography(s, d)),
+    f"{_GEO}, g AS (SELECT id, CASE WHEN id >= 0 THEN 2 WHEN id <= -100 THEN 1 ELSE 0 END AS g FROM v) SELECT id, row_number() OVER (ORDER BY g, id) - 1 AS position FROM g")
+add("has_cycle", lambda s, d: dag.has_cycle(users(s, d)).join(dag.has_cycle(chains(s, d)).withColumnRenamed("has_cycle", "chains_have")), "x AS (SELECT 1) SELECT true AS has_cycle, false AS chains_have FROM x")
+add("longest_distances", lambda s, d: dag.longest_distances(transforms.map_edges(chains(s, d), F.col("dst") % 5)).select("id", F.col("value")),
+    "o AS (SELECT o_orderkey AS id, o_custkey AS c, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders) SELECT id, sum(CASE WHEN n > 1 THEN id % 5 ELSE 0 END) OVER (PARTITION BY c ORDER BY n)::DOUBLE AS value FROM o")
+add("longest_path_length", lambda s, d: dag.longest_path_length(chains(s, d)), "o AS (SELECT count(*) - 1 AS n FROM orders GROUP BY o_custkey) SELECT max(n)::DOUBLE AS length FROM o")
+add("dag_path_counts", lambda s, d: dag.path_counts(geography(s, d), -1), f"{_GEO}, b AS (SELECT -1::BIGINT AS id UNION ALL SELECT dst FROM e WHERE src = -1 UNION ALL SELECT y.dst FROM e x JOIN e y ON y.src = x.dst WHERE x.src = -1) SELECT id, count(*) AS n_paths FROM b GROUP BY id")
+add("dag_sources", lambda s, d: dag.sources(chains(s, d)), f"{_CHAINS} SELECT id FROM v WHERE id NOT IN (SELECT dst FROM e)")
+add("dag_sinks", lambda s, d: dag.sinks(chains(s, d)), f"{_CHAINS} SELECT id FROM v WHERE id NOT IN (SELECT src FROM e)")
+
+# --- centrality and health ------------------------------------------------
+
+add("degree_centrality", lambda s, d: centrality.degree(users(s, d)),
+    f"{_USERS}, x AS (SELECT src AS id FROM e UNION ALL SELECT dst FROM e) SELECT id, count(*) / (SELECT count(*) - 1 FROM v)::DOUBLE AS score FROM x GROUP BY id")
+add("closeness", lambda s, d: centrality.closeness(suppliers(s, d)),
+    f"{_SUPPLIERS}, {_DIST} SELECT source AS id, CASE WHEN count(*) = (SELECT count(*) FROM v) THEN (count(*) - 1) / sum(dist) ELSE 0 END AS score FROM p GROUP BY source", True)
+add("harmonic", lambda s, d: centrality.harmonic(suppliers(s, d)), f"{_SUPPLIERS}, {_DIST} SELECT source AS id, coalesce(sum(1 / nullif(dist, 0)), 0) / (SELECT count(*) - 1 FROM v) AS score FROM p GROUP BY source", True)
+
+
+def _unrolled(n: int, start: str, step: str) -> str:
+    """n rounds of a step as materialised CTEs x0 .. xn; step reads {x}."""
+    return f"x0 AS MATERIALIZED ({start})" + "".join(f", x{i} AS MATERIALIZED ({step.format(x=f'x{i - 1}')})" for i in range(1, n + 1))
+
+
+add("pagerank", lambda s, d: centrality.pagerank(users(s, d), max_iter=10, tolerance=0.0),
+    f"{_USERS}, o AS MATERIALIZED (SELECT src, count(*) AS c FROM e GROUP BY 1), t AS MATERIALIZED (SELECT e.src, e.dst, 1.0::DOUBLE / c AS w FROM e JOIN o ON o.src = e.src), k AS (SELECT count(*)::DOUBLE AS n FROM v), "
+    + _unrolled(10, "SELECT id, 1 / n AS s FROM v, k", "SELECT v.id, 0.15 / n + 0.85 * (coalesce(g.s, 0) + (SELECT coalesce(sum(s), 0) FROM {x} WHERE id NOT IN (SELECT src FROM o)) / n) AS s FROM v CROSS JOIN k LEFT JOIN (SELECT dst, sum(s * w) AS s FROM t JOIN {x} ON src = id GROUP BY dst) g ON g.dst = v.id")
+    + " SELECT id, s AS score FROM x10")
+add("personalized_pagerank", lambda s, d: (g := users(s, d)) and centrality.personalized_pagerank(g, _hundreds(g), n_iter=8),
+    f"{_USERS}, o AS MATERIALIZED (SELECT src, count(*) AS c FROM e GROUP BY 1), t AS MATERIALIZED (SELECT e.src, e.dst, 1.0::DOUBLE / c AS w FROM e JOIN o ON o.src = e.src), h AS MATERIALIZED (SELECT id, CASE WHEN id % 100 = 0 THEN 1.0 / (SELECT count(*) FROM v WHERE id % 100 = 0) ELSE 0 END::DOUBLE AS h FROM v), "
+    + _unrolled(8, "SELECT id, h AS s FROM h", "SELECT h.id, 0.15 * h.h + 0.85 * coalesce(g.s, 0) AS s FROM h LEFT JOIN (SELECT dst, sum(s * w) AS s FROM t JOIN {x} ON src = id GROUP BY dst) g ON g.dst = h.id")
+    + " SELECT id, s AS score FROM x8")
+add("katz", lambda s, d: centrality.katz(users(s, d), alpha=0.01, max_iter=8, tolerance=0.0),
+    f"{_USERS}, " + _unrolled(8, "SELECT id, 0::DOUBLE AS s FROM v", "SELECT v.id, 0.01 * coalesce(g.s, 0) + 1 AS s FROM v LEFT JOIN (SELECT dst, sum(s) AS s FROM e JOIN {x} ON src = id GROUP BY dst) g ON g.dst = v.id") + " SELECT id, s AS score FROM x8")
+add("eigenvector", lambda s, d: centrality.eigenvector(parts(s, d), max_iter=8, tolerance=0.0),
+    f"{_PARTS}, " + _unrolled(8, "SELECT id, (SELECT count(*) FROM v) ** -0.5 AS s FROM v", "SELECT id, y / sqrt(sum(y * y) OVER ()) AS s FROM (SELECT z.id, z.s + coalesce(g.s, 0) AS y FROM {x} z LEFT JOIN (SELECT dst, sum(s) AS s FROM a JOIN {x} ON src = id GROUP BY dst) g ON g.dst = z.id)") + " SELECT id, s AS score FROM x8")
+add("hits", lambda s, d: centrality.hits(users(s, d), max_iter=6, tolerance=0.0),
+    f"{_USERS}, " + _unrolled(6, "SELECT id, (SELECT count(*) FROM v) ** -0.5 AS h, 0::DOUBLE AS au FROM v",
+    "SELECT id, h / sqrt(sum(h * h) OVER ()) AS h, au FROM (SELECT y.id, coalesce(sum(z.au), 0) AS h, any_value(y.au) AS au FROM (SELECT id, au / sqrt(sum(au * au) OVER ()) AS au FROM (SELECT v.id, coalesce(sum(q.h), 0) AS au FROM v LEFT JOIN e ON e.dst = v.id LEFT JOIN {x} q ON q.id = e.src GROUP BY v.id)) y LEFT JOIN e ON e.src = y.id LEFT JOIN (SELECT id, au / sqrt(sum(au * au) OVER ()) AS au FROM (SELECT v.id, coalesce(sum(q.h), 0) AS au FROM v LEFT JOIN e ON e.dst = v.id LEFT JOIN {x} q ON q.id = e.src GROUP BY v.id)) z ON z.id = e.dst GROUP BY y.id)")
+    + " SELECT id, h AS hub, au AS authority FROM x6")
+add("betweenness", lambda s, d: centrality.betweenness(transforms.filter_edges(parts(s, d, 3), F.lit(True))))
+add("eccentricities", lambda s, d: health.eccentricities(suppliers(s, d)), f"{_SUPPLIERS}, {_DIST} SELECT source AS id, CASE WHEN count(*) = (SELECT count(*) FROM v) THEN max(dist) END AS eccentricity FROM p GROUP BY source", True)
+add("diameter_and_radius", lambda s, d: health.diameter_and_radius(suppliers(s, d)),
+    f"{_SUPPLIERS}, {_DIST}, x AS (SELECT source, CASE WHEN count(*) = (SELECT count(*) FROM v) THEN max(dist) END AS m FROM p GROUP BY source) SELECT CASE WHEN count(*) = count(m) THEN max(m) END AS diameter, CASE WHEN count(*) = count(m) THEN min(m) END AS radius FROM x", True)
+add("global_efficiency", lambda s, d: health.global_efficiency(suppliers(s, d)), f"{_SUPPLIERS}, {_DIST}, k AS (SELECT count(*)::DOUBLE AS n FROM v) SELECT sum(1 / dist) / any_value(n * (n - 1)) AS global_efficiency FROM p, k WHERE dist > 0", True)
+add("average_path_length", lambda s, d: health.average_path_length(suppliers(s, d)),
+    f"{_SUPPLIERS}, {_DIST}, k AS (SELECT count(*)::DOUBLE AS n FROM v) SELECT CASE WHEN count(*) = any_value(n * n) THEN sum(dist) / any_value(n * (n - 1)) END AS average_path_length FROM p, k", True)
+add("assortativity", lambda s, d: health.assortativity(parts(s, d)), f"{_PARTS}, k AS (SELECT src, count(*)::DOUBLE AS c FROM a GROUP BY src) SELECT corr(x.c, y.c) AS assortativity FROM a JOIN k x ON x.src = a.src JOIN k y ON y.src = a.dst")
+add("local_efficiency", lambda s, d: health.local_efficiency(parts(s, d)))
+add("sampled_diameter", lambda s, d: health.sampled_diameter(parts(s, d)))
+
+# --- communities ----------------------------------------------------------
+
+_TRI = "t AS (SELECT x.src AS a1, x.dst AS b1, y.dst AS c1 FROM e x JOIN e y ON x.dst = y.src JOIN e z ON z.src = x.src AND z.dst = y.dst)"
+add("triangle_count", lambda s, d: community.triangle_count(suppliers(s, d)), f"{_SUPPLIERS}, {_TRI} SELECT count(*) AS n_triangles FROM t")
+add("clustering", lambda s, d: community.clustering(suppliers(s, d)),
+    f"{_SUPPLIERS}, {_TRI}, k AS (SELECT id, count(*) AS n FROM (SELECT unnest([a1, b1, c1]) AS id FROM t) GROUP BY id), g AS (SELECT src, count(*) AS d FROM a GROUP BY src) SELECT v.id, coalesce(n, 0) AS triangles, d AS degree, CASE WHEN d > 1 THEN 2.0::DOUBLE * coalesce(n, 0) / (d * (d - 1)) ELSE 0 END AS clustering FROM v JOIN g ON src = v.id LEFT JOIN k ON k.id = v.id")
+add("transitivity", lambda s, d: community.transitivity(suppliers(s, d)), f"{_SUPPLIERS}, {_TRI}, g AS (SELECT count(*) AS d FROM a GROUP BY src) SELECT 3.0::DOUBLE * (SELECT count(*) FROM t) / sum(d * (d - 1) / 2) AS transitivity FROM g")
+add("average_clustering", lambda s, d: community.average_clustering(suppliers(s, d)), SQL["clustering"].removeprefix("WITH ").replace("SELECT v.id, coalesce(n, 0) AS triangles, d AS degree, CASE", "SELECT avg(CASE").replace("END AS clustering", "END) AS average_clustering"))
+add("density", lambda s, d: community.density(suppliers(s, d)), f"{_SUPPLIERS}, k AS (SELECT count(*)::DOUBLE AS n FROM v) SELECT 2.0 * (SELECT count(*) FROM e) / (n * (n - 1)) AS density FROM k")
+add("four_cliques", lambda s, d: community.k_cliques(suppliers(s, d), 4).select(*(F.col("members")[i].alias(f"m{i}") for i in range(4))),
+    f"{_SUPPLIERS}, {_TRI} SELECT a1 AS m0, b1 AS m1, c1 AS m2, x.dst AS m3 FROM t JOIN e x ON x.src = c1 JOIN e y ON y.src = b1 AND y.dst = x.dst JOIN e z ON z.src = a1 AND z.dst = x.dst")
+add("modularity", lambda s, d: (g := parts(s, d)) and community.modularity(g, g.vertices.select("id", (F.col("id") % 4).alias("community"))),
+    f"{_PARTS}, m AS (SELECT sum(weight)::DOUBLE AS m FROM a), k AS (SELECT src % 4 AS c, sum(weight)::DOUBLE AS k, sum(CASE WHEN src % 4 = dst % 4 THEN weight ELSE 0 END)::DOUBLE AS i FROM a GROUP BY 1) SELECT sum(i / m - (k / m) * (k / m)) AS modularity FROM k, m")
+add("nmi", lambda s, d: (g := parts(s, d)) and community.nmi(g.vertices.select("id", (F.col("id") % 4).alias("community")), g.vertices.select("id", (F.col("id") % 6).alias("community"))),
+    f"{_PARTS}, n AS (SELECT count(*)::DOUBLE AS n FROM v), xy AS (SELECT id % 4 AS x, id % 6 AS y, count(*) AS c FROM v GROUP BY 1, 2), x AS (SELECT x, sum(c)::DOUBLE AS c FROM xy GROUP BY 1), y AS (SELECT y, sum(c)::DOUBLE AS c FROM xy GROUP BY 1) SELECT 2 * (SELECT sum(xy.c / n * ln(xy.c * n / (x.c * y.c))) FROM xy JOIN x USING (x) JOIN y USING (y), n) / ((SELECT sum(-c / n * ln(c / n)) FROM x, n) + (SELECT sum(-c / n * ln(c / n)) FROM y, n)) AS nmi")
+add("community_densities", lambda s, d: (g := parts(s, d)) and community.community_densities(g, g.vertices.select("id", (F.col("id") % 4).alias("community"))),
+    f"{_PARTS}, k AS (SELECT id % 4 AS c, count(*) AS n FROM v GROUP BY 1), i AS (SELECT src % 4 AS c, count(*) AS m FROM e WHERE src % 4 = dst % 4 GROUP BY 1) SELECT k.c AS community, n AS n_nodes, coalesce(m, 0) AS n_edges, 2.0::DOUBLE * coalesce(m, 0) / (n * (n - 1)) AS density FROM k LEFT JOIN i USING (c)")
+add("label_propagation", lambda s, d: community.label_propagation(suppliers(s, d)))
+add("louvain", lambda s, d: community.louvain(parts(s, d)))
+add("clique_percolation", lambda s, d: community.clique_percolation(parts(s, d)).select("id", "community"))
+
+# --- structure ------------------------------------------------------------
+
+add("structure_predicates", lambda s, d: structure.predicates(parts(s, d, 3)),
+    f"{_PARTS.replace('>= 2', '>= 3')}, {_COMPONENTS}, k AS (SELECT count(*) AS d FROM a GROUP BY src), x AS (SELECT (SELECT count(*) FROM v) AS n, (SELECT count(*) FROM e) AS m, (SELECT count(DISTINCT lab) FROM r) AS c, (SELECT min(d) = max(d) FROM k) AS g) SELECT n = 0 AS is_empty, n <= 1 OR m = n * (n - 1) / 2 AS is_complete, n = 0 OR g AS is_regular, c <= 1 AS is_connected, m = n - c AS is_forest, m = n - c AND c = 1 AS is_tree FROM x", True)
+add("arborescence_predicates", lambda s, d: structure.predicates(geography(s, d)), "x AS (SELECT 1) SELECT false AS is_empty, false AS is_complete, false AS is_regular, false AS is_connected, true AS is_branching, false AS is_arborescence FROM x")
+add("is_bipartite", lambda s, d: structure.is_bipartite(bipartite(s, d)), "x AS (SELECT 1) SELECT true AS is_bipartite FROM x")
+add("bipartition", lambda s, d: (g := bipartite(s, d)) and structure.bipartition(g).join(g.vertices, "id").select("id", F.col("side").cast("long").alias("side")),
+    f"{_BIPARTITE}, {_COMPONENTS} SELECT id, CASE WHEN (id < 0) = (lab < 0) THEN 0 ELSE 1 END::BIGINT AS side FROM r", True)
+add("spanning_forest_weight", lambda s, d: structure.spanning_forest(parts(s, d)).agg(F.count(F.lit(1)).alias("n_edges")), f"{_PARTS}, {_COMPONENTS} SELECT count(*) - count(DISTINCT lab) AS n_edges FROM r", True)
+add("spanning_forest", lambda s, d: structure.spanning_forest(suppliers(s, d)))
+add("maximum_spanning_forest", lambda s, d: structure.spanning_forest(suppliers(s, d), maximum=True))
+add("maximal_matching", lambda s, d: structure.maximal_matching(bipartite(s, d)))
+add("maximal_independent_set", lambda s, d: structure.maximal_independent_set(parts(s, d)))
+add("greedy_coloring", lambda s, d: structure.greedy_coloring(suppliers(s, d)))
+add("wl_hashes", lambda s, d: structure.wl_hashes(parts(s, d), 2),
+    f"{_PARTS}, k AS (SELECT src, count(*) AS c FROM a GROUP BY src), " + _unrolled(2, "SELECT id, md5(c::VARCHAR) AS l FROM v JOIN k ON src = id", "SELECT z.id, md5(any_value(z.l) || ':' || string_agg(y.l, '|' ORDER BY y.l)) AS l FROM {x} z JOIN a ON a.src = z.id JOIN {x} y ON y.id = a.dst GROUP BY z.id") + " SELECT id, l AS label FROM x2")
+add("wl_equivalent", lambda s, d: (g := parts(s, d)) and structure.wl_equivalent(g, transforms.normalize_ids(g)), "x AS (SELECT 1) SELECT true AS wl_equivalent FROM x")
+add("eulerian", lambda s, d: structure.eulerian(parts(s, d)), f"{_PARTS}, {_COMPONENTS}, k AS (SELECT count(*) % 2 AS o FROM a GROUP BY src), x AS (SELECT (SELECT sum(o) FROM k) AS o, (SELECT count(DISTINCT lab) FROM r) AS c) SELECT o = 0 AND c <= 1 AS has_circuit, o IN (0, 2) AND c <= 1 AS has_path FROM x", True)
+
+
+def stable_pairs(s: SparkSession, d: str) -> DataFrame:
+    """Suppliers 0..49 and 50..99 rank each other by a fixed formula."""
+    ids = s.range(50)
+    left = ids.select(F.col("id").alias("left"), F.explode(F.sequence(F.lit(50), F.lit(99))).cast("long").alias("right"))
+    rank = lambda a, b: (F.col(a) * 7919 + F.col(b) * 104729) % 100003
+    return structure.stable_marriage(left.select("left", "right", rank("left", "right").alias("rank")), left.select("right", "left", rank("right", "left").alias("rank")))
+
+
+add("stable_marriage", stable_pairs)
+
+
+def _multi(s: SparkSession, d: str) -> multigraph.MultiGraph:
+    lines = table(s, d, "lineitem").where("l_quantity >= 49").select((-1 - F.col("l_orderkey")).alias("src"), F.col("l_suppkey").alias("dst"), F.col("l_extendedprice").alias("data"), "l_linenumber")
+    return multigraph.from_rows(lines, False, [F.col("src"), F.col("dst"), F.col("l_linenumber"), F.col("data")])
+
 
+_MULTI = "m AS (SELECT -1 - l_orderkey AS src, l_suppkey AS dst, l_extendedprice AS data, l_linenumber FROM lineitem WHERE l_quantity >= 49)"
+add("multigraph_collapse", lambda s, d: _multi(s, d).to_simple("min").edges, f"{_MULTI} SELECT src, dst, min(data) AS weight FROM m GROUP BY 1, 2")
+add("multigraph_degrees", lambda s, d: _multi(s, d).degrees(), f"{_MULTI}, x AS (SELECT src AS id FROM m UNION ALL SELECT dst FROM m) SELECT id, count(*) AS degree FROM x GROUP BY id")
+add("multigraph_parallel", lambda s, d: _multi(s, d).parallel(), f"{_MULTI} SELECT least(src, dst) AS src, greatest(src, dst) AS dst, count(*) AS n_edges FROM m GROUP BY 1, 2 HAVING count(*) > 1")
+add("multigraph_edges", lambda s, d: _multi(s, d).edges.select("edge_id", "src", "dst", "data"), f"{_MULTI} SELECT row_number() OVER (ORDER BY src, dst, l_linenumber, data) - 1 AS edge_id, src, dst, data FROM m")
 
-COPURCHASE_SQL = """SELECT a.l_partkey AS src, b.l_partkey AS dst, count(*) AS weight FROM lineitem a JOIN lineitem b
- ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey GROUP BY 1, 2 HAVING count(*) >= {least}"""
+# --- generators -----------------------------------------------------------
 
 
-def copurchase_component_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return connected_components(copurchase(spark, sf_dir)).groupBy("component").agg(F.count(F.lit(1)).alias("n_nodes"))
+def _made(name: str, make: Callable[[SparkSession], Graph], sql: str) -> None:
+    add(f"generate_{name}", lambda s, d: make(s).edges.select("src", "dst"), f"g AS ({sql}) SELECT DISTINCT least(s, t)::BIGINT AS src, greatest(s, t)::BIGINT AS dst FROM g WHERE s <> t")
 
 
-QUERIES["copurchase_component_sizes"] = copurchase_component_sizes
-SQL["copurchase_component_sizes"] = f"""WITH RECURSIVE e AS ({COPURCHASE_SQL.format(least=2)}),
- s AS (SELECT src AS a, dst AS b FROM e UNION ALL SELECT dst, src FROM e),
- r(id, lab) USING KEY (id) AS (SELECT DISTINCT a, a FROM s UNION
-  SELECT s.b, min(r.lab) FROM r JOIN s ON s.a = r.id JOIN recurring.r q ON q.id = s.b WHERE r.lab < q.lab GROUP BY s.b)
-SELECT lab AS component, count(*) AS n_nodes FROM r GROUP BY lab"""
+_made("path", lambda s: generators.path(s, 50), "SELECT range AS s, range + 1 AS t FROM range(49)")
+_made("cycle", lambda s: generators.cycle(s, 50), "SELECT range AS s, (range + 1) % 50 AS t FROM range(50)")
+_made("star", lambda s: generators.star(s, 50), "SELECT 0 AS s, range AS t FROM range(1, 50)")
+_made("wheel", lambda s: generators.wheel(s, 20), "SELECT 0 AS s, range AS t FROM range(1, 20) UNION ALL SELECT range, range % 19 + 1 FROM range(1, 20)")
+_made("complete", lambda s: generators.complete(s, 30), "SELECT x.range AS s, y.range AS t FROM range(30) x, range(30) y")
+_made("complete_bipartite", lambda s: generators.complete_bipartite(s, 7, 9), "SELECT x.range AS s, y.range AS t FROM range(7) x, range(7, 16) y")
+_made("grid", lambda s: generators.grid(s, 8, 9), "SELECT range AS s, range + 1 AS t FROM range(72) WHERE range % 9 < 8 UNION ALL SELECT range, range + 9 FROM range(63)")
+_made("torus", lambda s: generators.grid(s, 8, 9, torus=True), "SELECT range AS s, range // 9 * 9 + (range % 9 + 1) % 9 AS t FROM range(72) UNION ALL SELECT range, (range + 9) % 72 FROM range(72)")
+_made("hypercube", lambda s: generators.hypercube(s, 6), "SELECT x.range AS s, xor(x.range, 1::BIGINT << y.range::INT) AS t FROM range(64) x, range(6) y")
+_made("binary_tree", lambda s: generators.binary_tree(s, 5), "SELECT range AS s, (range - 1) // 2 AS t FROM range(1, 63)")
+_made("kary_tree", lambda s: generators.kary_tree(s, 60, 3), "SELECT range AS s, (range - 1) // 3 AS t FROM range(1, 60)")
+_made("ladder", lambda s: generators.ladder(s, 12), "SELECT range AS s, range + 1 AS t FROM range(24) WHERE range % 12 < 11 UNION ALL SELECT range, range + 12 FROM range(12)")
+_made("petersen", lambda s: generators.petersen(s), "SELECT range AS s, (range + 1) % 5 AS t FROM range(5) UNION ALL SELECT range, range + 5 FROM range(5) UNION ALL SELECT range + 5, (range + 2) % 5 + 5 FROM range(5)")
+_made("turan", lambda s: generators.turan(s, 20, 4), "SELECT x.range AS s, y.range AS t FROM range(20) x, range(20) y WHERE x.range % 4 <> y.range % 4")
+_made("circulant", lambda s: generators.circulant(s, 20, [1, 3]), "SELECT x.range AS s, (x.range + j) % 20 AS t FROM range(20) x, (SELECT unnest([1, 3]) AS j)")
+_made("barbell", lambda s: generators.barbell(s, 6, 2), "SELECT x.range AS s, y.range AS t FROM range(6) x, range(6) y UNION ALL SELECT x.range + 8, y.range + 8 FROM range(6) x, range(6) y UNION ALL SELECT range, range + 1 FROM range(5, 8)")
+_made("lollipop", lambda s: generators.lollipop(s, 6, 3), "SELECT x.range AS s, y.range AS t FROM range(6) x, range(6) y UNION ALL SELECT range, range + 1 FROM range(5, 8)")
+_made("crown", lambda s: generators.crown(s, 8), "SELECT x.range AS s, y.range + 8 AS t FROM range(8) x, range(8) y WHERE x.range <> y.range")
+_made("caveman", lambda s: generators.caveman(s, 5, 4), "SELECT x.range AS s, y.range AS t FROM range(20) x, range(20) y WHERE x.range // 4 = y.range // 4 UNION ALL SELECT range * 4 + 3, (range + 1) % 5 * 4 FROM range(5)")
+for _name, _make in {
+    "gnp": lambda s: generators.gnp(s, 300, 0.05, 1),
+    "rmat": lambda s: generators.rmat(s, 8, 1000, 1),
+    "block_model": lambda s: generators.block_model(s, [60, 60, 60], 0.3, 0.01, 1),
+    "preferential_attachment": lambda s: generators.preferential_attachment(s, 300, 3, 1),
+    "small_world": lambda s: generators.small_world(s, 200, 4, 0.1, 1),
+    "recursive_tree": lambda s: generators.recursive_tree(s, 200, 1),
+}.items():
+    add(f"generate_{_name}", lambda s, d, make=_make: make(s).edges)
