@@ -305,7 +305,7 @@ add("nmi", lambda s, d: (g := parts(s, d)) and community.nmi(g.vertices.select("
 add("community_densities", lambda s, d: (g := parts(s, d)) and community.community_densities(g, g.vertices.select("id", (F.col("id") % 4).alias("community"))),
     f"{_PARTS}, k AS (SELECT id % 4 AS c, count(*) AS n FROM v GROUP BY 1), i AS (SELECT src % 4 AS c, count(*) AS m FROM e WHERE src % 4 = dst % 4 GROUP BY 1) SELECT k.c AS community, n AS n_nodes, coalesce(m, 0) AS n_edges, 2.0::DOUBLE * coalesce(m, 0) / (n * (n - 1)) AS density FROM k LEFT JOIN i USING (c)")
 add("label_propagation", lambda s, d: community.label_propagation(suppliers(s, d)))
-add("louvain", lambda s, d: community.louvain(parts(s, d)))
+add("louvain", lambda s, d: community.louvain(suppliers(s, d), levels=3, passes=4))
 add("clique_percolation", lambda s, d: community.clique_percolation(parts(s, d)).select("id", "community"))
 
 # --- structure ------------------------------------------------------------

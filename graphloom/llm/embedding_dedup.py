@@ -29,7 +29,7 @@ from graphloom.plans import connected_components, save
 
 BLOCK_DIMS = 8
 #: Vectors of a tile, and the side of the squares that are compared at a time.
-TILE, SQUARE = 8192, 1024
+TILE, SQUARE = 8192, 512
 SLACK = 1e-5
 
 
@@ -46,7 +46,7 @@ def _blocks(dims: int) -> list[slice]:
 
 
 def _placed(vectors: DataFrame, reach: float, kept: str) -> DataFrame:
-    """A row for each vector and block: dims, block, slab, id, the vector as it is (of type ``kept``) and the turned unit vector."""
+    """A row for each vector: id, dims, the vector as it is (of type ``kept``), the turned unit vector, and its slab in every block."""
 
     def make():
         known: dict[int, np.ndarray] = {}
@@ -59,21 +59,14 @@ def _placed(vectors: DataFrame, reach: float, kept: str) -> DataFrame:
                 rows, x, dims = rows[fine], x[fine], x.shape[1]
                 turn = known.setdefault(dims, rotation(dims))
                 turned = ((x / norm[fine][:, None]) @ turn).astype(np.float32)
-                ids = batch.column(0).take(pa.array(rows))
-                raw = pa.array([v.tobytes() for v in x.astype(kept)], pa.binary())
-                bits = pa.array([v.tobytes() for v in turned], pa.binary())
-                parts = _blocks(dims)
-                for b, part in enumerate(parts):
-                    radius = math.sqrt(reach * (part.stop - part.start) / dims + SLACK)
-                    slab = np.floor(turned[:, part.start].astype(np.float64) / radius).astype(np.int32)
-                    n = len(rows)
-                    out.append(pa.record_batch([pa.array(np.full(n, dims, np.int32)), pa.array(np.full(n, b, np.int32)), pa.array(slab), ids, raw, bits], names))
+                slabs = np.stack([np.floor(turned[:, p.start].astype(np.float64) / math.sqrt(reach * (p.stop - p.start) / dims + SLACK)) for p in _blocks(dims)], axis=1).astype(np.int32)
+                columns = [pa.array(np.full(len(rows), dims, np.int32)), batch.column(0).take(pa.array(rows)), pa.array([v.tobytes() for v in x.astype(kept)], pa.binary()), pa.array([v.tobytes() for v in turned], pa.binary()), pa.array(slabs.tolist(), pa.list_(pa.int32()))]
+                out.append(pa.record_batch(columns, ["dims", "id", "raw", "turned", "slabs"]))
             return pa.Table.from_batches(out).combine_chunks().to_batches()[0] if out and sum(x.num_rows for x in out) else None
 
         return each
 
-    names = ["dims", "block", "slab", "id", "raw", "turned"]
-    return map_batches(vectors, make, "dims int, block int, slab int, id long, raw binary, turned binary")
+    return map_batches(vectors, make, "dims int, id long, raw binary, turned binary, slabs array<int>")
 
 
 def _forest(lab: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
@@ -109,38 +102,43 @@ def _forest(lab: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple[int, in
 
 
 def _compare(cosine: float, reach: float, kept: str):
+    """Links of tile ``t`` of a slab (side 0) with partner number ``k`` (side 1), and with itself where k is 0."""
+
     def each(key: tuple, group: pa.Table) -> pa.Table:
-        dims, block = key[0].as_py(), key[1].as_py()
-        ids = group["id"].to_numpy()
-        side = group["side"].to_numpy()
-        order = np.lexsort((ids, side))
-        ids, side = ids[order], side[order]
-        raw, turned = (group[c].combine_chunks().take(pa.array(order)).to_pylist() for c in ("raw", "turned"))
-        x = np.frombuffer(b"".join(raw), dtype=kept).reshape(-1, dims).astype(np.float64)
-        u = np.frombuffer(b"".join(turned), dtype=np.float32).reshape(-1, dims)
-        norm = np.sqrt((x * x).sum(axis=1))
+        dims, block, k = key[0].as_py(), key[1].as_py(), key[4].as_py()
         parts = _blocks(dims)
         budget = [reach * (p.stop - p.start) / dims + SLACK for p in parts]
-        own = np.ascontiguousarray(u[:, parts[block]])
-        half = (own.astype(np.float64) ** 2).sum(axis=1).astype(np.float32)
-        n_own = int((side == 0).sum())
+        u = np.frombuffer(b"".join(group["turned"].to_pylist()), dtype=np.float32).reshape(-1, dims)
+        ids, side = group["id"].to_numpy(), group["side"].to_numpy()
+        second = u[:, min(parts[block].start + 1, parts[block].stop - 1)]
+        order = np.lexsort((ids, second, side))
+        ids, side, u, second = ids[order], side[order], u[order], second[order].astype(np.float64)
+        x = np.frombuffer(b"".join(group["raw"].to_pylist()), dtype=kept).reshape(-1, dims)[order]
+        own = u[:, parts[block]]
+        half, one = (own.astype(np.float64) ** 2).sum(axis=1, keepdims=True).astype(np.float32), np.ones((len(own), 1), np.float32)
+        rows, columns = np.hstack([own, half, one]), np.ascontiguousarray(np.hstack([-2 * own, one, half]).T)  # their product is the squared distance
+        n_own, radius, limit = int((side == 0).sum()), math.sqrt(budget[block]) + SLACK, np.float32(budget[block] + SLACK)
         links, lab, edges = np.zeros(len(ids), dtype=np.int64), np.arange(len(ids)), []
-        inner = n_own == len(ids)  # a tile with itself, else all of side 0 with all of side 1
         for i in range(0, n_own, SQUARE):
-            for j in range(i if inner else n_own, len(ids), SQUARE):
-                e, f = min(i + SQUARE, n_own), min(j + SQUARE, len(ids))
-                d = half[i:e, None] + half[None, j:f] - 2 * (own[i:e] @ own[j:f].T)
-                a, b = np.nonzero(d <= budget[block] + SLACK)
-                a, b = a + i, b + j
-                if inner:
+            e = min(i + SQUARE, n_own)
+            for j in (*(range(i, n_own, SQUARE) if k == 0 else ()), *range(n_own, len(ids), SQUARE)):
+                f = min(j + SQUARE, n_own if j < n_own else len(ids))
+                if second[j] - second[e - 1] > radius or second[i] - second[f - 1] > radius:  # both are sorted by this coordinate
+                    continue
+                at = np.flatnonzero(rows[i:e] @ columns[:, j:f] <= limit)
+                a, b = at // (f - j) + i, at % (f - j) + j
+                if j == i:
                     a, b = a[a < b], b[a < b]
                 for begin in range(0, len(a), 1 << 17):
                     s, t = a[begin : begin + (1 << 17)], b[begin : begin + (1 << 17)]
-                    for k in range(block + 1):  # in this block, and in none before it
-                        gap = u[s, parts[k]].astype(np.float64) - u[t, parts[k]]
-                        near = (gap * gap).sum(axis=1) <= budget[k]
-                        s, t = (s[near], t[near]) if k == block else (s[~near], t[~near])
-                    linked = (x[s] * x[t]).sum(axis=1) >= cosine * norm[s] * norm[t]
+                    likely = np.einsum("ij,ij->i", u[s], u[t]) >= cosine - 1e-4
+                    s, t = s[likely], t[likely]
+                    for p in range(block + 1):  # the pair belongs to this block if none before it brings it together
+                        gap = u[s, parts[p]].astype(np.float64) - u[t, parts[p]]
+                        near = (gap * gap).sum(axis=1) <= budget[p]
+                        s, t = (s[near], t[near]) if p == block else (s[~near], t[~near])
+                    v, w = x[s].astype(np.float64), x[t].astype(np.float64)
+                    linked = (v * w).sum(axis=1) >= cosine * np.sqrt((v * v).sum(axis=1)) * np.sqrt((w * w).sum(axis=1))
                     s, t = s[linked], t[linked]
                     links += np.bincount(s, minlength=len(ids)) + np.bincount(t, minlength=len(ids))
                     edges += _forest(lab, s, t)
@@ -164,22 +162,23 @@ def embedding_dedup(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_
     reach = 2 - 2 * cosine
     kept = "<f4" if "float" in vectors.schema[vector_col].dataType.simpleString() else "<f8"
     every = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
-    placed = save(_placed(every.where("id is not null"), reach, kept).groupBy("dims", "block", "id").agg(F.min(F.struct("raw", "slab", "turned")).alias("x")).select("dims", "block", "id", "x.*"), "placed")
-    # a slab's own vectors, and those of the next slab as guests of it
-    loads = placed.groupBy("dims", "block", "slab").agg(F.count(F.lit(1)).alias("n"))
-    tiles = loads.select(F.col("dims").alias("d"), F.col("block").alias("b"), F.col("slab").alias("s"), F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
-    own = placed.join(tiles, (F.col("dims") == F.col("d")) & (F.col("block") == F.col("b")) & (F.col("slab") == F.col("s")))
-    own = own.withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")).drop("d", "b", "s")
-    last = tiles.select(F.col("d"), F.col("b"), (F.col("s") + 1).alias("s"), F.col("tiles").alias("before"))
-    guests = own.join(last, (F.col("dims") == F.col("d")) & (F.col("block") == F.col("b")) & (F.col("slab") == F.col("s"))).drop("d", "b", "s")
+    every_one = _placed(every.where("id is not null"), reach, kept).groupBy("id").agg(F.min(F.struct("raw", "dims", "turned", "slabs")).alias("x"))
+    placed = save(every_one.select("id", "x.*"), "placed")
+    own = placed.select("id", "dims", F.posexplode("slabs").alias("block", "slab"), "raw", "turned")
+    loads = save(own.groupBy("dims", "block", "slab").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles")), "loads")
+    of = lambda step, name: loads.select("dims", "block", (F.col("slab") + step).alias("slab"), F.col("tiles").alias(name))
+    at = ["dims", "block", "slab"]
+    loads = loads.join(of(1, "before"), at, "left").join(of(-1, "next"), at, "left").na.fill(0)
+    own = own.join(loads, at).withColumn("t", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+    # a tile's partners, in order: the later tiles of its slab, then those of the next slab
+    upto = lambda n: F.explode(F.when(F.lit(n) > 0, F.sequence(F.lit(0), F.lit(n) - 1)))
     row = ["dims", "block", "id", "raw", "turned"]
-    with_larger = own.select(*row, "slab", F.explode(F.sequence(F.col("tile"), F.col("tiles") - 1)).alias("t2"), F.col("tile").alias("t1"), F.lit(0).alias("side"))
-    with_smaller = own.where("tile > 0").select(*row, "slab", F.col("tile").alias("t2"), F.explode(F.sequence(F.lit(0), F.col("tile") - 1)).alias("t1"), F.lit(1).alias("side"))
-    hosts_of_next = own.join(tiles.select("d", "b", (F.col("s") - 1).alias("s"), F.col("tiles").alias("next")), (F.col("dims") == F.col("d")) & (F.col("block") == F.col("b")) & (F.col("slab") == F.col("s")))
-    hosts = hosts_of_next.select(*row, "slab", F.explode(F.sequence(F.lit(0), F.col("next") - 1)).alias("t2"), (-F.col("tile") - 1).alias("t1"), F.lit(0).alias("side"))
-    guests = guests.select(*row, (F.col("slab") - 1).alias("slab"), F.col("tile").alias("t2"), F.explode(F.sequence(F.lit(0), F.col("before") - 1)).alias("t1"), F.lit(1).alias("side")).withColumn("t1", -F.col("t1") - 1)
-    meet = with_larger.unionByName(with_smaller).unionByName(hosts).unionByName(guests)
-    found = save(meet.groupBy("dims", "block", "slab", "t1", "t2").applyInArrow(_compare(cosine, reach, kept), "id long, other long, links long"), "found")
+    partners = F.greatest(F.lit(1), F.col("tiles") - 1 - F.col("t") + F.col("next"))
+    hosts = own.select(*row, "slab", "t", F.explode(F.sequence(F.lit(0), partners - 1)).alias("k"), F.lit(0).alias("side"))
+    later = own.select(*row, "slab", F.col("t").alias("mine"), upto(F.col("t")).alias("t")).select(*row, "slab", "t", (F.col("mine") - F.col("t") - 1).alias("k"), F.lit(1).alias("side"))
+    guests = own.select(*row, (F.col("slab") - 1).alias("slab"), F.col("t").alias("mine"), "before", upto(F.col("before")).alias("t")).select(*row, "slab", "t", (F.col("before") - 1 - F.col("t") + F.col("mine")).alias("k"), F.lit(1).alias("side"))
+    meet = hosts.unionByName(later).unionByName(guests)
+    found = save(meet.groupBy("dims", "block", "slab", "t", "k").applyInArrow(_compare(cosine, reach, kept), "id long, other long, links long"), "found")
     links = found.where("links > 0").groupBy("id").agg(F.sum("links").alias("n_links"))
     comps = connected_components(found.where("links = 0"), "id", "other")
     ids = every.select("id")

@@ -13,12 +13,14 @@ differ twice or more, which leaves about one pair in a million.
 Links need no list of all pairs:
 
 * equal shingle sets fall into one class first, and one member stands for it;
-* rounds of stars: in each round every class is compared with one partner in
-  another component, the hub with which it shares most keys; confirmed links
-  merge components (whole groups of near copies collapse here);
-* what is left under a key in different components is compared pair by pair.
-
-Pairs are confirmed on their full shingle sets.
+* classes that share keys, directly or by others, form clusters; a cluster is
+  cut into tiles of bounded size, those that share a hub side by side;
+* a task takes one tile, or two that share a key, compares signatures and
+  confirms close pairs on their full shingle sets, the closest first. Pairs
+  whose ends are joined already are passed over, so a group of near copies
+  costs little more than its size, and only a spanning forest comes out;
+* each tile first meets itself and the hub's tile; after that only tiles with
+  a key in different components meet.
 """
 
 from __future__ import annotations
@@ -30,11 +32,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.batches import as_bytes, map_batches
-from graphloom.plans import connected_components, drop_saved, save
+from graphloom.plans import connected_components, running_total, save
 
 CHUNKS, SIZE = 13, 6
 POSITIONS = CHUNKS * SIZE
 THRESHOLD = 2 * CHUNKS - 1
+#: Load of a tile: a document counts 2,000 and its shingles.
+TILE = 1_000_000
 #: Candidates whose signatures differ in more positions are not confirmed: at similarity 0.8 a chance of 1e-9.
 FARTHEST = 38
 _U = np.uint64
@@ -119,34 +123,53 @@ def _keys(classes: DataFrame) -> DataFrame:
     return map_batches(classes.select("id", "signature"), make, "key long, id long")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full sets reach the similarity; those with far signatures drop out before sets are fetched."""
-
-    def near():
-        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(-1, POSITIONS) for c in (2, 3))
-            return batch.select([0, 1]).filter(pa.array((x != y).sum(axis=1) <= FARTHEST))
-
-        return each
-
-    def same():
-        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            keep = np.zeros(batch.num_rows, dtype=bool)
-            for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)):
-                    n = (len(x) + len(y)) // 8
-                    both = n - len(np.unique(np.frombuffer(x + y, dtype="<u8")))
-                    keep[i] = 100 * both >= percent * (n - both)
-            return batch.select([0, 1]).filter(pa.array(keep))
-
-        return each
-
-    def with_both(pairs: DataFrame, column: str) -> DataFrame:
-        of = lambda name: sets.select(F.col("id").alias(name), F.col(column).alias(f"{column}_{name}"))
-        return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", f"{column}_a", f"{column}_b")
-
-    pairs = map_batches(with_both(pairs, "signature"), near, "a long, b long")
-    return map_batches(with_both(pairs, "shingles"), same, "a long, b long")
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Sorted distinct shingles reach the similarity."""
+    if len(x) > len(y):
+        x, y = y, x
+    if 100 * len(x) < percent * len(y):
+        return False
+    both = int(np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def _compare(percent: int):
+    """Links of one or two tiles that join components: rows id, comp, tile, signature, shingles."""
+
+    def each(key: tuple, group: pa.Table) -> pa.Table:
+        t1, t2 = key[1].as_py(), key[2].as_py()
+        ids, comps = group["id"].to_numpy(), group["comp"].to_numpy()
+        tile = group["tile"].to_numpy()
+        signs = np.frombuffer(b"".join(group["signature"].to_pylist()), dtype=np.uint8).reshape(-1, POSITIONS)
+        sets = [np.frombuffer(x, "<u8") for x in group["shingles"].to_pylist()]
+        left = np.flatnonzero(tile == t1)
+        right = left if t1 == t2 else np.flatnonzero(tile == t2)
+        found = []
+        for i in left.tolist():
+            other = right[right > i] if t1 == t2 else right
+            other = other[comps[other] != comps[i]]
+            apart = np.count_nonzero(signs[other] != signs[i], axis=1)
+            near = apart <= FARTHEST
+            found.append(np.stack([apart[near], np.full(int(near.sum()), i), other[near]], axis=1))
+        pairs = np.concatenate(found) if found else np.zeros((0, 3), dtype=np.int64)
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while root.get(x, x) != x:
+                root[x] = x = root.get(root[x], root[x])
+            return x
+
+        links = []
+        name = comps.tolist()
+        for _, i, j in pairs[np.lexsort((pairs[:, 2], pairs[:, 1], pairs[:, 0]))].tolist():
+            x, y = find(name[i]), find(name[j])
+            if x != y and _similar(sets[i], sets[j], percent):
+                root[max(x, y)] = min(x, y)
+                links.append((int(ids[i]), int(ids[j])))
+        a, b = zip(*links, strict=True) if links else ((), ())
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return each
 
 
 def _merged(components: DataFrame, links: DataFrame) -> DataFrame:
@@ -157,7 +180,19 @@ def _merged(components: DataFrame, links: DataFrame) -> DataFrame:
     return save(components.join(new, "comp", "left").select("id", F.coalesce("component", "comp").alias("comp")), "comps")
 
 
-def minhash_dedup(docs: DataFrame, shingle_words: int = 5, percent: int = 80, star_rounds: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _tiled(shared: DataFrame, classes: DataFrame) -> DataFrame:
+    """(id, cluster, tile): members of a cluster in the order of the hub that they share most keys with, cut by load."""
+    hubs = shared.groupBy("key").agg(F.min("id").alias("hub"))
+    votes = save(shared.join(hubs, "key").groupBy("id", "hub").agg(F.count(F.lit(1)).alias("votes")), "votes")
+    clusters = connected_components(votes.select(F.col("id").alias("src"), F.col("hub").alias("dst"))).withColumnRenamed("component", "cluster")
+    anchor = votes.groupBy("id").agg(F.max_by("hub", F.struct("votes", -F.col("hub"))).alias("anchor"))
+    load = classes.select("id", (F.col("n_shingles") + 2000).alias("load"))
+    placed = clusters.join(anchor, "id").join(load, "id").select("id", "cluster", "anchor", "load")
+    summed = running_total(placed, ["cluster"], [F.col("anchor"), F.col("id")], F.col("load"), "before")
+    return save(summed.select("id", "cluster", F.floor(F.col("before") / TILE).cast("int").alias("tile")), "tiles")
+
+
+def minhash_dedup(docs: DataFrame, shingle_words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     r"""A row for each row of ``docs``: doc_id, n_shingles, component_id, kept.
 
     Words are ``[^\x20\x09-\x0D]+`` with A-Z in lower case; a text of fewer
@@ -172,13 +207,11 @@ def minhash_dedup(docs: DataFrame, shingle_words: int = 5, percent: int = 80, st
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = save(_signed(narrow, shingle_words), "signed")
     real = signed.where("n_shingles > 0 and id is not null")
-    classes = save(real.groupBy("print").agg(F.min("id").alias("id"), F.first("signature").alias("signature")), "classes")
+    classes = save(real.groupBy("print").agg(F.min("id").alias("id"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles")), "classes")
     keys = _keys(classes)
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    shared = save(keys.join(shared, "key"), "keys")
-    ids = shared.select("id").distinct()
-    # full sets of those that share a key at all, from their texts once more
-    inside = narrow.join(ids, "id", "left_semi")
+    often = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    shared = save(keys.join(often, "key"), "keys")
+    tiles = _tiled(shared, classes)
 
     def make():
         shingler, multipliers = Shingler(shingle_words), _multipliers()
@@ -190,25 +223,26 @@ def minhash_dedup(docs: DataFrame, shingle_words: int = 5, percent: int = 80, st
 
         return each
 
+    # full sets of those that share a key at all, from their texts once more
+    inside = narrow.join(tiles.select("id").distinct(), "id", "left_semi")
     sets = save(map_batches(inside, make, "id long, signature binary, shingles binary").where("signature is not null"), "sets")
-    comps = save(ids.withColumn("comp", F.col("id")), "comps")
-    for round_ in range(star_rounds):
-        placed = shared.join(comps, "id")
-        hub = F.struct(F.xxhash64(F.lit(round_), "id") if round_ else F.lit(0).cast("long"), F.col("id"), F.col("comp"))
-        hubs = placed.groupBy("key").agg(F.min(hub).alias("hub"), F.min("comp").alias("least"), F.max("comp").alias("most")).where("least < most").select("key", F.col("hub.id").alias("b"), F.col("hub.comp").alias("cb"))
-        votes = placed.join(hubs, "key").where("comp <> cb").groupBy("id", "b").agg(F.count(F.lit(1)).alias("votes"))
-        pairs = votes.groupBy(F.col("id").alias("a")).agg(F.max_by("b", F.struct("votes", -F.col("b"))).alias("b"))
-        links = save(_confirmed(pairs, sets, percent), "links")
-        if links.isEmpty():
-            break
-        old, comps = comps, _merged(comps, links)
-        drop_saved(old)
-    placed = shared.join(comps, "id")
-    split = placed.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least < most").select("key")
-    rest = save(placed.join(split, "key"), "rest")
-    a, b = rest.select("key", F.col("id").alias("a"), F.col("comp").alias("ca")), rest.select("key", F.col("id").alias("b"), F.col("comp").alias("cb"))
-    pairs = a.join(b, "key").where("a < b and ca <> cb").select("a", "b").distinct()
-    comps = _merged(comps, save(_confirmed(pairs, sets, percent), "links"))
+
+    def links(pairs: DataFrame, comps: DataFrame) -> DataFrame:
+        """pairs: (cluster, t1, t2) with t1 <= t2."""
+        ends = pairs.select("cluster", F.col("t1").alias("tile"), "t1", "t2").unionByName(pairs.where("t1 <> t2").select("cluster", F.col("t2").alias("tile"), "t1", "t2"))
+        rows = ends.join(tiles, ["cluster", "tile"]).join(comps, "id").join(sets, "id")
+        return save(rows.select("cluster", "t1", "t2", "tile", "id", "comp", "signature", "shingles").groupBy("cluster", "t1", "t2").applyInArrow(_compare(percent), "a long, b long"), "links")
+
+    each_tile = tiles.select("cluster", "tile").distinct()
+    first = each_tile.select("cluster", F.col("tile").alias("t1"), F.col("tile").alias("t2")).unionByName(each_tile.where("tile > 0").select("cluster", F.lit(0).alias("t1"), F.col("tile").alias("t2")))
+    comps = _merged(tiles.select("id", F.col("id").alias("comp")), links(first, tiles.select("id", F.col("id").alias("comp"))))
+    large = tiles.where("tile > 1").select("cluster").distinct()
+    at = shared.join(tiles.join(large, "cluster", "left_semi"), "id").join(comps, "id")
+    met = save(at.groupBy("key", "cluster", "tile").agg(F.min("comp").alias("least"), F.max("comp").alias("most")), "met")
+    x, y = met.select("key", "cluster", F.col("tile").alias("t1"), F.col("least").alias("l1"), F.col("most").alias("m1")), met.select("key", F.col("tile").alias("t2"), F.col("least").alias("l2"), F.col("most").alias("m2"))
+    rest = save(x.join(y, "key").where("t1 < t2 and t1 > 0 and (l1 <> m2 or l2 <> m1)").select("cluster", "t1", "t2").distinct(), "rest")
+    if not rest.isEmpty():
+        comps = _merged(comps, links(rest, comps))
     # classes to components, and those back to every document of a class
     found = classes.select("print", "id").join(comps, "id", "left").select("print", F.coalesce("comp", "id").alias("component_id"))
     placed = signed.join(found, "print", "left")

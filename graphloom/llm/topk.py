@@ -35,6 +35,8 @@ from graphloom.llm.vectors import by_dimension
 from graphloom.plans import save
 
 PAGE, SUBTREE, MOST_PIVOTS, QUERY_BLOCK = 128, 4096, 4096, 2048
+#: Page distances that a search computes together.
+AT_ONCE = 32
 _PAGES = "dims int, tree long, page int, pivot binary, radius double, parent double, n int, ids binary, points binary, apart binary"
 
 
@@ -124,16 +126,23 @@ def _search(k: int, pivots: dict, most: dict):
                 waiting = [(float(b), i, -1.0) for i, b in enumerate(np.abs(from_top - parent) - radius)]
                 heapq.heapify(waiting)
                 while waiting and waiting[0][0] <= limit:
-                    _, i, d = heapq.heappop(waiting)
-                    if d < 0:  # known by stored distances only
-                        d = float(_between(qf[None], flat, heads[i : i + 1], eheads[i : i + 1])[0, 0])
-                        if d - radius[i] <= limit:
-                            heapq.heappush(waiting, (d - float(radius[i]), i, d))
+                    if waiting[0][2] < 0:  # pages known by stored distances only: compute theirs, some at a time
+                        some = []
+                        while waiting and waiting[0][2] < 0 and waiting[0][0] <= limit and len(some) < AT_ONCE:
+                            some.append(heapq.heappop(waiting)[1])
+                        gaps = _between(qf[None], flat, heads[some], eheads[some])[0]
+                        for i, d in zip(some, gaps.tolist(), strict=True):
+                            if d - radius[i] <= limit:
+                                heapq.heappush(waiting, (d - float(radius[i]), i, d))
                         continue
+                    _, i, d = heapq.heappop(waiting)
                     at = np.flatnonzero(np.abs(d - apart[i]) <= limit) if limit < math.inf else np.arange(len(apart[i]))
                     if not len(at):
                         continue
                     scores = points[i][at] @ (qf if exact else q)
+                    if len(best) == k:
+                        good = scores >= best[0][0]
+                        scores, at = scores[good], at[good]
                     for score, other in zip(scores.tolist(), ids[i][at].tolist(), strict=True):
                         item = (int(score), -other)
                         if other != query_id and (len(best) < k or item > best[0]):

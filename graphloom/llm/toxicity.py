@@ -150,7 +150,7 @@ def fit(docs: DataFrame, labels: DataFrame, n_features: int = 512, max_fit_docs:
     if len(n) < 2:
         return Model(np.zeros(BUCKETS), 0.0, 0.5 if not n else float(next(iter(n))))
     text = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    counts = _class_counts(text.join(y, "_id").select("_y", "_text"))
+    counts = _class_counts(text.join(y.hint("merge"), "_id").select("_y", "_text"))  # one plan, however many labels there are
     total = np.array([[n[0]], [n[1]]], dtype=np.float64)
     p = (counts + 1.0) / (total + 2.0)
     ratio = np.log(p[1] / p[0])
