@@ -53,7 +53,7 @@ def matrix_market(spark: SparkSession, path: str) -> tuple[Graph, DataFrame]:
     body = text.where("not startswith(line, '%') and trim(line) <> ''").withColumn("p", F.split(F.trim("line"), r"\s+"))
     size = body.orderBy("place").first()
     n = max(int(size["p"][0]), int(size["p"][1]))
-    rows = body.where(F.col("place") > F.struct(F.lit(size["place"]["block"]), F.lit(size["place"]["n"])))
+    rows = body.where(F.col("place") > F.struct(*(F.lit(size["place"][c]).cast("long").alias(c) for c in ("block", "n"))))
     src, dst = F.get("p", F.lit(0)).try_cast("long"), F.get("p", F.lit(1)).try_cast("long")
     weight = F.lit(1.0) if pattern else F.get("p", F.lit(2)).try_cast("double")
     read = rows.select(src.alias("src"), dst.alias("dst"), weight.alias("weight"), "line")
@@ -126,8 +126,8 @@ def json_graph(spark: SparkSession, path: str) -> Graph:
     of = lambda *names: F.coalesce(*(F.get_json_object("x", f"$.{p}{n}") for p in ("data.", "") for n in names))
     nodes = doc.select(F.explode(item("nodes")).alias("x")).select(of("id").alias("id"), of("label", "name", "data").alias("data"))
     links = doc.select(F.explode(F.coalesce(item("edges"), item("links"))).alias("x")).select(of("source", "from").alias("src"), of("target", "to").alias("dst"), of("weight", "value", "label").alias("weight"))
-    flags = doc.select((F.get_json_object("j", "$.directed") == "true") | (F.get_json_object("j", "$.graph_type") == "directed")).first()[0]
-    directed = bool(flags) or flags is None
+    flag = doc.select(F.coalesce(F.get_json_object("j", "$.directed") == "true", F.get_json_object("j", "$.graph_type") == "directed")).first()[0]
+    directed = flag is None or flag
     return Graph(nodes, links if directed else canonical(links), directed)
 
 
