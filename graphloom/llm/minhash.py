@@ -182,8 +182,9 @@ def _merged(components: DataFrame, links: DataFrame) -> DataFrame:
 
 def _tiled(shared: DataFrame, classes: DataFrame) -> DataFrame:
     """(id, cluster, tile): members of a cluster in the order of the hub that they share most keys with, cut by load."""
-    hubs = shared.groupBy("key").agg(F.min("id").alias("hub"))
-    votes = save(shared.join(hubs, "key").groupBy("id", "hub").agg(F.count(F.lit(1)).alias("votes")), "votes")
+    each = shared.select("id", F.explode("keys").alias("key"))
+    hubs = each.groupBy("key").agg(F.min("id").alias("hub"))
+    votes = save(each.join(hubs, "key").groupBy("id", "hub").agg(F.count(F.lit(1)).alias("votes")), "votes")
     clusters = connected_components(votes.select(F.col("id").alias("src"), F.col("hub").alias("dst"))).withColumnRenamed("component", "cluster")
     anchor = votes.groupBy("id").agg(F.max_by("hub", F.struct("votes", -F.col("hub"))).alias("anchor"))
     load = classes.select("id", (F.col("n_shingles") + 2000).alias("load"))
@@ -210,7 +211,8 @@ def minhash_dedup(docs: DataFrame, shingle_words: int = 5, percent: int = 80, id
     classes = save(real.groupBy("print").agg(F.min("id").alias("id"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles")), "classes")
     keys = _keys(classes)
     often = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    shared = save(keys.join(often, "key"), "keys")
+    # a row for each document with the keys that it shares: later joins by document move no row for each key
+    shared = save(keys.join(often, "key").groupBy("id").agg(F.collect_list("key").alias("keys")), "keys")
     tiles = _tiled(shared, classes)
 
     def make():
@@ -230,14 +232,15 @@ def minhash_dedup(docs: DataFrame, shingle_words: int = 5, percent: int = 80, id
     def links(pairs: DataFrame, comps: DataFrame) -> DataFrame:
         """pairs: (cluster, t1, t2) with t1 <= t2."""
         ends = pairs.select("cluster", F.col("t1").alias("tile"), "t1", "t2").unionByName(pairs.where("t1 <> t2").select("cluster", F.col("t2").alias("tile"), "t1", "t2"))
-        rows = ends.join(tiles, ["cluster", "tile"]).join(comps, "id").join(sets, "id")
+        rows = ends.join(tiles.join(comps, "id"), ["cluster", "tile"]).join(sets, "id")
         return save(rows.select("cluster", "t1", "t2", "tile", "id", "comp", "signature", "shingles").groupBy("cluster", "t1", "t2").applyInArrow(_compare(percent), "a long, b long"), "links")
 
     each_tile = tiles.select("cluster", "tile").distinct()
     first = each_tile.select("cluster", F.col("tile").alias("t1"), F.col("tile").alias("t2")).unionByName(each_tile.where("tile > 0").select("cluster", F.lit(0).alias("t1"), F.col("tile").alias("t2")))
     comps = _merged(tiles.select("id", F.col("id").alias("comp")), links(first, tiles.select("id", F.col("id").alias("comp"))))
     large = tiles.where("tile > 1").select("cluster").distinct()
-    at = shared.join(tiles.join(large, "cluster", "left_semi"), "id").join(comps, "id")
+    inside = tiles.join(large, "cluster", "left_semi").join(comps, "id")
+    at = shared.join(inside, "id").select("cluster", "tile", "comp", F.explode("keys").alias("key"))
     met = save(at.groupBy("key", "cluster", "tile").agg(F.min("comp").alias("least"), F.max("comp").alias("most")), "met")
     x, y = met.select("key", "cluster", F.col("tile").alias("t1"), F.col("least").alias("l1"), F.col("most").alias("m1")), met.select("key", F.col("tile").alias("t2"), F.col("least").alias("l2"), F.col("most").alias("m2"))
     rest = save(x.join(y, "key").where("t1 < t2 and t1 > 0 and (l1 <> m2 or l2 <> m1)").select("cluster", "t1", "t2").distinct(), "rest")
