@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from graphloom.graph import Graph, from_edges
-from graphloom.operators import algebra, centrality, community, connectivity, dag, generators, health, model, multigraph, paths, structure, transforms
+from graphloom.operators import algebra, centrality, community, connectivity, dag, flow, generators, health, model, multigraph, paths, structure, transforms
 from graphloom.plans import running_total, save
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -246,6 +246,12 @@ add("dag_path_counts", lambda s, d: dag.path_counts(geography(s, d), -1), f"{_GE
 add("dag_sources", lambda s, d: dag.sources(chains(s, d)), f"{_CHAINS} SELECT id FROM v WHERE id NOT IN (SELECT dst FROM e)")
 add("dag_sinks", lambda s, d: dag.sinks(chains(s, d)), f"{_CHAINS} SELECT id FROM v WHERE id NOT IN (SELECT src FROM e)")
 
+# --- flows and cuts: no SQL expresses them; tests hold them against augmenting paths ---
+
+add("max_flow", lambda s, d: flow.flow_value(flow.max_flow(suppliers(s, d), 1, 50), 1))
+add("min_cut", lambda s, d: flow.min_cut(suppliers(s, d), 1, 50))
+add("maximum_matching", lambda s, d: (g := bipartite(s, d)) and flow.maximum_matching(g, g.vertices.select("id", (F.col("id") >= 0).cast("int").alias("side"))))
+
 # --- centrality and health ------------------------------------------------
 
 add("degree_centrality", lambda s, d: centrality.degree(users(s, d)),
