@@ -47,6 +47,7 @@ GOOD, BAD, OPEN = 1, 0, -1
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]{0,4096}\"|'[^']{0,4096}'|[^'\">])*+>|[^>]*(?:>|\Z))", re.S)
 _ATTRIBUTE = re.compile(r"([\w:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _WORDS = re.compile(r"[^\W\d_]+")
+_RAW_ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW_TAGS}
 
 
 class _Block:
@@ -72,7 +73,7 @@ def blocks_of(html: str) -> list[_Block]:
     out: list[_Block] = []
     stack: list[tuple[str, bool, bool]] = []  # open elements that matter: tag, noise, marks the article
     noise = article = 0
-    links, breaks, heading, at, raw = 0, 0, False, 0, ""
+    links, breaks, heading, at = 0, 0, False, 0
     block = _Block(False, False, False)
 
     def new() -> _Block:
@@ -82,26 +83,23 @@ def blocks_of(html: str) -> list[_Block]:
 
     def text(s: str) -> None:
         nonlocal breaks
-        if s and not raw:
+        if s:
             block.parts.append(s)
             if links:
                 block.linked += len(s.strip())
             if not s.isspace():
                 breaks = 0
 
-    for m in _TAG.finditer(html):
+    while m := _TAG.search(html, at):
         text(html[at : m.start()])
         at = m.end()
         if m[2] is None:
             continue
         tag, close, attributes = m[2].lower(), m[1] == "/", m[3] or ""
-        if raw:
-            if close and tag == raw:
-                raw = ""
-            continue
         if tag in RAW_TAGS:
-            if not close and not attributes.endswith("/>"):
-                raw = tag
+            if not close and not attributes.endswith("/>"):  # what it holds is no markup: on to its own end tag, or to the end of the page
+                end = _RAW_ENDS[tag].search(html, at)
+                at = end.start() if end else len(html)
             continue
         if tag == "a":
             links = 0 if close else 1

@@ -123,3 +123,9 @@ def test_main_text_of_broken_pages():
     assert html_text.main_text("") == "" and html_text.main_text("<") == "" and html_text.main_text("<article><p>&am") == "&am"
     assert html_text.main_text("<article><p a='x>y'>ok</p><p <b>z") is not None
     assert html_text.main_text("<article>" + "<div>" * 3000 + "deep" + "</div>" * 10) == "deep"
+
+
+def test_main_text_beside_scripts_with_less_than():
+    loop = "<script>for(i=0;i<n;i++){x()}</script>"
+    assert html_text.main_text(f"<body>{loop}<article><p>Before.</p>{loop}<p>After.</p><SCRIPT>if(a<b){{s='<p'}}</Script ><p>Last.</p></article></body>").split("\n\n") == ["Before.", "After.", "Last."]
+    assert html_text.main_text(f"<article><p>One.</p><style>a<b</style><p>Two.</p><script>'</scripts>' i<n</article>{'x' * 300}") == "One.\n\nTwo."
