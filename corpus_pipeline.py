@@ -35,13 +35,13 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the curriculum takes them, in training order."""
+    """Documents as often as the curriculum takes them, in training order: by range over the files, sorted within each."""
     return mixing.mix(docs, CURRICULUM).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document with its place in a batch."""
-    return packing.pack_documents(docs)
+    """Every document with its place in a batch; the batches of a bucket follow the order of the rows of ``docs``, a table read from files."""
+    return packing.pack_documents(docs, order=F.struct("_metadata.file_name", "_metadata.row_index"))
 
 
 STAGES = [("toxicity", without_toxic), ("line dedup", without_common_lines), ("near-copies", without_near_copies), ("mixing", mixed), ("packing", packed)]
