@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from graphloom.llm import mixing, packing, toxicity
 from graphloom.llm.line_dedup import line_dedup
 from graphloom.llm.minhash import minhash_dedup
-from graphloom.llm.queries import CURRICULUM
+from graphloom.llm.queries import CURRICULUM, TOKENIZER
 from graphloom.plans import save
 
 
@@ -41,7 +41,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document with its place in a batch; the batches of a bucket follow the order of the rows of ``docs``, a table read from files."""
-    return packing.pack_documents(docs, order=F.struct("_metadata.file_name", "_metadata.row_index"))
+    return packing.pack_documents(docs, order=F.struct("_metadata.file_name", "_metadata.row_index"), tokenizer=TOKENIZER)
 
 
 STAGES = [("toxicity", without_toxic), ("line dedup", without_common_lines), ("near-copies", without_near_copies), ("mixing", mixed), ("packing", packed)]

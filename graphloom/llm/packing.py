@@ -9,11 +9,14 @@ documents are ranked across partitions and cut into batches of a token budget.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from graphloom.llm.batches import n_words
-from graphloom.plans import running_total
+from graphloom.llm.batches import map_batches, n_words
+from graphloom.llm.bpe import encoder
+from graphloom.plans import running_total, save
 
 EXACT = 4096
 
@@ -63,20 +66,41 @@ def bucket_ends(lengths: np.ndarray, n: np.ndarray, total: np.ndarray, buckets:
     return sorted(set(ends))
 
 
-def pack(docs: DataFrame, buckets: int = 16, budget: int = 16_384, length: Column | None = None, order: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def tokens_for_text(rows: DataFrame, tokenizer: str) -> DataFrame:
+    """``rows`` with ``length``, the number of ids that token files hold for it, in place of its column ``text``; null text has none."""
+
+    def make():
+        bpe = encoder(tokenizer)
+
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+            n = [len(bpe.encode(x)) // bpe.dtype.itemsize if x else 0 for x in batch.column("text").to_pylist()]
+            return pa.record_batch([*(batch.column(c) for c in kept), pa.array(n, pa.int64())], [*kept, "length"])
+
+        return each
+
+    kept = [c for c in rows.columns if c != "text"]
+    return map_batches(rows, make, T.StructType([*(T.StructField(c, rows.schema[c].dataType) for c in kept), T.StructField("length", T.LongType())]))
+
+
+def pack(docs: DataFrame, buckets: int = 16, budget: int = 16_384, length: Column | None = None, order: Column | None = None, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
     """A row for each row of ``docs``: id, row, length, bucket, bucket_length, batch, slot.
 
     ``row`` is a hash of all columns that tells rows of one id apart. Each
     batch holds up to max(1, budget // bucket_length) documents of one bucket,
     in the order of ``order`` (default: a hash of the row), and only a
     bucket's last batch may be short. A document longer than the budget is a
-    batch of its own; nothing is cut or dropped. Length is the number of words
-    unless an expression is given; null lengths count as 0. Documents of
-    length 0 fall into the first bucket. An empty table has no rows.
+    batch of its own; nothing is cut or dropped. Length is an expression if one
+    is given, else the number of tokens by the vocabulary file ``tokenizer``,
+    else the number of words; null lengths count as 0. Documents of length 0
+    fall into the first bucket. An empty table has no rows.
     """
-    length = F.greatest(F.coalesce(length if length is not None else n_words(text_col), F.lit(0)), F.lit(0)).cast("long")
     row = F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))
-    rows = docs.select(F.col(id_col).alias("id"), row.alias("row"), length.alias("length"), (order if order is not None else row).alias("ord"))
+    narrow = [F.col(id_col).alias("id"), row.alias("row"), (order if order is not None else row).alias("ord")]
+    if length is None and tokenizer:
+        rows = save(tokens_for_text(docs.select(*narrow, F.col(text_col).alias("text")), tokenizer), "lengths")  # encoded once, read twice
+    else:
+        length = F.greatest(F.coalesce(length if length is not None else n_words(text_col), F.lit(0)), F.lit(0)).cast("long")
+        rows = docs.select(*narrow, length.alias("length"))
     hist = rows.groupBy(cell_of(F.col("length")).alias("cell")).agg(F.max("length").alias("most"), F.count(F.lit(1)).alias("n"), F.sum("length").alias("total")).orderBy("most").collect()  # of bounded size
     ends = bucket_ends(*(np.array([r[c] for r in hist], dtype=np.int64) for c in ("most", "n", "total")), buckets)
     if not ends:
@@ -89,13 +113,13 @@ def pack(docs: DataFrame, buckets: int = 16, budget: int = 16_384, length: Colum
     return ranked.withColumn("bucket_length", of).select("id", "row", "length", "bucket", "bucket_length", F.floor(F.col("rank") / room).cast("long").alias("batch"), (F.col("rank") % room).alias("slot"))
 
 
-def pack_documents(docs: DataFrame, buckets: int = 16, budget: int = 16_384, length: Column | None = None, order: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, buckets: int = 16, budget: int = 16_384, length: Column | None = None, order: Column | None = None, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
     """``pack`` with all columns of ``docs`` beside the place: length, bucket, bucket_length, batch, slot.
 
     Columns of ``docs`` with these names are replaced.
     """
     new = ["length", "bucket", "bucket_length", "batch", "slot"]
-    packed = pack(docs, buckets, budget, length, order, id_col, text_col).withColumnsRenamed({"id": "_id", "row": "_place"})
+    packed = pack(docs, buckets, budget, length, order, id_col, text_col, tokenizer).withColumnsRenamed({"id": "_id", "row": "_place"})
     text = docs.withColumn("_row", F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))).dropDuplicates([id_col, "_row"])
     kept = [c for c in docs.columns if c.lower() not in new]
     text = text.select(*(F.col(f"`{c}`") for c in kept), "_row")

@@ -63,7 +63,7 @@ CURRICULUM = mixing.repeating([[(0.0, 6.0), (1.0, 4.0)], 2.0, [(0.0, 0.5), (0.5,
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = packing.pack(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    packed = packing.pack(_table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer=TOKENIZER)
     return packed.select(F.col("id").alias("doc_id"), "length", "bucket", "bucket_length", "batch", "slot")
 
 

@@ -5,6 +5,7 @@ import string
 import zlib
 from collections import Counter
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pytest
@@ -16,6 +17,7 @@ from graphloom.llm.embedding_dedup import embedding_dedup
 from graphloom.llm.html_text import html_text
 from graphloom.llm.line_dedup import line_dedup
 from graphloom.llm.minhash import minhash_dedup
+from graphloom.llm.queries import op3_packing
 from graphloom.llm.token_counts import documents_token_counts, token_counts, write_flat_files
 from graphloom.llm.token_files import TokenFile, read_token_files, write_token_files
 from graphloom.llm.topk import exact_topk
@@ -125,6 +127,25 @@ def test_packing(docs, rows, none):
     assert packing.pack(none).count() == 0 and packing.pack_documents(none).count() == 0
 
 
+def test_packing_counts_tokens(spark, docs, rows, none, tmp_path):
+    junk = [(1, "0f3a9c7e" * 4000), (2, "河边的小镇" * 500), (3, "a b"), (4, ""), (5, None), (6, "c")]
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame(junk, "doc_id long, text string").write.parquet(path)
+    encode = Tokenizer.from_file(TOKENIZER).encode
+    size = {i: len(encode(t or "", add_special_tokens=False).ids) for i, t in junk}
+    assert size[1] > 8000 and size[2] > 1000
+    for out in (op3_packing(spark, str(tmp_path)).collect(), corpus_pipeline.packed(spark, spark.read.parquet(path), "").collect()):
+        assert {r["doc_id"]: r["length"] for r in out} == size and len(out) == len(junk)
+        batches = Counter()
+        for r in out:
+            batches[r["bucket"], r["batch"]] += r["length"]
+        alone = Counter((r["bucket"], r["batch"]) for r in out)
+        assert all(n <= 16_384 or alone[b] == 1 for b, n in batches.items())
+    big = {r["id"]: r["length"] for r in packing.pack(docs, budget=300, tokenizer=TOKENIZER).collect()}
+    assert big == {r[0]: len(encode(r[1] or "", add_special_tokens=False).ids) for r in rows}
+    assert packing.pack(none, tokenizer=TOKENIZER).count() == 0
+
+
 def test_mixing(spark, docs, rows, none):
     weights = mixing.repeating([[(0.0, 6.0), (1.0, 4.0)], 2.0, 1.0])
     planned, found = mixing.plan(docs, weights)
