@@ -5,7 +5,9 @@ its length, link density and share of stop words, after dropping what stands
 in menus, forms, scripts and the like. Pass two gives blocks that are too
 short or too poor in stop words to decide the label of their nearest decided
 neighbours. Where a page marks its article, only blocks within it count, and
-only links can speak against a long block there.
+only links can speak against a long block there. An element that its names
+speak against stays if it holds most of the long text, and where the stop
+words of a page's language are not known, length and links alone decide.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd
 SKIPPED_TAGS = frozenset("nav footer aside form head menu dialog button select figcaption".split())
 RAW_TAGS = frozenset("script style textarea noscript template iframe svg math object audio video canvas noembed noframes title".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta source track wbr".split())
-#: Words of class, id or role that mark what is not part of an article.
+#: Names in class, id or role that mark what is not part of an article, alone or with each other and with PLACES.
 NOISE = frozenset(
     """
     ad ads adv advert advertisement advertising adsense adsbygoogle banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notification alert
@@ -40,46 +42,66 @@ NOISE = frozenset(
     menu nav navbar navigation breadcrumb breadcrumbs masthead footer contentinfo copyright comment comments disqus respond reply replies login signup signin search pagination pager toolbar skip
     """.split()
 )
-ROOTS = frozenset("html body article main".split())
-LINKED, SHORT, LONG, SOME_STOPS, MANY_STOPS = 0.33, 70, 200, 0.15, 0.25
+#: Words that only say where or how large a named part is.
+PLACES = frozenset("area bar bottom box button buttons container form global header icons inner item items left link links list main outer panel post posts right section site text top wrap wrapper".split())
+#: Parts that may outgrow the article they stand beside; these never count as the article.
+BESIDE = frozenset("cookie cookies consent gdpr comment comments disqus respond reply replies".split())
+ROOTS = frozenset("html body main".split())
+LINKED, SHORT, LONG, SOME_STOPS, MANY_STOPS, KNOWN_STOPS = 0.33, 70, 200, 0.15, 0.25, 0.2
 GOOD, BAD, OPEN = 1, 0, -1
+KEPT, DOUBTED, DROPPED = 0, 1, 2
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]{0,4096}\"|'[^']{0,4096}'|[^'\">])*+>|[^>]*(?:>|\Z))", re.S)
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+>|[^>]*(?:>|\Z))", re.S)
 _ATTRIBUTE = re.compile(r"([\w:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _WORDS = re.compile(r"[^\W\d_]+")
 _RAW_ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW_TAGS}
 
 
 class _Block:
-    __slots__ = ("article", "heading", "linked", "noise", "parts")
+    __slots__ = ("article", "doubt", "heading", "linked", "noise", "parts")
 
-    def __init__(self, noise: bool, article: bool, heading: bool) -> None:
-        self.parts, self.linked, self.noise, self.article, self.heading = [], 0, noise, article, heading
+    def __init__(self, noise: bool, doubt: int, article: bool, heading: bool) -> None:
+        self.parts, self.linked, self.noise, self.doubt, self.article, self.heading = [], 0, noise, doubt, article, heading
 
 
-def _is_noise(tag: str, attributes: str, within: bool) -> bool:
+def _marks_article(tag: str, attributes: str) -> bool:
+    return tag == "article" or tag == "main" or "articlebody" in attributes.lower() or 'role="main"' in attributes.lower()
+
+
+def _verdict(tag: str, attributes: str, within: bool) -> int:
+    """Whether an element is kept, dropped, or dropped unless it holds most of the long text."""
+    if tag == "form":
+        return DOUBTED
     if tag in SKIPPED_TAGS or tag == "header" and not within:
-        return True
-    if tag in ROOTS and tag != "article" or "=" not in attributes and "hidden" not in attributes:
-        return False
+        return DROPPED
+    if tag in ROOTS or "=" not in attributes and "hidden" not in attributes:
+        return KEPT
     found = {a.lower(): b or c or d for a, b, c, d in _ATTRIBUTE.findall(attributes)}
     if found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I) or re.search(r"(?:^|\s)hidden(?=[\s>/]|$)", _ATTRIBUTE.sub("", attributes)):
-        return True
-    named = f"{found.get('class', '')} {found.get('id', '')} {found.get('role', '')}".lower()
-    return not NOISE.isdisjoint(re.split(r"[^a-z0-9]+", named))
+        return DROPPED
+    if _marks_article(tag, attributes):
+        return KEPT
+    out = KEPT
+    for name in f"{found.get('class', '')} {found.get('id', '')} {found.get('role', '')}".lower().split():
+        words = set(re.split(r"[^a-z0-9]+", name)) - {""}
+        if not NOISE.isdisjoint(words) and words <= NOISE | PLACES:
+            out = max(out, DOUBTED if BESIDE.isdisjoint(words) else DROPPED)
+    return out
 
 
-def blocks_of(html: str) -> list[_Block]:
+def blocks_of(html: str) -> tuple[list[_Block], list[int]]:
+    """Blocks in page order, and for each doubted element, numbered from 1, the doubted one around it; 0 is none."""
     out: list[_Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # open elements that matter: tag, noise, marks the article
-    noise = article = 0
+    around = [0]
+    stack: list[tuple[str, int, bool, int]] = []  # open elements that matter: tag, verdict, marks the article, doubted element around it
+    noise = article = doubt = 0
     links, breaks, heading, at = 0, 0, False, 0
-    block = _Block(False, False, False)
+    block = _Block(False, 0, False, False)
 
     def new() -> _Block:
         if block.parts:
             out.append(block)
-        return _Block(noise > 0, article > 0, heading)
+        return _Block(noise > 0, doubt, article > 0, heading)
 
     def text(s: str) -> None:
         nonlocal breaks
@@ -110,44 +132,70 @@ def blocks_of(html: str) -> list[_Block]:
             if breaks == 2:
                 block = new()
             continue
-        if tag not in BLOCK_TAGS and not (stack and close and any(x[0] == tag for x in stack)) and (close or tag in VOID_TAGS or not _is_noise(tag, attributes, article > 0)):
+        if tag not in BLOCK_TAGS and not (stack and close and any(x[0] == tag for x in stack)) and (close or tag in VOID_TAGS or not _verdict(tag, attributes, article > 0)):
             continue
         if tag in BLOCK_TAGS:
             links = 0
         if close:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
-                    for _, n, a in stack[i:]:
-                        noise -= n
+                    for _, v, a, _ in stack[i:]:
+                        noise -= v == DROPPED
                         article -= a
+                    doubt = stack[i][3]
                     del stack[i:]
                     break
-        elif tag not in VOID_TAGS and tag not in ("p", "li", "td", "th", "tr", "dt", "dd", "option") or _is_noise(tag, attributes, article > 0):
+        elif tag not in VOID_TAGS and tag not in ("p", "li", "td", "th", "tr", "dt", "dd", "option") or _verdict(tag, attributes, article > 0):
             if tag not in VOID_TAGS:
-                n = _is_noise(tag, attributes, article > 0)
-                a = tag == "article" or tag == "main" or "articlebody" in attributes.lower() or 'role="main"' in attributes.lower()
-                stack.append((tag, n, a))
-                noise += n
+                v, a = _verdict(tag, attributes, article > 0), _marks_article(tag, attributes)
+                stack.append((tag, v, a, doubt))
+                noise += v == DROPPED
                 article += a
+                if v == DOUBTED:
+                    around.append(doubt)
+                    doubt = len(around) - 1
         elif tag in ("p", "li", "td", "th", "tr", "dt", "dd") and stack and stack[-1][0] == tag and stack[-1][1]:
-            noise -= 1  # an unclosed one ends where its sibling begins
-            stack.pop()
+            _, v, a, doubt = stack.pop()  # an unclosed one ends where its sibling begins
+            noise -= v == DROPPED
+            article -= a
         heading = not close and tag in ("h1", "h2", "h3", "h4", "h5", "h6")
         block = new()
     if at < len(html):
         text(html[at:])
     new()
-    return out
+    return out, around
+
+
+def _without_noise(found: list[tuple], around: list[int]) -> list[tuple]:
+    """Blocks outside doubted elements, but for those elements that hold more than half of the long text."""
+    long = [(x[4], len(x[0])) for x in found if len(x[0]) >= LONG and x[1] <= LINKED * len(x[0])]
+    held, total = [0] * len(around), sum(n for _, n in long)
+    for d, n in long:
+        held[d] += n
+    for d in range(len(around) - 1, 0, -1):  # an element comes after the one around it
+        held[around[d]] += held[d]
+    drop = [False] * len(around)
+    for d in range(1, len(around)):
+        drop[d] = drop[around[d]] or 2 * held[d] <= total
+    return [x for x in found if not drop[x[4]]]
+
+
+def _knows_language(found: list[tuple]) -> bool:
+    """Whether the page's running text has the stop words that its language would have if they were listed."""
+    words = [w for x in found if len(x[0]) >= SHORT and x[1] <= LINKED * len(x[0]) for w in _WORDS.findall(x[0].lower())]
+    return sum(map(STOP_WORDS.__contains__, words)) >= KNOWN_STOPS * len(words)
 
 
-def _label(text: str, linked: int, article: bool) -> int:
+def _label(text: str, linked: int, article: bool, known: bool) -> int:
     """Pass one."""
     if linked > LINKED * len(text):
         return BAD
-    if not article and ("©" in text or "copyright" in text.lower()):
+    if not article and (len(text) < LONG and "©" in text or len(text) < SHORT and "copyright" in text.lower()):
         return BAD
     if len(text) < SHORT:
         return BAD if linked and not article else OPEN
+    if not known and not article:
+        return GOOD if len(text) >= LONG or not linked else OPEN
     words = _WORDS.findall(text.lower())
     stops = sum(map(STOP_WORDS.__contains__, words)) / len(words) if words else 0.0
     if stops >= (SOME_STOPS if len(text) >= LONG else MANY_STOPS):
@@ -157,16 +205,19 @@ def _label(text: str, linked: int, article: bool) -> int:
 
 def main_text(html: str) -> str:
     found = []
-    for b in blocks_of(html):
+    blocks, around = blocks_of(html)
+    for b in blocks:
         if not b.noise:
             raw = "".join(b.parts)
             text = " ".join((unescape(raw) if "&" in raw else raw).split())
             if text:
-                found.append((text, b.linked, b.article, b.heading))
+                found.append((text, b.linked, b.article, b.heading, b.doubt))
     marked = any(x[2] for x in found)
     if marked:
         found = [x for x in found if x[2]]
-    labels = [_label(*x[:3]) for x in found]
+    found = _without_noise(found, around)
+    known = marked or _knows_language(found)
+    labels = [_label(*x[:3], known) for x in found]
     # pass two: the nearest decided block on either side, the page's edge being bad unless the article is marked
     edge = GOOD if marked and GOOD not in labels else BAD
     before, last = [], (None, edge)

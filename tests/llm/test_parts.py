@@ -129,3 +129,25 @@ def test_main_text_beside_scripts_with_less_than():
     loop = "<script>for(i=0;i<n;i++){x()}</script>"
     assert html_text.main_text(f"<body>{loop}<article><p>Before.</p>{loop}<p>After.</p><SCRIPT>if(a<b){{s='<p'}}</Script ><p>Last.</p></article></body>").split("\n\n") == ["Before.", "After.", "Last."]
     assert html_text.main_text(f"<article><p>One.</p><style>a<b</style><p>Two.</p><script>'</scripts>' i<n</article>{'x' * 300}") == "One.\n\nTwo."
+
+
+def test_main_text_in_elements_of_doubtful_names():
+    long = "This is one of the long paragraphs that the page has for the reader, and it is about the history of the town by the river, " * 2
+    for tag in ('article class="post has-sidebar"', 'div class="content with-comments"', 'div id="search-result-article"', 'form id="search"', 'div class="social widget"', 'div itemprop="articleBody" class="share"'):
+        name = tag.split()[0]
+        page = f"<body><nav>{long}</nav><{tag}><p>{long}</p><div class=cookie-notice>{long}</div><div class='site-footer'>{long}</div><p>{long}</p><p>{long}</p></{name}><div class=related-posts>{long}</div></body>"
+        assert html_text.main_text(page).split("\n\n") == [long.strip()] * 3, tag
+    comments = f"<article><p>{long}</p><div class=comments>{'<p>' + long + '</p>' * 9}</div></article>"
+    assert html_text.main_text(comments) == long.strip()
+
+
+def test_main_text_about_copyright_and_in_other_languages():
+    law = "The copyright of the letters that he wrote in the last years of his life is with the heirs of the house, as it was in the will. " * 2
+    assert html_text.main_text(f"<body><p>{law}</p><p>Copyright by me</p></body>") == law.strip()
+    polish = "Miasto nad rzeką powstało przed wieloma wiekami, kiedy kupcy szukali drogi przez lasy oraz miejsca na targ. " * 2
+    page = f"<body><div><a href=x>{polish}</a></div><p>{polish}</p><p>{polish[:90]}</p></body>"
+    assert html_text.main_text(page).split("\n\n") == [polish.strip(), polish[:90].strip()]
+
+
+def test_main_text_after_a_long_attribute():
+    assert html_text.main_text(f"<article><p data-x='{'a>b ' * 3000}'>Text</p></article>") == "Text"
