@@ -1,28 +1,31 @@
-"""Exact top-k search by inner product with paged M-trees.
+"""Exact top-k search by inner product with a paged M-tree.
 
 Vectors become points of a metric space in which the nearest point has the
 largest inner product: x gets one more coordinate, sqrt(M - |x|^2) with M the
 largest squared norm, queries get 0, so that
 d(q, x)^2 = |q|^2 + M - 2 q.x.
 
-Index: pivots of a bounded sample own the rows nearest to them; a pivot's rows
-(split by hash where they are many) are a subtree, with its pivot and covering
-radius in the root. A subtree holds pages of at most PAGE entries; a page
-stores its pivot, its radius, its distance to the subtree's pivot and its
-entries' distances to its own pivot. Every row is indexed.
-
-Search, best first: a query descends into the subtree of its nearest pivot,
-which gives the bound of its k-th best score, and then into those subtrees
-alone whose ball can hold a better one. Within a subtree pages wait in a heap
-by their least possible distance, first judged by stored distances and the
-triangle inequality and only then by a computed one; the same goes for the
-entries of an opened page. Scores are exact integers.
+Index, from the root down: top nodes around pivots of a bounded sample; below
+each of them subtrees around pivots sampled from its rows; below these, pages
+of at most PAGE entries. Nodes store their pivot and covering radius, pages and
+entries also their distance to the pivot above. A node keeps its size as the
+table grows, only the number of nodes follows it. Every row is indexed.
+
+Search, best first: a query descends to the subtree of its nearest pivot, which
+gives the bound of its k-th best score, and then into those subtrees alone
+whose ball, and whose parent's ball, can hold a better one. Pages go only to
+the blocks of queries that were sent to their subtree. Within a subtree pages
+wait in a heap by their least possible distance, first judged by stored
+distances and the triangle inequality and only then by a computed one; the same
+goes for the entries of an opened page. Scores are exact integers.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+from dataclasses import dataclass, field
+from operator import mul
 
 import numpy as np
 import pyarrow as pa
@@ -32,212 +35,373 @@ from pyspark.sql.window import Window
 
 from graphloom.llm.batches import map_batches
 from graphloom.llm.vectors import by_dimension
-from graphloom.plans import save
+from graphloom.plans import running_total, save
 
-PAGE, SUBTREE, MOST_PIVOTS, QUERY_BLOCK = 128, 4096, 4096, 2048
-#: Page distances that a search computes together.
+PAGE, SUBTREE, MOST_TOPS, QUERY_BLOCK = 128, 4096, 512, 2048
+#: Rows of a top node that one task deals to its subtrees.
+DEALT = 65_536
+#: Page distances that a search computes together, and pages it opens together at most.
 AT_ONCE = 32
-_PAGES = "dims int, tree long, page int, pivot binary, radius double, parent double, n int, ids binary, points binary, apart binary"
+#: Components from here on are kept as they are, in a tree of their own, and multiplied as Python integers.
+WIDE = 2.0**23
+_PAGES = "kind int, top int, sub int, piece int, page int, head binary, pivot binary, radius double, parent double, ids binary, points binary, apart binary"
+_LONG = (1 << 63) - 1
+
+
+@dataclass
+class Space:
+    """One kind of points: a dimension (kind // 2), narrow (even) or wide (odd); wide ones are measured in units of 2**shift."""
+
+    kind: int
+    shift: int
+    most: float
+    scale: float
+    tops: list[bytes] = field(default_factory=list)
+    radius: dict[int, float] = field(default_factory=dict)
+
+    def points(self, found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(points in units of the space, their extra coordinate)."""
+        x = measured(found, self.kind, self.shift, self.scale)
+        return x, np.sqrt(np.maximum(self.most - (x * x).sum(axis=1), 0.0))
+
+
+def measured(points: list[bytes], kind: int, shift: int, scale: float) -> np.ndarray:
+    if not kind % 2:
+        return np.frombuffer(b"".join(points), "<i4").reshape(-1, kind // 2).astype(np.float64)
+    x = np.frombuffer(b"".join(points), "<f8").reshape(-1, kind // 2)
+    small = np.abs(x) < 2.0**900
+    return np.where(small, np.ldexp(np.floor(scale * np.where(small, x, 0.0)), -shift), np.ldexp(x, math.frexp(scale)[1] - 1 - shift) * (scale / 2.0 ** (math.frexp(scale)[1] - 1)))
+
+
+def integers(point: bytes, kind: int, scale: float) -> list[int]:
+    if not kind % 2:
+        return np.frombuffer(point, "<i4").tolist()
+    top, below = scale.as_integer_ratio()
+    return [math.floor(scale * x) if abs(x) < 2.0**900 else int(x) * top // below for x in np.frombuffer(point, "<f8").tolist()]
+
+
+def key_of(score: int) -> str:
+    """Text that sorts as the scores do, whatever their size."""
+    h = f"{abs(score):x}"
+    return f"p{len(h):04d}{h}" if score >= 0 else f"n{9999 - len(h):04d}" + "".join(f"{15 - int(c, 16):x}" for c in h)
+
+
+def score_of(key: str) -> int:
+    return int(key[5:], 16) if key[0] == "p" else -int("".join(f"{15 - int(c, 16):x}" for c in key[5:]), 16)
+
+
+def _in_units(score: int, shift: int) -> float:
+    over = max(0, score.bit_length() - 900)
+    try:
+        return math.ldexp(float(score >> over), over - shift)
+    except OverflowError:
+        return math.inf if score > 0 else -math.inf
 
 
 def _points(vectors: DataFrame, scale: float) -> DataFrame:
-    """id, dims, point (int64 parts, floor(scale * x)) and norm (squared) of the vectors that take part."""
+    """id, kind, point, norm (squared, of narrow points) and expo of the vectors that take part."""
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch | None:
             out = []
             for rows, x in by_dimension(batch.column(1)):
-                v = np.floor(scale * x)
-                fine = (np.abs(v) < 2.0**31).all(axis=1)
-                if not fine.all():
-                    raise ValueError("components beyond 32 bits after scaling")
-                out.append(pa.record_batch([batch.column(0).take(pa.array(rows)), pa.array(np.full(len(v), v.shape[1], np.int32)), pa.array([p.tobytes() for p in v.astype("<i8")], pa.binary()), pa.array((v * v).sum(axis=1))], ["id", "dims", "point", "norm"]))
+                wide = (np.abs(x) >= WIDE / scale).any(axis=1)
+                v = np.floor(scale * np.where(wide[:, None], 0.0, x))
+                data = [x[i].astype("<f8").tobytes() if w else v[i].astype("<i4").tobytes() for i, w in enumerate(wide.tolist())]
+                expo = np.frexp(np.abs(x).max(axis=1))[1] + math.frexp(scale)[1]
+                columns = [batch.column(0).take(pa.array(rows)), pa.array((2 * x.shape[1] + wide).astype(np.int32)), pa.array(data, pa.binary()), pa.array((v * v).sum(axis=1)), pa.array(np.where(wide, expo, 0).astype(np.int32))]
+                out.append(pa.record_batch(columns, ["id", "kind", "point", "norm", "expo"]))
             return pa.Table.from_batches(out).combine_chunks().to_batches()[0] if out else None
 
         return each
 
-    return map_batches(vectors, make, "id long, dims int, point binary, norm double")
+    return map_batches(vectors, make, "id long, kind int, point binary, norm double, expo int")
 
 
-def _lifted(points: list[bytes], dims: int, most: float) -> tuple[np.ndarray, np.ndarray]:
-    """(points as float64, their extra coordinate)."""
-    x = np.frombuffer(b"".join(points), dtype="<i8").reshape(-1, dims).astype(np.float64)
-    return x, np.sqrt(np.maximum(most - (x * x).sum(axis=1), 0.0))
-
-
-def _between(x: np.ndarray, ex: np.ndarray, y: np.ndarray, ey: np.ndarray) -> np.ndarray:
+def between(x: np.ndarray, ex: np.ndarray, y: np.ndarray, ey: np.ndarray) -> np.ndarray:
     """Distances of all x from all y."""
     d = (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T + (ex[:, None] - ey[None, :]) ** 2
     return np.sqrt(np.maximum(d, 0.0))
 
 
-def _pages(pivots: dict, most: dict):
-    """Bulk load of one subtree: rows go to the nearest of evenly spread page pivots, long pages are cut."""
+class Query:
+    """A query's point in its own units, and how far a score lies away in a space."""
+
+    def __init__(self, kind: int, point: bytes, expo: int, scale: float) -> None:
+        self.shift = expo if kind % 2 else 0
+        self.x = measured([point], kind, self.shift, scale)
+        self.norm = float((self.x * self.x).sum())
+
+    def base(self, space: Space) -> float:
+        return self.norm + space.most
+
+    def slack(self, space: Space) -> float:
+        return 1e-6 * math.sqrt(self.base(space)) + (0.0 if space.kind % 2 or self.shift else 1e-6)
+
+    def far(self, score: int, space: Space) -> float:
+        return math.sqrt(max(self.base(space) - 2 * _in_units(score, self.shift + space.shift), 0.0)) + self.slack(space)
+
+    def from_all(self, y: np.ndarray, ey: np.ndarray) -> np.ndarray:
+        return between(self.x, np.zeros(1), y, ey)[0]
+
+
+def _home_top(spaces: dict[int, Space]):
+    def make():
+        lifted = {k: s.points(s.tops) for k, s in spaces.items()}
+
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+            kinds, points = batch["kind"].to_numpy(), batch["point"].to_pylist()
+            top, apart = np.zeros(len(kinds), dtype=np.int32), np.zeros(len(kinds))
+            for k in np.unique(kinds):
+                at = np.flatnonzero(kinds == k)
+                gap = between(*spaces[k].points([points[i] for i in at]), *lifted[k])
+                top[at], apart[at] = gap.argmin(axis=1), gap.min(axis=1)
+            return pa.record_batch([batch["id"], batch["kind"], batch["point"], pa.array(top), pa.array(apart)], ["id", "kind", "point", "top", "apart"])
+
+        return each
+
+    return make
+
+
+def _home_sub(spaces: dict[int, Space]):
+    """Rows of a top node to the nearest of its subtrees."""
+
+    def each(rows: pa.Table, nodes: pa.Table) -> pa.Table:
+        if not len(rows):
+            return pa.table({"id": pa.array([], pa.int64()), "kind": pa.array([], pa.int32()), "top": pa.array([], pa.int32()), "sub": pa.array([], pa.int32()), "point": pa.array([], pa.binary()), "apart": pa.array([], pa.float64())})
+        space = spaces[rows["kind"][0].as_py()]
+        pivots = space.points(nodes["pivots"][0].as_py())
+        points, sub, apart = rows["point"].to_pylist(), [], []
+        for begin in range(0, len(points), 4096):
+            gap = between(*space.points(points[begin : begin + 4096]), *pivots)
+            sub.append(gap.argmin(axis=1))
+            apart.append(gap.min(axis=1))
+        return pa.table({"id": rows["id"], "kind": rows["kind"], "top": rows["top"], "sub": pa.array(np.concatenate(sub).astype(np.int32)), "point": rows["point"], "apart": pa.array(np.concatenate(apart))})
+
+    return each
+
+
+def _pages(spaces: dict[int, Space], page: int):
+    """Bulk load of a piece of a subtree: rows go to the nearest of evenly spread page pivots, long pages are cut."""
 
     def each(key: tuple, group: pa.Table) -> pa.Table:
-        dims, tree = key[0].as_py(), key[1].as_py()
+        kind = key[0].as_py()
+        space, width = spaces[kind], np.dtype("<f8" if kind % 2 else "<i4")
         ids = group["id"].to_numpy()
         order = np.argsort(ids, kind="stable")
         ids, points = ids[order], group["point"].combine_chunks().take(pa.array(order)).to_pylist()
-        x, ex = _lifted(points, dims, most[dims])
-        top, etop = _lifted([pivots[dims][tree % MOST_PIVOTS]], dims, most[dims])
-        heads = np.linspace(0, len(ids) - 1, -(-len(ids) // (PAGE // 2)), dtype=int)
-        home = np.argmin(_between(x, ex, x[heads], ex[heads]), axis=1)
+        x, ex = space.points(points)
+        heads = np.linspace(0, len(ids) - 1, -(-len(ids) // (page // 2)), dtype=int)
+        home = np.argmin(between(x, ex, x[heads], ex[heads]), axis=1)
+        whole = np.frombuffer(b"".join(points), width).reshape(len(points), -1)
         rows = []
         for h in range(len(heads)):
             mine = np.flatnonzero(home == h)
-            for begin in range(0, len(mine), PAGE):
-                at = mine[begin : begin + PAGE]
-                pivot = at[0]
-                apart = _between(x[pivot : pivot + 1], ex[pivot : pivot + 1], x[at], ex[at])[0]
-                parent = float(_between(x[pivot : pivot + 1], ex[pivot : pivot + 1], top, etop)[0, 0])
-                rows.append((dims, tree, len(rows), points[pivot], float(apart.max()), parent, len(at), ids[at].astype("<i8").tobytes(), b"".join(points[i] for i in at), apart.astype("<f8").tobytes()))
-        types = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.float64(), pa.float64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+            for begin in range(0, len(mine), page):
+                at = mine[begin : begin + page]
+                apart = between(x[at[:1]], ex[at[:1]], x[at], ex[at])[0]
+                parent = float(between(x[at[:1]], ex[at[:1]], x[:1], ex[:1])[0, 0])
+                rows.append((*(k.as_py() for k in key), len(rows), points[0], points[at[0]], float(apart.max()), parent, ids[at].astype("<i8").tobytes(), whole[at].tobytes(), apart.astype("<f8").tobytes()))
+        types = [pa.int32()] * 5 + [pa.binary()] * 2 + [pa.float64()] * 2 + [pa.binary()] * 3
         return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[x.split()[0] for x in _PAGES.split(", ")])
 
     return each
 
 
-def _search(k: int, pivots: dict, most: dict):
-    """Best-first search of a block of queries in one subtree."""
+def _search(k: int, spaces: dict[int, Space], scale: float):
+    """Best-first search of a block of queries in one piece of a subtree."""
 
     def each(queries: pa.Table, pages: pa.Table) -> pa.Table:
         out: list[tuple[int, int, int]] = []
         if len(queries) and len(pages):
-            dims, tree = pages["dims"][0].as_py(), pages["tree"][0].as_py()
-            top, etop = _lifted([pivots[dims][tree % MOST_PIVOTS]], dims, most[dims])
-            heads, eheads = _lifted(pages["pivot"].to_pylist(), dims, most[dims])
+            kind = pages["kind"][0].as_py()
+            space, width = spaces[kind], np.dtype("<f8" if kind % 2 else "<i4")
+            top, etop = space.points(pages["head"].slice(0, 1).to_pylist())
+            heads, eheads = space.points(pages["pivot"].to_pylist())
             radius, parent = pages["radius"].to_numpy(), pages["parent"].to_numpy()
-            ids = [np.frombuffer(b, "<i8") for b in pages["ids"].to_pylist()]
-            whole = [np.frombuffer(b, "<i8").reshape(-1, dims) for b in pages["points"].to_pylist()]
-            exact = most[dims] * 4 < 2.0**53  # then sums of products of doubles are exact integers
-            points = [p.astype(np.float64) for p in whole] if exact else whole
-            apart = [np.frombuffer(b, "<f8") for b in pages["apart"].to_pylist()]
-            for query_id, point, floor in zip(queries["id"].to_pylist(), queries["point"].to_pylist(), queries["floor"].to_pylist(), strict=True):
-                q = np.frombuffer(point, "<i8")
-                qf = q.astype(np.float64)
-                base = float(qf @ qf) + most[dims]
-                slack = 1e-6 * math.sqrt(base) + 1e-6
-                flat = np.zeros(1)
-                far = lambda score: math.sqrt(max(base - 2 * score, 0.0)) + slack
-                from_top = float(_between(qf[None], flat, top, etop)[0, 0])
+            ids, raw, apart = (np.frombuffer(b"".join(pages[c].to_pylist()), t) for c, t in (("ids", "<i8"), ("points", width), ("apart", "<f8")))
+            raw = raw.reshape(-1, kind // 2)
+            sizes = np.array([len(b) // 8 for b in pages["ids"].to_pylist()])
+            ends = np.cumsum(sizes)
+            doubles, longs = raw.astype(np.float64), None if kind % 2 else raw.astype(np.int64)
+            for query_id, q_kind, point, expo, floor in zip(*(queries[c].to_pylist() for c in ("id", "q_kind", "point", "expo", "floor")), strict=True):
+                query = Query(q_kind, point, expo, scale)
+                narrow = not (q_kind % 2 or kind % 2)
+                exact = narrow and query.norm * space.most < 2.0**105  # every sum of products is an exact double
+                q = query.x[0] if exact else np.frombuffer(point, "<i4").astype(np.int64) if narrow else integers(point, q_kind, scale)
+                from_top = float(query.from_all(top, etop)[0])
                 best: list[tuple[int, int]] = []  # heap of (score, -id), the worst first
-                limit = far(floor) if floor is not None else math.inf
-                waiting = [(float(b), i, -1.0) for i, b in enumerate(np.abs(from_top - parent) - radius)]
+                limit = query.far(score_of(floor), space) if floor is not None else math.inf
+                slack = query.slack(space)
+                waiting = [(float(b), i, -1.0) for i, b in enumerate(np.abs(from_top - parent) - radius - slack)]
                 heapq.heapify(waiting)
+                at_once = 1  # the best page alone sets a bound; the further, the more are opened together
                 while waiting and waiting[0][0] <= limit:
                     if waiting[0][2] < 0:  # pages known by stored distances only: compute theirs, some at a time
                         some = []
                         while waiting and waiting[0][2] < 0 and waiting[0][0] <= limit and len(some) < AT_ONCE:
                             some.append(heapq.heappop(waiting)[1])
-                        gaps = _between(qf[None], flat, heads[some], eheads[some])[0]
+                        gaps = query.from_all(heads[some], eheads[some])
                         for i, d in zip(some, gaps.tolist(), strict=True):
                             if d - radius[i] <= limit:
                                 heapq.heappush(waiting, (d - float(radius[i]), i, d))
                         continue
-                    _, i, d = heapq.heappop(waiting)
-                    at = np.flatnonzero(np.abs(d - apart[i]) <= limit) if limit < math.inf else np.arange(len(apart[i]))
+                    opened, gaps = [], []
+                    while waiting and waiting[0][2] >= 0 and waiting[0][0] <= limit and len(opened) < at_once:
+                        _, i, d = heapq.heappop(waiting)
+                        opened.append(i)
+                        gaps.append(d)
+                    at_once = min(AT_ONCE, 2 * at_once)
+                    n = sizes[opened]
+                    at = np.repeat(ends[opened] - np.cumsum(n), n) + np.arange(n.sum())
+                    at = at[(np.abs(np.repeat(gaps, n) - apart[at]) <= limit) & (ids[at] != query_id)]
                     if not len(at):
                         continue
-                    scores = points[i][at] @ (qf if exact else q)
-                    if len(best) == k:
-                        good = scores >= best[0][0]
-                        scores, at = scores[good], at[good]
-                    for score, other in zip(scores.tolist(), ids[i][at].tolist(), strict=True):
+                    if narrow:
+                        scores = (doubles if exact else longs)[at] @ q
+                        if len(best) == k:
+                            good = scores >= best[0][0]
+                            scores, at = scores[good], at[good]
+                        if len(scores) > 2 * k:
+                            good = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
+                            scores, at = scores[good], at[good]
+                        scores = scores.tolist()
+                    else:
+                        scores = [sum(map(mul, q, integers(raw[j].tobytes(), kind, scale))) for j in at.tolist()]
+                    for score, other in zip(scores, ids[at].tolist(), strict=True):
                         item = (int(score), -other)
-                        if other != query_id and (len(best) < k or item > best[0]):
+                        if len(best) < k or item > best[0]:
                             (heapq.heappush if len(best) < k else heapq.heapreplace)(best, item)
                     if len(best) == k:
-                        limit = min(limit, far(best[0][0]))
+                        limit = min(limit, query.far(best[0][0], space))
                 out += [(query_id, -other, score) for score, other in best]
-        columns = zip(*out, strict=True) if out else ((), (), ())
-        return pa.table([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
+        a, b, scores = zip(*out, strict=True) if out else ((), (), ())
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([max(-_LONG - 1, min(_LONG, s)) for s in scores], pa.int64()), pa.array(list(map(key_of, scores)), pa.string())], names=["query_id", "vec_id", "score", "key"])
+
+    return each
+
+
+def _route_tops(spaces: dict[int, Space], scale: float, first: bool):
+    """Queries to top nodes: the nearest one, or all whose ball may hold a score of at least the floor."""
+    asked = ["id", "q_kind", "point", "expo", "block", "floor"]
+
+    def make():
+        lifted = {k: s.points(s.tops) for k, s in spaces.items()}
+
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+            rows, kinds, tops = [], [], []
+            for i, (q_kind, point, expo, floor) in enumerate(zip(*(batch[c].to_pylist() for c in ("q_kind", "point", "expo", "floor")), strict=True)):
+                query = Query(q_kind, point, expo, scale)
+                for kind in (q_kind // 2 * 2, q_kind // 2 * 2 + 1):
+                    if kind not in spaces:
+                        continue
+                    space, gap = spaces[kind], query.from_all(*lifted[kind])
+                    if first:
+                        found = [int(gap.argmin())]
+                    else:
+                        radius = np.array([space.radius.get(t, -math.inf) for t in range(len(gap))])
+                        limit = math.inf if floor is None else query.far(score_of(floor), space)
+                        found = np.flatnonzero((radius > -math.inf) & (gap - radius <= limit)).tolist()
+                    rows += [i] * len(found)
+                    kinds += [kind] * len(found)
+                    tops += found
+                    if first:
+                        break
+            return pa.record_batch([*(batch[c].take(pa.array(rows, pa.int64())) for c in asked), pa.array(kinds, pa.int32()), pa.array(tops, pa.int32())], [*asked, "kind", "top"]) if rows else None
+
+        return each
+
+    return make
+
+
+def _route_subs(spaces: dict[int, Space], scale: float, first: bool):
+    """Queries at a top node to pieces of its subtrees: of the nearest one, or of all whose ball may hold a score of at least the floor."""
+
+    def each(queries: pa.Table, roots: pa.Table) -> pa.Table:
+        rows, subs, pieces = [], [], []
+        if len(queries) and len(roots):
+            space = spaces[roots["kind"][0].as_py()]
+            lifted, radius = space.points(roots["pivot"].to_pylist()), roots["radius"].to_numpy()
+            sub, n = roots["sub"].to_numpy(), roots["pieces"].to_pylist()
+            for i, (q_kind, point, expo, floor) in enumerate(zip(*(queries[c].to_pylist() for c in ("q_kind", "point", "expo", "floor")), strict=True)):
+                query = Query(q_kind, point, expo, scale)
+                gap = query.from_all(*lifted)
+                limit = math.inf if floor is None else query.far(score_of(floor), space)
+                for s in [int(gap.argmin())] if first else np.flatnonzero(gap - radius <= limit).tolist():
+                    rows += [i] * n[s]
+                    subs += [int(sub[s])] * n[s]
+                    pieces += range(n[s])
+        kept = queries.take(pa.array(rows, pa.int64()))
+        return kept.append_column("sub", pa.array(subs, pa.int32())).append_column("piece", pa.array(pieces, pa.int32()))
 
     return each
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query_id").orderBy(F.desc("key"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float = 256.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float = 256.0, id_col: str = "vec_id", vector_col: str = "embedding", page: int = PAGE, subtree: int = SUBTREE, query_block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k largest inner products over all rows of other ids.
 
     Parts become floor(scale * x) in double. Vectors that are null, empty or
     hold null or non-finite parts and rows without an id take no part; only
     vectors of the query's dimension are candidates; of rows that repeat an id
     the first in byte order counts. Ties go to the smaller id. Fewer than k
-    candidates give fewer rows; no queries or no rows give none.
+    candidates give fewer rows; no queries or no rows give none. Finite parts
+    of any size take part and ranks follow the exact scores; a score beyond the
+    range of a long is shown as the end of that range.
     """
     spark = vectors.sparkSession
     narrow = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector")).where("id is not null")
-    one = lambda df: _points(narrow(df), scale).groupBy("id").agg(F.min(F.struct("dims", "point", "norm")).alias("x")).select("id", "x.*")
+    one = lambda df: _points(narrow(df), scale).groupBy("id").agg(F.min(F.struct("kind", "point", "norm", "expo")).alias("x")).select("id", "x.*")
     items, asked = save(one(vectors), "points"), save(one(queries), "queries")
-    stats = {r["dims"]: (r["n"], r["most"]) for r in items.groupBy("dims").agg(F.count(F.lit(1)).alias("n"), F.max("norm").alias("most")).collect()}
-    most = {d: float(m) + 1.0 for d, (_, m) in stats.items()}
-    pivots = {}
-    for dims, (n, _) in stats.items():
-        sample = items.where(F.col("dims") == dims).orderBy(F.xxhash64("id"), "id").limit(min(MOST_PIVOTS, -(-n // SUBTREE)))
-        pivots[dims] = [r["point"] for r in sample.select("point").collect()]
-
-    def nearest():
-        lifted = {d: _lifted(p, d, most[d]) for d, p in pivots.items()}
-
-        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            dims, points = batch["dims"].to_numpy(), batch["point"].to_pylist()
-            tree, apart = np.zeros(len(dims), dtype=np.int64), np.zeros(len(dims))
-            for d in np.unique(dims):
-                at = np.flatnonzero(dims == d)
-                gap = _between(*_lifted([points[i] for i in at], int(d), most[int(d)]), *lifted[int(d)])
-                tree[at], apart[at] = gap.argmin(axis=1), gap.min(axis=1)
-            return pa.record_batch([*batch.columns, pa.array(tree), pa.array(apart)], [*batch.schema.names, "tree", "apart"])
-
-        return each
-
-    homed = save(map_batches(items, nearest, "id long, dims int, point binary, norm double, tree long, apart double"), "homed")
-    root = {(r["dims"], r["tree"]): (r["n"], r["radius"]) for r in homed.groupBy("dims", "tree").agg(F.count(F.lit(1)).alias("n"), F.max("apart").alias("radius")).collect()}  # a row a pivot
-    size = {d: max(SUBTREE, 2 * n // MOST_PIVOTS) for d, (n, _) in stats.items()}
-    splits = {key: -(-n // size[key[0]]) for key, (n, _) in root.items()}
-    pieces = spark.createDataFrame([(d, t, s) for (d, t), s in splits.items()], "dims int, tree long, pieces int")
-    split = homed.join(F.broadcast(pieces), ["dims", "tree"]).withColumn("tree", F.col("tree") + MOST_PIVOTS * F.pmod(F.xxhash64("id"), F.col("pieces")))
-    pages = save(split.groupBy("dims", "tree").applyInArrow(_pages(pivots, most), _PAGES), "pages")
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-
-    def route(first: bool):
-        """First: to the nearest pivot's subtrees; then: to all others whose ball may hold a score of at least the floor."""
-
-        def make():
-            lifted = {d: _lifted(p, d, most[d]) for d, p in pivots.items()}
-
-            def each(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-                rows, trees = [], []
-                for i, (dims, point, floor) in enumerate(zip(batch["dims"].to_pylist(), batch["point"].to_pylist(), batch["floor"].to_pylist(), strict=True)):
-                    if dims not in lifted:
-                        continue
-                    q = np.frombuffer(point, "<i8").astype(np.float64)
-                    gap = _between(q[None], np.zeros(1), *lifted[dims])[0]
-                    home = int(min((t for t in range(len(gap)) if (dims, t) in root), key=lambda t: gap[t]))
-                    base = float(q @ q) + most[dims]
-                    limit = math.inf if floor is None else math.sqrt(max(base - 2 * floor, 0.0)) + 1e-6 * math.sqrt(base) + 1e-6
-                    for t in range(len(gap)):
-                        if (dims, t) in root and (t == home) == first and (first or gap[t] - root[dims, t][1] <= limit):
-                            trees += [t + MOST_PIVOTS * s for s in range(splits[dims, t])]
-                            rows += [i] * splits[dims, t]
-                return pa.record_batch([*(c.take(pa.array(rows, pa.int64())) for c in batch.columns), pa.array(trees, pa.int64())], [*batch.schema.names, "tree"]) if rows else None
-
-            return each
-
-        return make
-
-    def visit(asked: DataFrame, first: bool) -> DataFrame:
-        sent = map_batches(asked.select("id", "dims", "point", "block", "floor"), route(first), "id long, dims int, point binary, block int, floor long, tree long")
-        copies = pages.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        key = ["dims", "tree", "block"]
-        return sent.groupBy(*key).cogroup(copies.groupBy(*key)).applyInArrow(_search(k, pivots, most), "query_id long, vec_id long, score long")
-
-    home = save(_ranked(visit(asked.withColumn("floor", F.lit(None).cast("long")), True), k).drop("rank"), "home")
-    floors = home.groupBy(F.col("query_id").alias("id")).agg(F.when(F.count(F.lit(1)) == k, F.min("score")).alias("floor"))
-    rest = visit(asked.join(floors, "id", "left"), False)
+    spaces, tops = {}, []
+    for r in items.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.max("norm").alias("norm"), F.max("expo").alias("expo")).collect():  # a row a kind
+        kind, wide = r["kind"], r["kind"] % 2
+        sample = items.where(F.col("kind") == kind).orderBy(F.xxhash64("id"), "id").limit(min(MOST_TOPS, -(-r["n"] // (8 * subtree)))).select("point").collect()
+        spaces[kind] = Space(kind, r["expo"], float(kind // 2) + 1.0 if wide else r["norm"] + 1.0, scale, [x["point"] for x in sample])
+        tops += [(kind, t, p) for t, p in enumerate(spaces[kind].tops)]
+    homed = save(map_batches(items.select("id", "kind", "point"), _home_top(spaces), "id long, kind int, point binary, top int, apart double"), "homed")
+    shares = []
+    for r in homed.groupBy("kind", "top").agg(F.count(F.lit(1)).alias("n"), F.max("apart").alias("radius")).collect():  # a row a top node
+        spaces[r["kind"]].radius[r["top"]] = r["radius"]
+        shares.append((r["kind"], r["top"], -(-r["n"] // max(subtree, DEALT))))
+    pieces = F.broadcast(spark.createDataFrame(shares, "kind int, top int, shares int"))  # at most MOST_TOPS rows a kind
+    at = ["kind", "top"]
+    sampled = homed.where(F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(subtree)) == 0).select("kind", "top", "point")
+    nodes = sampled.unionByName(spark.createDataFrame(tops, "kind int, top int, point binary")).groupBy(*at).agg(F.sort_array(F.collect_set("point")).alias("pivots"))
+    nodes = save(nodes, "nodes")
+    rows = homed.join(pieces, at).withColumn("share", F.pmod(F.xxhash64("id"), F.col("shares")).cast("int")).select("id", *at, "share", "point")
+    copies = nodes.join(pieces, at).withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+    dealt = rows.groupBy(*at, "share").cogroup(copies.groupBy(*at, "share")).applyInArrow(_home_sub(spaces), "id long, kind int, top int, sub int, point binary, apart double")
+    dealt = save(dealt, "dealt")
+    sizes = dealt.groupBy(*at, "sub").agg(F.max("apart").alias("radius"), F.ceil(F.count(F.lit(1)) / subtree).cast("int").alias("pieces"))
+    roots = save(nodes.select(*at, F.posexplode("pivots").alias("sub", "pivot")).join(sizes, [*at, "sub"]), "roots")
+    split = dealt.join(roots.select(*at, "sub", "pieces"), [*at, "sub"]).withColumn("piece", F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int"))
+    pages = save(split.select("id", *at, "sub", "piece", "point").groupBy(*at, "sub", "piece").applyInArrow(_pages(spaces, page), _PAGES), "pages")
+
+    def routed(asked: DataFrame, first: bool) -> DataFrame:
+        sent = save(map_batches(asked.select("id", "q_kind", "point", "expo", "block", "floor"), _route_tops(spaces, scale, first), "id long, q_kind int, point binary, expo int, block int, floor string, kind int, top int"), "sent")
+        needed = roots.join(sent.select(*at, F.col("block").alias("b")).distinct(), at).withColumnRenamed("b", "block")
+        schema = "id long, q_kind int, point binary, expo int, block int, floor string, kind int, top int, sub int, piece int"
+        return save(sent.groupBy(*at, "block").cogroup(needed.groupBy(*at, "block")).applyInArrow(_route_subs(spaces, scale, first), schema), "routed")
+
+    def visit(sent: DataFrame) -> DataFrame:
+        key = [*at, "sub", "piece", "block"]
+        needed = pages.join(sent.select(*key[:4], F.col("block").alias("b")).distinct(), key[:4]).withColumnRenamed("b", "block")
+        return sent.groupBy(*key).cogroup(needed.groupBy(*key)).applyInArrow(_search(k, spaces, scale), "query_id long, vec_id long, score long, key string")
+
+    blocks = F.pmod(F.xxhash64("id"), F.lit(max(1, -(-asked.count() // query_block)))).cast("int")
+    asked = asked.withColumnRenamed("kind", "q_kind").drop("norm")
+    nearest = routed(asked.withColumns({"block": blocks, "floor": F.lit(None).cast("string")}), True)
+    home = save(_ranked(visit(nearest), k).drop("rank"), "home")
+    floors = home.groupBy(F.col("query_id").alias("id")).agg(F.when(F.count(F.lit(1)) == k, F.min("key")).alias("floor"))
+    # then blocks of queries that live side by side, so that a block is sent to few subtrees
+    seen = nearest.select("id", *at, "sub").distinct()
+    lined = running_total(seen.withColumn("g", F.lit(0)), ["g"], [*map(F.col, [*at, "sub", "id"])], F.lit(1).cast("long"), "place")
+    lined = lined.select("id", F.floor(F.col("place") / query_block).cast("int").alias("block"))
+    others = routed(asked.join(lined, "id").join(floors, "id", "left"), False).join(seen, ["id", *at, "sub"], "left_anti")
+    rest = visit(others)
     return _ranked(home.unionByName(rest), k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

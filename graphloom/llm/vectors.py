@@ -4,36 +4,24 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 
-def matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, values) of the vectors of a list column that are neither null nor empty nor hold null or non-finite parts.
+def by_dimension(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(rows, values) for every dimension of a list column: the numbers of the rows and one float64 matrix.
 
-    rows: their numbers; values: one float64 matrix, of the dimension that the
-    first such vector has; vectors of another dimension are left to the caller
-    by a second call on the rest (see ``by_dimension``).
+    Vectors that are null or empty, or hold null or non-finite parts, are left out.
     """
-    rows, found = [], []
-    for i, x in enumerate(column.to_pylist()):
-        if x and None not in x:
-            rows.append(i)
-            found.append(x)
-    if not rows:
-        return np.zeros(0, dtype=np.int64), np.zeros((0, 0))
-    width = len(found[0])
-    same = [(i, x) for i, x in zip(rows, found, strict=True) if len(x) == width]
-    values = np.array([x for _, x in same], dtype=np.float64)
-    good = np.isfinite(values).all(axis=1)
-    return np.array([i for i, _ in same], dtype=np.int64)[good], values[good]
-
-
-def by_dimension(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
-    """``matrix`` for every dimension that the column holds."""
-    lengths = np.array([-1 if x is None else len(x) for x in column.to_pylist()])
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = column.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)  # null parts become NaN
+    start = np.cumsum(lengths) - lengths
     out = []
     for width in np.unique(lengths[lengths > 0]):
         at = np.flatnonzero(lengths == width)
-        rows, values = matrix(column.take(pa.array(at)))
-        if len(rows):
-            out.append((at[rows], values))
+        x = flat[start[at][:, None] + np.arange(width)]
+        good = np.isfinite(x).all(axis=1)
+        if good.any():
+            out.append((at[good], x[good]))
     return out

@@ -1,9 +1,12 @@
 """Every operator against brute force on a fixture with nulls, empty and long texts, ties, repeated rows and clashing names."""
 
 import hashlib
+import math
+import operator
 import string
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import corpus_pipeline
 import numpy as np
@@ -263,18 +266,16 @@ def vectors():
         near = np.array(rows[3 if i < 230 else i - 230][1]) + rng.standard_normal(16) * 0.1
         rows.append((i, near.tolist(), 1))
     rows += [(300, None, 0), (301, [0.0] * 16, 0), (302, [1.0] * 15 + [None], 0), (303, [1.0] * 15 + [float("nan")], 0), (304, [1.0] * 15 + [float("inf")], 0), (305, [1.0, 2.0], 0), (306, [2.0, 4.0], 0), (307, rows[0][1], 0), (308, [], 0), (None, rows[0][1], 0)]
+    one = np.array(rows[1][1])
+    rows += [(310 + i, (one * f).tolist(), 0) for i, f in enumerate((1e200, -1e200, 1e-200, 3e-200, 1e308 / np.abs(one).max(), 1e8, 5e-324 / np.abs(one).max()))]
     return rows
 
 
 @pytest.mark.parametrize("tile", [8192, 40])
-def test_embedding_dedup(spark, monkeypatch, tile):
-    from graphloom.llm import embedding_dedup as module
-
-    monkeypatch.setattr(module, "TILE", tile)
-    monkeypatch.setattr(module, "SQUARE", 32)
+def test_embedding_dedup(spark, tile):
     rows = vectors()
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, id int")
-    good = {i: np.array(v) for i, v, _ in rows if i is not None and v and None not in v and np.isfinite(v).all() and np.any(v)}
+    good = {i: np.ldexp(v, -int(np.frexp(np.abs(v).max())[1])) for i, v, _ in rows if i is not None and v and None not in v and np.isfinite(v).all() and np.any(v)}
     ids = sorted(good)
     near = {i: [j for j in ids if j != i and len(good[i]) == len(good[j]) and good[i] @ good[j] >= 0.9 * np.linalg.norm(good[i]) * np.linalg.norm(good[j])] for i in ids}
     root = {}
@@ -287,24 +288,20 @@ def test_embedding_dedup(spark, monkeypatch, tile):
                     root[x] = i
                     todo += near[x]
     want = Counter((i, len(near.get(i, [])), root.get(i, i), root.get(i, i) == i if i is not None else True) for i, _, _ in rows)
-    assert Counter(map(tuple, embedding_dedup(df).collect())) == want
+    assert Counter(map(tuple, embedding_dedup(df, block_dims=4, tile=tile).collect())) == want
     assert embedding_dedup(df.limit(0)).count() == 0
 
 
 @pytest.mark.parametrize("subtree", [4096, 20])
-def test_exact_topk(spark, monkeypatch, subtree):
-    from graphloom.llm import topk
-
-    monkeypatch.setattr(topk, "SUBTREE", subtree)
-    monkeypatch.setattr(topk, "PAGE", 16)
+def test_exact_topk(spark, subtree):
     rows = vectors()
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score int")
-    good = {i: np.floor(256 * np.array(v)).astype(np.int64) for i, v, _ in rows if i is not None and v and None not in v and np.isfinite(v).all()}
+    good = {i: [math.floor(256 * Fraction(x)) for x in v] for i, v, _ in rows if i is not None and v and None not in v and np.isfinite(v).all()}
     want = set()
     for q in (i for i in good if i % 5 == 0):
-        found = sorted((-int(good[q] @ x), i) for i, x in good.items() if i != q and len(x) == len(good[q]))[:5]
-        want |= {(q, k + 1, i, -s) for k, (s, i) in enumerate(found)}
-    out = exact_topk(df, df.where("vec_id % 5 = 0"))
+        found = sorted((-sum(map(operator.mul, good[q], x)), i) for i, x in good.items() if i != q and len(x) == len(good[q]))[:5]
+        want |= {(q, k + 1, i, max(-(2**63), min(2**63 - 1, -s))) for k, (s, i) in enumerate(found)}
+    out = exact_topk(df, df.where("vec_id % 5 = 0"), page=16, subtree=subtree, query_block=16)
     assert {tuple(r) for r in out.collect()} == want
     assert exact_topk(df.limit(0), df.limit(0)).count() == 0 and exact_topk(df, df.limit(0)).count() == 0
 
