@@ -1,47 +1,63 @@
 """Toxicity scores from character n-grams scaled by naive Bayes log-count ratios.
 
-1. Every labelled text counts, once a document, its hashed character n-grams
-   by class; counts are added up in each task, so what is shuffled and reaches
-   the driver are tables of fixed size, whatever the corpus.
-2. r = log(P(feature | 1) / P(feature | 0)), with one added to each count. The
-   ``n_features`` features of the highest chi-squared statistic take part.
-3. A logistic regression with an L2 penalty, on presence scaled by r, is fitted
-   by Newton steps on at most ``max_fit_docs`` labelled documents.
+1. Every labelled text that is not held out counts, once a document, its hashed
+   character n-grams by class; counts are added up in each task and then in two
+   steps, so what is shuffled are tables of fixed size, whatever the corpus. Of
+   the corpus only texts whose id passes a Bloom filter of the labels (of at
+   most BLOOM_BITS bits) are shuffled to meet their label.
+2. r = log(P(feature | 1) / P(feature | 0)), with one added to each count. All
+   features take part; each is scaled by r, and its penalty falls with its
+   chi-squared statistic, so that ratios of a few documents weigh little.
+3. A logistic regression with an L2 penalty, on presence so scaled, is fitted by
+   dual coordinate descent on at most ``max_fit_docs`` labelled documents, which
+   one task holds.
 4. All texts are scored in one pass without a shuffle.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from graphloom.llm.batches import bounded, map_batches, without
+from graphloom.plans import save
 
 ORDERS = (3, 4, 5)
 BUCKETS = 1 << 18
+#: Parts of the table of counts, each added up on its own.
+PARTS = 16
+#: Bits of the filter of labelled ids, at most (16 MB); with more labels it lets more texts through, but loses none.
+BLOOM_BITS = 1 << 27
+#: Rounds of the descent at most, and the part of the dual step below which it ends.
+ROUNDS, SETTLED = 12, 1e-2
+#: Chi-squared statistic at which a feature has the plain penalty.
+USUAL = 10.0
 #: Characters hashed at a time; a longer text goes in overlapping pieces.
 PIECE = 1 << 20
-_PRIME = np.uint64(0x9E3779B97F4A7C15)
+_PRIME, _LAST = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
 
 
 def _hashed(text: str) -> Iterator[np.ndarray]:
     """Buckets of the text's n-grams, with repeats: lower case, white space runs as one space, a space at both ends."""
-    points = np.frombuffer(f" {' '.join(text.lower().split())} ".encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+    points = np.frombuffer(f" {' '.join(text.lower().split())} ".encode("utf-32-le", "surrogatepass"), dtype="<u4")
     for begin in range(0, max(1, len(points) - ORDERS[-1] + 1), PIECE):
         piece = points[begin : begin + PIECE + ORDERS[-1] - 1]
-        h = np.zeros(len(piece), dtype=np.uint64)
+        h = np.zeros(len(piece), dtype=np.uint32)
         for n in range(1, ORDERS[-1] + 1):
             if len(piece) < n:
                 break
             h = (h[: len(piece) - n + 1] + piece[n - 1 :]) * _PRIME
             if n in ORDERS:
-                yield ((h ^ (h >> np.uint64(29))) * _PRIME >> np.uint64(64 - 18)).astype(np.int32)
+                yield ((h ^ (h >> np.uint32(15))) * _LAST >> np.uint32(32 - 18)).astype(np.int32)
 
 
 class _Present:
@@ -50,19 +66,13 @@ class _Present:
     def __init__(self) -> None:
         self.mark = np.zeros(BUCKETS, dtype=bool)
 
-    def of(self, text: str, among: np.ndarray | None = None) -> np.ndarray:
-        """``among``: only buckets that are true there."""
+    def of(self, text: str) -> np.ndarray:
         found = []
         for h in _hashed(text):
-            if among is not None:
-                h = h[among[h]]
             self.mark[h] = True
             found.append(h)
         at = np.concatenate(found) if found else np.zeros(0, np.int32)
-        if len(at) > BUCKETS // 4:
-            at = np.flatnonzero(self.mark)
-        else:
-            at = np.unique(at) if among is not None else self._first(at)
+        at = np.flatnonzero(self.mark) if len(at) > BUCKETS // 4 else self._first(at)
         self.mark[at] = False
         return at
 
@@ -94,91 +104,140 @@ def held_out(id_col: str | Column, folds: int = 5) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == 0, F.lit(True))
 
 
-def _class_counts(labelled: DataFrame) -> np.ndarray:
-    """(2, BUCKETS) documents of each class that hold a feature; labelled: y, text."""
-    parts = 16
-    width = BUCKETS // parts
+def _maybe_labelled(docs: DataFrame, y: DataFrame, n: int) -> DataFrame:
+    """Rows of ``docs`` (id, text) whose id may be one of the n ids of ``y``: a Bloom filter of one hash, sent as rows of 4 KB."""
+    cell = 8 * 4096
+    cells = min(BLOOM_BITS, max(1 << 20, 1 << (32 * n).bit_length())) // cell
+    h = F.pmod(F.xxhash64("id"), F.lit(cells * cell))
+    bits = y.select(h.alias("h")).groupBy(F.floor(F.col("h") / cell).cast("int").alias("cell")).agg(F.bitmap_construct_agg(F.col("h") % cell).alias("bits"))
+    at = h % cell
+    byte = F.conv(F.hex(F.substring(F.col("bits"), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    set_ = F.expr("shiftright(byte, bit) & 1 = 1")
+    placed = docs.withColumn("cell", F.floor(h / cell).cast("int")).join(F.broadcast(bits), "cell")
+    return placed.withColumns({"byte": byte, "bit": (at % 8).cast("int")}).where(set_).select("id", "text")
+
+
+def _counted(labelled: DataFrame) -> DataFrame:
+    """One pass over y, text, chosen, id: rows of counts (part, task, n) and rows of features (id, y, features) of the chosen ids."""
+    width = BUCKETS // PARTS
+    names = ["part", "task", "n", "id", "y", "features"]
+    schema = f"part int, task int, n binary, id {labelled.schema['id'].dataType.simpleString()}, y int, features binary"
+    id_type = to_arrow_type(labelled.schema["id"].dataType)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, n = _Present(), np.zeros((2, BUCKETS), dtype=np.uint32)
+        seen, n, chosen = _Present(), np.zeros((2, BUCKETS), dtype=np.uint32), {}
         for batch in batches:
-            for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                n[y, seen.of(text or "")] += 1
-        for part in range(parts if n.any() else 0):
-            yield pa.record_batch([pa.array([part], pa.int32()), pa.array([n[:, part * width : (part + 1) * width].tobytes()], pa.binary())], ["part", "n"])
+            for y, text, fit, name in zip(*(batch[c].to_pylist() for c in ("y", "text", "chosen", "id")), strict=True):
+                at = seen.of(text or "")
+                n[y, at] += 1
+                if fit:  # of rows that repeat an id one takes part, the same whatever their order
+                    data = np.sort(at).astype("<i4").tobytes()
+                    chosen[name] = (y, min(data, chosen[name][1]) if name in chosen else data)
+        task = TaskContext.get().partitionId() % 64
+        for part in range(PARTS if n.any() else 0):
+            yield pa.record_batch([pa.array([part], pa.int32()), pa.array([task], pa.int32()), pa.array([n[:, part * width : (part + 1) * width].tobytes()], pa.binary()), pa.nulls(1, id_type), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary())], names)
+        for name, (y, data) in chosen.items():
+            yield pa.record_batch([pa.nulls(1, pa.int32()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), pa.array([name], id_type), pa.array([y], pa.int32()), pa.array([data], pa.binary())], names)
+
+    bounded(labelled.sparkSession)
+    return save(labelled.mapInArrow(count, schema), "toxicity-counts")
+
+
+def _class_counts(counted: DataFrame) -> np.ndarray:
+    """(2, BUCKETS) documents of each class that hold a feature."""
+    width = BUCKETS // PARTS
 
     def add(key: tuple, rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(2 * width, dtype=np.int64)
         for batch in rows:
             for x in batch["n"].to_pylist():
-                total += np.frombuffer(x, dtype=np.uint32)
+                total += np.frombuffer(x, dtype=np.uint32 if len(x) == 8 * width else np.int64)
         yield pa.record_batch([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["part", "n"])
 
-    bounded(labelled.sparkSession)
     out = np.zeros((2, BUCKETS), dtype=np.int64)
-    for row in labelled.mapInArrow(count, "part int, n binary").groupBy("part").applyInArrow(add, "part int, n binary").collect():  # of fixed size
+    some = counted.where("part is not null").select("part", "task", "n").groupBy("part", "task").applyInArrow(add, "part int, n binary")
+    for row in some.groupBy("part").applyInArrow(add, "part int, n binary").collect():  # of fixed size
         out[:, row["part"] * width : (row["part"] + 1) * width] = np.frombuffer(row["n"], dtype=np.int64).reshape(2, width)
     return out
 
 
-def _newton(x: np.ndarray, y: np.ndarray, penalty: float) -> np.ndarray:
-    """Weights of the logistic regression, the bias last and without a penalty."""
-    x = np.hstack([x, np.ones((len(x), 1), dtype=x.dtype)])
-    w, ridge = np.zeros(x.shape[1]), np.full(x.shape[1], penalty)
-    ridge[-1] = 1e-6
-    for _ in range(25):
-        p = 1.0 / (1.0 + np.exp(-np.clip(x @ w, -30, 30)))
-        curve = np.maximum(p * (1 - p), 1e-6)
-        step = np.linalg.solve((x.T * curve.astype(x.dtype)) @ x + np.diag(ridge), x.T @ (p - y) + ridge * w)
-        w -= step * min(1.0, 5.0 / max(1e-12, np.abs(step).max()))
-        if np.abs(step).max() < 1e-4:
+def descend(features: list[np.ndarray], y: np.ndarray, scale: np.ndarray, penalty: float, weight: np.ndarray) -> tuple[np.ndarray, float]:
+    """(weights of presence, bias) that minimise sum(weight * log loss) + penalty / 2 * |w|^2 for features scaled by ``scale``.
+
+    Dual coordinate descent: a document's dual variable a in (0, weight) solves
+    sign * z + q * (a - old) + log(a / (weight - a)) = 0, found by bisection
+    between bounds that bracket it. The bias is a feature of value 10.
+    """
+    sign, square = 2.0 * y - 1.0, scale * scale
+    a = 1e-3 * weight
+    w, bias = np.zeros(len(scale)), 0.0  # w: of presence, the scaling applied
+    size = np.array([square[f].sum() for f in features]) / penalty + 100.0 / penalty
+    for f, s, x in zip(features, sign.tolist(), a.tolist(), strict=True):
+        w[f] += s * x / penalty * square[f]
+        bias += s * x / penalty * 100.0
+    order = np.random.default_rng(0)
+    for _ in range(ROUNDS):
+        moved = 0.0
+        for i in order.permutation(len(features)).tolist():
+            f, s, q, c, old = features[i], float(sign[i]), float(size[i]), float(weight[i]), float(a[i])
+            margin = s * (float(w[f].sum()) + bias)
+            low, high = 0.0, c
+            for _ in range(40):
+                middle = (low + high) / 2
+                if margin + q * (middle - old) + math.log(max(middle, 1e-300) / max(c - middle, 1e-300)) > 0:
+                    high = middle
+                else:
+                    low = middle
+            step = (low + high) / 2 - old
+            if abs(step) > 1e-9 * c:
+                a[i] = old + step
+                w[f] += s * step / penalty * square[f]
+                bias += s * step / penalty * 100.0
+                moved = max(moved, abs(step) / c)
+        if moved < SETTLED:
             break
-    return w
+    return w, bias
 
 
-def fit(docs: DataFrame, labels: DataFrame, n_features: int = 512, max_fit_docs: int = 10_000, penalty: float = 1.0, folds: int = 5, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_fit_docs: int = 5_000, penalty: float = 10.0, folds: int = 5, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Learn from the labelled rows that are not held out.
 
     Counts of features cover all of these rows; the regression takes the
-    ``max_fit_docs`` ids of the lowest hash. Null labels or ids are left out; of
-    several labels of one id the largest counts. Without labels the score is
-    0.5, with one class only it is that class.
+    ``max_fit_docs`` ids of the lowest hash, of rows that repeat an id one. Null
+    labels or ids are left out; of several labels of one id the largest counts;
+    columns of other names are not read. Without labels the score is 0.5, with
+    one class only it is that class.
     """
     y = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col, folds))
-    y = y.groupBy(F.col(id_col).alias("_id")).agg(F.max(F.when(F.col(label_col) > 0, 1).otherwise(0)).alias("_y"))
-    n = {r["_y"]: r["count"] for r in y.groupBy("_y").count().collect()}
+    y = save(y.groupBy(F.col(id_col).alias("id")).agg(F.max(F.when(F.col(label_col) > 0, 1).otherwise(0)).alias("y")), "labels")
+    n = {r["y"]: r["count"] for r in y.groupBy("y").count().collect()}
     if len(n) < 2:
         return Model(np.zeros(BUCKETS), 0.0, 0.5 if not n else float(next(iter(n))))
-    text = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    counts = _class_counts(text.join(y.hint("merge"), "_id").select("_y", "_text"))  # one plan, however many labels there are
+    few = y.orderBy(F.xxhash64("id"), "id").limit(max_fit_docs).select("id", F.lit(True).alias("chosen"))  # the bound of this broadcast
+    marked = y.join(F.broadcast(few), "id", "left")
+    text = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    counted = _counted(_maybe_labelled(text, y, sum(n.values())).join(marked.hint("merge"), "id").select("id", "y", "chosen", "text"))
+    counts = _class_counts(counted)
     total = np.array([[n[0]], [n[1]]], dtype=np.float64)
     p = (counts + 1.0) / (total + 2.0)
     ratio = np.log(p[1] / p[0])
     pooled = (counts.sum(0) + 1.0) / (total.sum() + 2.0)
-    chi = (p[1] - p[0]) ** 2 / (pooled * (1 - pooled))
-    chosen = np.sort(np.argsort(-chi, kind="stable")[:n_features])
-    chosen = chosen[counts[:, chosen].sum(0) > 0]
-    slot = np.full(BUCKETS, -1, dtype=np.int32)
-    slot[chosen] = np.arange(len(chosen), dtype=np.int32)
+    chi = (p[1] - p[0]) ** 2 / (pooled * (1 - pooled)) * (n[0] * n[1] / (n[0] + n[1]))
+    scale = ratio * np.sqrt(chi / USUAL)
+    of_class = (1.0, math.sqrt(n[0] / n[1]) if n[0] > n[1] else 1.0)
 
-    def features():
-        seen = _Present()
-
-        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            rows = [slot[seen.of(x or "", slot >= 0)].astype("<i2").tobytes() for x in batch.column(1).to_pylist()]
-            return pa.record_batch([batch.column(0), pa.array(rows, pa.binary())], ["y", "features"])
-
-        return each
+    def learn(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict = {}
+        for batch in rows:
+            for name, label, data in zip(*(batch[c].to_pylist() for c in ("id", "y", "features")), strict=True):
+                best[name] = (label, min(data, best[name][1]) if name in best else data)
+        target = np.array([best[i][0] for i in sorted(best)], dtype=np.float64)
+        w, bias = descend([np.frombuffer(best[i][1], "<i4") for i in sorted(best)], target, scale, penalty, np.where(target > 0, of_class[1], of_class[0]))
+        yield pa.record_batch([pa.array([w.tobytes()], pa.binary()), pa.array([bias])], ["w", "bias"])
 
-    few = y.orderBy(F.xxhash64("_id"), "_id").limit(max_fit_docs)  # the bound of this broadcast
-    rows = map_batches(text.join(F.broadcast(few), "_id").select("_y", "_text"), features, "y int, features binary").limit(max_fit_docs).collect()
-    x, target = np.zeros((len(rows), len(chosen)), dtype=np.float32), np.array([r["y"] for r in rows], dtype=np.float64)
-    for i, r in enumerate(rows):
-        x[i, np.frombuffer(r["features"], dtype="<i2")] = 1
-    w = _newton(x * ratio[chosen].astype(np.float32), target, penalty) if len(rows) else np.zeros(len(chosen) + 1)
-    weights = np.zeros(BUCKETS)
-    weights[chosen] = w[:-1] * ratio[chosen]
-    return Model(weights, float(w[-1]))
+    chosen = counted.where("features is not null").select("id", "y", "features").coalesce(1)  # at most max_fit_docs rows for each task that counted
+    row = chosen.mapInArrow(learn, "w binary, bias double").first()
+    return Model(np.frombuffer(row["w"]), row["bias"]) if row else Model(np.zeros(BUCKETS), 0.0, n[1] / (n[0] + n[1]))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -192,10 +251,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def make():
         model, seen = weights.value, _Present()
-        among = model.weights != 0
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            s = np.array([model.score(seen.of(x or "", among)) for x in batch.column(at).to_pylist()], dtype=np.float64)
+            s = np.array([model.score(seen.of(x or "")) for x in batch.column(at).to_pylist()], dtype=np.float64)
             return pa.record_batch([*batch.columns, pa.array(s), pa.array((s >= 0.5).astype(np.int32))], [*batch.schema.names, "score", "predicted"])
 
         return each
