@@ -52,3 +52,18 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     """``df`` without columns that would clash with an operator's results, whatever their case."""
     taken = {x.lower() for x in names}
     return df.select(*(F.col(f"`{c}`") for c in df.columns if c.lower() not in taken))
+
+
+def row_hashes(df: DataFrame) -> list[Column]:
+    """Two 64-bit hashes of all columns, which name a row up to rows that are equal."""
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    return [F.xxhash64(*columns).alias("row"), F.xxhash64(F.lit(1), *columns).alias("row2")]
+
+
+def whole_rows(df: DataFrame) -> DataFrame:
+    """(row, row2, doc): each distinct row once as a struct, so that no column name of its own is in the way."""
+    return df.select(*row_hashes(df), F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("doc")).dropDuplicates(["row", "row2"])
+
+
+def of_doc(df: DataFrame, columns: list[str]) -> list[Column]:
+    return [F.col("doc").getField(c).alias(c) for c in columns]

@@ -1,34 +1,28 @@
-"""Byte-level BPE ids with the tokenizers library, a word at a time.
-
-The pattern that splits text before the merges never lets a token cross a
-space that stands before a non-space, so such pieces can be encoded once and
-looked up afterwards. A text with other white space after a space, or with
-something that might be an added token, goes to the library whole.
+"""Ids of a tokenizer file with the tokenizers library, a word at a time where that is the same.
+
+The pattern of the byte-level pre-tokenizer never lets a token cross a space
+that stands before a non-space, so pieces between such spaces can be split and
+encoded by the library once and looked up afterwards. A text with other white
+space after a space, or with something that might be an added token, goes to
+the library whole; so does every text where the file has a normaliser, another
+pre-tokenizer or another model.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
 
 import numpy as np
-import regex
 
 #: Pieces that a worker remembers before it starts anew.
 MOST_PIECES = 900_000
 
-_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Control characters that Python, but not the library, may count as white space.
 _ODD = re.compile(r"[\x1c-\x1f\x85]")
-_WORKERS: dict[tuple, ByteBpe] = {}
-
-
-def _byte_letters() -> dict[int, str]:
-    """The letter that byte-level vocabularies write for each byte: printable ones as they are, the others from U+0100 on."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    other = [b for b in range(256) if b not in plain]
-    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(other)}
+_WORKERS: dict[tuple, Encoder] = {}
 
 
 class _Whole(Exception):
@@ -38,7 +32,7 @@ class _Whole(Exception):
 class _Pieces(dict):
     """Ids of the pieces seen so far; a new one is encoded when it is asked for."""
 
-    def __init__(self, bpe: ByteBpe) -> None:
+    def __init__(self, bpe: Encoder) -> None:
         super().__init__()
         self.bpe, self.parts = bpe, {}
 
@@ -49,18 +43,23 @@ class _Pieces(dict):
         return found
 
     def encode(self, piece: str) -> bytes:
-        return b"".join([self.parts.get(x) or self.part(x) for x in _SPLIT.findall(piece)])
+        return b"".join([self.parts.get(x) or self.part(x) for x, _ in self.bpe.split(piece)])
 
     def part(self, part: str) -> bytes:
-        if part.isascii() and part.lstrip(" ").isalpha():
-            written = part.replace(" ", self.bpe.letters[32])
-        else:
-            written = part.encode().decode("latin-1").translate(self.bpe.letters)
-        found = self.parts[part] = array(self.bpe.code, [x.id for x in self.bpe.model.tokenize(written)]).tobytes()
+        found = self.parts[part] = array(self.bpe.code, [x.id for x in self.bpe.model.tokenize(part)]).tobytes()
         return found
 
 
-class ByteBpe:
+def by_pieces(path: str) -> bool:
+    """Whether the file is a byte-level BPE whose texts may be cut at spaces before they are encoded."""
+    with open(path, encoding="utf-8") as file:
+        made = json.load(file)
+    before, model = made.get("pre_tokenizer") or {}, made.get("model") or {}
+    plain = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+    return plain and made.get("normalizer") is None and model.get("type") == "BPE" and not model.get("dropout") and not model.get("ignore_merges")
+
+
+class Encoder:
     """Encoder of one worker process; ``encode`` returns little-endian ids of ``dtype``."""
 
     def __init__(self, path: str, special_as_text: bool = False) -> None:
@@ -69,7 +68,8 @@ class ByteBpe:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = special_as_text
-        self.model, self.letters = self.tokenizer.model, _byte_letters()
+        self.model, self.cut = self.tokenizer.model, by_pieces(path)
+        self.split = self.tokenizer.pre_tokenizer.pre_tokenize_str if self.cut else None
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.added = [] if special_as_text else [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
@@ -79,7 +79,7 @@ class ByteBpe:
         if len(self.pieces) + len(self.pieces.parts) > MOST_PIECES:
             self.pieces = _Pieces(self)
         try:
-            if any(x in text for x in self.added):
+            if not self.cut or any(x in text for x in self.added):
                 raise _Whole
             first, *words = text.split(" ")
             if _ODD.search(first) or first[-1:].isspace() and not words:
@@ -89,9 +89,9 @@ class ByteBpe:
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
 
-def encoder(path: str, special_as_text: bool = False) -> ByteBpe:
+def encoder(path: str, special_as_text: bool = False) -> Encoder:
     """This worker's encoder for a vocabulary file; made once a process."""
     key = (path, special_as_text)
     if key not in _WORKERS:
-        _WORKERS[key] = ByteBpe(path, special_as_text)
+        _WORKERS[key] = Encoder(path, special_as_text)
     return _WORKERS[key]

@@ -17,10 +17,10 @@ def encode(values: np.ndarray) -> dict:
     """Parts of the code: n, low_bits, and the bytes of low, high and samples."""
     v = np.ascontiguousarray(values, dtype=np.uint64)
     n = len(v)
-    width = max(0, (int(v[-1] + np.uint64(1)) // n).bit_length() - 1) if n else 0
+    width = max(0, ((int(v[-1]) + 1) // n).bit_length() - 1) if n else 0
     low = v & np.uint64((1 << width) - 1)
     bits = ((low[:, None] >> np.arange(width, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8)
-    ones = (v >> np.uint64(width)).astype(np.int64) + np.arange(n)
+    ones = (v >> np.uint64(width)).astype(np.int64) + np.arange(n) if width < 64 else np.arange(n)
     high = np.zeros(int(ones[-1]) + 1 if n else 0, dtype=bool)
     high[ones] = True
     return {"n": n, "low_bits": width, "low": np.packbits(bits.reshape(-1), bitorder="little").tobytes(), "high": np.packbits(high, bitorder="little").tobytes(), "samples": ones[::SAMPLE].astype("<u4" if n == 0 or ones[-1] < 1 << 32 else "<u8").tobytes(), "wide": bool(n and ones[-1] >= 1 << 32)}
@@ -38,7 +38,7 @@ class Reader:
         return self.n
 
     def range(self, start: int, stop: int) -> np.ndarray:
-        """Values number start to stop - 1."""
+        """Values number start to stop - 1; those from 2**63 on come out negative."""
         stop = min(stop, self.n)
         if start >= stop:
             return np.zeros(0, dtype=np.int64)

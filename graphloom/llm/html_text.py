@@ -31,8 +31,10 @@ STOP_WORDS = frozenset(
     """.split()
 )
 BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split())
-SKIPPED_TAGS = frozenset("nav footer aside form head menu dialog button select figcaption".split())
+SKIPPED_TAGS = frozenset("nav footer aside form head menu dialog button select".split())
 RAW_TAGS = frozenset("script style textarea noscript template iframe svg math object audio video canvas noembed noframes title".split())
+#: Those that hold text or nothing to the end of the page if they are not closed; the others are then passed over.
+TO_THE_END = frozenset("script style textarea title iframe noembed noframes".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: Names in class, id or role that mark what is not part of an article, alone or with each other and with PLACES.
 NOISE = frozenset(
@@ -121,7 +123,7 @@ def blocks_of(html: str) -> tuple[list[_Block], list[int]]:
         if tag in RAW_TAGS:
             if not close and not attributes.endswith("/>"):  # what it holds is no markup: on to its own end tag, or to the end of the page
                 end = _RAW_ENDS[tag].search(html, at)
-                at = end.start() if end else len(html)
+                at = end.start() if end else len(html) if tag in TO_THE_END else at
             continue
         if tag == "a":
             links = 0 if close else 1
@@ -253,7 +255,8 @@ def html_text(pages: DataFrame, html_col: str = "html") -> DataFrame:
     Whole pages are read, whatever their length; null and empty pages and pages
     without an article give "". Character references are decoded, white space
     within a block becomes one space, blocks are joined by two \n in page
-    order. Other columns pass through, those named text or n_chars are
+    order. A script, style or title that is not closed takes the rest of the
+    page with it, as in browsers; other elements that are not closed do not. Other columns pass through, those named text or n_chars are
     replaced; repeated rows stay; an empty table gives an empty table.
     """
     kept = without(pages, *{"text", "n_chars"} - {html_col})

@@ -105,7 +105,7 @@ def _probe(min_docs: int):
                 often = {(a, b) for a, b, n in np.frombuffer(row["clashes"], dtype="<u8").reshape(-1, 3).tolist() if n >= min_docs}
                 clash = np.flatnonzero(np.isin(h1, np.frombuffer(row["clashes"], dtype="<u8")[::3]))
                 hit[clash] = [(int(h1[i]), int(h2[i])) in often for i in clash]
-        return probes.filter(pa.array(hit)).select(["doc", "h1", "h2"])
+        return probes.filter(pa.array(hit)).select(["doc", "print", "h1", "h2"])
 
     return each
 
@@ -123,7 +123,7 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col:
     """
     spark = docs.sparkSession
     kept = without(docs, "n_lines", "n_dropped")
-    narrow = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
+    narrow = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("print"))
     counts = save(_counts(narrow, min_chars), "line-counts")
     distinct, total = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     shards = min(max(shuffle_partitions(spark), math.ceil(distinct / SHARD_KEYS)), MOST_SHARDS)
@@ -147,21 +147,23 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col:
             shard = _shard(h[:, 0], shards)
             copy = ((row + turn) % n_copies[shard]).astype(np.int32)
             turn += len(found)
-            return pa.record_batch([pa.array(shard), pa.array(copy), batch.column(0).take(pa.array(row)), pa.array(h[:, 0].view(np.int64)), pa.array(h[:, 1].view(np.int64))], ["shard", "copy", "doc", "h1", "h2"])
+            return pa.record_batch([pa.array(shard), pa.array(copy), batch["doc"].take(pa.array(row)), batch["print"].take(pa.array(row)), pa.array(h[:, 0].view(np.int64)), pa.array(h[:, 1].view(np.int64))], ["shard", "copy", "doc", "print", "h1", "h2"])
 
         return each
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    probes = map_batches(narrow, make, f"shard int, copy int, doc {id_type}, h1 long, h2 long")
+    probes = map_batches(narrow, make, f"shard int, copy int, doc {id_type}, print long, h1 long, h2 long")
     spread = arrays.withColumn("copy", F.explode(F.sequence(F.lit(0), copies - 1)))
-    hits = probes.groupBy("shard", "copy").cogroup(spread.groupBy("shard", "copy")).applyInArrow(_probe(min_docs), f"doc {id_type}, h1 long, h2 long")
-    by_doc = hits.groupBy("doc").agg(F.collect_set(F.struct("h1", "h2")).alias("_hits")).withColumnRenamed("doc", "_doc")
-    both = kept.join(by_doc, kept[id_col].eqNullSafe(by_doc["_doc"]), "left").drop("_doc")
+    hits = probes.groupBy("shard", "copy").cogroup(spread.groupBy("shard", "copy")).applyInArrow(_probe(min_docs), f"doc {id_type}, print long, h1 long, h2 long")
+    # hits go back to the rows of their id and text, so rows without an id and rows that repeat one stay apart
+    by_doc = hits.groupBy("doc", "print").agg(F.collect_set(F.struct("h1", "h2")).alias("hits"))
+    rows = kept.select(F.struct(*(F.col(f"`{c}`") for c in kept.columns)).alias("row"), F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("print"))
+    both = rows.join(by_doc, (rows["print"] == by_doc["print"]) & rows["doc"].eqNullSafe(by_doc["doc"]), "left").select("row", "hits")
     at = kept.columns.index(text_col)
 
     def rewrite():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            *columns, hits = batch.columns
+            columns, hits = batch.column(0).flatten(), batch.column(1)
             out, n_lines, n_dropped = [], [], []
             for text, hit in zip(as_bytes(columns[at]), hits.to_pylist(), strict=True):
                 lines = text.split(b"\n")
@@ -174,10 +176,10 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col:
                 n_lines.append(n)
                 n_dropped.append(n - len(lines))
             columns[at] = pa.array(out, pa.binary()).cast(columns[at].type)
-            return pa.record_batch([*columns, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], [*batch.schema.names[:-1], "n_lines", "n_dropped"])
+            return pa.record_batch([*columns, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], [*names, "n_lines", "n_dropped"])
 
         return each
 
-    fields = [T.StructField(f.name, f.dataType) for f in kept.schema]
+    names, fields = kept.columns, [T.StructField(f.name, f.dataType) for f in kept.schema]
     schema = T.StructType([*fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
     return map_batches(both, rewrite, schema)

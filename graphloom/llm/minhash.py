@@ -16,11 +16,11 @@ Links need no list of all pairs:
 * classes that share keys, directly or by others, form clusters; a cluster is
   cut into tiles of bounded size, those that share a hub side by side;
 * a task takes one tile, or two that share a key, compares signatures and
-  confirms close pairs on their full shingle sets, the closest first. Pairs
-  whose ends are joined already are passed over, so a group of near copies
-  costs little more than its size, and only a spanning forest comes out;
+  confirms every pair that shares a key on its full shingle sets, the closest
+  first. Pairs whose ends are joined already are passed over, so a group of near
+  copies costs little more than its size, and only a spanning forest comes out;
 * each tile first meets itself and the hub's tile; after that only tiles with
-  a key in different components meet.
+  a key that is still in different components meet.
 """
 
 from __future__ import annotations
@@ -39,8 +39,6 @@ POSITIONS = CHUNKS * SIZE
 THRESHOLD = 2 * CHUNKS - 1
 #: Load of a tile: a document counts 2,000 and its shingles.
 TILE = 1_000_000
-#: Candidates whose signatures differ in more positions are not confirmed: at similarity 0.8 a chance of 1e-9.
-FARTHEST = 38
 _U = np.uint64
 _STEP, _FINAL = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93)
 
@@ -142,15 +140,17 @@ def _compare(percent: int):
         tile = group["tile"].to_numpy()
         signs = np.frombuffer(b"".join(group["signature"].to_pylist()), dtype=np.uint8).reshape(-1, POSITIONS)
         sets = [np.frombuffer(x, "<u8") for x in group["shingles"].to_pylist()]
+        size = np.array([len(x) for x in sets], dtype=np.int64)
         left = np.flatnonzero(tile == t1)
         right = left if t1 == t2 else np.flatnonzero(tile == t2)
         found = []
         for i in left.tolist():
             other = right[right > i] if t1 == t2 else right
-            other = other[comps[other] != comps[i]]
-            apart = np.count_nonzero(signs[other] != signs[i], axis=1)
-            near = apart <= FARTHEST
-            found.append(np.stack([apart[near], np.full(int(near.sum()), i), other[near]], axis=1))
+            fits = (100 * size[other] >= percent * size[i]) & (100 * size[i] >= percent * size[other])
+            other = other[(comps[other] != comps[i]) & fits]
+            apart = (signs[other] != signs[i]).reshape(-1, CHUNKS, SIZE).sum(axis=2, dtype=np.uint8)
+            near = (apart <= 1).any(axis=1)  # what sharing a key means
+            found.append(np.stack([apart[near].sum(axis=1, dtype=np.int64), np.full(int(near.sum()), i), other[near]], axis=1))
         pairs = np.concatenate(found) if found else np.zeros((0, 3), dtype=np.int64)
         root: dict[int, int] = {}
 
@@ -241,13 +241,17 @@ def minhash_dedup(docs: DataFrame, shingle_words: int = 5, percent: int = 80, id
     large = tiles.where("tile > 1").select("cluster").distinct()
     inside = tiles.join(large, "cluster", "left_semi").join(comps, "id")
     at = shared.join(inside, "id").select("cluster", "tile", "comp", F.explode("keys").alias("key"))
-    met = save(at.groupBy("key", "cluster", "tile").agg(F.min("comp").alias("least"), F.max("comp").alias("most")), "met")
+    met = at.groupBy("key", "cluster", "tile").agg(F.min("comp").alias("least"), F.max("comp").alias("most"))
+    met = save(met, "met")
+    open_ = met.groupBy("key").agg(F.min("least").alias("a"), F.max("most").alias("b")).where("a <> b").select(F.col("key").alias("k"))
+    met = save(met.join(open_, F.col("key") == F.col("k"), "left_semi"), "met")  # keys whose documents are all joined go before tiles meet
     x, y = met.select("key", "cluster", F.col("tile").alias("t1"), F.col("least").alias("l1"), F.col("most").alias("m1")), met.select("key", F.col("tile").alias("t2"), F.col("least").alias("l2"), F.col("most").alias("m2"))
     rest = save(x.join(y, "key").where("t1 < t2 and t1 > 0 and (l1 <> m2 or l2 <> m1)").select("cluster", "t1", "t2").distinct(), "rest")
     if not rest.isEmpty():
         comps = _merged(comps, links(rest, comps))
-    # classes to components, and those back to every document of a class
-    found = classes.select("print", "id").join(comps, "id", "left").select("print", F.coalesce("comp", "id").alias("component_id"))
-    placed = signed.join(found, "print", "left")
-    component = F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.col("component_id")).otherwise(F.col("id"))
-    return placed.select(F.col("id").alias("doc_id"), "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
+    # classes to components, and those back to every document of a class; documents without shingles or id stand for themselves and meet on no key
+    found = classes.join(comps, "id", "left").select("print", F.coalesce("comp", "id").alias("component_id"))
+    linked = signed.where("n_shingles > 0 and id is not null")
+    alone = signed.where("not (n_shingles > 0 and id is not null)").select("id", "n_shingles", F.col("id").alias("component_id"))
+    placed = linked.join(found, "print").select("id", "n_shingles", "component_id").unionByName(alone)
+    return placed.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.coalesce(F.col("component_id") == F.col("id"), F.lit(True)).alias("kept"))

@@ -15,7 +15,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.batches import bounded, n_words
+from graphloom.llm.batches import bounded, n_words, of_doc, row_hashes, whole_rows
 from graphloom.plans import running_total, save, shuffle_partitions
 
 #: A schedule is a list of (time from 0 to 1, weight), straight between its knots.
@@ -52,20 +52,30 @@ def time_of_demand(schedule: Schedule, share: np.ndarray) -> np.ndarray:
     return np.minimum(t[i] + np.minimum(step, width), 1.0)
 
 
-def targets(sizes: list[tuple[str | None, int]], schedule: Callable[[int, str | None], Schedule], fraction: float = 1.0, most_repeats: int = 3) -> dict:
-    """{source: (target, schedule)}; sources by code point, null last."""
-    order = sorted(sizes, key=lambda x: (x[0] is None, x[0] or ""))
-    plans = {s: schedule(i, s) for i, (s, _) in enumerate(order)}
-    weight, most = {s: mean_weight(p) for s, p in plans.items()}, {s: float(most_repeats) * n for s, n in order}
-    left, open_, found = fraction * sum(n for _, n in order), [s for s, _ in order], {}
-    while open_:
-        shared = sum(weight[s] for s in open_)
-        give = {s: left * weight[s] / shared if shared else 0.0 for s in open_}
-        over = [s for s in open_ if give[s] > most[s]]
-        found |= give if not over else {s: most[s] for s in over}
-        left -= sum(most[s] for s in over)
-        open_ = [s for s in open_ if s in over] and [s for s in open_ if s not in over]
-    return {s: (found[s], plans[s]) for s, _ in order}
+def weighed(sizes: DataFrame, schedule: Callable[[int, str | None], Schedule], fraction: float = 1.0, most_repeats: int = 3) -> DataFrame:
+    """(source, i, total, weight, target) of (source, total); i numbers the sources by code point, null last.
+
+    Targets share ``fraction`` of all sizes by mean weight; those above
+    ``most_repeats`` times their source stop there, and the excess is shared
+    again until none is above. Sources stay rows all along: a round is one sum.
+    """
+    bounded(sizes.sparkSession)
+
+    def weigh(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in rows:
+            yield pdf.assign(weight=[mean_weight(schedule(int(i), None if pd.isna(s) else s)) for i, s in zip(pdf["i"], pdf["source"], strict=True)])
+
+    one = sizes.withColumn("g", F.lit(0))
+    placed = running_total(one, ["g"], [F.col("source").isNull(), F.encode("source", "UTF-8"), F.col("total")], F.lit(1).cast("long"), "i").drop("g")
+    state = save(placed.mapInPandas(weigh, "source string, total long, i long, weight double").withColumn("target", F.lit(None).cast("double")), "sources")
+    while True:
+        most = most_repeats * F.col("total").cast("double")
+        r = state.agg(F.sum("total").alias("all"), F.coalesce(F.sum("target"), F.lit(0.0)).alias("met"), F.coalesce(F.sum(F.when(F.col("target").isNull(), F.col("weight"))), F.lit(0.0)).alias("open")).first()
+        give = F.col("weight") * F.lit((fraction * (r["all"] or 0) - r["met"]) / r["open"] if r["open"] else 0.0)
+        over = F.col("target").isNull() & (give > most)
+        if state.where(over).isEmpty():
+            return save(state.withColumn("target", F.coalesce("target", give)), "targets")
+        state = save(state.withColumn("target", F.when(over, most).otherwise(F.col("target"))), "sources")
 
 
 def extra_by_size(sizes: np.ndarray, n: np.ndarray, share: float) -> np.ndarray:
@@ -80,56 +90,51 @@ def extra_by_size(sizes: np.ndarray, n: np.ndarray, share: float) -> np.ndarray:
     return out
 
 
-def plan(docs: DataFrame, schedule: Callable[[int, str | None], Schedule], fraction: float = 1.0, most_repeats: int = 3, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, dict]:
-    """A narrow row for each row of ``docs``: id, row (hash of all columns), source, size, rank, source_size, target, repeats; and the targets.
+def plan(docs: DataFrame, schedule: Callable[[int, str | None], Schedule], fraction: float = 1.0, most_repeats: int = 3, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """A narrow row for each row of ``docs``: id, row and row2 (hashes of all columns), source, i (its number), size, rank, source_size, target, repeats.
 
     Size is the number of words; null text has none and is never taken. Null
     is a source of its own. (source, size, rank) names a row, so repeated rows
-    keep a row each; a hash of id, row and seed orders rows of one size, so
-    reruns agree. The number of sources must suit the driver.
+    keep a row each; a hash of row and seed orders rows of one size, so reruns
+    agree. An empty table gives an empty one.
     """
-    spark = docs.sparkSession
-    bounded(spark)
-    row = F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))
-    narrow = save(docs.select(F.col(id_col).alias("id"), row.alias("row"), F.col(source_col).alias("source"), n_words(text_col).alias("size")), "sizes")
-    hist = narrow.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"))
-    sources = [(r["source"], r["total"]) for r in narrow.groupBy("source").agg(F.sum("size").alias("total")).collect()]
-    found = targets(sources, schedule, fraction, most_repeats)
-    size_of = dict(sources)
+    bounded(docs.sparkSession)
+    narrow = save(docs.select(F.col(id_col).alias("id"), *row_hashes(docs), F.col(source_col).alias("source"), n_words(text_col).alias("size")), "sizes")
+    hist = save(narrow.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "histogram")
+    of = weighed(hist.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("total")), schedule, fraction, most_repeats)
 
     def extra(pdf: pd.DataFrame) -> pd.DataFrame:
-        source = pdf["source"].iloc[0]
-        source = None if pd.isna(source) else source
-        size, target = size_of[source], found[source][0]
+        size, target = int(pdf["total"].iloc[0]), float(pdf["target"].iloc[0])
         base = min(int(target // size), most_repeats) if size else 0
         share = target / size - base if size and base < most_repeats else 0.0
-        more = extra_by_size(pdf["size"].to_numpy(), pdf["n"].to_numpy(), share)
-        return pd.DataFrame({"s": pdf["source"], "z": pdf["size"], "source_size": size, "target": target, "base": base, "more": more})
+        return pdf.assign(base=base, more=extra_by_size(pdf["size"].to_numpy(), pdf["n"].to_numpy(), share))[["k", "size", "total", "target", "base", "more"]]
 
-    chosen = save(hist.groupBy("source").applyInPandas(extra, "s string, z long, source_size long, target double, base long, more long"), "repeats")
-    ranked = running_total(narrow, ["source", "size"], [F.xxhash64(F.lit(seed), "id", "row"), F.col("id"), F.col("row")], F.lit(1).cast("long"), "rank")
+    each = hist.join(of.withColumnRenamed("source", "s"), hist["source"].eqNullSafe(F.col("s"))).select(F.col("i").alias("k"), "size", "n", "total", "target")
+    chosen = save(each.groupBy("k").applyInPandas(extra, "k long, size long, total long, target double, base long, more long").withColumnRenamed("size", "z"), "repeats")
+    numbered = narrow.join(of.select(F.col("source").alias("s"), "i"), narrow["source"].eqNullSafe(F.col("s"))).drop("s")
+    ranked = running_total(numbered, ["i", "size"], [F.xxhash64(F.lit(seed), "row", "row2"), F.col("row"), F.col("row2")], F.lit(1).cast("long"), "rank")
     repeats = F.col("base") + F.when(F.col("rank") < F.col("more"), 1).otherwise(0)
-    match = [ranked["source"].eqNullSafe(chosen["s"]), ranked["size"] == chosen["z"]]
-    return save(ranked.join(chosen, match).select("id", "row", "source", "size", "rank", "source_size", "target", repeats.alias("repeats")), "plan"), found
+    both = ranked.join(chosen, (ranked["i"] == chosen["k"]) & (ranked["size"] == chosen["z"]))
+    return save(both.select("id", "row", "row2", "source", "i", "size", "rank", F.col("total").alias("source_size"), "target", repeats.alias("repeats")), "plan")
 
 
-def positions(planned: DataFrame, found: dict, seed: int = 0) -> DataFrame:
-    """A row for each copy of a document that has words: id, row, source, size, rank, copy, position (0 to 1)."""
-    copies = planned.where("repeats > 0 and size > 0").select("id", "row", "source", "size", "rank", F.explode(F.sequence(F.lit(1).cast("long"), "repeats")).alias("copy"))
-    taken = {r["source"]: r["n"] for r in copies.groupBy("source").agg(F.sum("size").alias("n")).collect()}
-    order = [F.xxhash64(F.lit(seed + 1), "id", "row", "rank", "copy"), F.col("id"), F.col("row"), F.col("rank"), F.col("copy")]
-    summed = running_total(copies, ["source"], order, F.col("size"), "before")
+def positions(planned: DataFrame, schedule: Callable[[int, str | None], Schedule], seed: int = 0) -> DataFrame:
+    """A row for each copy of a document that has words: id, row, row2, i, size, rank, copy, position (0 to 1)."""
+    copies = planned.where("repeats > 0 and size > 0").select("id", "row", "row2", "source", "i", "size", "rank", F.explode(F.sequence(F.lit(1).cast("long"), "repeats")).alias("copy"))
+    taken = planned.where("repeats > 0").groupBy("i").agg(F.sum(F.col("size") * F.col("repeats")).alias("taken"))
+    order = [F.xxhash64(F.lit(seed + 1), "row", "row2", "rank", "copy"), F.col("row"), F.col("row2"), F.col("rank"), F.col("copy")]
+    summed = running_total(copies, ["i"], order, F.col("size"), "before").join(taken, "i")
 
     @F.pandas_udf(T.DoubleType())
-    def when(source: pd.Series, middle: pd.Series) -> pd.Series:
-        out = np.zeros(len(source))
-        for s in source.unique():
-            mine = source.isna().to_numpy() if pd.isna(s) else (source == s).to_numpy()
-            key = None if pd.isna(s) else s
-            out[mine] = time_of_demand(found[key][1], middle.to_numpy()[mine] / taken[key])
+    def when(i: pd.Series, source: pd.Series, share: pd.Series) -> pd.Series:
+        out = np.zeros(len(i))
+        for k in i.unique():
+            mine = np.flatnonzero((i == k).to_numpy())
+            name = source.iloc[mine[0]]
+            out[mine] = time_of_demand(schedule(int(k), None if pd.isna(name) else name), share.to_numpy()[mine])
         return pd.Series(out)
 
-    return summed.select("id", "row", "source", "size", "rank", "copy", when("source", F.col("before") + F.col("size") / 2).alias("position"))
+    return summed.select("id", "row", "row2", "i", "size", "rank", "copy", when("i", "source", (F.col("before") + F.col("size") / 2) / F.col("taken")).alias("position"))
 
 
 def mix(docs: DataFrame, schedule: Callable[[int, str | None], Schedule], fraction: float = 1.0, most_repeats: int = 3, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -138,10 +143,8 @@ def mix(docs: DataFrame, schedule: Callable[[int, str | None], Schedule], fracti
     Documents without words take part in no mix. An empty table gives an empty
     table. An input column named position is replaced.
     """
-    planned, found = plan(docs, schedule, fraction, most_repeats, seed, id_col, text_col, source_col)
-    at = positions(planned, found, seed).select(F.col("id").alias("_id"), F.col("row").alias("_row"), F.col("position").alias("_position"))
+    at = positions(plan(docs, schedule, fraction, most_repeats, seed, id_col, text_col, source_col), schedule, seed).select("row", "row2", "position")
     columns = [c for c in docs.columns if c.lower() != "position"]
-    text = docs.withColumn("_hash", F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))).dropDuplicates([id_col, "_hash"])
-    both = text.join(at, text[id_col].eqNullSafe(at["_id"]) & (text["_hash"] == at["_row"]))
-    dealt = both.select(*(F.col(f"`{c}`") for c in columns), F.col("_position").alias("position"))
+    both = at.join(whole_rows(docs), ["row", "row2"])
+    dealt = both.select(*of_doc(docs, columns), "position")
     return dealt.repartitionByRange(shuffle_partitions(docs.sparkSession), "position").sortWithinPartitions("position")

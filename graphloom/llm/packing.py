@@ -2,8 +2,11 @@
 
 The histogram of lengths is global and of bounded size: lengths under 4096 are
 exact, longer ones share cells of 1/2048 of their size. A dynamic program over
-its cells finds the bucket ends with the least padding in all; a bucket's
-documents are ranked across partitions and cut into batches of a token budget.
+its cells finds the bucket ends with the least padding in all; ends above 4096
+are the longest lengths of cells, so a bucket may end up to 1/2048 of its length
+away from the very best place, and that is all the padding lost by the cells. A
+bucket's documents are ranked across partitions and cut into batches of a token
+budget.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.batches import map_batches, n_words
+from graphloom.llm.batches import map_batches, n_words, of_doc, row_hashes, whole_rows
 from graphloom.llm.bpe import encoder
 from graphloom.plans import running_total, save
 
@@ -83,9 +86,9 @@ def tokens_for_text(rows: DataFrame, tokenizer: str) -> DataFrame:
 
 
 def pack(docs: DataFrame, buckets: int = 16, budget: int = 16_384, length: Column | None = None, order: Column | None = None, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
-    """A row for each row of ``docs``: id, row, length, bucket, bucket_length, batch, slot.
+    """A row for each row of ``docs``: id, row, row2, length, bucket, bucket_length, batch, slot.
 
-    ``row`` is a hash of all columns that tells rows of one id apart. Each
+    ``row`` and ``row2``, hashes of all columns, tell rows of one id apart. Each
     batch holds up to max(1, budget // bucket_length) documents of one bucket,
     in the order of ``order`` (default: a hash of the row), and only a
     bucket's last batch may be short. A document longer than the budget is a
@@ -94,8 +97,8 @@ def pack(docs: DataFrame, buckets: int = 16, budget: int = 16_384, length: Colum
     else the number of words; null lengths count as 0. Documents of length 0
     fall into the first bucket. An empty table has no rows.
     """
-    row = F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))
-    narrow = [F.col(id_col).alias("id"), row.alias("row"), (order if order is not None else row).alias("ord")]
+    row, row2 = row_hashes(docs)
+    narrow = [F.col(id_col).alias("id"), row, row2, (order if order is not None else row).alias("ord")]
     if length is None and tokenizer:
         rows = save(tokens_for_text(docs.select(*narrow, F.col(text_col).alias("text")), tokenizer), "lengths")  # encoded once, read twice
     else:
@@ -104,13 +107,13 @@ def pack(docs: DataFrame, buckets: int = 16, budget: int = 16_384, length: Colum
     hist = rows.groupBy(cell_of(F.col("length")).alias("cell")).agg(F.max("length").alias("most"), F.count(F.lit(1)).alias("n"), F.sum("length").alias("total")).orderBy("most").collect()  # of bounded size
     ends = bucket_ends(*(np.array([r[c] for r in hist], dtype=np.int64) for c in ("most", "n", "total")), buckets)
     if not ends:
-        return rows.select("id", "row", "length", *(F.lit(0).cast("long").alias(c) for c in ("bucket", "bucket_length", "batch", "slot"))).limit(0)
+        return rows.select("id", "row", "row2", "length", *(F.lit(0).cast("long").alias(c) for c in ("bucket", "bucket_length", "batch", "slot"))).limit(0)
     bucket = sum(((F.col("length") > e).cast("long") for e in ends[:-1]), F.lit(0).cast("long"))
     placed = rows.withColumn("bucket", bucket)
-    ranked = running_total(placed, ["bucket"], [F.col("ord"), F.col("row"), F.col("id")], F.lit(1).cast("long"), "rank")
+    ranked = running_total(placed, ["bucket"], [F.col("ord"), F.col("row"), F.col("row2")], F.lit(1).cast("long"), "rank")
     of = F.element_at(F.array(*(F.lit(e).cast("long") for e in ends)), (F.col("bucket") + 1).cast("int"))
     room = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest(F.lit(1), F.col("bucket_length")))).cast("long")
-    return ranked.withColumn("bucket_length", of).select("id", "row", "length", "bucket", "bucket_length", F.floor(F.col("rank") / room).cast("long").alias("batch"), (F.col("rank") % room).alias("slot"))
+    return ranked.withColumn("bucket_length", of).select("id", "row", "row2", "length", "bucket", "bucket_length", F.floor(F.col("rank") / room).cast("long").alias("batch"), (F.col("rank") % room).alias("slot"))
 
 
 def pack_documents(docs: DataFrame, buckets: int = 16, budget: int = 16_384, length: Column | None = None, order: Column | None = None, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
@@ -119,8 +122,6 @@ def pack_documents(docs: DataFrame, buckets: int = 16, budget: int = 16_384, len
     Columns of ``docs`` with these names are replaced.
     """
     new = ["length", "bucket", "bucket_length", "batch", "slot"]
-    packed = pack(docs, buckets, budget, length, order, id_col, text_col, tokenizer).withColumnsRenamed({"id": "_id", "row": "_place"})
-    text = docs.withColumn("_row", F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))).dropDuplicates([id_col, "_row"])
+    packed = pack(docs, buckets, budget, length, order, id_col, text_col, tokenizer).drop("id")
     kept = [c for c in docs.columns if c.lower() not in new]
-    text = text.select(*(F.col(f"`{c}`") for c in kept), "_row")
-    return text.join(packed, text[id_col].eqNullSafe(packed["_id"]) & (text["_row"] == packed["_place"])).select(*(F.col(f"`{c}`") for c in kept), *new)
+    return packed.join(whole_rows(docs), ["row", "row2"]).select(*of_doc(docs, kept), *new)

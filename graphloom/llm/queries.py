@@ -68,11 +68,9 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    planned, found = mixing.plan(_table(spark, sf_dir, "documents"), CURRICULUM)
-    copies = mixing.positions(planned, found).groupBy("source", "size", "rank").agg(F.sum("size").alias("taken"), F.min("position").alias("first_position"))
-    copies = copies.select(F.col("source").alias("s"), F.col("size").alias("z"), F.col("rank").alias("k"), "taken", "first_position")
-    same = planned["source"].eqNullSafe(copies["s"]) & (planned["size"] == copies["z"]) & (planned["rank"] == copies["k"])
-    return planned.join(copies, same, "left").select(F.col("id").alias("doc_id"), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), "first_position")
+    planned = mixing.plan(_table(spark, sf_dir, "documents"), CURRICULUM)
+    copies = mixing.positions(planned, CURRICULUM).groupBy("i", "size", "rank").agg(F.sum("size").alias("taken"), F.min("position").alias("first_position"))
+    return planned.join(copies, ["i", "size", "rank"], "left").select(F.col("id").alias("doc_id"), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), "first_position")
 
 
 QUERIES |= {"op3_packing": op3_packing, "op4_mixing": op4_mixing}

@@ -1,11 +1,14 @@
 """Token-id files with Elias-Fano document boundaries.
 
 A file is: the ids of its documents one after the other (two or four bytes
-each, little-endian), the document ids, the Elias-Fano code of the documents'
-ends, a JSON footer with the places of these parts, the footer's length in
-eight bytes, and eight magic bytes. Files follow each other in ascending
-document order; each is written by one task under a name of its own attempt,
-and only the manifest says which files count, so tasks can be lost and rerun.
+each, little-endian), the Elias-Fano codes of the documents' ends and of their
+ascending document ids (less the smallest; documents without an id come first
+and are only counted), a JSON footer with the places of these parts, the
+footer's length in eight bytes, and eight magic bytes. Files hold about
+FILE_BYTES of text and follow each other in ascending document order; each is
+written by one task under a name of its own attempt, and only the manifest says
+which files count, so tasks can be lost and rerun. They are read in ranges of
+documents, whose places select finds.
 """
 
 from __future__ import annotations
@@ -29,8 +32,8 @@ from graphloom.plans import fresh_path, save, shuffle_partitions
 
 MAGIC = b"GLTOKEF1"
 END_ID = 2
-#: Ids read from a file at a time.
-READ_IDS = 4 << 20
+#: Text that a file holds, about; documents that a task reads at a time, and ids of a block.
+FILE_BYTES, READ_DOCS, READ_IDS = 256 << 20, 1 << 16, 4 << 20
 
 
 def filesystem(path: str) -> tuple[fs.FileSystem, str]:
@@ -55,10 +58,12 @@ class Writer:
         self.ids.append(doc_id)
 
     def close(self) -> None:
-        code = encode(np.array(self.ends, dtype=np.uint64))
-        null = np.array([x is None for x in self.ids], dtype=bool)
-        parts = {"doc_ids": np.array([x or 0 for x in self.ids], dtype="<i8").tobytes(), "null_ids": np.packbits(null, bitorder="little").tobytes() if null.any() else b"", "low": code["low"], "high": code["high"], "samples": code["samples"]}
-        footer = {"n": code["n"], "low_bits": code["low_bits"], "wide": code["wide"], "dtype": self.dtype.str, "tokens": self.at, "parts": {}}
+        known = [x for x in self.ids if x is not None]
+        base = known[0] if known else 0
+        ends, names = encode(np.array(self.ends, dtype=np.uint64)), encode(np.array([x - base for x in known], dtype=np.uint64))
+        parts = {f"{kind}_{c}": code[c] for kind, code in (("ends", ends), ("ids", names)) for c in ("low", "high", "samples")}
+        footer = {"n": len(self.ids), "nulls": len(self.ids) - len(known), "base": base, "dtype": self.dtype.str, "tokens": self.at, "parts": {}}
+        footer |= {kind: {c: code[c] for c in ("n", "low_bits", "wide")} for kind, code in (("ends", ends), ("ids", names))}
         place = self.at * self.dtype.itemsize
         for name, data in parts.items():
             self.out.write(data)
@@ -83,9 +88,13 @@ class TokenFile:
         self.footer = json.loads(self.file.read_at(length, size - 16 - length))
         part = {k: self.file.read_at(n, at) if n else b"" for k, (at, n) in self.footer["parts"].items()}
         self.n, self.dtype = self.footer["n"], np.dtype(self.footer["dtype"])
-        self.ends = Reader(self.n, self.footer["low_bits"], part["low"], part["high"], part["samples"], self.footer["wide"])
-        null = np.unpackbits(np.frombuffer(part["null_ids"], np.uint8), bitorder="little")[: self.n].astype(bool)
-        self.doc_ids = [None if len(null) and null[i] else x for i, x in enumerate(np.frombuffer(part["doc_ids"], "<i8").tolist())]
+        self.ends, self.names = (Reader(low=part[f"{k}_low"], high=part[f"{k}_high"], samples=part[f"{k}_samples"], **self.footer[k]) for k in ("ends", "ids"))
+
+    def doc_ids(self, start: int, stop: int) -> list[int | None]:
+        """Document ids of documents start to stop - 1."""
+        nulls = self.footer["nulls"]
+        found = self.names.range(max(0, start - nulls), max(0, stop - nulls)).tolist()
+        return [None] * max(0, min(stop, nulls) - start) + [(self.footer["base"] + x + 2**63) % 2**64 - 2**63 for x in found]
 
     def ids(self, start: int, stop: int) -> np.ndarray:
         w = self.dtype.itemsize
@@ -95,11 +104,12 @@ class TokenFile:
         """Ids of document i, its place found by select."""
         return self.ids(self.ends.select(i - 1) if i else 0, self.ends.select(i))
 
-    def documents(self) -> Iterator[tuple[int, int, np.ndarray]]:
-        """(number, start, ids) of every document, in blocks of about READ_IDS ids."""
-        i, start = 0, 0
-        while i < self.n:
-            ends = self.ends.range(i, i + 1024)
+    def documents(self, first: int = 0, last: int | None = None) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(number, start, ids) of documents first to last - 1, in blocks of about READ_IDS ids."""
+        i, last = first, self.n if last is None else min(last, self.n)
+        start = self.ends.select(first - 1) if 0 < first < last else 0
+        while i < last:
+            ends = self.ends.range(i, min(i + 1024, last))
             take = max(1, int(np.searchsorted(ends, start + READ_IDS, side="right")))
             block = self.ids(start, int(ends[take - 1]))
             at = 0
@@ -136,7 +146,9 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None
 
     order = [F.col("id").asc_nulls_first(), F.xxhash64("text")]
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    dealt = narrow.repartitionByRange(partitions or shuffle_partitions(spark), *order).sortWithinPartitions(*order, F.col("text"))
+    size = narrow.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_files = partitions or max(shuffle_partitions(spark), -(-size // FILE_BYTES))
+    dealt = narrow.repartitionByRange(n_files, *order).sortWithinPartitions(*order, F.col("text"))
     files = save(dealt.withColumn("part", F.spark_partition_id()).mapInArrow(run, "part int, path string, n_docs long, n_tokens long"), "manifest")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
     return files.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
@@ -150,9 +162,11 @@ def read_token_files(spark: SparkSession, manifest: DataFrame) -> DataFrame:
         for batch in batches:
             for file in batch.to_pylist():
                 found, rows = TokenFile(file["path"]), []
-                for i, start, ids in found.documents():
-                    rows.append((file["part"], i, found.doc_ids[i], file["start"] + start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
+                names = found.doc_ids(file["first"], min(file["first"] + READ_DOCS, found.n))
+                for i, start, ids in found.documents(file["first"], file["first"] + READ_DOCS):
+                    rows.append((file["part"], i, names[i - file["first"]], file["start"] + start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), *[pa.int64()] * 5), strict=True)], ["part", "number", "doc_id", "start", "n_tokens", "ids_crc32"])
 
     schema = "part int, number long, doc_id long, start long, n_tokens long, ids_crc32 long"
-    return manifest.select("part", "path", "start").repartition(shuffle_partitions(spark), "part").mapInArrow(run, schema)
+    ranges = manifest.where("n_docs > 0").select("part", "path", "start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_docs") - 1, F.lit(READ_DOCS).cast("long"))).alias("first"))
+    return ranges.repartition(shuffle_partitions(spark)).mapInArrow(run, schema)

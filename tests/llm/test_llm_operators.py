@@ -10,6 +10,7 @@ from fractions import Fraction
 
 import corpus_pipeline
 import numpy as np
+import plain
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -83,6 +84,29 @@ def test_line_dedup(docs, rows, none):
     assert line_dedup(none).count() == 0
 
 
+NAMES = "row row2 doc print hits id _doc _hits _row _id _hash _place _pid _v _o0 _position shard copy h1 h2 part".split()
+
+
+def test_names_of_other_columns(docs, rows):
+    wide = docs.drop("shard").withColumns({c: F.concat(F.lit(c), F.col("doc_id")) for c in NAMES})
+    values = lambda df: Counter(map(tuple, df.select("doc_id", *NAMES).collect()))
+    have = values(wide)
+    out = line_dedup(wide)
+    assert out.columns == [*wide.columns, "n_lines", "n_dropped"] and values(out) == have
+    out = packing.pack_documents(wide)
+    assert out.columns == [*wide.columns, "length", "bucket", "bucket_length", "batch", "slot"] and values(out) == have
+    out = mixing.mix(wide, mixing.repeating([1.0]))
+    assert out.columns == [*wide.columns, "position"] and set(values(out)) <= set(have)
+    assert values(corpus_pipeline.without_near_copies(wide.sparkSession, wide, "")).keys() <= have.keys()
+    assert values(toxicity.score(wide, toxicity.Model(np.zeros(toxicity.BUCKETS), 0.0))) == have
+
+
+def test_rows_without_id_and_repeated_rows_keep_their_own_lines(spark):
+    docs = spark.createDataFrame([(None, f"common\nown {i}") for i in range(30)] + [(7, "common\nx")] * 3 + [(7, "y\ncommon")], "doc_id long, text string")
+    out = Counter((r["doc_id"], r["text"], r["n_dropped"]) for r in line_dedup(docs).collect())
+    assert out == Counter({**{(None, f"own {i}", 1): 1 for i in range(30)}, (7, "x", 1): 3, (7, "y", 1): 1})
+
+
 def test_token_files(spark, docs, rows, none):
     tokenizer = Tokenizer.from_file(TOKENIZER)
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
@@ -97,6 +121,11 @@ def test_token_files(spark, docs, rows, none):
     file = TokenFile(manifest.orderBy("part").first()["path"])
     first = [x for _, _, x in file.documents()]
     assert all((file.document(i) == x).all() for i, x in enumerate(first))
+    some = list(file.documents(2, 5))
+    assert [i for i, _, _ in some] == [2, 3, 4] and all((x == first[i]).all() for i, _, x in some)
+    wild = [(-(2**63), "a"), (2**63 - 1, "b c"), (5, "d"), (None, "e"), (None, None)]
+    back = read_token_files(spark, write_token_files(spark.createDataFrame(wild, "doc_id long, text string"), TOKENIZER, partitions=1))
+    assert [r["doc_id"] for r in back.orderBy("number").collect()] == [None, None, -(2**63), 5, 2**63 - 1]
     assert read_token_files(spark, write_token_files(none, TOKENIZER)).count() == 0
 
 
@@ -126,6 +155,7 @@ def test_packing(docs, rows, none):
     for bucket in {b for b, _ in batches}:
         short = [k for k, m in batches.items() if k[0] == bucket and len(m) < max(1, 300 // max(1, m[0]["bucket_length"]))]
         assert len(short) <= 1
+    assert sum(r["bucket_length"] - r["length"] for r in out) == plain.least_padding([r["length"] for r in out], 5)
     assert Counter(r["text"] for r in packing.pack_documents(docs).collect()) == Counter(r[1] for r in rows)
     assert packing.pack(none).count() == 0 and packing.pack_documents(none).count() == 0
 
@@ -151,20 +181,31 @@ def test_packing_counts_tokens(spark, docs, rows, none, tmp_path):
 
 def test_mixing(spark, docs, rows, none):
     weights = mixing.repeating([[(0.0, 6.0), (1.0, 4.0)], 2.0, 1.0])
-    planned, found = mixing.plan(docs, weights)
-    again = sorted(map(tuple, mixing.plan(docs.repartition(3), weights)[0].collect()), key=repr)
+    planned = mixing.plan(docs, weights)
+    again = sorted(map(tuple, mixing.plan(docs.repartition(3), weights).collect()), key=repr)
     out = planned.collect()
     assert sorted(map(tuple, out), key=repr) == again and len(out) == len(rows)
+    sized = [(r[3], len((r[1] or "").encode().split())) for r in rows]
     sizes = Counter()
-    for r in rows:
-        sizes[r[3]] += len((r[1] or "").encode().split())
-    assert abs(sum(t for t, _ in found.values()) - sum(sizes.values())) < 1e-6
+    for s, n in sized:
+        sizes[s] += n
+    want = plain.targets(sizes, lambda i: (5.0, 2.0, 1.0)[i % 3])
+    assert Counter((r["source"], r["size"], r["repeats"]) for r in out) == plain.copies(sized, lambda i: (5.0, 2.0, 1.0)[i % 3])
+    assert all(r["source_size"] == sizes[r["source"]] and abs(r["target"] - want[r["source"]]) < 1e-6 for r in out)
     taken = Counter()
     for r in out:
-        assert 0 <= r["repeats"] <= 3 and r["source_size"] == sizes[r["source"]]
         taken[r["source"]] += r["size"] * r["repeats"]
     for s in sizes:
-        assert abs(taken[s] - found[s][0]) <= max([r["size"] for r in out if r["source"] == s])
+        assert abs(taken[s] - want[s]) <= max(n for x, n in sized if x == s)
+    # a copy's position is where the integral of its source's schedule meets its share of the source's words
+    for r in mixing.positions(planned, weights).toPandas().sort_values("position").groupby("i"):
+        i, copies = r
+        before, total = 0, copies["size"].sum()
+        for size, position in zip(copies["size"], copies["position"], strict=True):
+            w0, w1 = ((6.0, 4.0), (2.0, 2.0), (1.0, 1.0))[i % 3]
+            met = (w0 * position + (w1 - w0) * position**2 / 2) / ((w0 + w1) / 2)
+            assert abs(met - (before + size / 2) / total) < 1e-9
+            before += size
     mixed = mixing.mix(docs, weights)
     at = mixed.select("position").collect()
     assert [x[0] for x in at] == sorted(x[0] for x in at) and all(0 <= x[0] <= 1 for x in at)
@@ -251,9 +292,32 @@ def test_toxicity(spark, none):
     held = [r for r in out if r["held_out"] and r["doc_id"] in truth]
     assert held and all(zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0 for r in held)
     assert sum(r["predicted"] == truth[r["doc_id"]] for r in held) >= 0.97 * len(held)
+    # counts, scales, optimum and scores once more, by the letter
+    learned = [(t, y) for i, t, y in rows if zlib.crc32(str(i).encode()) % 5 and i != 5] + [(rows[5][1], rows[5][2])] * (zlib.crc32(b"5") % 5 > 0)
+    sets = [plain.ngrams(t) for t, _ in learned]
+    n1 = sum(y for _, y in learned)
+    n0 = len(learned) - n1
+    count = Counter((f, y) for s, (_, y) in zip(sets, learned, strict=True) for f in s)
+    scale = {}
+    for f in {f for f, _ in count}:
+        p0, p1, both = (count[f, 0] + 1) / (n0 + 2), (count[f, 1] + 1) / (n1 + 2), (count[f, 0] + count[f, 1] + 1) / (n0 + n1 + 2)
+        scale[f] = math.log(p1 / p0) * math.sqrt((p1 - p0) ** 2 / (both * (1 - both)) * n0 * n1 / (n0 + n1) / 10)
+    assert set(np.flatnonzero(model.weights)) <= set(scale)
+    slope = Counter()
+    for s, (_, y) in zip(sets, learned, strict=True):
+        z = model.bias + sum(model.weights[f] for f in s)
+        pull = (math.sqrt(n0 / n1) if y else 1.0) * (y - 1 / (1 + math.exp(-z)))
+        for f in s:
+            slope[f] += pull * scale[f]
+    # at the optimum 10 * weight / scale is the sum of the pulls on a feature; the descent ends a little before
+    off = [10 * model.weights[f] / scale[f] - slope[f] for f in scale if scale[f]]
+    assert np.linalg.norm(off) <= 0.25 * np.linalg.norm(list(slope.values()))
+    by_id = {r["doc_id"]: r["score"] for r in out}
+    for i, t, _ in rows[:50]:
+        assert abs(by_id[i] - 1 / (1 + math.exp(-model.bias - sum(model.weights[f] for f in plain.ngrams(t))))) < 1e-9
     # held-out labels change nothing
     flipped = label.withColumn("toxic", F.when(toxicity.held_out("doc_id"), 1 - F.col("toxic")).otherwise(F.col("toxic")))
-    assert np.allclose(toxicity.fit(docs, flipped).weights, model.weights)
+    assert np.allclose(toxicity.fit(docs, flipped).weights, model.weights, atol=1e-9)
     assert toxicity.score(none, model).count() == 0
     assert toxicity.fit(docs, label.limit(0)).score(np.zeros(0, dtype=int)) == 0.5
     assert toxicity.fit(docs, label.where("toxic = 0")).score(np.zeros(0, dtype=int)) == 0.0

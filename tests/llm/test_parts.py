@@ -8,10 +8,10 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from graphloom.llm import elias_fano, html_text, minhash, mixing, packing
-from graphloom.llm.bpe import ByteBpe
+from graphloom.llm.bpe import Encoder
 from graphloom.llm.mphf import Lookup, build
 
-BPE = ByteBpe(public_tokenizers.path("byte_bpe_50k.json"))
+BPE = Encoder(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 @settings(max_examples=30, deadline=None)
@@ -23,7 +23,7 @@ def test_perfect_hash_is_a_bijection(keys):
 
 
 @settings(max_examples=50, deadline=None)
-@given(st.lists(st.integers(0, 10**9), max_size=1500))
+@given(st.one_of(st.lists(st.integers(0, 10**9), max_size=1500), st.lists(st.integers(0, 2**63 - 1), max_size=40)))
 def test_elias_fano_round_trip(values):
     v = np.sort(np.array(values, dtype=np.int64))
     reader = elias_fano.Reader(**elias_fano.encode(v))
@@ -38,10 +38,28 @@ def test_pieces_give_the_ids_of_the_whole(text):
     assert np.frombuffer(BPE.encode(text), BPE.dtype).tolist() == BPE.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.text(max_size=8), st.sampled_from([" ", "'s", "'", "\\", "\U000323b0", "\U0001e6c0", "\u180e", "\u200b", "\u2028", "A", "1"])), max_size=12).map("".join))
+def test_pieces_over_all_of_unicode(text):
+    text = text.encode("utf-8", "ignore").decode()
+    assert np.frombuffer(BPE.encode(text), BPE.dtype).tolist() == BPE.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_other_tokenizer_files_go_to_the_library_whole():
+    other = Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    for text in ("Some  WORDS of a text\n\nand more", "", " a", "Ünïcode's 123"):
+        assert not other.cut and np.frombuffer(other.encode(text), other.dtype).tolist() == other.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_the_case_of_an_unassigned_character():
+    text = "\\\U000323b0'sA"
+    assert np.frombuffer(BPE.encode(text), BPE.dtype).tolist() == BPE.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_special_token_in_a_text():
     text = "a<|endoftext|> b"
     assert np.frombuffer(BPE.encode(text), BPE.dtype).tolist() == BPE.tokenizer.encode(text, add_special_tokens=False).ids
-    plain = ByteBpe(public_tokenizers.path("byte_bpe_50k.json"), special_as_text=True)
+    plain = Encoder(public_tokenizers.path("byte_bpe_50k.json"), special_as_text=True)
     assert 50256 not in np.frombuffer(plain.encode(text), plain.dtype)
 
 
@@ -59,13 +77,6 @@ def test_bucket_ends_are_optimal(hist, buckets):
     assert padding(ends) == best and len(ends) <= buckets
 
 
-def test_targets_stop_at_the_cap():
-    weights = mixing.repeating([5.0, 2.0, 1.0])
-    found = mixing.targets([("b", 100), ("a", 10), (None, 1000), ("c", 0)], weights)
-    assert found["a"][0] == 30 and found["c"][0] == 0 and abs(sum(t for t, _ in found.values()) - 1110) < 1e-9
-    assert all(t <= 3 * n + 1e-9 for (t, _), n in ((found["a"], 10), (found["b"], 100), (found[None], 1000)))
-
-
 @given(st.lists(st.floats(0, 5), min_size=2, max_size=5).filter(lambda w: sum(w) > 0.1), st.floats(0, 1))
 def test_time_of_demand_inverts_the_integral(weights, share):
     schedule = [(i / (len(weights) - 1), w) for i, w in enumerate(weights)]
@@ -151,3 +162,39 @@ def test_main_text_about_copyright_and_in_other_languages():
 
 def test_main_text_after_a_long_attribute():
     assert html_text.main_text(f"<article><p data-x='{'a>b ' * 3000}'>Text</p></article>") == "Text"
+
+
+def test_main_text_keeps_captions_and_passes_over_unclosed_elements():
+    assert html_text.main_text("<article><p>One.</p><figure><img src=x><figcaption>The caption.</figcaption></figure><noscript><p>Two.</p><svg><p>Three.</p></article>").split("\n\n") == ["One.", "The caption.", "Two.", "Three."]
+    assert html_text.main_text("<article><p>One.</p><script>var x = 1;</article>") == "One."
+
+
+def test_main_text_of_generated_pages():
+    """Pages put together from an article and all kinds of other parts give the article back, with and without marks."""
+    rng = np.random.default_rng(4)
+    frequent = "the of and to in a is that it for was on are as with be at by this from".split()
+    rare = ["".join(rng.choice(list("abdefghiklmnoprstu"), rng.integers(4, 9))) for _ in range(300)]
+
+    def sentence(n):
+        return " ".join(str(rng.choice(frequent if rng.random() < 0.45 else rare)) for _ in range(n)).capitalize() + "."
+
+    def other(kind):
+        if kind == "menu":
+            return "<nav><ul>" + "".join(f"<li><a href='/{i}'>{sentence(2)}</a></li>" for i in range(6)) + "</ul></nav>"
+        if kind == "links":
+            return "<div>" + "".join(f"<p><a href=/{i}>{sentence(12)}</a></p>" for i in range(4)) + "</div>"
+        if kind == "script":
+            return f"<script>if (a<b) {{ x('</p>{sentence(30)}') }}</script><style>p > a {{}}</style><!-- <p>{sentence(30)}</p> -->"
+        if kind == "comments":
+            return "<section id='comments'>" + "".join(f"<p>{sentence(40)}</p>" for _ in range(rng.integers(1, 12))) + "</section>"
+        return {"header": "<header><h1>Site</h1></header>", "footer": f"<footer><p>&copy; {sentence(40)}</p></footer>", "cookies": f"<div class='cookie-banner'><p>{sentence(40)}</p></div>", "aside": f"<aside><p>{sentence(40)}</p></aside>", "form": f"<form><label>{sentence(8)}</label><input></form>"}[kind]
+
+    for turn in range(60):
+        want = [sentence(6), *(sentence(int(rng.integers(40, 90))) for _ in range(rng.integers(2, 7)))]
+        body = f"<h1>{want[0]}</h1>" + "".join(f"<p>{x.replace(' ', rng.choice([' ', chr(10), '&#32;', ' <b></b>']), 1)}</p>" for x in want[1:])
+        open_, close = ("<article>", "</article>") if turn % 2 else ("<div class='content'>", "</div>")
+        kinds = ["menu", "links", "script", "comments", "header", "footer", "cookies", "aside", "form"]
+        before = "".join(other(k) for k in rng.permutation(kinds)[: rng.integers(0, 6)])
+        after = "".join(other(k) for k in rng.permutation(kinds)[: rng.integers(0, 6)])
+        page = f"<!doctype html><html><head><title>{sentence(9)}</title></head><body>{before}{open_}{body}{close}{after}</body></html>"
+        assert html_text.main_text(page) == "\n\n".join(want), page

@@ -3,12 +3,11 @@
 from collections import Counter
 
 import numpy as np
+import plain
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from graphloom.llm import mixing
-from graphloom.llm.queries import CURRICULUM
 from graphloom.plans import save
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -46,14 +45,8 @@ def test_run(spark, sf_dir):
     for r in out:
         assert (r["text"], r["source"], r["n_chars"]) == (*stays[r["doc_id"]], len(r["text"]))
         batches.setdefault((r["bucket"], r["batch"]), []).append(r)
-    words = Counter()
-    for text, source in stays.values():
-        words[source] += len(text.split())
-    for source, (target, _) in mixing.targets(list(words.items()), CURRICULUM).items():
-        of = {i: len(text.split()) for i, (text, s) in stays.items() if s == source}
-        least = int(target // words[source])
-        assert abs(sum(n * copies[i] for i, n in of.items()) - target) <= max(of.values())
-        assert {copies[i] for i in of} <= {least, least + 1} and least <= 3
+    taken = Counter((stays[i][1], len(stays[i][0].split()), copies[i]) for i in stays)
+    assert taken == plain.copies([(s, len(t.split())) for t, s in stays.values()], lambda i: (5.0, 2.0, 1.0)[i % 3])
     for members in batches.values():
         assert sorted(m["slot"] for m in members) == list(range(len(members)))
         assert len(members) == 1 or len(members) * members[0]["bucket_length"] <= 16_384
