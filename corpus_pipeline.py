@@ -1,7 +1,14 @@
 """From raw documents to packed training batches, in five stages.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the one
-before it kept; all but the last return the columns of ``documents``.
+before it kept; all but the last return the columns of ``documents``. A null
+text counts as an empty one and becomes "" in the second stage. Empty texts are
+clean, have no lines to lose and no near copies, and end at the mixing stage,
+which takes words. Rows without an id stay; rows that repeat an id and a text
+are one row from the third stage on. Ties of near copies go to the smallest id.
+An empty table gives an empty table. Columns beside those of ``documents`` pass
+through, whatever their names; n_chars follows the text, and the last stage
+replaces columns of the names that it adds.
 """
 
 from __future__ import annotations
@@ -29,9 +36,10 @@ def without_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: that of the smallest id."""
-    kept = minhash_dedup(docs, shingle_words=5, percent=80).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    stay = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
-    return stay.withColumn("_row", F.xxhash64("text")).dropDuplicates(["doc_id", "_row"]).select(*docs.columns)
+    kept = minhash_dedup(docs, shingle_words=5, percent=80).where("kept").select(F.col("doc_id").alias("id")).distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("print"))
+    stay = rows.join(kept, rows["id"].eqNullSafe(kept["id"]), "left_semi").dropDuplicates(["id", "print"])
+    return stay.select(*(F.col(f"doc.{c}") for c in docs.columns))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,10 +49,17 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document with its place in a batch; the batches of a bucket follow the order of the rows of ``docs``, a table read from files."""
-    return packing.pack_documents(docs, order=F.struct("_metadata.file_name", "_metadata.row_index"), tokenizer=TOKENIZER)
+    place = F.struct("_metadata.file_name", "_metadata.row_index")
+    return packing.pack_documents(docs, order=place, tokenizer=TOKENIZER)
 
 
-STAGES = [("toxicity", without_toxic), ("line dedup", without_common_lines), ("near-copies", without_near_copies), ("mixing", mixed), ("packing", packed)]
+STAGES = [
+    ("toxicity", without_toxic),
+    ("line dedup", without_common_lines),
+    ("near-copies", without_near_copies),
+    ("mixing", mixed),
+    ("packing", packed),
+]
 
 #: The first stage is a trained classifier, which SQL cannot express; tests hold the stages against brute force.
 ORACLE_SQL = None
