@@ -38,8 +38,8 @@ from graphloom.llm.vectors import by_dimension
 from graphloom.plans import connected_components, save
 
 BLOCK_DIMS = 16
-#: Vectors of a tile, tiles that a task compares one tile with, and the side of the squares that are compared at a time.
-TILE, OTHERS, SQUARE = 8192, 8, 512
+#: Numbers that the vectors of a tile hold, tiles that a task compares one tile with, and the side of the squares that are compared at a time.
+TILE_VALUES, OTHERS, SQUARE = 1 << 20, 6, 512
 #: Vectors of each dimension that place the cuts, and leaves of a block at most; fuller leaves have more tiles.
 SAMPLE, MOST_LEAVES = 8192, 1024
 SLACK = 1e-5
@@ -312,7 +312,7 @@ def _compare(cosine: float, frames: dict[int, Frame], kept: str):
     return each
 
 
-def embedding_dedup(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding", block_dims: int = BLOCK_DIMS, tile: int = TILE) -> DataFrame:
+def embedding_dedup(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding", block_dims: int = BLOCK_DIMS, tile_values: int = TILE_VALUES) -> DataFrame:
     """A row for each row of ``vectors``: vec_id, n_links, component_id, kept.
 
     Vectors that are null, empty or zero, or hold null or non-finite parts link
@@ -331,9 +331,10 @@ def embedding_dedup(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_
     frames = {}
     for dims, n in [(r["dims"], r["n"]) for r in classes.groupBy("dims").agg(F.count(F.lit(1)).alias("n")).collect()]:  # a row a dimension
         rows = classes.where(F.col("dims") == dims).select("raw").orderBy(F.xxhash64("id")).limit(SAMPLE).collect()
-        frames[dims] = framed(_matrix([r["raw"] for r in rows], kept, dims), n, reach, block_dims, tile)
+        frames[dims] = framed(_matrix([r["raw"] for r in rows], kept, dims), n, reach, block_dims, max(1, tile_values // dims))
     placed = save(_placed(classes, frames, kept), "placed")
     cell = ["dims", "block", "leaf"]
+    tile = F.greatest(F.lit(1), F.floor(F.lit(tile_values) / F.first("dims")))
     loads = placed.select("dims", F.explode("places").alias("p")).groupBy("dims", "p.block", "p.leaf").agg(*(F.ceil(F.sum((F.col("p.side") == side).cast("long")) / tile).cast("int").alias(name) for side, name in ((0, "tiles"), (1, "guests"))))
     at = placed.select("id", "dims", "n", "raw", F.explode("places").alias("p")).select("id", "dims", "n", "raw", "p.*").join(save(loads, "loads"), cell)
     at = at.withColumn("t", F.pmod(F.xxhash64("id"), F.greatest(F.lit(1), F.when(F.col("side") == 0, F.col("tiles")).otherwise(F.col("guests")))).cast("int"))

@@ -335,8 +335,8 @@ def vectors():
     return rows
 
 
-@pytest.mark.parametrize("tile", [8192, 40])
-def test_embedding_dedup(spark, tile):
+@pytest.mark.parametrize("values", [1 << 21, 640])
+def test_embedding_dedup(spark, values):
     rows = vectors()
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, id int")
     good = {i: np.ldexp(v, -int(np.frexp(np.abs(v).max())[1])) for i, v, _ in rows if i is not None and v and None not in v and np.isfinite(v).all() and np.any(v)}
@@ -352,7 +352,7 @@ def test_embedding_dedup(spark, tile):
                     root[x] = i
                     todo += near[x]
     want = Counter((i, len(near.get(i, [])), root.get(i, i), root.get(i, i) == i if i is not None else True) for i, _, _ in rows)
-    assert Counter(map(tuple, embedding_dedup(df, block_dims=4, tile=tile).collect())) == want
+    assert Counter(map(tuple, embedding_dedup(df, block_dims=4, tile_values=values).collect())) == want
     assert embedding_dedup(df.limit(0)).count() == 0
 
 
