@@ -186,6 +186,20 @@ def katz(graph: Graph, alpha: float = 0.1, beta: float = 1.0, max_iter: int = 10
     return rounds(start, step, max_iter, lambda old, new: (new.agg(F.sum("moved")).first()[0] or 0.0) < tolerance).select("id", "score")
 
 
+def alpha(graph: Graph, alpha: float = 0.1, exogenous: DataFrame | None = None, max_iter: int = 100, tolerance: float = 1e-6) -> DataFrame:
+    """(id, score): x = alpha * (sum over incoming arcs) + e, with e of (id, e), 1 by default; starts at e."""
+    arcs = save(graph.arcs().select("src", "dst"), "arcs")
+    outside = graph.vertices.select("id", F.lit(1.0).alias("e")) if exogenous is None else graph.vertices.select("id").join(exogenous.select("id", F.col("e").cast("double")), "id", "left").na.fill(0.0, ["e"])
+    start = outside.select("id", "e", F.col("e").alias("score"), F.lit(1.0).alias("moved"))
+
+    def step(state: DataFrame) -> DataFrame:
+        got = arcs.join(state, F.col("src") == F.col("id")).groupBy(F.col("dst").alias("to")).agg(F.sum("score").alias("got"))
+        new = alpha * F.coalesce("got", F.lit(0.0)) + F.col("e")
+        return state.join(got, F.col("id") == F.col("to"), "left").select("id", "e", new.alias("score"), F.abs(new - F.col("score")).alias("moved"))
+
+    return rounds(start, step, max_iter, lambda old, new: (new.agg(F.sum("moved")).first()[0] or 0.0) < tolerance).select("id", "score")
+
+
 def settle(graph: Graph, state: DataFrame, step, changed: str = "new") -> DataFrame:
     """Any user-defined vertex program: rounds of ``step`` until no row is marked."""
     return fixpoint(state, step, changed)

@@ -69,6 +69,31 @@ def k_cliques(graph: Graph, k: int) -> DataFrame:
     return found.select(F.array_sort("members").alias("members"))
 
 
+def maximal_cliques(graph: Graph) -> DataFrame:
+    """(members): all cliques that no vertex extends, from single vertices on; a round adds one vertex to every clique.
+
+    Cliques grow along the order of degrees, each from its parts once; a clique
+    is maximal if no common neighbour of its members is left.
+    """
+    arcs = save(_simple(graph), "arcs")
+    e = save(_ordered(graph), "ordered")
+    found = save(graph.vertices.select(F.array("id").alias("members")), "cliques")
+    out = None
+    while not found.isEmpty():
+        common = found.select("members", F.explode("members").alias("src")).join(arcs, "src").groupBy("members", "dst").agg(F.count(F.lit(1)).alias("n")).where("n = size(members)")
+        whole = save(found.join(common.select("members").distinct(), "members", "left_anti").select(F.array_sort("members").alias("members")), "maximal")
+        out = whole if out is None else out.unionByName(whole)
+        # the next member comes after the last one in the order of degrees and is a neighbour of all
+        grown = common.select("members", "dst").join(e.select(F.col("src").alias("last"), F.col("dst").alias("next")), (F.element_at("members", -1) == F.col("last")) & (F.col("dst") == F.col("next")))
+        found = save(grown.select(F.concat("members", F.array("next")).alias("members")), "cliques")
+    return out if out is not None else graph.vertices.select(F.array("id").alias("members")).limit(0)
+
+
+def maximum_clique(graph: Graph) -> DataFrame:
+    """One row (members): a largest clique, of several the first in order; no row for an empty graph."""
+    return maximal_cliques(graph).orderBy(F.desc(F.size("members")), "members").limit(1)
+
+
 def clique_percolation(graph: Graph, k: int = 3) -> DataFrame:
     """(id, community): unions of k-cliques that share k - 1 vertices; a vertex may be in several."""
     cliques = save(k_cliques(graph, k).withColumn("clique", F.xxhash64("members")), "cliques")

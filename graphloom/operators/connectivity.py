@@ -153,3 +153,50 @@ def bridges(graph: Graph) -> DataFrame:
 
     covered = fixpoint(walk, step, "new").where("covered is not null").select(F.col("covered").alias("child"))
     return child.join(covered, "child", "left_anti").select("src", "dst")
+
+
+def biconnected_components(graph: Graph) -> DataFrame:
+    """(src, dst, component): edges on a common cycle share a component, named by its smallest member of a search tree's lower ends.
+
+    With a breadth-first forest, an edge outside it closes a cycle with the
+    tree path between its ends; two edges are biconnected just if such cycles
+    lead from one to the other. Both ends walk up, level by level in joins, and
+    link the tree edges that they pass; what is linked is one component.
+    """
+    if graph.directed:
+        raise ValueError("biconnected components are defined for undirected graphs")
+    from graphloom.operators.paths import bfs
+
+    tree = save(bfs(graph, weak_components(graph).select(F.col("component").alias("id")).distinct()), "tree")
+    up = tree.select("id", "parent", "depth")
+    edges = graph.edges.where("src <> dst").select("src", "dst")
+    child = save(up.where("parent is not null").select(F.least("id", "parent").alias("src"), F.greatest("id", "parent").alias("dst"), F.col("id").alias("child")), "children")
+    a, b = up.select(F.col("id").alias("a"), F.col("depth").alias("da")), up.select(F.col("id").alias("b"), F.col("depth").alias("db"))
+    outside = save(edges.join(child, ["src", "dst"], "left_anti").select(F.col("src").alias("a"), F.col("dst").alias("b")).join(a, "a").join(b, "b"), "outside")
+    none = F.lit(None).cast("long")
+    walk, links = save(outside.select("a", "b", "da", "db", none.alias("la"), none.alias("lb")), "walk"), child.select(F.col("child").alias("x"), F.col("child").alias("y"))
+    links = save(links, "links")
+    while not walk.isEmpty():
+        both = walk.join(up.select(F.col("id").alias("a"), F.col("parent").alias("pa")), "a").join(up.select(F.col("id").alias("b"), F.col("parent").alias("pb")), "b")
+        move_a, move_b = F.col("da") >= F.col("db"), F.col("db") >= F.col("da")
+        moved = both.select(
+            F.when(move_a, F.col("pa")).otherwise(F.col("a")).alias("a"), F.when(move_b, F.col("pb")).otherwise(F.col("b")).alias("b"),
+            (F.col("da") - move_a.cast("int")).alias("da"), (F.col("db") - move_b.cast("int")).alias("db"),
+            F.when(move_a, F.col("a")).otherwise(F.col("la")).alias("la"), F.when(move_b, F.col("b")).otherwise(F.col("lb")).alias("lb"),
+            F.when(move_a, F.col("la")).alias("oa"), F.when(move_b, F.col("lb")).alias("ob"),
+        )
+        moved = save(moved, "moved")
+        passed = moved.select(F.col("oa").alias("x"), F.col("la").alias("y")).unionByName(moved.select(F.col("ob").alias("x"), F.col("lb").alias("y"))).unionByName(moved.where("a = b").select(F.col("la").alias("x"), F.col("lb").alias("y")))
+        links = links.unionByName(save(passed.where("x is not null and y is not null").distinct(), "links"))
+        walk = save(moved.where("a <> b").select("a", "b", "da", "db", "la", "lb").distinct(), "walk")
+    comps = save(connected_components(links, "x", "y"), "comps")
+    of_tree = child.join(comps, F.col("child") == F.col("id")).select("src", "dst", "component")
+    lower = outside.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.when(F.col("da") >= F.col("db"), F.col("a")).otherwise(F.col("b")).alias("child"))
+    return of_tree.unionByName(lower.join(comps, F.col("child") == F.col("id")).select("src", "dst", "component"))
+
+
+def articulation_points(graph: Graph) -> DataFrame:
+    """(id) of the vertices whose removal splits their component: those with edges of several biconnected components."""
+    e = biconnected_components(graph)
+    ends = e.select(F.col("src").alias("id"), "component").unionByName(e.select(F.col("dst").alias("id"), "component"))
+    return ends.groupBy("id").agg(F.count_distinct("component").alias("n")).where("n > 1").select("id")

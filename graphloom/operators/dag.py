@@ -11,26 +11,90 @@ from graphloom.plans import save
 from graphloom.plans.fixpoint import fixpoint
 
 
+def _jumps(arcs: DataFrame, waits: DataFrame) -> DataFrame:
+    """(id, root, k): of a vertex with one arc in, the first vertex above it that has none or several, k arcs away; of others, themselves."""
+    state = waits.where("waits = 1").join(arcs.withColumnRenamed("dst", "id"), "id").select("id", F.col("src").alias("root"), F.lit(1).cast("long").alias("k"), F.lit(True).alias("new"))
+
+    def step(state: DataFrame) -> DataFrame:
+        up = state.select(F.col("id").alias("root"), F.col("root").alias("top"), F.col("k").alias("more"))
+        both = state.join(up, "root", "left")
+        return both.select("id", F.coalesce("top", "root").alias("root"), (F.col("k") + F.coalesce("more", F.lit(0))).alias("k"), F.col("top").isNotNull().alias("new"))
+
+    limit = state.count().bit_length() + 2
+    state = fixpoint(state, step, "new", limit, partial=True)
+    if not state.where("new").isEmpty():
+        raise ValueError("the graph has a cycle")
+    return state.select("id", "root", "k").unionByName(waits.where("waits <> 1").select("id", F.col("id").alias("root"), F.lit(0).cast("long").alias("k")))
+
+
 def generations(graph: Graph) -> DataFrame:
-    """(id, generation): the most arcs on a path that ends at the vertex; ValueError if there is a cycle."""
+    """(id, generation): the most arcs on a path that ends at the vertex; ValueError if there is a cycle.
+
+    Vertices with one arc in hang on the vertex above them, found by pointer
+    doubling, so chains and trees take as many rounds as their depth has bits;
+    only vertices with several arcs in are settled level by level.
+    """
     if not graph.directed:
         raise ValueError("an undirected graph has no topological order")
     arcs = save(graph.edges.select("src", "dst").distinct(), "arcs")
     into = arcs.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("waits"))
-    start = graph.vertices.select("id").distinct().join(into, "id", "left").na.fill(0, ["waits"])
-    start = start.select("id", "waits", F.when(F.col("waits") == 0, F.lit(0)).alias("generation"), (F.col("waits") == 0).alias("new"))
+    waits = save(graph.vertices.select("id").distinct().join(into, "id", "left").na.fill(0, ["waits"]), "waits")
+    jumps = save(_jumps(arcs, waits), "jumps")
+    start = waits.where("waits <> 1").select("id", "waits", F.when(F.col("waits") == 0, F.lit(0).cast("long")).alias("generation"), (F.col("waits") == 0).alias("new"))
+    several = waits.where("waits > 1").select(F.col("id").alias("dst"))
+    long_arcs = save(arcs.join(several, "dst").join(jumps.withColumnRenamed("id", "src"), "src").select("root", "dst", (F.col("k") + 1).alias("far")), "arcs")
+    if long_arcs.isEmpty():
+        settled = start
+    else:
+        start = start.withColumn("least", F.lit(0).cast("long"))
 
-    def step(state: DataFrame) -> DataFrame:
-        freed = state.where("new").select(F.col("id").alias("src"), "generation").join(arcs, "src").groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("freed"), F.max("generation").alias("g"))
-        both = state.join(freed, "id", "left")
-        waits = F.col("waits") - F.coalesce("freed", F.lit(0))
-        ready = F.col("generation").isNull() & (waits == 0)
-        return both.select("id", waits.alias("waits"), F.when(ready, F.col("g") + 1).otherwise(F.col("generation")).alias("generation"), ready.alias("new"))
-
-    out = fixpoint(start, step, "new")
-    if not out.where("generation is null").isEmpty():
-        raise ValueError("the graph has a cycle")
-    return out.select("id", "generation")
+        def step(state: DataFrame) -> DataFrame:
+            freed = state.where("new").select(F.col("id").alias("root"), "generation").join(long_arcs, "root").groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("freed"), F.max(F.col("generation") + F.col("far")).alias("g"))
+            both = state.join(freed, "id", "left")
+            left, least = F.col("waits") - F.coalesce("freed", F.lit(0)), F.greatest("least", F.coalesce("g", F.lit(0)))
+            ready = F.col("generation").isNull() & (left == 0)
+            return both.select("id", left.alias("waits"), F.when(ready, least).otherwise(F.col("generation")).alias("generation"), ready.alias("new"), least.alias("least"))
+
+        settled = fixpoint(start, step, "new", 1_000_000)
+        if not settled.where("generation is null").isEmpty():
+            raise ValueError("the graph has a cycle")
+    tops = settled.select(F.col("id").alias("root"), "generation")
+    return jumps.join(tops, "root").select("id", (F.col("generation") + F.col("k")).alias("generation"))
+
+
+def descendants(graph: Graph, source: object) -> DataFrame:
+    """(id) of all vertices that can be reached from ``source``, itself not."""
+    from graphloom.operators.paths import bfs
+
+    return bfs(graph, graph.vertices.where(F.col("id") == source).select("id")).where("depth > 0").select("id")
+
+
+def ancestors(graph: Graph, target: object) -> DataFrame:
+    """(id) of all vertices that reach ``target``, itself not."""
+    from graphloom.operators.transforms import transpose
+
+    return descendants(transpose(graph), target)
+
+
+def lowest_common_ancestors(graph: Graph, pairs: DataFrame) -> DataFrame:
+    """(a, b, lca): the common ancestors of a and b from which no other common ancestor can be reached; a vertex counts as above itself.
+
+    Lines of ancestors are gathered for the vertices asked only.
+    """
+    from graphloom.plans.fixpoint import spread
+
+    arcs = save(graph.edges.select("src", "dst").distinct(), "arcs")
+    asked = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+
+    def step(front: DataFrame) -> DataFrame:
+        return front.join(arcs, F.col("above") == F.col("dst")).select("id", F.col("src").alias("above")).distinct()
+
+    lines = spread(asked.select("id", F.col("id").alias("above")), step, ["id", "above"])
+    a, b = lines.select(F.col("id").alias("a"), "above"), lines.select(F.col("id").alias("b"), "above")
+    common = save(pairs.distinct().join(a, "a").join(b, ["b", "above"]).select("a", "b", "above"), "common")
+    # a common ancestor with an arc to another one is not lowest; every path between two of them runs through such vertices
+    higher = common.join(arcs, F.col("above") == F.col("src")).join(common.select(F.col("a").alias("x"), F.col("b").alias("y"), F.col("above").alias("dst")), "dst").where("a = x and b = y").select("a", "b", "above")
+    return common.join(higher, ["a", "b", "above"], "left_anti").select("a", "b", F.col("above").alias("lca"))
 
 
 def has_cycle(graph: Graph) -> DataFrame:

@@ -1,8 +1,9 @@
 """Traversal and shortest paths as rounds over a frontier.
 
-Every round joins only what changed in the round before with the arcs, so the
-work of all rounds together follows the arcs that are relaxed, not their
-number times the rounds.
+Every round joins only what changed in the round before with the arcs. Searches
+by hops append the vertices that a round finds and never write the others
+again; weighted searches write the table of distances anew in each round, as
+distances may fall again.
 """
 
 from __future__ import annotations
@@ -13,21 +14,39 @@ from pyspark.sql import functions as F
 from graphloom.functions.semirings import MIN_PLUS, Semiring
 from graphloom.graph import Graph
 from graphloom.plans import drop_saved, save
-from graphloom.plans.fixpoint import fixpoint, rounds
+from graphloom.plans.fixpoint import fixpoint, rounds, spread
 
 
 def bfs(graph: Graph, sources: DataFrame, max_depth: int | None = None, max_rounds: int = 100_000) -> DataFrame:
     """(id, depth, parent) of all vertices reachable from ``sources`` (column id); the parent is the smallest possible one."""
     arcs = graph.arcs().select("src", "dst").distinct()
     start = sources.select("id").distinct().join(graph.vertices, "id", "left_semi")
-    seen = start.select("id", F.lit(0).alias("depth"), F.lit(None).cast(graph.vertices.schema["id"].dataType).alias("parent"), F.lit(True).alias("new"))
-
-    def step(state: DataFrame) -> DataFrame:
-        front = state.where("new").select(F.col("id").alias("src"), "depth")
-        found = front.join(arcs, "src").groupBy(F.col("dst").alias("id")).agg(F.min(F.col("depth") + 1).alias("depth"), F.min("src").alias("parent")).join(state, "id", "left_anti")
-        return state.withColumn("new", F.lit(False)).unionByName(found.withColumn("new", F.lit(True)))
-
-    return fixpoint(seen, step, "new", max_depth or max_rounds).drop("new")
+    first = start.select("id", F.lit(0).alias("depth"), F.lit(None).cast(graph.vertices.schema["id"].dataType).alias("parent"))
+
+    def step(front: DataFrame) -> DataFrame:
+        near = front.select(F.col("id").alias("src"), "depth").join(arcs, "src")
+        return near.groupBy(F.col("dst").alias("id")).agg(F.min(F.col("depth") + 1).alias("depth"), F.min("src").alias("parent"))
+
+    return spread(first, step, ["id"], max_depth or max_rounds)
+
+
+def bidirectional_distance(graph: Graph, source: object, target: object) -> DataFrame:
+    """One row (hops) of a shortest path, by searches from both ends that take turns, the smaller frontier first; null without a path."""
+    arcs = save(graph.arcs().select("src", "dst").distinct(), "arcs")
+    back = arcs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    one = lambda x: graph.vertices.where(F.col("id") == x).select("id", F.lit(0).alias("depth"))
+    sides = [(arcs, save(one(source), "near"), save(one(source), "front"), 0), (back, save(one(target), "near"), save(one(target), "front"), 0)]
+    best = None
+    while True:
+        met = sides[0][1].join(sides[1][1].withColumnRenamed("depth", "other"), "id").agg(F.min(F.col("depth") + F.col("other")).alias("hops")).first()["hops"]
+        best = met if met is not None else best
+        sizes = [x[2].count() for x in sides]
+        if not all(sizes) or best is not None and best <= sides[0][3] + sides[1][3]:
+            return graph.spark.range(1).select(F.lit(best).cast("long").alias("hops"))
+        i = int(sizes[1] < sizes[0])
+        along, seen, front, depth = sides[i]
+        new = save(front.select(F.col("id").alias("src")).join(along, "src").select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti").withColumn("depth", F.lit(depth + 1)), "front")
+        sides[i] = (along, seen.unionByName(new), new, depth + 1)
 
 
 def sssp(graph: Graph, sources: DataFrame, semiring: Semiring = MIN_PLUS, max_rounds: int = 100_000) -> DataFrame:
@@ -49,7 +68,7 @@ def sssp(graph: Graph, sources: DataFrame, semiring: Semiring = MIN_PLUS, max_ro
         return best.select("source", "id", "dist", (F.col("old").isNull() | (F.col("old") != F.col("dist"))).alias("new"))
 
     limit = min(max_rounds, n + 1)
-    out = fixpoint(dist, step, "new", limit)
+    out = fixpoint(dist, step, "new", limit, partial=True)
     if not out.where("new").isEmpty():
         raise ValueError("negative cycle" if semiring is MIN_PLUS else "distances do not settle")
     return out.drop("new")
@@ -77,14 +96,13 @@ def all_pairs_hops(graph: Graph, sources: DataFrame | None = None) -> DataFrame:
     """(source, id, hops) from every source (default: all vertices) to all it reaches; as large as the answer is."""
     arcs = graph.arcs().select("src", "dst").where("src <> dst").distinct()
     sources = (graph.vertices if sources is None else sources).select("id")
-    start = sources.select(F.col("id").alias("source"), "id", F.lit(0).alias("hops"), F.lit(True).alias("new"))
+    start = sources.select(F.col("id").alias("source"), "id", F.lit(0).alias("hops"))
 
-    def step(state: DataFrame) -> DataFrame:
-        front = state.where("new").select("source", F.col("id").alias("src"), "hops")
-        found = front.join(arcs, "src").select("source", F.col("dst").alias("id"), (F.col("hops") + 1).alias("hops")).distinct().join(state, ["source", "id"], "left_anti")
-        return state.withColumn("new", F.lit(False)).unionByName(found.withColumn("new", F.lit(True)))
+    def step(front: DataFrame) -> DataFrame:
+        near = front.select("source", F.col("id").alias("src"), "hops").join(arcs, "src")
+        return near.select("source", F.col("dst").alias("id"), (F.col("hops") + 1).alias("hops")).distinct()
 
-    return fixpoint(start, step, "new").drop("new")
+    return spread(start, step, ["source", "id"])
 
 
 def distance_matrix(graph: Graph, points: DataFrame) -> DataFrame:

@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 
-from graphloom.plans.shared import drop_saved, save
+from graphloom.plans.shared import drop_saved, fresh_path, save
 
 
-def fixpoint(state: DataFrame, step: Callable[[DataFrame], DataFrame], changed: Column | str, max_rounds: int = 10_000) -> DataFrame:
-    """Apply ``step`` until no row satisfies ``changed`` any more, or for ``max_rounds``; returns the last table."""
+def fixpoint(state: DataFrame, step: Callable[[DataFrame], DataFrame], changed: Column | str, max_rounds: int = 10_000, partial: bool = False) -> DataFrame:
+    """Apply ``step`` until no row satisfies ``changed`` any more; returns the last table.
+
+    Rounds that run out with rows still changing are an error, unless a
+    ``partial`` result is asked for.
+    """
     state = save(state, "round")
     for _ in range(max_rounds):
         new = save(step(state), "round")
@@ -18,10 +22,31 @@ def fixpoint(state: DataFrame, step: Callable[[DataFrame], DataFrame], changed:
         drop_saved(state)
         state = new
         if done:
-            break
+            return state
+    if not partial and not state.where(changed).isEmpty():
+        raise RuntimeError(f"rows still change after {max_rounds} rounds")
     return state
 
 
+def spread(start: DataFrame, step: Callable[[DataFrame], DataFrame], keys: list[str], max_rounds: int | None = None) -> DataFrame:
+    """All rows reached from ``start``: each round ``step`` makes rows from those new in the last one, and rows of known ``keys`` are dropped.
+
+    A round appends its new rows to the table; what is known is read, never
+    written again.
+    """
+    spark, path, schema = start.sparkSession, fresh_path(start.sparkSession, "spread"), start.schema
+    start.write.parquet(f"{path}/0")
+    n = 0
+    while max_rounds is None or n < max_rounds:
+        known = spark.read.schema(schema).parquet(*(f"{path}/{i}" for i in range(n + 1)))
+        front = spark.read.schema(schema).parquet(f"{path}/{n}")
+        step(front).select(*schema.names).join(known.select(*keys), keys, "left_anti").select(*schema.names).write.parquet(f"{path}/{n + 1}")
+        n += 1
+        if spark.read.schema(schema).parquet(f"{path}/{n}").isEmpty():
+            break
+    return spark.read.schema(schema).parquet(*(f"{path}/{i}" for i in range(n + 1)))
+
+
 def rounds(state: DataFrame, step: Callable[[DataFrame], DataFrame], n: int, done: Callable[[DataFrame, DataFrame], bool] = lambda old, new: False) -> DataFrame:
     """At most ``n`` rounds; stops early when ``done(old, new)``."""
     state = save(state, "round")
