@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from graphloom.graph import Graph, from_edges
-from graphloom.operators import algebra, centrality, community, connectivity, dag, flow, generators, health, model, multigraph, paths, structure, transforms
-from graphloom.plans import running_total, save
+from graphloom.operators import algebra, approximate, centrality, community, connectivity, dag, flow, generators, health, model, multigraph, paths, structure, transforms
+from graphloom.plans import connected_components, fresh_path, running_total, save
+from graphloom.sources import readers, writers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -513,3 +514,87 @@ for _name, _make in {
     "recursive_tree": lambda s: generators.recursive_tree(s, 200, 1),
 }.items():
     add(f"generate_{_name}", lambda s, d, make=_make: make(s).edges)
+
+
+# --- refined communities, estimates, random families ----------------------
+
+
+def leiden_check(s: SparkSession, d: str) -> DataFrame:
+    """Vertices, communities in more than one piece, and vertices without a community."""
+    g = suppliers(s, d)
+    c = save(community.leiden(g), "communities")
+    a, b = c.select(F.col("id").alias("src"), F.col("community").alias("a")), c.select(F.col("id").alias("dst"), F.col("community").alias("b"))
+    pieces = connected_components(g.edges.where("src <> dst").join(a, "src").join(b, "dst").where("a = b"))
+    split = c.join(pieces, "id", "left").groupBy("community").agg(F.count_distinct(F.coalesce("component", "id")).alias("n")).where("n > 1")
+    return _odd(c, "n_vertices").join(_odd(split, "n_split")).join(_odd(g.vertices.join(c, "id", "left_anti"), "n_left_out"))
+
+
+def cover_check(s: SparkSession, d: str) -> DataFrame:
+    """Edges with no end in the cover; there are none."""
+    g = parts(s, d)
+    c = save(approximate.vertex_cover(g), "cover")
+    bare = g.edges.join(c.withColumnRenamed("id", "src"), "src", "left_anti").join(c.withColumnRenamed("id", "dst"), "dst", "left_anti")
+    return _odd(bare, "n_bare")
+
+
+add("leiden", lambda s, d: community.leiden(suppliers(s, d)))
+add("leiden_check", leiden_check, f"{_SUPPLIERS} SELECT count(*) AS n_vertices, 0 AS n_split, 0 AS n_left_out FROM v")
+add("vertex_cover", lambda s, d: approximate.vertex_cover(parts(s, d)))
+add("vertex_cover_check", cover_check, "x AS (SELECT 1) SELECT 0 AS n_bare FROM x")
+add("sampled_transitivity", lambda s, d: approximate.transitivity(suppliers(s, d)))
+
+
+def _shape(g: Graph) -> DataFrame:
+    """One row: vertices, edges, loops and repeats of a generated graph."""
+    e = save(g.edges, "generated")
+    return _odd(g.vertices, "n_nodes").join(_odd(e, "n_edges")).join(_odd(e.where("src = dst"), "n_loops")).join(_odd(e.groupBy("src", "dst").count().where("count > 1"), "n_repeats"))
+
+
+add("generate_gnm", lambda s, d: _shape(generators.gnm(s, 2000, 9000, 7)), "x AS (SELECT 1) SELECT 2000 AS n_nodes, 9000 AS n_edges, 0 AS n_loops, 0 AS n_repeats FROM x")
+add("generate_gnm_dense", lambda s, d: _shape(generators.gnm(s, 60, 3000, 7, True)), "x AS (SELECT 1) SELECT 60 AS n_nodes, 3000 AS n_edges, 0 AS n_loops, 0 AS n_repeats FROM x")
+add("generate_regular", lambda s, d: model.degrees(generators.regular(s, 500, 5, 7)).select("id", "degree"), "x AS (SELECT 1) SELECT range AS id, 5 AS degree FROM range(500)")
+add("generate_geometric", lambda s, d: generators.geometric(s, 2000, 0.03, 7).edges)
+add("generate_kronecker", lambda s, d: generators.kronecker(s, [[0.9, 0.5, 0.2], [0.5, 0.3, 0.1], [0.2, 0.1, 0.1]], 6, 5000, 7).edges)
+add("generate_nested_blocks", lambda s, d: generators.nested_block_model(s, 1200, [3, 4], [0.001, 0.01, 0.2], 7).edges)
+add("generate_degree_corrected_blocks", lambda s, d: generators.degree_corrected_block_model(s, [400, 600, 1000], 8000, 0.8, 7).edges)
+add(
+    "rewired_degrees",
+    lambda s, d: model.degrees(generators.rewired(parts(s, d), 3, 7)).select("id", "degree"),
+    f"{_PARTS} SELECT src AS id, count(*) AS degree FROM a GROUP BY 1",
+)
+
+
+# --- files: written, read back --------------------------------------------
+
+
+def _back(name: str, numbered: int | None = None, weighted: bool = True, one_file: bool = True) -> None:
+    """Register: the supplier graph written in a format and read from the files."""
+
+    def query(s: SparkSession, d: str) -> DataFrame:
+        text, path = getattr(writers, name)(suppliers(s, d)), fresh_path(s, name)
+        writers.write_text(text.coalesce(1) if one_file else text, path)  # formats with sections are one file
+        read = getattr(readers, name)
+        found = read(s, path, False) if name in ("edge_list", "tgf", "adjacency_list", "adjacency_matrix") else read(s, path)
+        found = found[0] if isinstance(found, tuple) else found
+        edges = found.edges if isinstance(found, Graph) else found
+        ends = [F.col("src").cast("long"), F.col("dst").cast("long")]
+        ends = [F.least(*ends).alias("src"), F.greatest(*ends).alias("dst")]
+        return edges.select(*ends, *([F.col("weight").cast("double").alias("weight")] if weighted else [])).distinct()
+
+    weight = ", weight::DOUBLE AS weight" if weighted else ""
+    if numbered is None:
+        sql = f"{_SUPPLIERS} SELECT src, dst{weight} FROM e"
+    else:
+        sql = f"{_SUPPLIERS}, k AS (SELECT id, row_number() OVER (ORDER BY id) - 1 + {numbered} AS n FROM v) SELECT a.n AS src, b.n AS dst{weight} FROM e JOIN k a ON a.id = src JOIN k b ON b.id = dst"
+    add(f"file_{name}", query, sql)
+
+
+_back("edge_list", one_file=False)
+_back("adjacency_list", weighted=False, one_file=False)
+_back("adjacency_matrix", numbered=0)
+for _name in ("tgf", "pajek", "gdf", "graphml", "gexf"):
+    _back(_name)
+_back("leda", numbered=1)
+_back("matrix_market", numbered=1)
+_back("graph6", numbered=0, weighted=False)
+_back("sparse6", numbered=0, weighted=False)

@@ -135,6 +135,63 @@ def label_propagation(graph: Graph, max_iter: int = 20) -> DataFrame:
     return rounds(start, step, max_iter, lambda old, new: new.where("new").isEmpty()).select("id", "community")
 
 
+def _folded(graph: Graph) -> DataFrame:
+    """(src, dst, weight) without regard to direction, one row a pair."""
+    ends = [F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")]
+    return graph.edges.select(*ends, F.coalesce("weight", F.lit(1)).alias("weight")).groupBy("src", "dst").agg(F.sum("weight").cast("double").alias("weight"))
+
+
+def _level(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The arcs (src, dst, weight) of a level and the weighted degrees (v, k); a loop counts twice."""
+    apart = edges.where("src <> dst")
+    arcs = save(apart.unionByName(apart.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")), "arcs")
+    loops = edges.where("src = dst").select(F.col("src").alias("v"), (2 * F.col("weight")).alias("w"))
+    return arcs, save(arcs.select(F.col("src").alias("v"), F.col("weight").alias("w")).unionByName(loops).groupBy("v").agg(F.sum("w").alias("k")), "k")
+
+
+def _moved(arcs: DataFrame, state: DataFrame, m2: float, passes: int, resolution: float) -> tuple[DataFrame, bool]:
+    """(v, c, k) after at most ``passes`` of moves to the best community along ``arcs``, and whether any vertex moved."""
+    any_moved = False
+    for turn in range(passes):
+        total = state.groupBy("c").agg(F.sum("k").alias("total"))
+        to = arcs.join(state.select(F.col("v").alias("dst"), F.col("c").alias("to")), "dst").groupBy(F.col("src").alias("v"), "to").agg(F.sum("weight").alias("w"))
+        to = to.unionByName(state.select("v", F.col("c").alias("to"), F.lit(0.0).alias("w"))).groupBy("v", "to").agg(F.sum("w").alias("w"))
+        seen = to.join(state, "v").join(total.withColumnRenamed("c", "to"), "to")
+        others = F.col("total") - F.when(F.col("to") == F.col("c"), F.col("k")).otherwise(0.0)
+        gain = F.round(F.col("w") - resolution * F.col("k") * others / m2, 9)
+        best = seen.groupBy("v").agg(F.max_by("to", F.struct(gain, (F.col("to") == F.col("c")).cast("int"), -F.col("to"))).alias("best"))
+        mine = F.pmod(F.xxhash64("v"), F.lit(2)) == turn % 2
+        new = save(state.join(best, "v").select("v", F.when(mine, F.col("best")).otherwise(F.col("c")).alias("c"), "k", (mine & (F.col("best") != F.col("c"))).alias("moved")), "state")
+        moved = not new.where("moved").isEmpty()
+        state, any_moved = new.drop("moved"), any_moved or moved
+        if not moved and turn % 2:
+            break
+    return state, any_moved
+
+
+def _merged(edges: DataFrame, of: DataFrame) -> DataFrame:
+    """Edges between the blocks of (v, c)."""
+    a, b = of.select(F.col("v").alias("src"), F.col("c").alias("a")), of.select(F.col("v").alias("dst"), F.col("c").alias("b"))
+    return save(edges.join(a, "src").join(b, "dst").groupBy(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).agg(F.sum("weight").alias("weight")), "level")
+
+
+def _renamed(where: DataFrame, of: DataFrame) -> DataFrame:
+    """(id, community) with each community replaced by what (v, c) says; others stay."""
+    return save(where.join(of.select(F.col("v").alias("community"), "c"), "community", "left").select("id", F.coalesce("c", "community").alias("community")), "where")
+
+
+def _inside(arcs: DataFrame, of: DataFrame) -> DataFrame:
+    """The arcs whose ends share a block of (v, c)."""
+    a, b = of.select(F.col("v").alias("src"), F.col("c").alias("a")), of.select(F.col("v").alias("dst"), F.col("c").alias("b"))
+    return save(arcs.join(a, "src").join(b, "dst").where("a = b").drop("a", "b"), "inside")
+
+
+def _connected(arcs: DataFrame, of: DataFrame) -> DataFrame:
+    """(v, c): the blocks of (v, c) split into their connected parts, each named after its smallest vertex."""
+    parts = connected_components(_inside(arcs, of))
+    return save(of.join(parts, F.col("v") == F.col("id"), "left").select("v", F.coalesce("component", "v").alias("c")), "parts")
+
+
 def louvain(graph: Graph, levels: int = 10, passes: int = 8, resolution: float = 1.0) -> DataFrame:
     """(id, community) by greedy modularity, in parallel.
 
@@ -143,41 +200,51 @@ def louvain(graph: Graph, levels: int = 10, passes: int = 8, resolution: float =
     that neighbours do not chase each other. A level ends when nothing moves;
     communities then become the vertices of the next level.
     """
-    edges = graph.edges if not graph.directed else graph.edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "weight")
-    edges = save(edges.groupBy("src", "dst").agg(F.sum(F.coalesce("weight", F.lit(1))).cast("double").alias("weight")), "level")
+    edges = save(_folded(graph), "level")
     where = save(graph.vertices.select("id", F.col("id").alias("community")), "where")
     m2 = 2.0 * (edges.agg(F.sum("weight")).first()[0] or 0.0)
     if not m2:
         return where
     for _ in range(levels):
-        loops = edges.where("src = dst").select(F.col("src").alias("v"), (2 * F.col("weight")).alias("w"))
-        arcs = save(edges.where("src <> dst").unionByName(edges.where("src <> dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")), "arcs")
-        k = save(arcs.select(F.col("src").alias("v"), F.col("weight").alias("w")).unionByName(loops).groupBy("v").agg(F.sum("w").alias("k")), "k")
-        state = save(k.select("v", F.col("v").alias("c"), "k"), "state")
-        any_moved = False
-        for turn in range(passes):
-            total = state.groupBy("c").agg(F.sum("k").alias("total"))
-            to = arcs.join(state.select(F.col("v").alias("dst"), F.col("c").alias("to")), "dst").groupBy(F.col("src").alias("v"), "to").agg(F.sum("weight").alias("w"))
-            to = to.unionByName(state.select("v", F.col("c").alias("to"), F.lit(0.0).alias("w"))).groupBy("v", "to").agg(F.sum("w").alias("w"))
-            seen = to.join(state, "v").join(total.withColumnRenamed("c", "to"), "to")
-            others = F.col("total") - F.when(F.col("to") == F.col("c"), F.col("k")).otherwise(0.0)
-            gain = F.round(F.col("w") - resolution * F.col("k") * others / m2, 9)
-            best = seen.groupBy("v").agg(F.max_by("to", F.struct(gain, (F.col("to") == F.col("c")).cast("int"), -F.col("to"))).alias("best"))
-            mine = F.pmod(F.xxhash64("v"), F.lit(2)) == turn % 2
-            new = save(state.join(best, "v").select("v", F.when(mine, F.col("best")).otherwise(F.col("c")).alias("c"), "k", (mine & (F.col("best") != F.col("c"))).alias("moved")), "state")
-            moved = not new.where("moved").isEmpty()
-            state, any_moved = new.drop("moved"), any_moved or moved
-            if not moved and turn % 2:
-                break
+        arcs, k = _level(edges)
+        state, any_moved = _moved(arcs, save(k.select("v", F.col("v").alias("c"), "k"), "state"), m2, passes, resolution)
         if not any_moved:
             break
-        where = save(where.join(state.select(F.col("v").alias("community"), "c"), "community", "left").select("id", F.coalesce("c", "community").alias("community")), "where")
-        a, b = state.select(F.col("v").alias("src"), F.col("c").alias("a")), state.select(F.col("v").alias("dst"), F.col("c").alias("b"))
-        edges = save(edges.join(a, "src").join(b, "dst").groupBy(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).agg(F.sum("weight").alias("weight")), "level")
+        where, edges = _renamed(where, state), _merged(edges, state)
     name = where.groupBy("community").agg(F.min("id").alias("least"))
     return where.join(name, "community").select("id", F.col("least").alias("community"))
 
 
+def leiden(graph: Graph, levels: int = 10, passes: int = 8, resolution: float = 1.0) -> DataFrame:
+    """(id, community) by greedy modularity with refinement; every community is connected.
+
+    After the moves of a level, as in ``louvain``, the vertices start alone
+    once more and join up within their communities only; the connected parts
+    of that become the vertices of the next level, which starts from the
+    communities found. Ends when no part holds two vertices.
+    """
+    edges = save(_folded(graph), "level")
+    where = save(graph.vertices.select("id", F.col("id").alias("community")), "where")
+    m2 = 2.0 * (edges.agg(F.sum("weight")).first()[0] or 0.0)
+    if not m2:
+        return where
+    whole, k = _level(edges)
+    arcs, state = whole, save(k.select("v", F.col("v").alias("c"), "k"), "state")
+    for _ in range(levels):
+        state, _any = _moved(arcs, state, m2, passes, resolution)
+        alone = save(k.select("v", F.col("v").alias("c"), "k"), "state")
+        inside = _inside(arcs, state)
+        refined = _connected(inside, _moved(inside, alone, m2, passes, resolution)[0])
+        if refined.where("v <> c").isEmpty():
+            break
+        kept = state.select("v", F.col("c").alias("of")).join(refined, "v").groupBy(F.col("c").alias("v")).agg(F.min("of").alias("c"))
+        where, edges = _renamed(where, refined), _merged(edges, refined)
+        arcs, k = _level(edges)
+        state = save(kept.join(k, "v"), "state")
+    found = _renamed(where, state)
+    return _connected(whole, found.select(F.col("id").alias("v"), F.col("community").alias("c"))).select(F.col("v").alias("id"), F.col("c").alias("community"))
+
+
 def community_sizes(communities: DataFrame) -> DataFrame:
     return communities.groupBy("community").agg(F.count(F.lit(1)).alias("n_nodes"))
 

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.graph import Graph
+from graphloom.operators.transforms import ranked_ids
+from graphloom.plans import save
 
 
 def _ordered(*parts: tuple[DataFrame, Column, Column]) -> DataFrame:
@@ -57,10 +59,14 @@ def pajek(graph: Graph, label: str | None = None) -> DataFrame:
 
 
 def matrix_market(graph: Graph) -> DataFrame:
-    size = graph.vertices.agg(F.max("id").alias("n")).join(graph.edges.agg(F.count(F.lit(1)).alias("m")))
+    """Coordinate format, whose indices start at 1: vertices are numbered in the order of ids."""
+    _, edges, n = _numbered(graph)
+    edges = edges.select((F.col("src") + 1).alias("src"), (F.col("dst") + 1).alias("dst"), "weight")
+    size = edges.agg(F.concat_ws(" ", F.lit(n), F.lit(n), F.count(F.lit(1))).alias("line"))
     kind = "general" if graph.directed else "symmetric"
     a, b = ("src", "dst") if graph.directed else ("dst", "src")  # symmetric files hold the lower triangle
-    return _ordered(_one(graph, f"%%MatrixMarket matrix coordinate real {kind}"), (size, F.lit("0"), F.concat_ws(" ", "n", "n", "m")), (graph.edges, _ends(), F.concat_ws(" ", a, b, F.coalesce("weight", F.lit(1)))))
+    line = F.concat_ws(" ", a, b, F.coalesce("weight", F.lit(1)))
+    return _ordered(_one(graph, f"%%MatrixMarket matrix coordinate real {kind}"), (size, F.lit("0"), F.col("line")), (edges, _ends(), line))
 
 
 def gdf(graph: Graph, label: str | None = None) -> DataFrame:
@@ -108,3 +114,87 @@ def mermaid(graph: Graph, label: str | None = None) -> DataFrame:
 def json_rows(graph: Graph) -> DataFrame:
     """JSON lines {"type": "node" | "edge", ...}."""
     return _ordered((graph.vertices, F.lpad(F.col("id").cast("string"), 20, "0"), F.to_json(F.struct(F.lit("node").alias("type"), "*"))), (graph.edges, _ends(), F.to_json(F.struct(F.lit("edge").alias("type"), "*"))))
+
+
+def _numbered(graph: Graph) -> tuple[DataFrame, DataFrame, int]:
+    """Vertices with their place by id (from 0) as ``new``, the edges between places, and how many vertices there are."""
+    ids = save(ranked_ids(graph).select("id", "new"), "places")
+    a, b = ids.select(F.col("id").alias("src"), F.col("new").alias("s")), ids.select(F.col("id").alias("dst"), F.col("new").alias("d"))
+    edges = graph.edges.join(a, "src").join(b, "dst").select(F.col("s").alias("src"), F.col("d").alias("dst"), "weight")
+    return ids, edges, ids.count()
+
+
+def adjacency_matrix(graph: Graph) -> DataFrame:
+    """A line of weights for each vertex in the order of ids; 0 is no edge."""
+    ids, edges, n = _numbered(graph)
+    arcs = Graph(ids, edges, graph.directed).arcs()
+    held = arcs.groupBy(F.col("src").alias("new")).agg(F.map_from_entries(F.collect_list(F.struct("dst", F.col("weight").cast("double")))).alias("to"))
+    cell = lambda j: F.coalesce(F.try_element_at("to", j), F.lit(0.0)).cast("string")
+    line = F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")), cell), " ")
+    return _ordered((ids.join(held, "new", "left"), F.lpad(F.col("new").cast("string"), 20, "0"), line))
+
+
+def leda(graph: Graph, label: str | None = None) -> DataFrame:
+    """LEDA.GRAPH; vertices are numbered from 1 in the order of ids, which are their labels unless a column is named."""
+    ids, edges, n = _numbered(graph)
+    boxed = lambda c: F.concat(F.lit("|{"), F.coalesce(c.cast("string"), F.lit("")), F.lit("}|"))
+    named = ids.join(graph.vertices, "id")
+    edges = edges.select((F.col("src") + 1).alias("src"), (F.col("dst") + 1).alias("dst"), "weight")
+    size = edges.agg(F.count(F.lit(1)).cast("string").alias("m"))
+    head = f"LEDA.GRAPH\nstring\nstring\n{-1 if graph.directed else -2}\n{n}"
+    line = F.concat_ws(" ", "src", "dst", F.lit("0"), boxed(F.col("weight")))
+    return _ordered(_one(graph, head), (named, F.lpad(F.col("new").cast("string"), 20, "0"), boxed(F.col(label or "id"))), (size, F.lit("0"), F.col("m")), (edges, _ends(), line))
+
+
+def gexf(graph: Graph, label: str | None = None) -> DataFrame:
+    kind = "directed" if graph.directed else "undirected"
+    head = f'<?xml version="1.0" encoding="UTF-8"?>\n<gexf xmlns="http://gexf.net/1.3" version="1.3">\n<graph defaultedgetype="{kind}">\n<nodes>'
+    node = F.concat(F.lit('<node id="'), _xml("id"), F.lit('" label="'), _xml(label or "id"), F.lit('"/>'))
+    weight = F.coalesce(F.concat(F.lit(' weight="'), F.col("weight").cast("string"), F.lit('"')), F.lit(""))
+    edge = F.concat(F.lit('<edge id="'), _xml("src"), F.lit("-"), _xml("dst"), F.lit('" source="'), _xml("src"), F.lit('" target="'), _xml("dst"), F.lit('"'), weight, F.lit("/>"))
+    by_id = F.lpad(F.col("id").cast("string"), 20, "0")
+    return _ordered(_one(graph, head), (graph.vertices, by_id, node), _one(graph, "</nodes>\n<edges>"), (graph.edges, _ends(), edge), _one(graph, "</edges>\n</graph>\n</gexf>"))
+
+
+def _size(n: int) -> str:
+    """The number of vertices at the start of a graph6 or sparse6 line."""
+    marks, digits = ("", 1) if n < 63 else ("~", 3) if n < 258048 else ("~~", 6)
+    return marks + "".join(chr(63 + (n >> 6 * i & 63)) for i in reversed(range(digits)))
+
+
+def _simple_edges(graph: Graph) -> tuple[DataFrame, int]:
+    if graph.directed:
+        raise ValueError("the format holds undirected graphs")
+    _, edges, n = _numbered(graph)
+    return edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).where("src <> dst").distinct(), n
+
+
+def graph6(graph: Graph) -> DataFrame:
+    """One line; vertices are numbered in the order of ids, loops are left out. A line is a row, which bounds the graph."""
+    edges, n = _simple_edges(graph)
+    k = F.col("dst") * (F.col("dst") - 1) / 2 + F.col("src")
+    held = edges.select(k.cast("long").alias("k")).groupBy(F.floor(F.col("k") / 6).alias("id")).agg(F.sum(F.expr("shiftleft(1, cast(5 - k % 6 as int))")).alias("v"))
+    cells = graph.spark.range((n * (n - 1) // 2 + 5) // 6).join(held, "id", "left").select("id", F.char(F.coalesce("v", F.lit(0)) + 63).alias("c"))
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", "c"))), lambda x: x["c"]), "")
+    return cells.agg(F.concat(F.lit(_size(n)), text).alias("line"))
+
+
+def sparse6(graph: Graph) -> DataFrame:
+    """One line; vertices are numbered in the order of ids, loops are left out. A line is a row, which bounds the graph."""
+    edges, n = _simple_edges(graph)
+    k = max(1, (n - 1).bit_length())
+    bits = lambda x: F.lpad(F.bin(x), k, "0")
+
+    def step(e, i):
+        before = F.when(i == 0, F.lit(0).cast("long")).otherwise(F.get(F.col("e"), i - 1)["dst"])
+        near = F.concat((e["dst"] - before).cast("string"), bits(e["src"]))
+        return F.when(e["dst"] - before <= 1, near).otherwise(F.concat(F.lit("1"), bits(e["dst"]), F.lit("0"), bits(e["src"])))
+
+    one = edges.agg(F.sort_array(F.collect_list(F.struct("dst", "src"))).alias("e"))
+    one = one.select(F.array_join(F.transform("e", step), "").alias("s"), F.try_element_at("e", F.lit(-1))["dst"].alias("last"))
+    pad = F.pmod(-F.length("s"), F.lit(6))
+    zero = (pad > k) & (F.col("last") == n - 2) if k < 6 and n == 1 << k else F.lit(False)  # ones alone would read as a loop at n - 1
+    padded = one.select(F.concat("s", F.when(zero, F.rpad(F.lit("0"), pad, F.lit("1"))).otherwise(F.rpad(F.lit(""), pad, F.lit("1")))).alias("s"))
+    six = lambda i: F.char(F.conv(F.substring(F.col("s"), i * 6 + 1, F.lit(6)), 2, 10).cast("int") + 63)
+    text = F.when(F.length("s") > 0, F.array_join(F.transform(F.sequence(F.lit(0), (F.length("s") / 6).cast("int") - 1), six), "")).otherwise("")
+    return padded.select(F.concat(F.lit(":" + _size(n)), text).alias("line"))

@@ -74,13 +74,29 @@ def test_graph6(spark, tmp_path):
     assert {n: e for (_, n), e in by.items()} == {5: {(0, 1), (0, 3), (1, 3), (2, 4)}, 2: {(0, 1)}} or {n for _, n in by} == {5, 2}
 
 
+def test_sparse6(spark, tmp_path):
+    out = readers.sparse6(spark, put(tmp_path, "a.s6", ">>sparse6<<:Fa@x^\n")).collect()
+    assert {(r["n"], r["src"], r["dst"]) for r in out} == {(7, 0, 1), (7, 0, 2), (7, 1, 2), (7, 5, 6)}
+
+
+@pytest.mark.parametrize("pairs", [[(0, 1), (1, 2), (3, 3)], [(0, 1), (2, 3)], [(0, 6), (3, 6), (7, 7)], [(0, 5), (5, 6), (7, 7)], [(0, 70), (3, 69), (2, 5)], [(0, 1)], [(0, 0)]])
+def test_graph_lines_read_back(spark, tmp_path, pairs):
+    ids = spark.range(max(b for _, b in pairs) + 1)
+    g = from_edges(spark.createDataFrame(pairs, "src long, dst long"), False, vertices=ids)
+    for name in ("graph6", "sparse6"):
+        out = str(tmp_path / name)
+        writers.write_text(getattr(writers, name)(g), out)
+        back = getattr(readers, name)(spark, out).collect()
+        assert sorted((r["src"], r["dst"]) for r in back) == sorted(p for p in pairs if p[0] != p[1]), name
+
+
 @pytest.mark.parametrize("directed", [True, False])
 def test_written_graphs_read_back(spark, tmp_path, directed):
     e = spark.createDataFrame([(1, 2, 5.0), (2, 3, 1.5), (1, 3, 2.0)], "src long, dst long, weight double")
     g = from_edges(e, directed)
     want = {(a, b, float(w)) for a, b, w in edges(g)}
     out = str(tmp_path / "x")
-    for name, read in {"pajek": lambda p: readers.pajek(spark, p)[0], "matrix_market": lambda p: readers.matrix_market(spark, p)[0], "edge_list": lambda p: readers.edge_list(spark, p, directed), "gdf": lambda p: readers.gdf(spark, p), "graphml": lambda p: readers.graphml(spark, p)}.items():
+    for name, read in {"pajek": lambda p: readers.pajek(spark, p)[0], "matrix_market": lambda p: readers.matrix_market(spark, p)[0], "edge_list": lambda p: readers.edge_list(spark, p, directed), "gdf": lambda p: readers.gdf(spark, p), "graphml": lambda p: readers.graphml(spark, p), "gexf": lambda p: readers.gexf(spark, p), "leda": lambda p: readers.leda(spark, p)}.items():
         writers.write_text(getattr(writers, name)(g).coalesce(1), f"{out}-{name}")
         back = read(f"{out}-{name}")
         found = {(int(a), int(b), float(w)) for a, b, w in edges(back)}
