@@ -10,12 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from graphloom.graph import Graph, from_edges
-from graphloom.operators import algebra, approximate, centrality, community, connectivity, dag, flow, generators, health, model, multigraph, paths, structure, transforms
+from graphloom.operators import algebra, approximate, centrality, community, connectivity, dag, flow, generators, grids, health, layout, model, multigraph, paths, structure, transforms
 from graphloom.plans import connected_components, fresh_path, running_total, save
 from graphloom.sources import readers, writers
 
@@ -564,6 +564,36 @@ add(
 )
 
 
+def part_cells(s: SparkSession, d: str) -> DataFrame:
+    """Parts as cells of a plane a hundred wide, by key; data is the size."""
+    return table(s, d, "part").select(F.floor(F.col("p_partkey") / 100).alias("row"), F.pmod("p_partkey", F.lit(100)).alias("col"), F.col("p_size").alias("data"))
+
+
+def climb(here: Column, there: Column) -> Column:
+    return there - here <= 1
+
+
+_CELLS = "x AS (SELECT p_partkey AS id, p_partkey // 100 AS r, p_partkey % 100 AS c, p_size AS size, (SELECT max(p_partkey % 100) + 1 FROM part) AS w FROM part), m AS (SELECT a.r * a.w + a.c AS src, b.r * b.w + b.c AS dst, b.size - a.size AS up, abs(a.r - b.r) AS dr, abs(a.c - b.c) AS dc FROM x a JOIN x b ON b.r BETWEEN a.r - 2 AND a.r + 2 AND b.c BETWEEN a.c - 2 AND a.c + 2 AND a.id <> b.id)"
+add("grid_climb", lambda s, d: grids.from_cells(part_cells(s, d), climb, grids.QUEEN, True).edges, f"{_CELLS} SELECT src, dst, 1 AS weight FROM m WHERE greatest(dr, dc) = 1 AND up <= 1")
+add(
+    "grid_small_sizes",
+    lambda s, d: grids.from_cells(part_cells(s, d), grids.into(*range(1, 26))).edges,
+    f"{_CELLS} SELECT DISTINCT least(src, dst) AS src, greatest(src, dst) AS dst, 1 AS weight FROM m JOIN x ON x.id = dst WHERE dr + dc = 1 AND x.size BETWEEN 1 AND 25",
+)
+add("grid_knight", lambda s, d: grids.from_cells(part_cells(s, d), moves=grids.KNIGHT).edges, f"{_CELLS} SELECT src, dst, 1 AS weight FROM m WHERE dr * dc = 2 AND src < dst")
+add(
+    "layout_layers",
+    lambda s, d: layout.multipartite(dag.generations(geography(s, d)).withColumnRenamed("generation", "layer")),
+    f"{_GEO}, l AS (SELECT id, CASE WHEN id >= 0 THEN 2 WHEN id <= -100 THEN 1 ELSE 0 END AS layer FROM v) SELECT id, layer::DOUBLE AS x, row_number() OVER (PARTITION BY layer ORDER BY id) - 1 - (count(*) OVER (PARTITION BY layer) - 1) / 2 AS y FROM l",
+)
+add("pivot_closeness", lambda s, d: approximate.closeness(suppliers(s, d)))
+add("pivot_harmonic", lambda s, d: approximate.harmonic(suppliers(s, d)))
+#: With all vertices as pivots the estimates are the exact scores.
+QUERIES["pivot_closeness_check"] = lambda s, d: approximate.closeness(suppliers(s, d), pivots=1 << 40)
+QUERIES["pivot_harmonic_check"] = lambda s, d: approximate.harmonic(suppliers(s, d), pivots=1 << 40)
+SQL |= {"pivot_closeness_check": SQL["closeness"], "pivot_harmonic_check": SQL["harmonic"]}
+
+
 # --- files: written, read back --------------------------------------------
 
 

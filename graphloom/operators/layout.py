@@ -30,6 +30,15 @@ def shell(graph: Graph, shells: DataFrame) -> DataFrame:
     return placed.join(n, "shell").select("id", (F.col("shell") * F.cos(angle)).alias("x"), (F.col("shell") * F.sin(angle)).alias("y"))
 
 
+def multipartite(layers: DataFrame, gap: float = 1.0) -> DataFrame:
+    """(id, x, y): vertices of (id, layer) in a column a layer, in the order of ids and centred on y = 0."""
+    from graphloom.plans import running_total
+
+    placed = running_total(layers.select("id", "layer"), ["layer"], [F.col("id")], F.lit(1).cast("long"), "k")
+    n = layers.groupBy("layer").agg(F.count(F.lit(1)).alias("n"))
+    return placed.join(n, "layer").select("id", (F.col("layer") * gap).alias("x"), ((F.col("k") - (F.col("n") - 1) / 2) * gap).alias("y"))
+
+
 def random_layout(graph: Graph, seed: int = 0, width: float = 1.0, height: float = 1.0) -> DataFrame:
     u = lambda k: F.pmod(F.xxhash64(F.lit(seed), "id", F.lit(k)), F.lit(1 << 30)) / float(1 << 30)
     return graph.vertices.select("id", (u(0) * width).alias("x"), (u(1) * height).alias("y"))

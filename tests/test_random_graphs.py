@@ -67,3 +67,28 @@ def test_estimates(spark):
     assert approximate.transitivity(generators.complete(spark, 6), 50).first()["transitivity"] == 1
     assert approximate.transitivity(graph(spark, [(0, i) for i in range(1, 6)]), 50).first()["transitivity"] == 0
     assert approximate.transitivity(graph(spark, [(0, 1)]), 50).first()["transitivity"] == 0
+
+
+def test_scores_from_all_pivots_are_exact(spark):
+    from graphloom.operators import centrality
+
+    g = graph(spark, [(1, 2), (2, 3), (3, 4), (2, 5), (5, 4)])
+    exact = {r["id"]: r["score"] for r in centrality.closeness(g).collect()}
+    found = {r["id"]: r["score"] for r in approximate.closeness(g, pivots=5).collect()}
+    assert found == pytest.approx(exact)
+    exact_harmonic = {r["id"]: r["score"] for r in centrality.harmonic(g).collect()}
+    assert {r["id"]: r["score"] for r in approximate.harmonic(g, pivots=5).collect()} == pytest.approx(exact_harmonic)
+    some = {r["id"]: r["score"] for r in approximate.closeness(g, pivots=2).collect()}
+    assert set(some) == set(exact) and sum(x > 0 for x in some.values()) == 5
+
+
+def test_cells(spark):
+    from graphloom.operators import grids
+
+    maze = ["..#", ".#.", "..."]
+    cells = spark.createDataFrame([(r, c, x) for r, line in enumerate(maze) for c, x in enumerate(line)], "row long, col long, data string")
+    e = set(pairs(grids.from_cells(cells, lambda a, b: (a == ".") & (b == "."))))
+    assert e == {(0, 1), (0, 3), (3, 6), (6, 7), (7, 8), (5, 8)}
+    assert (1, 4) not in set(pairs(grids.from_cells(cells, grids.avoiding("#"), directed=True))) and (4, 1) in set(pairs(grids.from_cells(cells, grids.into("."), directed=True)))
+    assert len(pairs(grids.from_cells(cells, moves=grids.KNIGHT))) == 8 and len(pairs(grids.from_cells(cells, moves=grids.QUEEN))) == 20
+    assert pairs(grids.from_cells(cells.where("false"))) == []
