@@ -14,8 +14,8 @@ from pyspark.sql.window import Window
 from graphloom.plans.shared import save, shuffle_partitions
 
 
-def running_total(df: DataFrame, group: list[str], order: list[Column], value: Column, out: str, partitions: int | None = None) -> DataFrame:
-    """Add ``out``: the sum of ``value`` over the rows of the same group that come before in ``order``.
+def running_total(df: DataFrame, group: list[str], order: list[Column], value: Column, out: str, partitions: int | None = None, total: str | None = None) -> DataFrame:
+    """Add ``out``: the sum of ``value`` over the rows of the same group that come before in ``order``; and ``total``, if named: the sum over the group.
 
     ``order`` must be total within a group up to rows that are interchangeable.
     Null group values form one group. The input is written once to the shared
@@ -27,7 +27,9 @@ def running_total(df: DataFrame, group: list[str], order: list[Column], value: C
     dealt = save(dealt.repartitionByRange(n, *group, *keys).withColumn("_pid", F.spark_partition_id()), "ranges")
     sums = dealt.groupBy("_pid", *group).agg(F.sum("_v").alias("_sum"))
     before = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("_base", F.coalesce(F.sum("_sum").over(before), F.lit(0))).select(F.col("_pid").alias("_p"), *(F.col(g).alias(f"_g{i}") for i, g in enumerate(group)), "_base")
+    sums = sums.withColumns({"_base": F.coalesce(F.sum("_sum").over(before), F.lit(0)), "_all": F.sum("_sum").over(Window.partitionBy(*group))})
+    sums = sums.select(F.col("_pid").alias("_p"), *(F.col(g).alias(f"_g{i}") for i, g in enumerate(group)), "_base", "_all")
     match = [dealt["_pid"] == sums["_p"], *(dealt[g].eqNullSafe(sums[f"_g{i}"]) for i, g in enumerate(group))]
     inside = Window.partitionBy("_pid", *group).orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
-    return dealt.join(sums, match).withColumn(out, F.col("_base") + F.coalesce(F.sum("_v").over(inside), F.lit(0))).select(*df.columns, out)
+    summed = dealt.join(sums, match).withColumn(out, F.col("_base") + F.coalesce(F.sum("_v").over(inside), F.lit(0)))
+    return summed.select(*df.columns, out, *([F.col("_all").alias(total)] if total else []))
