@@ -7,9 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import mixing, packing, toxicity
+from graphloom.llm.divergence import divergence
 from graphloom.llm.embedding_dedup import embedding_dedup
 from graphloom.llm.html_text import html_text
 from graphloom.llm.line_dedup import line_dedup
+from graphloom.llm.merkle import manifest
 from graphloom.llm.minhash import minhash_dedup
 from graphloom.llm.token_counts import documents_token_counts
 from graphloom.llm.token_files import read_token_files, write_token_files
@@ -116,3 +118,54 @@ WITH v AS (SELECT vec_id AS id, list_transform(embedding::DOUBLE[], lambda e: fl
 s AS (SELECT q.id AS query_id, v.id AS vec_id, list_dot_product(q.x, v.x)::BIGINT AS score FROM v q JOIN v ON q.id <> v.id AND len(q.x) = len(v.x) WHERE q.id % 50 = 0)
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s
 QUALIFY rank <= 5"""
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    made = manifest(_table(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"], seen={"text": tampered})
+    proof = F.sha2(F.concat_ws("", "proof"), 256).alias("proof_sha256")
+    return made.select("doc_id", "leaf", "subroot", "root", proof, "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(_table(spark, sf_dir, "documents"))
+
+
+QUERIES |= {"op12_merkle_manifest": op12_merkle_manifest, "op13_source_divergence": op13_source_divergence}
+
+#: CRC-32 of an id as decimal text, bit by bit.
+_CRC = """xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: list_transform(range(8), lambda j: ((ascii(c) >> j::INTEGER) & 1)::BIGINT)))),
+ lambda s, b: xor(s >> 1, CASE WHEN (xor(s, b) & 1) = 1 THEN 3988292384 ELSE 0 END)), 4294967295)"""
+_FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen({0}::VARCHAR) || ':' || {0}::VARCHAR END"
+_LEAF = "sha256({})"
+_UP = "SELECT t, h + 1, i // 3, (n + 2) // 3, sha256(string_agg(d, '' ORDER BY i)) FROM {x} WHERE n > 1 GROUP BY t, h, i // 3, n"
+_RUNS = "SELECT t, h, i // 3 AS i, list(d ORDER BY i) AS ds FROM {x} GROUP BY t, h, i // 3"
+_WALK = """SELECT r, t, h + 1, w.i // 3, (n + 2) // 3, sha256(list_aggregate(list_concat(ds[:w.i % 3], [d], ds[w.i % 3 + 2:]), 'string_agg', '')),
+ proof || coalesce(list_aggregate(list_concat(ds[:w.i % 3], ds[w.i % 3 + 2:]), 'string_agg', ''), '') FROM {w} w JOIN {x} USING (t, h) WHERE n > 1 AND {x}.i = w.i // 3"""
+SQL["op12_merkle_manifest"] = f"""
+WITH RECURSIVE docs AS (SELECT doc_id, source, lang, n_chars, text, CASE WHEN {_CRC} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS seen FROM documents),
+hashed AS (SELECT doc_id, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS t, {_LEAF.format(" || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", "text")))} AS leaf,
+ {_LEAF.format(" || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", "seen")))} AS seen FROM docs),
+leaves AS (SELECT *, row_number() OVER () AS r, row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY t) AS n FROM hashed),
+node(t, h, i, n, d) AS (SELECT t, 0, i, n, leaf FROM leaves UNION ALL {_UP.format(x='node')}), runs AS ({_RUNS.format(x='node')}),
+w(r, t, h, i, n, d, proof) AS (SELECT r, t, 0, i, n, seen, '' FROM leaves UNION ALL {_WALK.format(w='w', x='runs')}),
+tops AS (SELECT t, d FROM node WHERE n = 1),
+above(t, h, i, n, d) AS (SELECT 0, 0, t, (SELECT count(*) FROM tops), d FROM tops UNION ALL {_UP.format(x='above')}), upper AS ({_RUNS.format(x='above')}),
+z(r, t, h, i, n, d, proof) AS (SELECT r, 0, 0, t, (SELECT count(*) FROM tops), d, proof FROM w WHERE n = 1 UNION ALL {_WALK.format(w='z', x='upper')})
+SELECT l.doc_id, l.leaf, tops.d AS subroot, (SELECT d FROM above WHERE n = 1) AS root, sha256(z.proof) AS proof_sha256, z.d AS folded_root, z.d = (SELECT d FROM above WHERE n = 1) AS verified
+FROM leaves l JOIN tops USING (t) JOIN z ON z.r = l.r AND z.n = 1"""
+
+SQL["op13_source_divergence"] = r"""
+WITH docs AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+words AS (SELECT r, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs),
+k AS (SELECT lang, term FROM words GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+c AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM words JOIN k USING (lang, term) GROUP BY lang, source, term),
+g AS (SELECT DISTINCT lang, source FROM docs),
+tot AS (SELECT g.lang, g.source, coalesce(sum(n), 0)::HUGEINT AS total, (SELECT count(*) FROM k WHERE k.lang = g.lang)::HUGEINT AS v FROM g LEFT JOIN c USING (lang, source) GROUP BY g.lang, g.source),
+s AS (SELECT tot.lang, tot.source, k.term, coalesce(n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(n, 0) + 1)) // (total + v) AS p FROM tot JOIN k ON k.lang = tot.lang LEFT JOIN c ON c.lang = k.lang AND c.source = tot.source AND c.term = k.term),
+q AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (sum(n)::HUGEINT + 1)) // (sum(sum(n)) OVER (PARTITION BY lang)::HUGEINT + count(*) OVER (PARTITION BY lang)) AS q FROM s GROUP BY lang, term),
+pair AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value FROM s a JOIN s b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pair ON pair.lang = a.lang AND pair.source = a.source AND pair.item = b.source),
+terms AS (SELECT s.lang, s.source, 'term' AS part, s.term AS item, (((p - q) * (p - q)) // q)::BIGINT AS value FROM s JOIN q ON q.lang = s.lang AND q.term = s.term WHERE n > 0 AND p > q),
+r AS (SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT * FROM r WHERE part = 'pair' OR rank <= 200"""
