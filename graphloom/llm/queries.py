@@ -11,6 +11,7 @@ from graphloom.llm.divergence import divergence
 from graphloom.llm.embedding_dedup import embedding_dedup
 from graphloom.llm.html_text import html_text
 from graphloom.llm.line_dedup import line_dedup
+from graphloom.llm.lm_score import lm_score
 from graphloom.llm.merkle import manifest
 from graphloom.llm.minhash import minhash_dedup
 from graphloom.llm.token_counts import documents_token_counts
@@ -120,6 +121,10 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, v
 QUALIFY rank <= 5"""
 
 
+def op11_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score(_table(spark, sf_dir, "documents"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
     made = manifest(_table(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"], seen={"text": tampered})
@@ -131,11 +136,21 @@ def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence(_table(spark, sf_dir, "documents"))
 
 
-QUERIES |= {"op12_merkle_manifest": op12_merkle_manifest, "op13_source_divergence": op13_source_divergence}
+QUERIES |= {"op11_lm_score": op11_lm_score, "op12_merkle_manifest": op12_merkle_manifest, "op13_source_divergence": op13_source_divergence}
 
 #: CRC-32 of an id as decimal text, bit by bit.
 _CRC = """xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: list_transform(range(8), lambda j: ((ascii(c) >> j::INTEGER) & 1)::BIGINT)))),
  lambda s, b: xor(s >> 1, CASE WHEN (xor(s, b) & 1) = 1 THEN 3988292384 ELSE 0 END)), 4294967295)"""
+_P1 = "((coalesce({0}.n, 0) + 1) / (big_n + big_v + 1))"
+SQL["op11_lm_score"] = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce({_CRC} % 7 = 2, true) AS held_out, list_append(list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> ''), '') AS ws FROM documents),
+tok AS (SELECT r, held_out, unnest(ws) AS w, unnest(list_concat([' '], ws[:-2])) AS h FROM docs),
+uni AS (SELECT w, count(*)::DOUBLE AS n FROM tok WHERE NOT held_out GROUP BY w), bi AS (SELECT h, w, count(*)::DOUBLE AS n FROM tok WHERE NOT held_out GROUP BY h, w),
+his AS (SELECT h, sum(n) AS n FROM bi GROUP BY h), tot AS (SELECT coalesce(sum(n), 0) AS big_n, count(*)::DOUBLE AS big_v FROM uni),
+p AS (SELECT r, uni.n > 0 AS known, log10({_P1.format('uni')}) AS base, log10(CASE WHEN his.n IS NULL THEN {_P1.format('uni')} ELSE (1 - 0.8 * pow(his.n, -0.1)) * coalesce(bi.n, 0) / his.n + 0.8 * pow(his.n, -0.1) * {_P1.format('uni')} END) AS score
+ FROM tok CROSS JOIN tot LEFT JOIN uni USING (w) LEFT JOIN his USING (h) LEFT JOIN bi USING (h, w))
+SELECT any_value(doc_id) AS doc_id, any_value(held_out) AS held_out, count(*) AS n_tokens, count(*) FILTER (known) AS n_known, (SELECT big_n::BIGINT FROM tot) AS train_tokens, fsum(base) AS base_score, fsum(score) AS score
+FROM p JOIN docs USING (r) GROUP BY r"""
 _FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen({0}::VARCHAR) || ':' || {0}::VARCHAR END"
 _LEAF = "sha256({})"
 _UP = "SELECT t, h + 1, i // 3, (n + 2) // 3, sha256(string_agg(d, '' ORDER BY i)) FROM {x} WHERE n > 1 GROUP BY t, h, i // 3, n"
