@@ -77,7 +77,7 @@ def made(df):
 
 
 def test_manifest(spark):
-    rows = table()
+    rows = table() + [(i, f"line {i}\n", "en", "web" if i % 5 else f"s{i % 30}", i, 0, None) for i in range(100, 560)]
     found = made(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
     assert Counter(tuple(r)[:6] for r in found) == plain_manifest(rows)
     for r in found:  # the proof that is returned leads from the leaf to the root
