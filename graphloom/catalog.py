@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from graphloom.graph import Graph, from_edges
-from graphloom.operators import algebra, approximate, centrality, community, connectivity, dag, flow, generators, grids, health, layout, model, multigraph, paths, structure, transforms
+from graphloom.operators import algebra, approximate, arborescence, centrality, community, connectivity, cuts, dag, dominators, flow, generators, grids, health, layout, model, multigraph, paths, structure, transforms
 from graphloom.plans import connected_components, fresh_path, running_total, save
 from graphloom.sources import readers, writers
 
@@ -281,7 +281,10 @@ add("topological_generations", lambda s, d: dag.generations(chains(s, d)).select
     "o AS (SELECT o_orderkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS generation FROM orders) SELECT id, generation FROM o")
 add("topological_order", lambda s, d: dag.topological_order(geography(s, d)),
     f"{_GEO}, g AS (SELECT id, CASE WHEN id >= 0 THEN 2 WHEN id <= -100 THEN 1 ELSE 0 END AS g FROM v) SELECT id, row_number() OVER (ORDER BY g, id) - 1 AS position FROM g")
-add("has_cycle", lambda s, d: dag.has_cycle(users(s, d)).join(dag.has_cycle(chains(s, d)).withColumnRenamed("has_cycle", "chains_have")), "x AS (SELECT 1) SELECT true AS has_cycle, false AS chains_have FROM x")
+add("has_cycle", lambda s, d: dag.has_cycle(users(s, d)).join(dag.has_cycle(chains(s, d)).withColumnRenamed("has_cycle", "chains_have")), """e1 AS (SELECT user_id AS src, lead(user_id) OVER (ORDER BY ts, event_id) AS dst FROM events WHERE event_type = 'error'),
+e2 AS (SELECT o_orderkey AS src, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS dst FROM orders),
+r1(a, b) AS (SELECT src, dst FROM e1 WHERE dst IS NOT NULL UNION SELECT a, dst FROM r1 JOIN e1 ON src = b WHERE dst IS NOT NULL), r2(a, b) AS (SELECT src, dst FROM e2 WHERE dst IS NOT NULL UNION SELECT a, dst FROM r2 JOIN e2 ON src = b WHERE dst IS NOT NULL)
+SELECT EXISTS (SELECT 1 FROM r1 WHERE a = b) AS has_cycle, EXISTS (SELECT 1 FROM r2 WHERE a = b) AS chains_have""", True)
 add("longest_distances", lambda s, d: dag.longest_distances(transforms.map_edges(chains(s, d), F.col("dst") % 5)).select("id", F.col("value")),
     "o AS (SELECT o_orderkey AS id, o_custkey AS c, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders) SELECT id, sum(CASE WHEN n > 1 THEN id % 5 ELSE 0 END) OVER (PARTITION BY c ORDER BY n)::DOUBLE AS value FROM o")
 add("longest_path_length", lambda s, d: dag.longest_path_length(chains(s, d)), "o AS (SELECT count(*) - 1 AS n FROM orders GROUP BY o_custkey) SELECT max(n)::DOUBLE AS length FROM o")
@@ -308,10 +311,10 @@ add("pagerank", lambda s, d: centrality.pagerank(users(s, d), tolerance=1e-9),
     f"{_USERS}, o AS MATERIALIZED (SELECT src, count(*) AS c FROM e GROUP BY 1), t AS MATERIALIZED (SELECT e.src, e.dst, 1.0::DOUBLE / c AS w FROM e JOIN o ON o.src = e.src), k AS (SELECT count(*)::DOUBLE AS n FROM v), "
     + _unrolled(30, "SELECT id, 1 / n AS s FROM v, k", "SELECT v.id, 0.15 / n + 0.85 * (coalesce(g.s, 0) + (SELECT coalesce(sum(s), 0) FROM {x} WHERE id NOT IN (SELECT src FROM o)) / n) AS s FROM v CROSS JOIN k LEFT JOIN (SELECT dst, sum(s * w) AS s FROM t JOIN {x} ON src = id GROUP BY dst) g ON g.dst = v.id")
     + " SELECT id, s AS score FROM x30")
-add("personalized_pagerank", lambda s, d: (g := users(s, d)) and centrality.personalized_pagerank(g, g.edges.where("src = dst").select(F.col("src").alias("id"))),
+add("personalized_pagerank", lambda s, d: (g := users(s, d)) and centrality.personalized_pagerank(g, g.edges.where("src = dst").select(F.col("src").alias("id")), tolerance=1e-12),
     f"{_USERS}, o AS MATERIALIZED (SELECT src, count(*) AS c FROM e GROUP BY 1), t AS MATERIALIZED (SELECT e.src, e.dst, 1.0::DOUBLE / c AS w FROM e JOIN o ON o.src = e.src), m AS (SELECT src FROM e WHERE src = dst), h AS MATERIALIZED (SELECT id, CASE WHEN id IN (FROM m) THEN 1.0 / (SELECT count(*) FROM m) ELSE 0 END::DOUBLE AS h FROM v), "
-    + _unrolled(20, "SELECT id, h AS s FROM h", "SELECT h.id, 0.15 * h.h + 0.85 * coalesce(g.s, 0) AS s FROM h LEFT JOIN (SELECT dst, sum(s * w) AS s FROM t JOIN {x} ON src = id GROUP BY dst) g ON g.dst = h.id")
-    + " SELECT id, s AS score FROM x20")
+    + _unrolled(40, "SELECT id, h AS s FROM h", "SELECT h.id, 0.15 * h.h + 0.85 * coalesce(g.s, 0) AS s FROM h LEFT JOIN (SELECT dst, sum(s * w) AS s FROM t JOIN {x} ON src = id GROUP BY dst) g ON g.dst = h.id")
+    + " SELECT id, s AS score FROM x40")
 add("katz", lambda s, d: centrality.katz(users(s, d), alpha=0.01, tolerance=1e-9),
     f"{_USERS}, " + _unrolled(24, "SELECT id, 0::DOUBLE AS s FROM v", "SELECT v.id, 0.01 * coalesce(g.s, 0) + 1 AS s FROM v LEFT JOIN (SELECT dst, sum(s) AS s FROM e JOIN {x} ON src = id GROUP BY dst) g ON g.dst = v.id") + " SELECT id, s AS score FROM x24")
 add("alpha_centrality", lambda s, d: centrality.alpha(users(s, d), alpha=0.01, tolerance=1e-9),
@@ -357,7 +360,9 @@ add("clique_percolation", lambda s, d: community.clique_percolation(parts(s, d))
 
 add("structure_predicates", lambda s, d: structure.predicates(parts(s, d)),
     f"{_PARTS}, {_COMPONENTS}, k AS (SELECT count(*) AS d FROM a GROUP BY src), x AS (SELECT (SELECT count(*) FROM v) AS n, (SELECT count(*) FROM e) AS m, (SELECT count(DISTINCT lab) FROM r) AS c, (SELECT min(d) = max(d) FROM k) AS g) SELECT n = 0 AS is_empty, n <= 1 OR m = n * (n - 1) / 2 AS is_complete, n = 0 OR g AS is_regular, c <= 1 AS is_connected, m = n - c AS is_forest, m = n - c AND c = 1 AS is_tree FROM x", True)
-add("arborescence_predicates", lambda s, d: structure.predicates(geography(s, d)), "x AS (SELECT 1) SELECT false AS is_empty, false AS is_complete, false AS is_regular, false AS is_connected, true AS is_branching, false AS is_arborescence FROM x")
+add("arborescence_predicates", lambda s, d: structure.predicates(geography(s, d)), f"""{_GEO}, k AS (SELECT id, (SELECT count(*) FROM e WHERE src = id OR dst = id) AS d, (SELECT count(*) FROM e WHERE dst = id) AS i FROM v), x AS (SELECT count(*) AS n, (SELECT count(*) FROM e) AS m, min(d) AS low, max(d) AS high, max(i) AS most_in, count(*) FILTER (i = 0) AS roots FROM k),
+reached(id) AS (SELECT id FROM k WHERE i = 0 UNION SELECT e.dst FROM reached JOIN e ON e.src = reached.id), t AS (SELECT most_in <= 1 AND n = (SELECT count(*) FROM reached) AS tree FROM x)
+SELECT n = 0 AS is_empty, n <= 1 OR m = n * (n - 1) AS is_complete, n = 0 OR low = high AS is_regular, n <= 1 OR (roots = 0 AND most_in > 1) AS is_connected, tree AS is_branching, tree AND roots = 1 AS is_arborescence FROM x, t""", True)
 _DOUBLE = """s{n} AS (SELECT src * 2 AS p, dst * 2 + 1 AS q FROM {e} UNION ALL SELECT src * 2 + 1, dst * 2 FROM {e} UNION ALL SELECT dst * 2 + 1, src * 2 FROM {e} UNION ALL SELECT dst * 2, src * 2 + 1 FROM {e}),
 r{n}(id, lab) USING KEY (id) AS (SELECT DISTINCT p, p FROM s{n} UNION SELECT s{n}.q, min(r{n}.lab) FROM r{n} JOIN s{n} ON s{n}.p = r{n}.id JOIN recurring.r{n} k ON k.id = s{n}.q WHERE r{n}.lab < k.lab GROUP BY s{n}.q),
 t{n} AS (SELECT NOT EXISTS (SELECT 1 FROM r{n} x JOIN r{n} y ON y.id = x.id + 1 AND y.lab = x.lab WHERE x.id % 2 = 0) AS t)"""
@@ -628,3 +633,79 @@ _back("leda", numbered=1)
 _back("matrix_market", numbered=1)
 _back("graph6", numbered=0, weighted=False)
 _back("sparse6", numbered=0, weighted=False)
+
+
+# --- cuts, arborescences, dominators, negative weights ----------------------
+
+
+def markets(s: SparkSession, d: str) -> Graph:
+    """Regions (-1 - key) and market segments (by first letter), joined by the customers that they share."""
+    customers = table(s, d, "customer").join(table(s, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    pairs = customers.select((-1 - F.col("n_regionkey")).cast("long").alias("src"), F.ascii("c_mktsegment").cast("long").alias("dst"))
+    return from_edges(pairs.withColumn("weight", F.lit(1)), False, "count")
+
+
+def cut_row(g: Graph, sides: DataFrame) -> DataFrame:
+    """One row: weight across, and the vertices on either side."""
+    sides = save(sides, "sides")
+    weight = flow.cut_edges(g, sides).agg(F.coalesce(F.sum("weight"), F.lit(0)).cast("double").alias("value"))
+    sizes = sides.agg(F.count_if("source_side").alias("source_side_size"), F.count_if(~F.col("source_side")).alias("sink_side_size"))
+    return weight.join(sizes)
+
+
+def from_first(s: SparkSession, d: str) -> tuple[Graph, int]:
+    """Users reached from the smallest one, and that one."""
+    g = users(s, d)
+    first = g.vertices.agg(F.min("id")).first()[0]
+    return transforms.subgraph(g, paths.bfs(g, _from(g, first)).select("id")), first
+
+
+def arborescence_check(s: SparkSession, d: str) -> DataFrame:
+    """Arcs too few, vertices entered twice, vertices not reached, weight below that of all cheapest arcs in: none."""
+    g, first = from_first(s, d)
+    tree = save(arborescence.minimum_arborescence(g, first), "tree")
+    reached = paths.bfs(Graph(g.vertices, tree, True), _from(g, first))
+    least = g.edges.where(F.col("src") != F.col("dst")).where(F.col("dst") != first).groupBy("dst").agg(F.min("weight").alias("w")).agg(F.sum("w").alias("least"))
+    short = tree.agg(F.sum("weight").alias("weight")).join(least).select((F.col("weight") < F.col("least")).alias("too_light"))
+    n = g.vertices.count()
+    return tree.agg((F.lit(n - 1) - F.count(F.lit(1))).alias("n_missing")).join(_odd(tree.groupBy("dst").count().where("count > 1"), "n_twice")).join(_odd(g.vertices.join(reached, "id", "left_anti"), "n_unreached")).join(short)
+
+
+def slopes(s: SparkSession, d: str) -> Graph:
+    """Suppliers' edges as arcs both ways, weighed by what is paid less what the climb in key gives back; some weights are negative, no cycle is."""
+    g = suppliers(s, d)
+    return Graph(g.vertices, g.arcs().where("src <> dst").select("src", "dst", (F.col("weight") + 10 * (F.col("dst") - F.col("src"))).alias("weight")), True)
+
+
+_DOMINATED = f"""{_USERS}, s AS (SELECT min(id) AS id FROM v), r(id) AS (SELECT id FROM s UNION SELECT e.dst FROM r JOIN e ON e.src = r.id),
+w(x, id) AS (SELECT r.id, s.id FROM r, s WHERE r.id <> s.id UNION SELECT w.x, e.dst FROM w JOIN e ON e.src = w.id WHERE e.dst <> w.x),
+d AS (SELECT x.id AS x, r.id FROM r x JOIN r ON x.id <> r.id WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.x = x.id AND w.id = r.id) OR x.id = (SELECT id FROM s)),
+n AS (SELECT r.id, (SELECT count(*) FROM d WHERE d.id = r.id) AS depth FROM r) SELECT r.id, coalesce((SELECT arg_max(d.x, n.depth) FROM d JOIN n ON n.id = d.x WHERE d.id = r.id), r.id) AS dominator FROM r"""
+add("global_min_cut", lambda s, d: (g := suppliers(s, d)) and cut_row(g, cuts.global_min_cut(g)))
+add(
+    "global_min_cut_check",
+    lambda s, d: (g := markets(s, d)) and cut_row(g, cuts.global_min_cut(g)).select("value"),
+    """e AS (SELECT -1 - n_regionkey AS src, ascii(c_mktsegment) AS dst, count(*) AS weight FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2),
+v AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS k FROM (SELECT src AS id FROM e UNION SELECT dst FROM e)), x AS (SELECT a.k AS a, b.k AS b, weight FROM e JOIN v a ON a.id = src JOIN v b ON b.id = dst),
+m AS (SELECT range AS m FROM range(1, 1 << ((SELECT count(*) FROM v) - 1)::INTEGER)) SELECT min(w)::DOUBLE AS value FROM (SELECT m, sum(weight) FILTER ((m >> a::INTEGER) & 1 <> (m >> b::INTEGER) & 1) AS w FROM m, x GROUP BY m)""",
+)
+add("minimum_arborescence", lambda s, d: arborescence.minimum_arborescence(*from_first(s, d)))
+add("minimum_arborescence_check", arborescence_check, "x AS (SELECT 1) SELECT 0 AS n_missing, 0 AS n_twice, 0 AS n_unreached, false AS too_light FROM x")
+add("dominators", lambda s, d: (g := users(s, d)) and dominators.dominators(g, g.vertices.agg(F.min("id")).first()[0]), _DOMINATED, True)
+add(
+    "johnson",
+    lambda s, d: (g := slopes(s, d)) and paths.johnson(g, _from(g, 1)),
+    f"{_SUPPLIERS}, b AS (SELECT src, dst, weight + 10 * (dst - src) AS weight FROM a WHERE src <> dst), "
+    + _SSSP.format(src=1, one=0, best="min", ext="p.dist + b.weight", cmp="<").replace("a.dst", "b.dst").replace("a.src", "b.src").replace("JOIN a ON", "JOIN b ON")
+    + " SELECT 1 AS source, id, dist FROM p",
+    True,
+)
+add(
+    "edge_betweenness",
+    lambda s, d: centrality.edge_betweenness(suppliers(s, d)),
+    f"""{_SUPPLIERS}, {_DIST}, w(source, id) AS (SELECT id, id FROM v UNION ALL SELECT w.source, a.dst FROM w JOIN p x ON x.source = w.source AND x.id = w.id JOIN a ON a.src = w.id JOIN p y ON y.source = w.source AND y.id = a.dst AND y.dist = x.dist + a.weight),
+c AS (SELECT source, id, count(*) AS n FROM w GROUP BY 1, 2), k AS (SELECT p.source, p.id, dist, n FROM p JOIN c ON c.source = p.source AND c.id = p.id),
+t AS (SELECT e.src, e.dst, sum(s.n * t.n::DOUBLE / st.n) AS score FROM e JOIN k s ON s.id = e.src JOIN k t ON t.id = e.dst JOIN k st ON st.source = s.source AND st.id = t.source AND abs(s.dist + e.weight + t.dist - st.dist) < 1e-9 GROUP BY e.src, e.dst)
+SELECT e.src, e.dst, coalesce(score, 0)::DOUBLE AS score FROM e LEFT JOIN t ON t.src = e.src AND t.dst = e.dst""",
+    True,
+)

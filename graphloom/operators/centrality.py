@@ -66,6 +66,8 @@ def _summed(front: DataFrame, step, keys: list[str], max_rounds: int = 100_000)
         front = save(step(front, hop), "front")
         if front.isEmpty():
             break
+        if hop == max_rounds - 1:
+            raise RuntimeError(f"sums still grow after {max_rounds} rounds")
         parts.append(front)
         if len(parts) == 16:  # keep the union of rounds short
             merged = parts[0]
@@ -78,14 +80,8 @@ def _summed(front: DataFrame, step, keys: list[str], max_rounds: int = 100_000)
     return merged.groupBy(*keys).agg(F.sum("x").alias("total"))
 
 
-def betweenness(graph: Graph, sources: DataFrame | None = None, scale: float = 1.0) -> DataFrame:
-    """(id, score): shortest paths through a vertex, ends excluded, not normalised, halved if undirected.
-
-    All sources run at once: path counts spread forward along the arcs of
-    shortest paths, dependencies backward, a hop a round. With a sample of
-    sources and ``scale`` = n / sample this estimates the measure.
-    """
-    sources = graph.vertices if sources is None else sources
+def _dependencies(graph: Graph, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(source, id, total): 1 and the dependency of each source on the vertex; and (source, src, dst, share) of the arcs of shortest paths."""
     sigma, tight = shortest_path_dag(graph, sources)
     sigma = save(sigma, "sigma")
     a, b = sigma.select("source", F.col("id").alias("src"), F.col("sigma").alias("s0")), sigma.select("source", F.col("id").alias("dst"), F.col("sigma").alias("s1"))
@@ -95,12 +91,39 @@ def betweenness(graph: Graph, sources: DataFrame | None = None, scale: float = 1
     def step(state: DataFrame, hop: int) -> DataFrame:
         return state.join(share, (state["source"] == share["source"]) & (state["id"] == share["dst"])).groupBy(share["source"], F.col("src").alias("id")).agg(F.sum(F.col("share") * F.col("x")).alias("x"), F.lit(hop).alias("hop"))
 
-    delta = _summed(start, step, ["source", "id"]).where("source <> id").groupBy("id").agg(F.sum(F.col("total") - 1).alias("score"))
+    return _summed(start, step, ["source", "id"]), share
+
+
+def edge_betweenness(graph: Graph, sources: DataFrame | None = None, scale: float = 1.0) -> DataFrame:
+    """(src, dst, score) of every edge: shortest paths along it, not normalised, halved if undirected; loops have 0.
+
+    An arc's part in a source's paths is its share of the paths to its head
+    times 1 and the source's dependency on the head. ``sources`` and ``scale``
+    as in ``betweenness``.
+    """
+    total, share = _dependencies(graph, graph.vertices if sources is None else sources)
+    head = total.select("source", F.col("id").alias("dst"), "total")
+    arcs = share.join(head, ["source", "dst"]).select("src", "dst", (F.col("share") * F.col("total")).alias("x"))
+    if not graph.directed:
+        arcs = arcs.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), (F.col("x") / 2).alias("x"))
+    score = arcs.groupBy("src", "dst").agg((F.sum("x") * scale).alias("score"))
+    return graph.edges.select("src", "dst").join(score, ["src", "dst"], "left").na.fill(0.0, ["score"])
+
+
+def betweenness(graph: Graph, sources: DataFrame | None = None, scale: float = 1.0) -> DataFrame:
+    """(id, score): shortest paths through a vertex, ends excluded, not normalised, halved if undirected.
+
+    All sources run at once: path counts spread forward along the arcs of
+    shortest paths, dependencies backward, a hop a round. With a sample of
+    sources and ``scale`` = n / sample this estimates the measure.
+    """
+    total, _ = _dependencies(graph, graph.vertices if sources is None else sources)
+    delta = total.where("source <> id").groupBy("id").agg(F.sum(F.col("total") - 1).alias("score"))
     factor = scale * (1.0 if graph.directed else 0.5)
     return graph.vertices.select("id").join(delta, "id", "left").select("id", (F.coalesce("score", F.lit(0.0)) * factor).alias("score"))
 
 
-def pagerank(graph: Graph, damping: float = 0.85, max_iter: int = 100, tolerance: float = 1e-4) -> DataFrame:
+def pagerank(graph: Graph, damping: float = 0.85, max_iter: int = 1000, tolerance: float = 1e-4) -> DataFrame:
     """(id, score) that sum to 1; unweighted; vertices without successors share their rank with all."""
     n = _n(graph)
     if n == 0:
@@ -117,12 +140,12 @@ def pagerank(graph: Graph, damping: float = 0.85, max_iter: int = 100, tolerance
         new = (1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)
         return state.join(got, F.col("id") == F.col("to"), "left").join(F.broadcast(lost)).select("id", new.alias("score"), F.abs(new - F.col("score")).alias("moved"))
 
-    out = rounds(start, step, max_iter, lambda old, new: new.agg(F.sum("moved")).first()[0] < tolerance)
+    out = rounds(start, step, max_iter, lambda old, new: (new.agg(F.sum("moved")).first()[0] or 0.0) < tolerance)
     return out.select("id", "score")
 
 
-def personalized_pagerank(graph: Graph, seeds: DataFrame, damping: float = 0.85, n_iter: int = 20) -> DataFrame:
-    """(id, score) with restarts at ``seeds`` (column id) only."""
+def personalized_pagerank(graph: Graph, seeds: DataFrame, damping: float = 0.85, max_iter: int = 1000, tolerance: float = 1e-9) -> DataFrame:
+    """(id, score) with restarts at ``seeds`` (column id) only, until scores move by less than ``tolerance`` in all."""
     home = seeds.select("id").distinct().join(graph.vertices, "id", "left_semi")
     k = max(1, home.count())
     arcs = graph.arcs().select("src", "dst")
@@ -131,12 +154,15 @@ def personalized_pagerank(graph: Graph, seeds: DataFrame, damping: float = 0.85,
 
     def step(state: DataFrame) -> DataFrame:
         got = spread.join(state, F.col("src") == F.col("id")).groupBy(F.col("dst").alias("to")).agg(F.sum(F.col("score") * F.col("part")).alias("got"))
-        return restart.join(got, F.col("id") == F.col("to"), "left").select("id", ((1 - damping) * F.col("h") + damping * F.coalesce("got", F.lit(0.0))).alias("score"))
+        now = state.select(F.col("id").alias("at"), F.col("score").alias("old"))
+        new = (1 - damping) * F.col("h") + damping * F.coalesce("got", F.lit(0.0))
+        return restart.join(got, F.col("id") == F.col("to"), "left").join(now, F.col("id") == F.col("at")).select("id", new.alias("score"), F.abs(new - F.col("old")).alias("moved"))
 
-    return rounds(restart.select("id", F.col("h").alias("score")), step, n_iter)
+    start = restart.select("id", F.col("h").alias("score"), F.lit(1.0).alias("moved"))
+    return rounds(start, step, max_iter, lambda old, new: (new.agg(F.sum("moved")).first()[0] or 0.0) < tolerance).select("id", "score")
 
 
-def hits(graph: Graph, max_iter: int = 100, tolerance: float = 1e-6) -> DataFrame:
+def hits(graph: Graph, max_iter: int = 1000, tolerance: float = 1e-6) -> DataFrame:
     """(id, hub, authority), each of length 1 in the Euclidean norm."""
     n = max(1, _n(graph))
     arcs = save(graph.arcs().select("src", "dst"), "arcs")
@@ -157,7 +183,7 @@ def hits(graph: Graph, max_iter: int = 100, tolerance: float = 1e-6) -> DataFram
     return out.select("id", "hub", "authority")
 
 
-def eigenvector(graph: Graph, max_iter: int = 100, tolerance: float = 1e-4) -> DataFrame:
+def eigenvector(graph: Graph, max_iter: int = 1000, tolerance: float = 1e-4) -> DataFrame:
     """(id, score) of unit length, from incoming arcs; the shifted iteration x + A x cannot oscillate on bipartite graphs."""
     n = max(1, _n(graph))
     arcs = save(graph.arcs().select("src", "dst"), "arcs")
@@ -173,7 +199,7 @@ def eigenvector(graph: Graph, max_iter: int = 100, tolerance: float = 1e-4) -> D
     return rounds(start, step, max_iter, lambda old, new: (new.agg(F.sum("moved")).first()[0] or 0.0) ** 0.5 < tolerance).select("id", "score")
 
 
-def katz(graph: Graph, alpha: float = 0.1, beta: float = 1.0, max_iter: int = 100, tolerance: float = 1e-6) -> DataFrame:
+def katz(graph: Graph, alpha: float = 0.1, beta: float = 1.0, max_iter: int = 1000, tolerance: float = 1e-6) -> DataFrame:
     """(id, score): x = alpha * (sum over incoming arcs) + beta, not normalised."""
     arcs = save(graph.arcs().select("src", "dst"), "arcs")
     start = graph.vertices.select("id", F.lit(0.0).alias("score"), F.lit(1.0).alias("moved"))
@@ -186,7 +212,7 @@ def katz(graph: Graph, alpha: float = 0.1, beta: float = 1.0, max_iter: int = 10
     return rounds(start, step, max_iter, lambda old, new: (new.agg(F.sum("moved")).first()[0] or 0.0) < tolerance).select("id", "score")
 
 
-def alpha(graph: Graph, alpha: float = 0.1, exogenous: DataFrame | None = None, max_iter: int = 100, tolerance: float = 1e-6) -> DataFrame:
+def alpha(graph: Graph, alpha: float = 0.1, exogenous: DataFrame | None = None, max_iter: int = 1000, tolerance: float = 1e-6) -> DataFrame:
     """(id, score): x = alpha * (sum over incoming arcs) + e, with e of (id, e), 1 by default; starts at e."""
     arcs = save(graph.arcs().select("src", "dst"), "arcs")
     outside = graph.vertices.select("id", F.lit(1.0).alias("e")) if exogenous is None else graph.vertices.select("id").join(exogenous.select("id", F.col("e").cast("double")), "id", "left").na.fill(0.0, ["e"])

@@ -102,8 +102,8 @@ def reachability_counts(graph: Graph) -> DataFrame:
     return graph.vertices.select("id").join(down, "id", "left").join(up, "id", "left").na.fill(0, ["descendants", "ancestors"])
 
 
-def reachability_estimates(graph: Graph, rounds: int = 64, lg_k: int = 10) -> DataFrame:
-    """(id, descendants): estimates with a HyperLogLog sketch a vertex, merged along arcs; linear space in the vertices."""
+def reachability_estimates(graph: Graph, rounds: int = 100_000, lg_k: int = 10) -> DataFrame:
+    """(id, descendants): estimates with a HyperLogLog sketch a vertex, merged along arcs until none changes, at most ``rounds`` times; linear space in the vertices."""
     arcs = save(graph.arcs().where("src <> dst").select("src", "dst").distinct(), "arcs")
     start = graph.vertices.groupBy("id").agg(F.hll_sketch_agg(F.col("id"), F.lit(lg_k)).alias("sketch"))
 

@@ -27,7 +27,7 @@ def bfs(graph: Graph, sources: DataFrame, max_depth: int | None = None, max_roun
         near = front.select(F.col("id").alias("src"), "depth").join(arcs, "src")
         return near.groupBy(F.col("dst").alias("id")).agg(F.min(F.col("depth") + 1).alias("depth"), F.min("src").alias("parent"))
 
-    return spread(first, step, ["id"], max_depth or max_rounds)
+    return spread(first, step, ["id"], max_rounds if max_depth is None else max_depth, max_depth is not None)
 
 
 def bidirectional_distance(graph: Graph, source: object, target: object) -> DataFrame:
@@ -105,6 +105,67 @@ def all_pairs_hops(graph: Graph, sources: DataFrame | None = None) -> DataFrame:
     return spread(start, step, ["source", "id"])
 
 
+def johnson(graph: Graph, sources: DataFrame | None = None) -> DataFrame:
+    """(source, id, dist) with negative weights, from all vertices by default; ValueError if there is a negative cycle.
+
+    Potentials are the distances from a vertex over all others, by rounds over
+    what changed. Arcs reweighted by them are never negative, so the searches
+    from the sources go by buckets of one width: only rows of the lowest bucket
+    that is not empty move on, and a row that has left its bucket behind is
+    settled.
+    """
+    arcs = graph.arcs().select("src", "dst", F.col("weight").cast("double").alias("weight"))
+    limit = graph.vertices.count() + 1
+    start = graph.vertices.select("id", F.lit(0.0).alias("dist"), F.lit(True).alias("new"))
+
+    def lower(state: DataFrame) -> DataFrame:
+        front = state.where("new").select(F.col("id").alias("src"), "dist")
+        reached = front.join(arcs, "src").groupBy(F.col("dst").alias("id")).agg(F.min(F.col("dist") + F.col("weight")).alias("found"))
+        better = F.col("found") < F.col("dist")
+        return state.join(reached, "id", "left").select("id", F.when(better, F.col("found")).otherwise(F.col("dist")).alias("dist"), F.coalesce(better, F.lit(False)).alias("new"))
+
+    h = fixpoint(start, lower, "new", limit, partial=True)
+    if not h.where("new").isEmpty():
+        raise ValueError("negative cycle")
+    at = lambda end: h.select(F.col("id").alias(end), F.col("dist").alias(f"h{end}"))
+    gaps = save(arcs.join(at("src"), "src").join(at("dst"), "dst").select("src", "dst", F.greatest(F.lit(0.0), F.col("weight") + F.col("hsrc") - F.col("hdst")).alias("weight")), "reweighted")
+    dist = _by_buckets(gaps, (graph.vertices if sources is None else sources.join(graph.vertices, "id", "left_semi")).select("id").distinct())
+    home = at("id").withColumnRenamed("hid", "to").join(dist, "id").join(at("source"), "source")
+    return home.select("source", "id", (F.col("dist") - F.col("hsource") + F.col("to")).alias("dist"))
+
+
+def _by_buckets(arcs: DataFrame, sources: DataFrame) -> DataFrame:
+    """(source, id, dist) along arcs of weights of 0 and more, by buckets as wide as the mean weight (delta stepping)."""
+    width = arcs.where("weight > 0").agg(F.avg("weight")).first()[0] or 1.0
+    settled, open_ = [], save(sources.select(F.col("id").alias("source"), "id", F.lit(0.0).alias("dist"), F.lit(True).alias("new")), "open")
+    while not open_.isEmpty():
+        end = (int(open_.agg(F.min("dist")).first()[0] // width) + 1) * width
+
+        def step(state: DataFrame, end: float = end) -> DataFrame:
+            front = state.where((F.col("dist") < end) & F.col("new")).select("source", F.col("id").alias("src"), "dist")
+            reached = front.join(arcs, "src").select("source", F.col("dst").alias("id"), (F.col("dist") + F.col("weight")).alias("dist"), F.lit(None).cast("double").alias("old"))
+            rows = state.select("source", "id", "dist", F.when(F.col("new") & (F.col("dist") >= end), None).otherwise(F.col("dist")).alias("old"))
+            best = reached.unionByName(rows).groupBy("source", "id").agg(F.min("dist").alias("dist"), F.max("old").alias("old"))
+            return best.select("source", "id", "dist", (F.col("old").isNull() | (F.col("dist") < F.col("old"))).alias("new"))
+
+        open_ = fixpoint(open_, step, (F.col("dist") < end) & F.col("new"))
+        fresh = open_
+        for old in settled:  # a vertex of an earlier bucket is found again, but never nearer
+            fresh = fresh.join(old.select("source", "id"), ["source", "id"], "left_anti")
+        rest, done = fresh.where(F.col("dist") >= end), save(fresh.where(F.col("dist") < end).select("source", "id", "dist"), "settled")
+        settled.append(done)
+        if len(settled) == 16:
+            whole = settled[0]
+            for old in settled[1:]:
+                whole = whole.unionByName(old)
+            settled = [save(whole, "settled")]
+        open_ = save(rest.withColumn("new", F.lit(True)), "open")
+    out = settled[0] if settled else sources.select(F.col("id").alias("source"), "id", F.lit(0.0).alias("dist"))
+    for old in settled[1:]:
+        out = out.unionByName(old)
+    return out
+
+
 def distance_matrix(graph: Graph, points: DataFrame) -> DataFrame:
     """(source, id, dist) among the points of interest that are vertices."""
     return sssp(graph, points).join(points.select("id").distinct(), "id", "left_semi").select("source", "id", "dist")

@@ -214,3 +214,31 @@ def test_sketched_reachability(spark):
     g = generators.path(spark, 60, directed=True)
     out = {r["id"]: r["descendants"] for r in connectivity.reachability_estimates(g).collect()}
     assert all(abs(out[i] - (59 - i)) <= max(2, 0.1 * (59 - i)) for i in range(60))
+
+
+def test_negative_weights_by_potentials(spark):
+    rows = [(0, 1, 4), (0, 2, 3), (1, 3, -2), (2, 1, -2), (3, 4, 0), (4, 2, 5), (5, 0, -7)]
+    g = from_edges(spark.createDataFrame(rows, "src long, dst long, weight long"), True)
+    want = {tuple(r) for r in paths.sssp(g, g.vertices).select("source", "id", "dist").collect()}
+    assert {tuple(r) for r in paths.johnson(g).collect()} == want
+    loop = from_edges(spark.createDataFrame([(0, 1, 1), (1, 0, -2)], "src long, dst long, weight long"), True)
+    with pytest.raises(ValueError, match="negative cycle"):
+        paths.johnson(loop)
+
+
+def test_searches_of_no_depth_and_deep_estimates(spark):
+    chain = from_edges(spark.createDataFrame([(i, i + 1) for i in range(70)], "src long, dst long"), True)
+    start = chain.vertices.where("id = 0")
+    assert [tuple(r)[:2] for r in paths.bfs(chain, start, max_depth=0).collect()] == [(0, 0)]
+    assert paths.bfs(chain, start, max_depth=3).count() == 4
+    with pytest.raises(RuntimeError, match="still found"):
+        paths.bfs(chain, start, max_rounds=3)
+    found = {r["id"]: r["descendants"] for r in connectivity.reachability_estimates(chain).collect()}
+    assert all(abs(found[i] - (70 - i)) <= 5 for i in range(71))
+
+
+def test_scores_that_do_not_settle_are_an_error(spark):
+    g = from_edges(spark.createDataFrame([(0, 1), (1, 2), (2, 0), (2, 1)], "src long, dst long"), True)
+    for measure in (centrality.pagerank, centrality.hits, centrality.eigenvector, centrality.katz, centrality.alpha):
+        with pytest.raises(RuntimeError, match="not settled"):
+            measure(g, max_iter=1, tolerance=1e-12)
