@@ -6,11 +6,13 @@
    the corpus only texts whose id passes a Bloom filter of the labels (of at
    most BLOOM_BITS bits) are shuffled to meet their label.
 2. r = log(P(feature | 1) / P(feature | 0)), with one added to each count. All
-   features take part; each is scaled by r, and its penalty falls with its
-   chi-squared statistic, so that ratios of a few documents weigh little.
+   features take part, each scaled by its r.
 3. A logistic regression with an L2 penalty, on presence so scaled, is fitted by
-   dual coordinate descent on at most ``max_fit_docs`` labelled documents, which
-   one task holds.
+   dual coordinate descent until its duality gap is small, on at most
+   ``max_fit_docs`` labelled documents and ``max_fit_bytes`` of features, which
+   one task holds. The mark of 0.5 is placed by cross-validation on the same
+   documents: where fewest errors are made among the marks that reject at most
+   CLEAN_LOST of the clean ones.
 4. All texts are scored in one pass without a shuffle.
 """
 
@@ -27,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.window import Window
 
 from graphloom.llm.batches import bounded, map_batches, without
 from graphloom.plans import save
@@ -37,10 +40,10 @@ BUCKETS = 1 << 18
 PARTS = 16
 #: Bits of the filter of labelled ids, at most (16 MB); with more labels it lets more texts through, but loses none.
 BLOOM_BITS = 1 << 27
-#: Rounds of the descent at most, and the part of the dual step below which it ends.
-ROUNDS, SETTLED = 12, 1e-2
-#: Chi-squared statistic at which a feature has the plain penalty.
-USUAL = 10.0
+#: The descent ends when the gap between its primal and dual value is this part of the primal one; so many rounds without that are an error.
+GAP, MOST_ROUNDS = 1e-3, 500
+#: Parts of the cross-validation, and the share of clean documents that may lie above the mark.
+PARTS_OF_FIT, CLEAN_LOST = 5, 0.005
 #: Characters hashed at a time; a longer text goes in overlapping pieces.
 PIECE = 1 << 20
 _PRIME, _LAST = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
@@ -86,16 +89,18 @@ class _Present:
 
 @dataclass
 class Model:
-    """weights: of each bucket, 0 for those that take no part; constant: the score where there is nothing to learn from."""
+    """weights: of each bucket, 0 for those that take no part; constant: the score where there is nothing to learn from; mark: the log-odds of the fit that score 0.5; gap: the duality gap of the fit over its loss."""
 
     weights: np.ndarray
     bias: float
     constant: float | None = None
+    mark: float = 0.0
+    gap: float = 0.0
 
     def score(self, features: np.ndarray) -> float:
         if self.constant is not None:
             return self.constant
-        z = self.bias + float(self.weights[features].sum())
+        z = self.bias - self.mark + float(self.weights[features].sum())
         return 1.0 / (1.0 + np.exp(-z)) if z >= 0 else float(np.exp(z) / (1.0 + np.exp(z)))
 
 
@@ -161,49 +166,100 @@ def _class_counts(counted: DataFrame) -> np.ndarray:
     return out
 
 
-def descend(features: list[np.ndarray], y: np.ndarray, scale: np.ndarray, penalty: float, weight: np.ndarray) -> tuple[np.ndarray, float]:
-    """(weights of presence, bias) that minimise sum(weight * log loss) + penalty / 2 * |w|^2 for features scaled by ``scale``.
+def _gap(features: list[np.ndarray], sign: np.ndarray, a: np.ndarray, w: np.ndarray, bias: float, scale: np.ndarray, penalty: float) -> float:
+    """The duality gap over the primal value."""
+    z = np.array([w[f].sum() for f in features]) + bias
+    some = scale != 0
+    square = penalty / 2 * (float(np.square(w[some] / scale[some]).sum()) + (bias / 10.0) ** 2)
+    loss = float(np.logaddexp(0.0, -sign * z).sum())
+    entropy = -float((a * np.log(np.maximum(a, 1e-300)) + (1 - a) * np.log(np.maximum(1 - a, 1e-300))).sum())
+    return (loss + square - (entropy - square)) / (loss + square)
 
-    Dual coordinate descent: a document's dual variable a in (0, weight) solves
-    sign * z + q * (a - old) + log(a / (weight - a)) = 0, found by bisection
-    between bounds that bracket it. The bias is a feature of value 10.
+
+def descend(features: list[np.ndarray], y: np.ndarray, scale: np.ndarray, penalty: float) -> tuple[np.ndarray, float, float]:
+    """(weights of presence, bias, gap) that minimise the log loss + penalty / 2 * |w|^2 for features scaled by ``scale``.
+
+    Dual coordinate descent: a document's dual variable a in (0, 1) solves
+    sign * z + q * (a - old) + log(a / (1 - a)) = 0, found by bisection between
+    bounds that bracket it. The bias is a feature of value 10. RuntimeError if
+    the gap stays above GAP.
     """
     sign, square = 2.0 * y - 1.0, scale * scale
-    a = 1e-3 * weight
+    a = np.full(len(y), 1e-3)
     w, bias = np.zeros(len(scale)), 0.0  # w: of presence, the scaling applied
     size = np.array([square[f].sum() for f in features]) / penalty + 100.0 / penalty
     for f, s, x in zip(features, sign.tolist(), a.tolist(), strict=True):
         w[f] += s * x / penalty * square[f]
         bias += s * x / penalty * 100.0
     order = np.random.default_rng(0)
-    for _ in range(ROUNDS):
-        moved = 0.0
+    for n in range(MOST_ROUNDS):
         for i in order.permutation(len(features)).tolist():
-            f, s, q, c, old = features[i], float(sign[i]), float(size[i]), float(weight[i]), float(a[i])
+            f, s, q, old = features[i], float(sign[i]), float(size[i]), float(a[i])
             margin = s * (float(w[f].sum()) + bias)
-            low, high = 0.0, c
+            low, high = 0.0, 1.0
             for _ in range(40):
                 middle = (low + high) / 2
-                if margin + q * (middle - old) + math.log(max(middle, 1e-300) / max(c - middle, 1e-300)) > 0:
+                if margin + q * (middle - old) + math.log(max(middle, 1e-300) / max(1.0 - middle, 1e-300)) > 0:
                     high = middle
                 else:
                     low = middle
             step = (low + high) / 2 - old
-            if abs(step) > 1e-9 * c:
+            if abs(step) > 1e-9:
                 a[i] = old + step
                 w[f] += s * step / penalty * square[f]
                 bias += s * step / penalty * 100.0
-                moved = max(moved, abs(step) / c)
-        if moved < SETTLED:
-            break
-    return w, bias
+        if n % 4 == 3 and (gap := _gap(features, sign, a, w, bias, scale, penalty)) < GAP:
+            return w, bias, gap
+    raise RuntimeError(f"the fit has not settled: its duality gap is {gap:.2g} of its loss")
+
+
+def _ratios(counts: np.ndarray, n: tuple[int, int]) -> np.ndarray:
+    p = (counts + 1.0) / (np.array([[n[0]], [n[1]]]) + 2.0)
+    return np.log(p[1] / p[0])
+
 
+def mark(z: np.ndarray, y: np.ndarray) -> float:
+    """The log-odds from which on a document is rejected: fewest errors while at most CLEAN_LOST of the clean ones are above, the widest gap on ties."""
+    order = np.argsort(-z, kind="stable")
+    z, y = z[order], y[order]
+    above_toxic, above_clean = np.append(0, np.cumsum(y)), np.append(0, np.cumsum(1 - y))
+    edges = np.concatenate([[z[0] + 2.0], z, [z[-1] - 2.0]])
+    width = edges[:-1] - edges[1:]
+    errors = y.sum() - above_toxic + above_clean
+    free = (above_clean <= CLEAN_LOST * (1 - y).sum()) & (width > 0)
+    best = np.flatnonzero(free & (errors == errors[free].min()))
+    k = best[np.argmax(width[best])]
+    return float((edges[k] + edges[k + 1]) / 2)
 
-def fit(docs: DataFrame, labels: DataFrame, max_fit_docs: int = 5_000, penalty: float = 10.0, folds: int = 5, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+
+def regress(features: list[np.ndarray], y: np.ndarray, counts: np.ndarray, n: tuple[int, int], penalty: float) -> tuple[np.ndarray, float, float, float]:
+    """(weights, bias, mark, gap) of the model, whose mark of 0.5 comes from parts of the documents scored by models of the others.
+
+    ``counts`` and ``n``: documents by class, with and without a feature, of
+    which those of ``features`` are some; a part's counts are taken away for its
+    models. Parts without both classes on either side leave the mark at 0.
+    """
+    w, bias, gap = descend(features, y, _ratios(counts, n), penalty)
+    part, z = np.arange(len(y)) % PARTS_OF_FIT, np.zeros(len(y))
+    for k in range(PARTS_OF_FIT):
+        own, others = np.flatnonzero(part == k), np.flatnonzero(part != k)
+        if len(set(y[others].tolist())) < 2 or not len(own):
+            return w, bias, 0.0, gap
+        less = counts.copy()
+        for i in own:
+            less[int(y[i]), features[i]] -= 1
+        left = (n[0] - int((y[own] == 0).sum()), n[1] - int((y[own] == 1).sum()))
+        v, b, _ = descend([features[i] for i in others], y[others], _ratios(less, left), penalty)
+        z[own] = [b + float(v[features[i]].sum()) for i in own]
+    return w, bias, mark(z, y), gap
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_fit_docs: int = 5_000, max_fit_bytes: int = 512 << 20, penalty: float = 10.0, folds: int = 5, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Learn from the labelled rows that are not held out.
 
     Counts of features cover all of these rows; the regression takes the
-    ``max_fit_docs`` ids of the lowest hash, of rows that repeat an id one. Null
+    ``max_fit_docs`` ids of the lowest hash, of rows that repeat an id one, and
+    of those as many as have ``max_fit_bytes`` of features (4 bytes each). Null
     labels or ids are left out; of several labels of one id the largest counts;
     columns of other names are not read. Without labels the score is 0.5, with
     one class only it is that class.
@@ -218,13 +274,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit_docs: int = 5_000, penalty:
     text = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     counted = _counted(_maybe_labelled(text, y, sum(n.values())).join(marked.hint("merge"), "id").select("id", "y", "chosen", "text"))
     counts = _class_counts(counted)
-    total = np.array([[n[0]], [n[1]]], dtype=np.float64)
-    p = (counts + 1.0) / (total + 2.0)
-    ratio = np.log(p[1] / p[0])
-    pooled = (counts.sum(0) + 1.0) / (total.sum() + 2.0)
-    chi = (p[1] - p[0]) ** 2 / (pooled * (1 - pooled)) * (n[0] * n[1] / (n[0] + n[1]))
-    scale = ratio * np.sqrt(chi / USUAL)
-    of_class = (1.0, math.sqrt(n[0] / n[1]) if n[0] > n[1] else 1.0)
+    classes = (n[0], n[1])
 
     def learn(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict = {}
@@ -232,12 +282,14 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit_docs: int = 5_000, penalty:
             for name, label, data in zip(*(batch[c].to_pylist() for c in ("id", "y", "features")), strict=True):
                 best[name] = (label, min(data, best[name][1]) if name in best else data)
         target = np.array([best[i][0] for i in sorted(best)], dtype=np.float64)
-        w, bias = descend([np.frombuffer(best[i][1], "<i4") for i in sorted(best)], target, scale, penalty, np.where(target > 0, of_class[1], of_class[0]))
-        yield pa.record_batch([pa.array([w.tobytes()], pa.binary()), pa.array([bias])], ["w", "bias"])
-
-    chosen = counted.where("features is not null").select("id", "y", "features").coalesce(1)  # at most max_fit_docs rows for each task that counted
-    row = chosen.mapInArrow(learn, "w binary, bias double").first()
-    return Model(np.frombuffer(row["w"]), row["bias"]) if row else Model(np.zeros(BUCKETS), 0.0, n[1] / (n[0] + n[1]))
+        w, bias, at, gap = regress([np.frombuffer(best[i][1], "<i4") for i in sorted(best)], target, counts, classes, penalty)
+        yield pa.record_batch([pa.array([w.tobytes()], pa.binary()), pa.array([bias]), pa.array([at]), pa.array([gap])], ["w", "bias", "mark", "gap"])
+
+    chosen = counted.where("features is not null").select("id", "y", "features")
+    sizes = chosen.groupBy("id").agg(F.sum(F.octet_length("features")).alias("bytes"))  # at most max_fit_docs rows from here on
+    fit_in = sizes.withColumn("sum", F.sum("bytes").over(Window.orderBy(F.xxhash64("id"), "id"))).where(F.col("sum") <= max_fit_bytes).select("id")
+    row = chosen.join(F.broadcast(fit_in), "id").select("id", "y", "features").coalesce(1).mapInArrow(learn, "w binary, bias double, mark double, gap double").first()
+    return Model(np.frombuffer(row["w"]), row["bias"], None, row["mark"], row["gap"]) if row else Model(np.zeros(BUCKETS), 0.0, n[1] / (n[0] + n[1]))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
