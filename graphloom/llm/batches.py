@@ -54,9 +54,26 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*(F.col(f"`{c}`") for c in df.columns if c.lower() not in taken))
 
 
+def _has_map(kind: T.DataType) -> bool:
+    inner = [f.dataType for f in kind.fields] if isinstance(kind, T.StructType) else [kind.elementType] if isinstance(kind, T.ArrayType) else []
+    return isinstance(kind, T.MapType) or any(map(_has_map, inner))
+
+
+def _flat(c: Column, kind: T.DataType) -> Column:
+    """``c`` with its maps as entries in order, which can be hashed and compared; equal maps give equal entries."""
+    if isinstance(kind, T.MapType):
+        entries = F.transform(F.map_entries(c), lambda e: F.struct(_flat(e["key"], kind.keyType).alias("key"), _flat(e["value"], kind.valueType).alias("value")))
+        return F.array_sort(entries)
+    if isinstance(kind, T.ArrayType) and _has_map(kind):
+        return F.transform(c, lambda x: _flat(x, kind.elementType))
+    if isinstance(kind, T.StructType) and _has_map(kind):
+        return F.when(c.isNotNull(), F.struct(*(_flat(c[f.name], f.dataType).alias(f.name) for f in kind.fields)))
+    return c
+
+
 def row_hashes(df: DataFrame) -> list[Column]:
-    """Two 64-bit hashes of all columns, which name a row up to rows that are equal."""
-    columns = [F.col(f"`{c}`") for c in df.columns]
+    """Two 64-bit hashes of all columns, which name a row up to rows that are equal; of maps the entries count, not their order."""
+    columns = [_flat(F.col(f"`{f.name}`"), f.dataType) for f in df.schema]
     return [F.xxhash64(*columns).alias("row"), F.xxhash64(F.lit(1), *columns).alias("row2")]
 
 

@@ -119,7 +119,9 @@ def pack(docs: DataFrame, buckets: int = 16, budget: int = 16_384, length: Colum
 def pack_documents(docs: DataFrame, buckets: int = 16, budget: int = 16_384, length: Column | None = None, order: Column | None = None, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
     """``pack`` with all columns of ``docs`` beside the place: length, bucket, bucket_length, batch, slot.
 
-    Columns of ``docs`` with these names are replaced.
+    Columns of ``docs`` with these names are replaced. Rows that are equal in
+    all columns keep a place each, and so a row each. Columns may be maps,
+    structs and arrays of any kind.
     """
     new = ["length", "bucket", "bucket_length", "batch", "slot"]
     packed = pack(docs, buckets, budget, length, order, id_col, text_col, tokenizer).drop("id")
