@@ -8,8 +8,10 @@ d(q, x)^2 = |q|^2 + M - 2 q.x.
 Index, from the root down: top nodes around pivots of a bounded sample; below
 each of them subtrees around pivots sampled from its rows; below these, pages
 of at most PAGE entries. Nodes store their pivot and covering radius, pages and
-entries also their distance to the pivot above. A node keeps its size as the
-table grows, only the number of nodes follows it. Every row is indexed.
+entries also their distance to the pivot above. Pages and subtrees keep their
+size as the table grows; there are at most MOST_TOPS top nodes, so beyond that
+the list of a top node's subtree pivots grows with the table. Every row is
+indexed.
 
 Search, best first: a query descends to the subtree of its nearest pivot, which
 gives the bound of its k-th best score, and then into those subtrees alone
