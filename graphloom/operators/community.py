@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from graphloom.graph import Graph
 from graphloom.operators.transforms import quotient
@@ -69,24 +73,71 @@ def k_cliques(graph: Graph, k: int) -> DataFrame:
     return found.select(F.array_sort("members").alias("members"))
 
 
-def maximal_cliques(graph: Graph) -> DataFrame:
-    """(members): all cliques that no vertex extends, from single vertices on; a round adds one vertex to every clique.
+def _expanded(near: list[int], p: int, x: int) -> Iterator[int]:
+    """Bron and Kerbosch with a pivot over bit sets: the sets of ``p`` that no vertex of ``p`` or ``x`` extends; near: neighbours of each vertex."""
+    stack = [(0, p, x)]
+    while stack:
+        r, p, x = stack.pop()
+        if not p:
+            if not x:
+                yield r
+            continue
+        pivot, most = 0, -1
+        rest = p | x
+        while rest:
+            v = (rest & -rest).bit_length() - 1
+            rest &= rest - 1
+            if (n := (near[v] & p).bit_count()) > most:
+                pivot, most = v, n
+        branch = p & ~near[pivot]
+        while branch:
+            v = (branch & -branch).bit_length() - 1
+            bit = 1 << v
+            stack.append((r | bit, p & near[v], x & near[v]))
+            p, x, branch = p & ~bit, x | bit, branch & ~bit
 
-    Cliques grow along the order of degrees, each from its parts once; a clique
-    is maximal if no common neighbour of its members is left.
+
+def maximal_cliques(graph: Graph) -> DataFrame:
+    """(members): all cliques that no vertex extends, from single vertices on.
+
+    Every clique is found at its first member in the order of degrees, among
+    the neighbours that come later, of which there are at most sqrt(2 m). A
+    task holds these of one vertex, the edges between them and those from its
+    earlier neighbours, all of which come from triangles made once; a clique
+    that an earlier neighbour extends belongs to that one. The answer can be
+    exponential, the work follows it.
     """
-    arcs = save(_simple(graph), "arcs")
     e = save(_ordered(graph), "ordered")
-    found = save(graph.vertices.select(F.array("id").alias("members")), "cliques")
-    out = None
-    while not found.isEmpty():
-        common = found.select("members", F.explode("members").alias("src")).join(arcs, "src").groupBy("members", "dst").agg(F.count(F.lit(1)).alias("n")).where("n = size(members)")
-        whole = save(found.join(common.select("members").distinct(), "members", "left_anti").select(F.array_sort("members").alias("members")), "maximal")
-        out = whole if out is None else out.unionByName(whole)
-        # the next member comes after the last one in the order of degrees and is a neighbour of all
-        grown = common.select("members", "dst").join(e.select(F.col("src").alias("last"), F.col("dst").alias("next")), (F.element_at("members", -1) == F.col("last")) & (F.col("dst") == F.col("next")))
-        found = save(grown.select(F.concat("members", F.array("next")).alias("members")), "cliques")
-    return out if out is not None else graph.vertices.select(F.array("id").alias("members")).limit(0)
+    tri = save(triangles(graph), "triangles")
+    id_type = e.schema["src"].dataType.simpleString()
+    none = F.lit(None).cast(id_type)
+    rows = e.select(F.col("src").alias("v"), F.col("dst").alias("a"), none.alias("b"), F.lit(False).alias("before"))
+    rows = rows.unionByName(tri.select(F.col("a").alias("v"), F.col("b").alias("a"), F.col("c").alias("b"), F.lit(False).alias("before")))
+    rows = rows.unionByName(tri.select(F.col("b").alias("v"), F.col("c").alias("a"), F.col("a").alias("b"), F.lit(True).alias("before")))
+
+    def cliques(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        links = [r for batch in batches for r in zip(*(batch[c].to_pylist() for c in ("a", "b", "before")), strict=True)]
+        later = sorted({a for a, _, _ in links})
+        names = later + sorted({b for _, b, before in links if before})
+        at = {v: i for i, v in enumerate(names)}
+        near = [0] * len(names)
+        for a, b, _ in links:
+            if b is not None:
+                near[at[a]] |= 1 << at[b]
+                near[at[b]] |= 1 << at[a]
+        out, whole = [], (1 << len(later)) - 1
+        for found in _expanded(near, whole, (1 << len(names)) - 1 - whole):
+            out.append(sorted([key[0].as_py(), *(later[i] for i in range(len(later)) if found >> i & 1)]))
+            if len(out) == 10_000:
+                yield pa.record_batch([pa.array(out, type_)], ["members"])
+                out = []
+        if out:
+            yield pa.record_batch([pa.array(out, type_)], ["members"])
+
+    type_ = pa.list_(to_arrow_type(e.schema["src"].dataType))
+    linked = rows.groupBy("v").applyInArrow(cliques, f"members array<{id_type}>")
+    ends = e.select(F.col("src").alias("id")).unionByName(e.select(F.col("dst").alias("id")))
+    return save(linked.unionByName(graph.vertices.join(ends, "id", "left_anti").select(F.array("id").alias("members"))), "cliques")
 
 
 def maximum_clique(graph: Graph) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.graph import Graph
+from graphloom.operators.community import triangles
 from graphloom.operators.paths import all_pairs_hops, sssp
 
 
@@ -39,11 +42,14 @@ def local_efficiency(graph: Graph) -> DataFrame:
     """(id, efficiency) of the graph that a vertex's neighbours induce, the vertex left out; unweighted hops.
 
     All neighbourhoods are searched at once, each as a graph of its own with
-    ids (center, vertex).
+    ids (center, vertex). Its edges come from the triangles of the center, each
+    made once, so no vertex pairs up its neighbours.
     """
     arcs = graph.both_ways().where("src <> dst").select("src", "dst").distinct()
     around = arcs.select(F.col("src").alias("c"), F.col("dst").alias("v"))
-    inside = around.join(arcs.select(F.col("src").alias("v"), F.col("dst").alias("w")), "v").join(around.select("c", F.col("v").alias("w")), ["c", "w"])
+    corner = lambda c, v, w: F.struct(F.col(c).alias("c"), F.col(v).alias("v"), F.col(w).alias("w"))
+    corners = [corner(*x) for x in itertools.permutations("abc")]
+    inside = triangles(Graph(graph.vertices, arcs.where("src < dst").withColumn("weight", F.lit(1)), False)).select(F.explode(F.array(*corners)).alias("x")).select("x.*")
     pair = lambda x: F.struct("c", F.col(x).alias("v"))
     local = Graph(around.select(pair("v").alias("id")), inside.select(pair("v").alias("src"), pair("w").alias("dst"), F.lit(1).alias("weight")), True)
     hops = all_pairs_hops(local).where("hops > 0").groupBy(F.col("source.c").alias("id")).agg(F.sum(1 / F.col("hops")).alias("e"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.semirings import MIN_PLUS, Semiring
 from graphloom.graph import Graph
-from graphloom.plans import drop_saved, save
+from graphloom.plans import drop_saved, running_total, save
 from graphloom.plans.fixpoint import fixpoint, rounds, spread
 
 
@@ -191,13 +191,20 @@ def rounds_within(graph: Graph, k: int) -> DataFrame:
 
 
 def random_walks(graph: Graph, starts: DataFrame, steps: int, seed: int) -> DataFrame:
-    """(walk, step, id): a uniform walk from each start (walk, id) that ends at a vertex without successors; seeded."""
+    """(walk, step, id): a uniform walk from each start (walk, id) that ends at a vertex without successors; seeded.
+
+    The arcs of a vertex are numbered once; a step draws a number for each walk
+    and joins that arc alone, so a hub costs no more than another vertex.
+    """
     arcs = graph.arcs().select("src", "dst").distinct()
+    numbered = save(running_total(arcs, ["src"], [F.col("dst")], F.lit(1).cast("long"), "k", total="d"), "numbered")
+    degrees = save(numbered.where("k = 0").select(F.col("src").alias("id"), "d"), "degrees")
     at = save(starts.select("walk", F.lit(0).alias("step"), "id"), "walk")
     out = at
     for i in range(1, steps + 1):
-        pick = F.xxhash64(F.lit(seed), "walk", F.lit(i), "dst")
-        at = save(at.join(arcs, F.col("id") == F.col("src")).groupBy("walk").agg(F.min_by("dst", pick).alias("id")).select("walk", F.lit(i).alias("step"), "id"), "walk")
+        pick = F.pmod(F.xxhash64(F.lit(seed), "walk", F.lit(i)), F.col("d")).alias("k")
+        drawn = at.join(degrees, "id").select("walk", F.col("id").alias("src"), pick)
+        at = save(drawn.join(numbered.select("src", "k", "dst"), ["src", "k"]).select("walk", F.lit(i).alias("step"), F.col("dst").alias("id")), "walk")
         if at.isEmpty():
             drop_saved(at)
             break

@@ -242,3 +242,17 @@ def test_scores_that_do_not_settle_are_an_error(spark):
     for measure in (centrality.pagerank, centrality.hits, centrality.eigenvector, centrality.katz, centrality.alpha):
         with pytest.raises(RuntimeError, match="not settled"):
             measure(g, max_iter=1, tolerance=1e-12)
+
+
+def test_maximal_cliques(spark):
+    r = random.Random(3)
+    pairs = {(a, b) for a in range(12) for b in range(a + 1, 12) if r.random() < 0.55} | {(20, 21)}
+    near = lambda a, b: (min(a, b), max(a, b)) in pairs
+    ids = [*range(12), 20, 21, 30]
+    all_ = [set(c) for k in range(1, 13) for c in itertools.combinations(ids, k) if all(near(a, b) for a, b in itertools.combinations(c, 2))]
+    want = {tuple(sorted(c)) for c in all_ if not any(c < d for d in all_)}
+    g = from_edges(spark.createDataFrame(list(pairs), "src long, dst long"), False, vertices=spark.createDataFrame([(i,) for i in ids], "id long"))
+    found = [tuple(x["members"]) for x in community.maximal_cliques(g).collect()]
+    assert len(found) == len(set(found)) and set(found) == want
+    whole = community.maximal_cliques(generators.complete(spark, 30)).collect()
+    assert [x["members"] for x in whole] == [list(range(30))]
