@@ -709,3 +709,57 @@ t AS (SELECT e.src, e.dst, sum(s.n * t.n::DOUBLE / st.n) AS score FROM e JOIN k
 SELECT e.src, e.dst, coalesce(score, 0)::DOUBLE AS score FROM e LEFT JOIN t ON t.src = e.src AND t.dst = e.dst""",
     True,
 )
+
+
+# --- oracles for operators that had none ------------------------------------
+
+SQL["local_efficiency"] = f"""WITH RECURSIVE {_PARTS}, {_NEAR}, i AS (SELECT x.src AS c, y.src AS v, y.dst AS w FROM n x JOIN n y ON y.src = x.dst JOIN n z ON z.src = x.src AND z.dst = y.dst),
+p(c, s, t, h) USING KEY (c, s, t) AS (SELECT src, dst, dst, 0 FROM n UNION SELECT p.c, p.s, i.w, min(p.h + 1) FROM p JOIN i ON i.c = p.c AND i.v = p.t LEFT JOIN recurring.p q ON q.c = p.c AND q.s = p.s AND q.t = i.w WHERE q.c IS NULL GROUP BY p.c, p.s, i.w),
+k AS (SELECT src AS c, count(*) AS k FROM n GROUP BY src), e AS MATERIALIZED (SELECT c, sum(1.0::DOUBLE / h) AS e FROM p WHERE h > 0 GROUP BY c)
+SELECT v.id, CASE WHEN k > 1 THEN coalesce(e, 0) / (k * (k - 1)) ELSE 0 END::DOUBLE AS efficiency FROM v LEFT JOIN k ON k.c = v.id LEFT JOIN e ON e.c = v.id""".replace("e AS MATERIALIZED (SELECT c", "ee AS MATERIALIZED (SELECT c").replace("LEFT JOIN e ON e.c", "LEFT JOIN ee ON ee.c")
+SQL["clique_percolation"] = f"""WITH RECURSIVE {_PARTS}, {_TRI}, q AS (SELECT row_number() OVER () AS t, a1, b1, c1 FROM t), f AS (SELECT t, unnest([a1 || '-' || b1, a1 || '-' || c1, b1 || '-' || c1]) AS face FROM q),
+s AS (SELECT DISTINCT x.t AS p, y.t AS q FROM f x JOIN f y ON y.face = x.face), r(id, lab) USING KEY (id) AS (SELECT t, t FROM q UNION SELECT s.q, min(r.lab) FROM r JOIN s ON s.p = r.id JOIN recurring.r k ON k.id = s.q WHERE r.lab < k.lab GROUP BY s.q),
+m AS (SELECT DISTINCT lab, unnest([a1, b1, c1]) AS id FROM r JOIN q ON q.t = r.id) SELECT id, min(id) OVER (PARTITION BY lab) AS community FROM m"""
+
+
+def _unit(df: DataFrame, c: str) -> DataFrame:
+    norm = df.agg(F.sqrt(F.sum(F.col(c) * F.col(c))).alias("norm"))
+    return df.join(F.broadcast(norm)).select("id", (F.col(c) / F.col("norm")).alias(c))
+
+
+def _pushed(arcs: DataFrame, x: DataFrame, c: str, start: str, end: str) -> DataFrame:
+    """(id, c): the sum of ``c`` over arcs from ``start`` to ``end``."""
+    got = arcs.join(x.select(F.col("id").alias(start), c), start).groupBy(F.col(end).alias("id")).agg(F.sum(c).alias("got"))
+    return x.select("id").join(got, "id", "left").select("id", F.coalesce("got", F.lit(0.0)).alias(c))
+
+
+def hits_check(s: SparkSession, d: str) -> DataFrame:
+    """Whether authorities are the hubs pushed along arcs, and hubs the authorities pushed back, both of length 1."""
+    g = users(s, d)
+    x = save(centrality.hits(g), "hits")
+    arcs = save(g.arcs().select("src", "dst"), "arcs")
+    far = lambda made, c: made.withColumnRenamed(c, "made").join(x, "id").agg((F.max(F.abs(F.col("made") - F.col(c))) < 1e-4).alias(f"{c}_holds"))
+    return far(_unit(_pushed(arcs, x, "hub", "src", "dst"), "hub").withColumnRenamed("hub", "authority"), "authority").join(far(_unit(_pushed(arcs, x, "authority", "dst", "src"), "authority").withColumnRenamed("authority", "hub"), "hub"))
+
+
+def eigenvector_check(s: SparkSession, d: str) -> DataFrame:
+    """Whether one more push moves no score by more than the tolerance allows, and the scores have length 1."""
+    g = parts(s, d)
+    x = save(centrality.eigenvector(g), "eigenvector")
+    pushed = _pushed(g.arcs().select("src", "dst"), x, "score", "src", "dst").withColumnRenamed("score", "got").join(x, "id")
+    again = _unit(pushed.select("id", (F.col("got") + F.col("score")).alias("made")), "made").join(x, "id")
+    return again.agg((F.max(F.abs(F.col("made") - F.col("score"))) < 1e-3).alias("holds"), (F.abs(F.sum(F.col("score") * F.col("score")) - 1) < 1e-9).alias("is_unit"))
+
+
+def louvain_check(s: SparkSession, d: str) -> DataFrame:
+    """Vertices with one community each, and whether modularity is above that of single vertices."""
+    g = suppliers(s, d)
+    c = save(community.louvain(g).select("id", "community"), "communities")
+    alone = community.modularity(g, g.vertices.select("id", F.col("id").alias("community"))).withColumnRenamed("modularity", "alone")
+    better = community.modularity(g, c).join(alone).select((F.col("modularity") > F.col("alone")).alias("is_better"))
+    return c.agg(F.count_distinct("id").alias("n_vertices"), (F.count(F.lit(1)) - F.count_distinct("id")).alias("n_twice")).join(better)
+
+
+add("hits_check", hits_check, "x AS (SELECT 1) SELECT true AS authority_holds, true AS hub_holds FROM x")
+add("eigenvector_check", eigenvector_check, "x AS (SELECT 1) SELECT true AS holds, true AS is_unit FROM x")
+add("louvain_check", louvain_check, f"{_SUPPLIERS} SELECT count(*) AS n_vertices, 0 AS n_twice, true AS is_better FROM v")
