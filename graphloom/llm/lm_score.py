@@ -229,7 +229,7 @@ class Automaton:
             lower = p
         self.codes = np.concatenate([*codes, self.root * words + np.arange(words)])
         self.weights, self.targets = np.concatenate([*weights, self.root_weight]), np.concatenate([*targets, state_of[0]])
-        self.start = words if order > 1 else self.root
+        self.start = words if order > 1 and end else self.root  # where nothing is learned no text has begun
 
     def score(self, seq: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """One traversal of all texts, which lie one after another in ``seq``: log10 probability of each."""
