@@ -31,21 +31,28 @@ def avoiding(*values: object) -> Rule:
     return lambda here, there: F.coalesce(~there.isin(*values), F.lit(True))
 
 
-def from_cells(cells: DataFrame, may_move: Rule = always, moves: list[tuple[int, int]] = ROOK, directed: bool = False) -> Graph:
+def from_cells(cells: DataFrame, may_move: Rule = always, moves: list[tuple[int, int]] = ROOK, directed: bool = False, wrap: bool = False) -> Graph:
     """Vertices (id, data) with id = row * columns + col, and an edge of weight 1 for each allowed move.
 
     Rows and columns count from 0 and a cell occurs once; columns is the largest
     col and one. Cells without a row or col are left out. An undirected edge
-    stands where a move is allowed one way at least. One equi-join, with as many
-    rows as cells times moves.
+    stands where a move is allowed one way at least. With ``wrap`` the plane is a
+    torus: the last row and column lead to the first, and a move that comes back
+    to its own cell is no edge. One equi-join, with as many rows as cells times
+    moves.
     """
     cells = cells.where("row is not null and col is not null")
-    columns = (cells.agg(F.max("col")).first()[0] or 0) + 1
+    last = cells.agg(F.max("row"), F.max("col")).first()
+    rows, columns = (last[0] or 0) + 1, (last[1] or 0) + 1
     at = cells.select((F.col("row") * columns + F.col("col")).cast("long").alias("id"), "row", "col", "data")
     steps = F.explode(F.array(*(F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r, c in moves)))
     moved = at.select("id", "row", "col", "data", steps.alias("by")).select(F.col("id").alias("src"), F.col("data").alias("here"), (F.col("row") + F.col("by.r")).alias("row"), (F.col("col") + F.col("by.c")).alias("col"))
+    if wrap:
+        moved = moved.withColumns({"row": F.pmod("row", F.lit(rows)), "col": F.pmod("col", F.lit(columns))})
     ends = at.select(F.col("id").alias("dst"), F.col("data").alias("there"), "row", "col")
     edges = moved.join(ends, ["row", "col"]).where(may_move(F.col("here"), F.col("there"))).select("src", "dst")
+    if wrap:
+        edges = edges.where("src <> dst").distinct()
     if not directed:
         edges = edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
     return Graph(at.select("id", "data"), edges.withColumn("weight", F.lit(1).cast("long")), directed)
