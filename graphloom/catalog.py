@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from graphloom.graph import Graph, from_edges
-from graphloom.operators import algebra, approximate, arborescence, centrality, community, connectivity, cuts, dag, dominators, flow, generators, grids, health, layout, model, multigraph, paths, structure, transforms
+from graphloom.operators import algebra, approximate, arborescence, assignment, centrality, community, connectivity, cuts, dag, dominators, flow, generators, grids, health, implicit, layout, model, multigraph, paths, structure, transforms
 from graphloom.plans import connected_components, fresh_path, running_total, save
 from graphloom.sources import readers, writers
+from graphloom.sources.labels import Labels
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -763,3 +764,80 @@ def louvain_check(s: SparkSession, d: str) -> DataFrame:
 add("hits_check", hits_check, "x AS (SELECT 1) SELECT true AS authority_holds, true AS hub_holds FROM x")
 add("eigenvector_check", eigenvector_check, "x AS (SELECT 1) SELECT true AS holds, true AS is_unit FROM x")
 add("louvain_check", louvain_check, f"{_SUPPLIERS} SELECT count(*) AS n_vertices, 0 AS n_twice, true AS is_better FROM v")
+
+
+# --- assignment, graphs that are never built, labels, a torus ---------------
+
+
+def assignment_check(s: SparkSession, d: str) -> DataFrame:
+    """A customer for each supplier (or the other way round, where suppliers are more), the most shared lines in all.
+
+    n_pairs, ends that are in two pairs, arcs worth more than the prices of
+    their ends, left-over ends with a price, and whether the prices sum to the
+    pairs' total: then no other assignment has a greater one.
+    """
+    costs = save(bipartite(s, d).edges.select(F.col("src").alias("left"), F.col("dst").alias("right"), F.col("weight").alias("cost")), "costs")
+    pairs, prices = (save(x, "result") for x in assignment.assignment_with_prices(costs, maximise=True))
+    of = lambda side: prices.where(F.col("side") == side).select(F.col("id").alias(side), F.col("price").alias(f"p_{side}"))
+    twice = pairs.agg((2 * F.count(F.lit(1)) - F.countDistinct("left") - F.countDistinct("right")).alias("n_twice"), F.count(F.lit(1)).alias("n_pairs"), F.sum("cost").alias("total"))
+    over = costs.join(of("left"), "left").join(of("right"), "right").where(F.col("p_left") + F.col("p_right") < F.col("cost") - 1e-6).agg(F.count(F.lit(1)).alias("n_over"))
+    larger = F.when(F.count_if(F.col("side") == "left") > F.count_if(F.col("side") == "right"), F.count_if((F.col("side") == "left") & (F.col("price") < -1e-6))).otherwise(F.count_if((F.col("side") == "right") & (F.col("price") < -1e-6)))
+    sums = prices.agg(F.sum("price").alias("prices"), larger.alias("n_negative"))
+    return twice.join(over).join(sums).select("n_pairs", "n_twice", "n_over", "n_negative", (F.abs(F.col("prices") - F.col("total")) < 1).alias("is_best"))
+
+
+add("assignment_check", assignment_check, f"{_BIPARTITE} SELECT least(count(DISTINCT src), count(DISTINCT dst)) AS n_pairs, 0 AS n_twice, 0 AS n_over, 0 AS n_negative, true AS is_best FROM e")
+
+
+def _first_orders(orders: DataFrame) -> DataFrame:
+    return orders.groupBy("o_custkey").agg(F.min(F.struct("o_orderdate", "o_orderkey")).alias("x")).select("o_custkey", "x.o_orderdate", "x.o_orderkey")
+
+
+def _next_orders(orders: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """From an order to the same customer's orders of the year after it; with a cost, the square of the days between is added."""
+    to = orders.select("o_custkey", F.col("o_orderdate").alias("then"), F.col("o_orderkey").alias("to"))
+
+    def step(states: DataFrame) -> DataFrame:
+        days = F.datediff("then", "o_orderdate")
+        found = states.join(to, "o_custkey").where(days.between(1, 365))
+        cost = [(F.col("cost") + days * days).alias("cost")] if "cost" in states.columns else []
+        return found.select("o_custkey", F.col("then").alias("o_orderdate"), F.col("to").alias("o_orderkey"), *cost)
+
+    return step
+
+
+def explored_orders(s: SparkSession, d: str) -> DataFrame:
+    orders = table(s, d, "orders").select("o_custkey", "o_orderdate", "o_orderkey")
+    return implicit.explore(_first_orders(orders), _next_orders(orders), {"order": F.col("o_orderkey")}).select("o_orderkey", "depth")
+
+
+def cheapest_orders(s: SparkSession, d: str) -> DataFrame:
+    orders = table(s, d, "orders").select("o_custkey", "o_orderdate", "o_orderkey")
+    return implicit.least_costs(_first_orders(orders).withColumn("cost", F.lit(0.0)), _next_orders(orders)).select("o_orderkey", "cost")
+
+
+_FIRST = """o AS (SELECT o_custkey AS c, o_orderkey AS k, o_orderdate::DATE AS d FROM orders), f AS (SELECT c, arg_min(k, (d, k)) AS k, min(d) AS d FROM o GROUP BY c)"""
+_AFTER = "o.c = r.c AND date_diff('day', r.d, o.d) BETWEEN 1 AND 365"
+add("implicit_explored_orders", explored_orders,
+    f"{_FIRST}, r(c, k, d, depth) AS (SELECT c, k, d, 0 FROM f UNION SELECT o.c, o.k, o.d, r.depth + 1 FROM r JOIN o ON {_AFTER}) SELECT k AS o_orderkey, min(depth) AS depth FROM r GROUP BY k", True)
+add("implicit_least_costs", cheapest_orders,
+    f"{_FIRST}, r(c, k, d, cost) USING KEY (k) AS (SELECT c, k, d, 0::DOUBLE FROM f UNION SELECT o.c, o.k, o.d, min(r.cost + date_diff('day', r.d, o.d) ^ 2) FROM r JOIN o ON {_AFTER} LEFT JOIN recurring.r q ON q.k = o.k "
+    "WHERE q.k IS NULL OR r.cost + date_diff('day', r.d, o.d) ^ 2 < q.cost GROUP BY o.c, o.k, o.d) SELECT k AS o_orderkey, cost FROM r", True)
+
+
+def labelled(s: SparkSession, d: str) -> DataFrame:
+    """Ids of nations, then of customers as well, then of suppliers and customers: old ones stay."""
+    labels = Labels(s, fresh_path(s, "labels"))
+    names = {t: table(s, d, t).select(F.col(f"{t[0]}_name").alias("label")) for t in ("nation", "customer", "supplier")}
+    labels.add(names["nation"])
+    labels.add(names["nation"].unionByName(names["customer"]))
+    return labels.add(names["supplier"].unionByName(names["customer"]))
+
+
+add("labelled_ids", labelled, "x AS (SELECT n_name AS label, 0 AS b FROM nation UNION SELECT c_name, 1 FROM customer UNION SELECT s_name, 2 FROM supplier), y AS (SELECT label, min(b) AS b FROM x GROUP BY label) SELECT label, row_number() OVER (ORDER BY b, label) - 1 AS id FROM y")
+add(
+    "grid_torus",
+    lambda s, d: grids.from_cells(part_cells(s, d), wrap=True).edges,
+    "x AS (SELECT p_partkey // 100 AS r, p_partkey % 100 AS c FROM part), n AS (SELECT max(r) + 1 AS h, max(c) + 1 AS w FROM x), t AS (SELECT * FROM (VALUES (0, 1), (1, 0)) t(dr, dc)), "
+    "m AS (SELECT a.r * w + a.c AS src, b.r * w + b.c AS dst FROM x a, n, t, x b WHERE b.r = (a.r + dr) % h AND b.c = (a.c + dc) % w) SELECT DISTINCT least(src, dst) AS src, greatest(src, dst) AS dst, 1 AS weight FROM m WHERE src <> dst",
+)
