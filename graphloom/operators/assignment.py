@@ -139,6 +139,6 @@ def assignment(costs: DataFrame, maximise: bool = False) -> DataFrame:
     things that are left over then offer themselves to others, until none costs
     more than the cheapest owned one. A round costs a join of the arcs
     of those without a partner and a top two for each of them; the number of
-    rounds grows with the competition for the same partners, not with the table.
+    rounds grows with the competition for the same partners.
     """
     return assignment_with_prices(costs, maximise)[0]
