@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from graphloom.graph import Graph, from_edges
-from graphloom.operators import algebra, approximate, arborescence, assignment, centrality, community, connectivity, cuts, dag, dominators, flow, generators, grids, health, implicit, layout, model, multigraph, paths, structure, transforms
+from graphloom.operators import algebra, approximate, arborescence, assignment, centrality, community, connectivity, cuts, dag, dominators, flow, generators, grids, health, implicit, layout, model, multigraph, paths, structure, transforms, treewidth
 from graphloom.plans import connected_components, fresh_path, running_total, save
 from graphloom.sources import readers, writers
 from graphloom.sources.labels import Labels
@@ -841,3 +841,47 @@ add(
     "x AS (SELECT p_partkey // 100 AS r, p_partkey % 100 AS c FROM part), n AS (SELECT max(r) + 1 AS h, max(c) + 1 AS w FROM x), t AS (SELECT * FROM (VALUES (0, 1), (1, 0)) t(dr, dc)), "
     "m AS (SELECT a.r * w + a.c AS src, b.r * w + b.c AS dst FROM x a, n, t, x b WHERE b.r = (a.r + dr) % h AND b.c = (a.c + dc) % w) SELECT DISTINCT least(src, dst) AS src, greatest(src, dst) AS dst, 1 AS weight FROM m WHERE src <> dst",
 )
+
+
+# --- tree decompositions, layouts by rounds ----------------------------------
+
+
+def decomposition_check(s: SparkSession, d: str) -> DataFrame:
+    """Vertices without a bag, edges in no bag, vertices whose bags do not hang together, and whether bags exceed the degeneracy."""
+    g = parts(s, d)
+    bags, tree = (save(x, "decomposition") for x in treewidth.tree_decomposition(g))
+    inside = g.edges.select("src", "dst").join(bags.withColumnRenamed("id", "src"), "src").join(bags.withColumnRenamed("id", "dst"), ["bag", "dst"], "left_semi").select("src", "dst").distinct()
+    links = tree.join(bags, "bag").join(bags.withColumnRenamed("bag", "parent"), ["parent", "id"], "left_semi").groupBy("id").agg(F.count(F.lit(1)).alias("links"))
+    split = bags.groupBy("id").agg(F.count(F.lit(1)).alias("n")).join(links, "id", "left").where(F.col("n") - F.coalesce("links", F.lit(0)) != 1)
+    size = bags.groupBy("bag").agg(F.count(F.lit(1)).alias("n")).agg((F.max("n") - 1).alias("width"))
+    wide = size.join(connectivity.degeneracy(g)).select((F.col("width") >= F.col("degeneracy")).alias("is_wide_enough"))
+    missing = g.vertices.join(bags, "id", "left_anti")
+    return _odd(missing, "n_missing").join(_odd(g.edges.join(inside, ["src", "dst"], "left_anti"), "n_bare")).join(_odd(split, "n_split")).join(wide)
+
+
+def tutte_check(s: SparkSession, d: str) -> DataFrame:
+    """Vertices that are placed, and those inside that are not at the mean of their neighbours; the first five suppliers are the boundary."""
+    g = suppliers(s, d)
+    outer = save(g.vertices.select("id", F.col("id").alias("place")).orderBy("id").limit(5), "boundary")
+    at = save(layout.tutte(g, outer), "tutte")
+    near = g.arcs().where("src <> dst").join(at.select(F.col("id").alias("dst"), F.col("x").alias("u"), F.col("y").alias("v")), "dst").groupBy(F.col("src").alias("id")).agg(F.avg("u").alias("u"), F.avg("v").alias("v"))
+    off = at.join(near, "id").join(outer, "id", "left_anti").where("abs(x - u) > 1e-6 or abs(y - v) > 1e-6")
+    return _odd(at, "n_placed").join(_odd(off, "n_off"))
+
+
+def repulsion_check(s: SparkSession, d: str) -> DataFrame:
+    """Suppliers at random places, and those whose push from the quadtree is a twentieth of the strongest off the sum over all others."""
+    at = save(layout.random_layout(suppliers(s, d), 7), "places")
+    other = at.select(F.col("id").alias("o"), F.col("x").alias("u"), F.col("y").alias("v"))
+    d2 = "greatest((x - u) * (x - u) + (y - v) * (y - v), power(0.25D, 12))"  # the side of a cell of the twelfth level
+    exact = at.join(other, F.col("id") != F.col("o")).groupBy("id").agg(F.sum(F.expr(f"(x - u) / {d2}")).alias("ex"), F.sum(F.expr(f"(y - v) / {d2}")).alias("ey"))
+    both = save(layout.repulsion(at, 1.0, levels=12).join(exact, "id").withColumns({"e": F.hypot(F.col("px") - F.col("ex"), F.col("py") - F.col("ey")), "size": F.hypot("ex", "ey")}), "pushes")
+    most = both.agg(F.max("size").alias("most"))
+    return _odd(both, "n_pushed").join(_odd(both.join(F.broadcast(most)).where("e > 0.05 * most"), "n_off"))
+
+
+add("treewidth_bound", lambda s, d: treewidth.treewidth_upper_bound(parts(s, d)))
+add("tree_decomposition_check", decomposition_check, "x AS (SELECT 1) SELECT 0 AS n_missing, 0 AS n_bare, 0 AS n_split, true AS is_wide_enough FROM x")
+add("layout_spring", lambda s, d: layout.spring(suppliers(s, d), 5))
+add("layout_tutte_check", tutte_check, f"{_SUPPLIERS} SELECT count(*) AS n_placed, 0 AS n_off FROM v")
+add("layout_repulsion_check", repulsion_check, f"{_SUPPLIERS} SELECT count(*) AS n_pushed, 0 AS n_off FROM v")
