@@ -64,6 +64,17 @@ def _unpacked(data: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
+def _numbered(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes, ascending, and the place of each code among them; half the memory of np.unique."""
+    by_code = np.argsort(codes)
+    codes = codes[by_code]
+    new = np.ones(len(codes), bool)
+    np.not_equal(codes[1:], codes[:-1], out=new[1:])
+    inverse = np.empty(len(codes), np.int32)
+    inverse[by_code] = np.cumsum(new, dtype=np.int32) - 1
+    return codes[new], inverse
+
+
 def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     h = (a ^ (a >> _S)) * _ONE + (b ^ (b >> _S)) * _TWO
     h = (h ^ (h >> np.uint64(29))) * _ONE
@@ -71,12 +82,20 @@ def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class _Block:
-    """Texts of a block as word numbers; ``hashes`` of its words ascend, and a text ends with the empty word."""
+    """Texts of a block as word numbers; ``hashes`` of its words ascend, and a text ends with the empty word.
+
+    Numbers of words, n-grams and places have four bytes, as a block has fewer
+    than 2^31 tokens: two blocks at a time share an executor's memory.
+    """
 
     def __init__(self, hashes: np.ndarray, lengths: np.ndarray, seq: np.ndarray, learned: np.ndarray) -> None:
-        self.hashes, self.lengths, self.seq, self.learned = hashes, lengths, seq.astype(np.int64), np.repeat(learned, lengths)
+        self.hashes, self.lengths, self.seq, self.learned = hashes, lengths, seq.view(np.int32), np.repeat(learned, lengths)
         self.starts = np.cumsum(lengths) - lengths
 
+    def _counts(self, at: np.ndarray, n: int) -> np.ndarray:
+        """How often each n-gram ends at a place of a learned text."""
+        return np.bincount(at[self.learned & (at >= 0)], minlength=n).astype(np.uint32)
+
     def ngrams(self, order: int) -> list[dict[str, np.ndarray]]:
         """For n from 1 to ``order``: keys of the distinct n-grams, their counts in learned texts, history and word, and the n-gram that ends at each place (or -1).
 
@@ -84,20 +103,26 @@ class _Block:
         the text begins, the number after the last word.
         """
         n_words = len(self.hashes)
-        counts = np.bincount(self.seq[self.learned], minlength=n_words)
-        out = [{"keys": self.hashes, "counts": counts, "at": self.seq, "word": np.arange(n_words), "history": np.full(n_words, -1)}]
+        out = [{"keys": self.hashes, "counts": self._counts(self.seq, n_words), "at": self.seq, "word": np.arange(n_words, dtype=np.int32), "history": np.full(n_words, -1, np.int32)}]
         for n in range(2, order + 1):
             before = np.empty_like(self.seq)
             before[1:] = out[-1]["at"][:-1]
             before[self.starts] = n_words if n == 2 else -1
             known = before >= 0
-            code, inverse = np.unique(before[known] * n_words + self.seq[known], return_inverse=True)
-            at = np.full(len(self.seq), -1)
+            code = before[known].astype(np.int64)
+            del before
+            code *= n_words
+            code += self.seq[known]
+            code, inverse = _numbered(code)
+            at = np.full(len(self.seq), -1, np.int32)
             at[known] = inverse
-            history, word = np.divmod(code, n_words)
+            del known, inverse
+            history = (code // n_words).astype(np.int32)
+            code -= history.astype(np.int64) * n_words
+            word = code.astype(np.int32)
+            del code
             of = np.append(self.hashes, START) if n == 2 else out[-1]["keys"]
-            counts = np.bincount(at[known & self.learned], minlength=len(code))
-            out.append({"keys": _mixed(of[history], self.hashes[word]), "counts": counts, "at": at, "word": word, "history": history})
+            out.append({"keys": _mixed(of[history], self.hashes[word]), "counts": self._counts(at, len(word)), "at": at, "word": word, "history": history})
         return out
 
 
@@ -150,7 +175,7 @@ def _sent(blocks: DataFrame, order: int, shards: int) -> DataFrame:
                 for g in _block_of(lengths, seq, hashes, held).ngrams(order):
                     by_key = np.argsort(g["keys"], kind="stable")
                     keys = g["keys"][by_key]
-                    sides.append((keys, g["counts"][by_key].astype(np.uint32), _cuts(keys, shards)))
+                    sides.append((keys, g["counts"][by_key], _cuts(keys, shards)))
                 cells = [[(k[c[s] : c[s + 1]], n[c[s] : c[s + 1]]) for k, n, c in sides] for s in range(shards)]
                 some = [s for s, cell in enumerate(cells) if any(len(k) for k, _ in cell)]
                 keys = [[_packed(np.diff(k, prepend=np.uint64(0))) for k, _ in cells[s]] for s in some]
@@ -191,7 +216,7 @@ class Automaton:
 
     def __init__(self, grams: list[dict[str, np.ndarray]], totals: list[np.ndarray], tokens: int, types: int) -> None:
         """``totals``: learned counts of the n-grams, in their order; ``tokens`` and ``types`` of the whole corpus."""
-        words, order = len(grams[0]["keys"]), len(grams)
+        words, order = len(grams[0]["word"]), len(grams)
         self.words, c = words, totals[0]
         self.root_weight = np.log10((c + 1) / (tokens + types + 1))
         # states of histories of length 1 (words and the start), 2, ... and the root; a history has been seen as often as its n-gram, the start once a text
@@ -203,32 +228,42 @@ class Automaton:
         self.root = begin[-1]
         count = np.concatenate([*seen, [1]]) if seen else np.array([1])
         escape = np.minimum(1.0, ESCAPE * np.maximum(count, 1) ** (GROWTH - 1.0))
-        self.fail_weight, self.fail = np.log10(escape), np.full(self.root + 1, self.root)
-        state_of = [np.where((c > 0) & (np.arange(words) != grams[0].get("end", -1)), np.arange(words), self.root)] if order > 1 else [np.full(words, self.root)]
+        kind = np.int32 if self.root < 1 << 31 else np.int64
+        self.fail_weight, self.fail = np.log10(escape), np.full(self.root + 1, self.root, kind)
+        state_of = [np.where((c > 0) & (np.arange(words) != grams[0].get("end", -1)), np.arange(words), self.root).astype(kind)] if order > 1 else [np.full(words, self.root, kind)]
         codes, weights, targets, lower = [], [], [], (c + 1) / (tokens + types + 1)
         for n in range(2, order + 1):
             g, total = grams[n - 1], totals[n - 1]
-            history, word, size = g["history"], g["word"], len(grams[n - 2]["keys"]) + (n == 2)
-            first = np.zeros(len(total), np.int64)
-            places = np.flatnonzero(g["at"] >= 0)
-            first[g["at"][places]] = places  # some place where the n-gram ends
-            suffix = grams[n - 2]["at"][first]
+            history, word, size = g["history"], g["word"], len(grams[n - 2]["word"]) + (n == 2)
+            suffix = np.zeros(len(total), np.int32)
+            some = g["at"] >= 0
+            suffix[g["at"][some]] = grams[n - 2]["at"][some]  # at some place where the n-gram ends
+            del some
             e = escape[begin[n - 1] : begin[n - 1] + size][history]
-            p = (1 - e) * total / np.maximum(seen[n - 2][history], 1) + e * lower[suffix]
+            p = (1 - e) * total
+            p /= np.maximum(seen[n - 2], 1)[history]
+            e *= lower[suffix]
+            p += e
+            del e
             known = total > 0
             if n < order:  # the n-gram is a state of its own, which fails to its suffix
-                own = begin[n] + np.arange(len(total))
+                own = np.arange(begin[n], begin[n] + len(total), dtype=kind)
                 self.fail[own] = state_of[-1][suffix]
                 state_of.append(np.where(known, own, state_of[-1][suffix]))
                 target = state_of[-1]
             else:
                 target = state_of[-1][suffix]
-            codes.append(((begin[n - 1] + history) * words + word)[known])
-            weights.append(np.log10(p, where=known, out=np.zeros(len(p)))[known])
             targets.append(target[known])
+            del suffix, target
+            codes.append((begin[n - 1] + history[known].astype(np.int64)) * words + word[known])
+            weights.append(np.log10(p[known]))
             lower = p
+        del lower, seen, count, escape
         self.codes = np.concatenate([*codes, self.root * words + np.arange(words)])
-        self.weights, self.targets = np.concatenate([*weights, self.root_weight]), np.concatenate([*targets, state_of[0]])
+        del codes
+        self.weights = np.concatenate([*weights, self.root_weight])
+        del weights
+        self.targets = np.concatenate([*targets, state_of[0]])
         self.start = words if order > 1 and end else self.root  # where nothing is learned no text has begun
 
     def score(self, seq: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -241,7 +276,7 @@ class Automaton:
             word, todo = seq[starts[:n] + t], np.arange(n)
             while len(todo):
                 here = state[todo]
-                code = here * self.words + word[todo]
+                code = here.astype(np.int64) * self.words + word[todo]
                 arc = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
                 hit = self.codes[arc] == code
                 took = todo[hit]
@@ -256,14 +291,17 @@ class Automaton:
 
 
 def _scored(block: _Block, order: int, totals: list[np.ndarray], tokens: int, types: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(known words, base score, score) of the texts of a block; ``totals`` ascend by key."""
+    """(known words, base score, score) of the texts of a block; ``totals`` ascend by key and are used up."""
     grams, mine = block.ngrams(order), []
-    for g, total in zip(grams, totals, strict=True):
+    for g in grams:
+        total = totals.pop(0)
         back = np.empty(len(total), np.int64)
-        back[np.argsort(g["keys"], kind="stable")] = total
+        back[np.argsort(g.pop("keys"), kind="stable")] = total
         mine.append(back)
+        del g["counts"]
     grams[0]["end"] = int(block.seq[block.lengths[0] - 1])
     machine = Automaton(grams, mine, tokens, types)
+    del grams
     known = np.add.reduceat((mine[0] > 0)[block.seq].astype(np.int64), block.starts)
     return known, np.add.reduceat(machine.root_weight[block.seq], block.starts), machine.score(block.seq, block.lengths)
 
