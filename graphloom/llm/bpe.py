@@ -1,12 +1,13 @@
 """Ids of a tokenizer file with the tokenizers library, a word at a time where that is the same.
 
-The pattern of the byte-level pre-tokenizer never lets a token cross a space
-that stands before a non-space, so pieces between such spaces can be split and
-encoded by the library once and looked up afterwards; pieces of ASCII are cut
-by the same pattern here, which saves a call a piece. A text with other white
-space after a space, or with something that might be an added token, goes to
-the library whole; so does every text where the file has a normaliser, another
-pre-tokenizer or another model.
+A token never crosses a match of the byte-level pre-tokenizer's pattern. Texts
+of Latin letters are cut by the same pattern here; what it matches is encoded
+by the library once and looked up afterwards. Of other texts, which Python's
+patterns cannot cut, the pieces between spaces that stand before a non-space
+are split and encoded by the library once. Such a text with other white space
+after a space, and every text with something that might be an added token, goes
+to the library whole; so does every text where the file has a normaliser,
+another pre-tokenizer or another model.
 """
 
 from __future__ import annotations
@@ -15,18 +16,23 @@ import json
 import os
 import re
 from array import array
+from codecs import charmap_decode
 
 import numpy as np
 
-#: Pieces that a worker remembers before it starts anew.
+#: Pieces and parts that a worker remembers before it starts anew.
 MOST_PIECES = 900_000
 
 #: Control characters that Python, but not the library, may count as white space.
 _ODD = re.compile(r"[\x1c-\x1f\x85]")
-#: The byte-level pre-tokenizer's pattern where all letters, digits and spaces are ASCII; a fixed value of the format.
-_ASCII = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
-#: Its letters for bytes that are not printed; a fixed value of the format.
-_LETTERS = {b: 256 + b for b in range(33)} | {127: 289}
+#: The byte-level pre-tokenizer's pattern for given letters, digits and spaces; a fixed value of the format.
+_PATTERN = r"'(?:s|t|re|ve|m|ll|d)| ?[{L}]+| ?[{N}]+| ?[^{S}{L}{N}]+|[{S}]+(?![^{S}])|[{S}]+"
+_ASCII = re.compile(_PATTERN.format(L="A-Za-z", N="0-9", S=r"\t-\r "))
+#: Up to U+024F and the marks of _OTHER, Unicode has these letters, digits and spaces.
+_LATIN = re.compile(_PATTERN.format(L="A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", N="0-9\xb2\xb3\xb9\xbc-\xbe", S=r"\t-\r \x85\xa0"))
+_OTHER = re.compile("[^\x00-\u024f\u2010-\u2027\u20ac]")
+#: Its letters for the 256 bytes, those that are not printed moved up; a fixed value of the format.
+_LETTERS = "".join(chr(256 + b if b < 33 else 162 + b if 127 <= b <= 160 else 323 if b == 173 else b) for b in range(256))
 _WORKERS: dict[tuple, Encoder] = {}
 
 
@@ -34,8 +40,20 @@ class _Whole(Exception):
     """The text has to be encoded as a whole."""
 
 
+class _Parts(dict):
+    """Ids of the matches of the pattern seen so far; a new one is encoded when it is asked for."""
+
+    def __init__(self, bpe: Encoder) -> None:
+        super().__init__()
+        self.bpe = bpe
+
+    def __missing__(self, part: str) -> bytes:
+        found = self[part] = self.bpe.of_part(charmap_decode(part.encode(), "strict", _LETTERS)[0])
+        return found
+
+
 class _Pieces(dict):
-    """Ids of the pieces seen so far; a new one is encoded when it is asked for."""
+    """Ids of the pieces of texts that are not Latin, as seen so far; a new one is encoded when it is asked for."""
 
     def __init__(self, bpe: Encoder) -> None:
         super().__init__()
@@ -44,23 +62,26 @@ class _Pieces(dict):
     def __missing__(self, word: str) -> bytes:
         if not word or word[0].isspace() or _ODD.search(word):
             raise _Whole
-        one = word.isascii() and (word.isalpha() or word.isdigit())  # a single part
-        found = self[word] = self.part("\u0120" + word) if one else self.encode(" " + word)
+        found = self[word] = self.encode(" " + word)
         return found
 
     def encode(self, piece: str) -> bytes:
-        if piece.isascii():
-            cut = _ASCII.findall(piece)
-            cut = [x.replace(" ", "\u0120") for x in cut] if piece.isprintable() else [x.translate(_LETTERS) for x in cut]
-        else:
-            cut = [x for x, _ in self.bpe.split(piece)]
-        return b"".join([self.parts.get(x) or self.part(x) for x in cut])
+        if (cut := latin(piece)) is not None:
+            return b"".join(map(self.bpe.parts.__getitem__, cut))
+        return b"".join([self.parts.get(x) or self.part(x) for x, _ in self.bpe.split(piece)])
 
     def part(self, part: str) -> bytes:
-        found = self.parts[part] = array(self.bpe.code, [x.id for x in self.bpe.model.tokenize(part)]).tobytes()
+        found = self.parts[part] = self.bpe.of_part(part)
         return found
 
 
+def latin(text: str) -> list[str] | None:
+    """The text as the pattern cuts it, or None where it may have other letters, digits or spaces."""
+    if text.isascii():
+        return _ASCII.findall(text)
+    return None if _OTHER.search(text) else _LATIN.findall(text)
+
+
 def by_pieces(path: str) -> bool:
     """Whether the file is a byte-level BPE whose texts may be cut at spaces before they are encoded."""
     with open(path, encoding="utf-8") as file:
@@ -84,14 +105,20 @@ class Encoder:
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.added = [] if special_as_text else [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.pieces = _Pieces(self)
+        self.pieces, self.parts = _Pieces(self), _Parts(self)
+
+    def of_part(self, part: str) -> bytes:
+        """Ids of a match of the pattern, in the format's letters."""
+        return array(self.code, [x.id for x in self.model.tokenize(part)]).tobytes()
 
     def encode(self, text: str) -> bytes:
-        if len(self.pieces) + len(self.pieces.parts) > MOST_PIECES:
-            self.pieces = _Pieces(self)
+        if len(self.parts) + len(self.pieces) + len(self.pieces.parts) > MOST_PIECES:
+            self.pieces, self.parts = _Pieces(self), _Parts(self)
         try:
             if not self.cut or any(x in text for x in self.added):
                 raise _Whole
+            if (cut := latin(text)) is not None:
+                return b"".join(map(self.parts.__getitem__, cut))
             first, *words = text.split(" ")
             if _ODD.search(first) or first[-1:].isspace() and not words:
                 raise _Whole
