@@ -197,13 +197,15 @@ def _answered(sent: DataFrame, order: int) -> DataFrame:
                         mine[n].append(np.cumsum(_unpacked(data, kind), dtype=np.uint64) if kind is np.uint64 else _unpacked(data, kind))
         totals, tokens, types = [], 0, 0
         for n in range(order):
-            unique, inverse = np.unique(np.concatenate(keys[n]), return_inverse=True)
+            ends = np.cumsum([len(k) for k in keys[0]])
+            unique, inverse = _numbered(np.concatenate(keys.pop(0)))
             total = np.zeros(len(unique), np.int64)
-            np.add.at(total, inverse, np.concatenate(counts[n]))
+            del unique
+            for mine, stop in zip(counts.pop(0), ends.tolist(), strict=True):
+                np.add.at(total, inverse[stop - len(mine) : stop], mine)
             if n == 0:
                 tokens, types = int(total.sum()), int((total > 0).sum())
-            ends = np.cumsum([len(k) for k in keys[n]])
-            totals.append([_packed(x) for x in np.split(total[inverse], ends[:-1])])
+            totals.append([_packed(total[x]) for x in np.split(inverse, ends[:-1])])
         shard = key[0].as_py()
         for i, name in enumerate(names):
             yield pa.record_batch([pa.array([shard], pa.int32()), pa.array([name]), pa.array([[t[i] for t in totals]], pa.list_(pa.binary())), pa.array([tokens if not i else 0], pa.int64()), pa.array([types if not i else 0], pa.int64())], ["shard", "block", "totals", "tokens", "types"])
