@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, DoubleType, FloatType, IntegerType, LongType, ShortType, StringType
 
 from graphloom.graph import Graph
-from graphloom.plans import drop_saved, save
+from graphloom.plans import drop_saved, save, ship
+
+#: Arcs between contracted vertices that one task finishes.
+BASE = 1 << 21
 
 
 def _on_cycles(step: DataFrame, n: int) -> DataFrame:
@@ -25,6 +34,58 @@ def _on_cycles(step: DataFrame, n: int) -> DataFrame:
     return jump.join(met, "id", "left_semi").select("id", F.col("least").alias("cycle"))
 
 
+def contracted(n: int, root: int, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> np.ndarray | None:
+    """Places of the arcs (a, b, w) of a minimum arborescence of n vertices, of equal ones the first; none if there is none."""
+    first, live, names, seen = b, np.arange(len(a)), np.arange(n), []
+    while True:
+        order = np.lexsort((w, b))
+        picked = order[np.r_[True, b[order][1:] != b[order][:-1]]] if len(b) else order
+        if len(picked) != len(np.unique(names)) - 1:
+            return None
+        to = np.arange(n)
+        to[b[picked]] = a[picked]
+        least, far = np.minimum(np.arange(n), to), to.copy()
+        for _ in range(n.bit_length()):
+            least, far = np.minimum(least, least[far]), far[far]
+        on = np.zeros(n, bool)
+        on[far[b[picked]]] = True
+        on[root] = False
+        if not on.any():
+            break
+        cycle = picked[on[b[picked]]]
+        seen.append((names, live[cycle], b[cycle]))
+        instead = np.zeros(n, w.dtype)
+        instead[b[cycle]] = w[cycle]
+        w, name = w - instead[b], np.where(on, least, np.arange(n))
+        names, a, b = name[names], name[a], name[b]
+        stays = a != b
+        live, a, b, w = live[stays], a[stays], b[stays], w[stays]
+    chosen = live[picked]
+    for names, cycle, heads in reversed(seen):
+        entered = np.zeros(n, bool)
+        entered[names[first[chosen]]] = True
+        chosen = np.r_[chosen, cycle[~entered[heads]]]
+    return chosen
+
+
+def _finish(root: object, names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The chosen ones of all rows (src, dst, weight, a, b, w); none if the root does not reach every end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [x for x in batches if len(x)]
+        if not rows:
+            return
+        arcs = pa.Table.from_batches(rows).sort_by([("src", "ascending"), ("dst", "ascending")]).combine_chunks()
+        kind = arcs.schema.field("a").type
+        ids = pc.unique(pa.chunked_array([*arcs["a"].chunks, *arcs["b"].chunks, pa.array([root], kind)]))
+        at = lambda c: pc.index_in(c, ids).to_numpy(zero_copy_only=False).astype(np.int64)
+        found = contracted(len(ids), int(at(pa.array([root], kind))[0]), at(arcs["a"].combine_chunks()), at(arcs["b"].combine_chunks()), arcs["w"].to_numpy())
+        if found is not None:
+            yield from arcs.select(names).take(pa.array(found)).combine_chunks().to_batches()
+
+    return run
+
+
 def minimum_arborescence(graph: Graph, root: object, max_rounds: int = 10_000) -> DataFrame:
     """(src, dst, weight) of the arcs of least total weight by which ``root`` reaches every vertex.
 
@@ -32,7 +93,8 @@ def minimum_arborescence(graph: Graph, root: object, max_rounds: int = 10_000) -
     these close cycles, each becomes a vertex, and an arc into it costs what it
     costs more than the arc of the cycle that it would replace. Of the cycles of
     a round, unfolded last to first, every vertex keeps its arc but the one by
-    which the cycle is entered. ValueError for undirected graphs, an unknown
+    which the cycle is entered. Once at most ``BASE`` arcs are left, one task goes
+    through the remaining rounds in arrays. ValueError for undirected graphs, an unknown
     root, or vertices that it does not reach. Null weights count as 1, loops and
     arcs into the root are never taken.
     """
@@ -44,7 +106,15 @@ def minimum_arborescence(graph: Graph, root: object, max_rounds: int = 10_000) -
     state = save(arcs.select("src", "dst", "weight", F.col("src").alias("a"), F.col("dst").alias("b"), F.col("weight").alias("w")), "arcs")
     names = save(graph.vertices.select("id").where(F.col("id") != root), "names")
     seen = []
+    plain = isinstance(graph.vertices.schema["id"].dataType, (IntegerType, LongType, StringType)) and isinstance(state.schema["w"].dataType, (ByteType, ShortType, IntegerType, LongType, FloatType, DoubleType))
     for _ in range(max_rounds):
+        if plain and state.count() <= BASE:
+            ship(graph.spark)
+            picked = state.select("src", "dst", "weight", "a", "b", "w").coalesce(1).mapInArrow(_finish(root, ["src", "dst", "weight"]), state.select("src", "dst", "weight").schema)
+            picked = save(picked, "picked")
+            if picked.count() != names.count():
+                raise ValueError("no arborescence: the root does not reach every vertex")
+            break
         best = state.groupBy("b").agg(F.min(F.struct("w", "src", "dst", "weight", "a")).alias("x"))
         picked = save(best.select("b", "x.*"), "picked")
         n = names.count()
