@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from graphloom.graph import Graph, canonical, from_edges
+from graphloom.plans import ship
+from graphloom.sources.bit_lines import edges_of_lines
 from graphloom.sources.lines import lines, sectioned
 
 
@@ -152,44 +153,21 @@ def gexf(spark: SparkSession, path: str) -> Graph:
     return Graph(vertices, edges if directed else canonical(edges), directed)
 
 
-def _sized(spark: SparkSession, path: str, prefix: str) -> DataFrame:
-    """(graph, n, bits) of a file of graph6 or sparse6 lines: the number of vertices and the characters after it."""
-    text = lines(spark, path).where("trim(line) <> ''").select(
-        F.regexp_replace(F.trim("line"), prefix, "").alias("s"),
-        F.concat_ws(":", F.col("place.block"), F.col("place.n")).alias("graph"),
-    )
-    number = lambda at, size: sum(((F.ascii(F.substring("s", at + i, 1)) - 63).cast("long") * 64 ** (size - 1 - i) for i in range(size)), F.lit(0).cast("long"))
-    huge, big = F.startswith("s", F.lit("~~")), F.startswith("s", F.lit("~"))
-    n = F.when(huge, number(3, 6)).when(big, number(2, 3)).otherwise(number(1, 1))
-    rest = F.when(huge, F.expr("substring(s, 9)")).when(big, F.expr("substring(s, 5)")).otherwise(F.expr("substring(s, 2)"))
-    return text.select("graph", n.alias("n"), rest.alias("bits"))
+def _bit_lines(spark: SparkSession, path: str, prefix: bytes, sparse: bool) -> DataFrame:
+    ship(spark)
+    text = lines(spark, path).where("trim(line) <> ''").select(F.concat_ws(":", F.col("place.block"), F.col("place.n")).alias("graph"), F.trim("line").alias("line"))
+    return text.mapInArrow(edges_of_lines(prefix, sparse), "graph string, n long, src long, dst long")
 
 
 def graph6(spark: SparkSession, path: str) -> DataFrame:
     """(graph, n, src, dst) of the undirected graphs of a graph6 file, one a line; all by bit arithmetic on the text."""
-    each = _sized(spark, path, "^>>graph6<<").select("graph", "n", F.posexplode(F.split("bits", "")).alias("at", "c")).where("c <> ''")
-    each = each.select("graph", "n", F.col("at").cast("long").alias("at"), (F.ascii("c") - 63).alias("v"))
-    bits = each.select("graph", "n", F.explode(F.expr("filter(transform(sequence(0, 5), i -> if(shiftright(v, 5 - i) & 1 = 1, at * 6 + i, null)), x -> x is not null)")).alias("k"))
-    dst = F.floor((1 + F.sqrt(1 + 8 * F.col("k"))) / 2).cast("long")
-    return bits.select("graph", "n", (F.col("k") - dst * (dst - 1) / 2).cast("long").alias("src"), dst.alias("dst")).where("dst < n")
+    return _bit_lines(spark, path, rb"(>>graph6<<)?", False)
 
 
 def sparse6(spark: SparkSession, path: str) -> DataFrame:
     """(graph, n, src, dst) of the undirected graphs of a sparse6 file, one a line; repeated edges stay repeated.
 
     A line is a row of pairs (b, x). The current vertex grows by b, and jumps
-    to x where x is larger, else x is its neighbour: so it is the sum of all b
-    so far plus the largest x less the sum of b at x, two running windows.
+    to x where x is larger, else x is its neighbour.
     """
-    size = F.greatest(F.length(F.bin(F.greatest(F.col("n") - 1, F.lit(1).cast("long")))), F.lit(1))
-    text = F.array_join(F.transform(F.split("bits", ""), lambda c: F.when(c == "", "").otherwise(F.lpad(F.bin(F.ascii(c) - 63), 6, "0"))), "")
-    whole = _sized(spark, path, "^(>>sparse6<<)?:").select("graph", "n", size.alias("k"), text.alias("bits")).withColumn("pairs", F.floor(F.length("bits") / (F.col("k") + 1)).cast("int"))
-    each = whole.where("pairs > 0").select("graph", "n", "k", "bits", F.explode(F.sequence(F.lit(0), F.col("pairs") - 1)).alias("at"))
-    start = F.col("at") * (F.col("k") + 1) + 1
-    x = F.conv(F.substring(F.col("bits"), start + 1, F.col("k")), 2, 10).cast("long")
-    each = each.select("graph", "n", "at", F.substring(F.col("bits"), start, F.lit(1)).cast("long").alias("b"), x.alias("x"))
-    by = Window.partitionBy("graph").orderBy("at")
-    so_far = each.withColumn("sum", F.sum("b").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    before = F.greatest(F.max(F.col("x") - F.col("sum")).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
-    at = so_far.withColumn("v", F.col("sum") + F.coalesce(before, F.lit(0).cast("long")))
-    return at.where("x <= v and v < n").select("graph", "n", F.col("x").alias("src"), F.col("v").alias("dst"))
+    return _bit_lines(spark, path, rb"((>>sparse6<<)?:)?", True)

@@ -6,12 +6,15 @@ any of them. Lines are made and sorted on executors.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.graph import Graph
 from graphloom.operators.transforms import ranked_ids
-from graphloom.plans import save
+from graphloom.plans import save, ship
+from graphloom.sources.bit_lines import graph6_line, sparse6_line
 
 
 def _ordered(*parts: tuple[DataFrame, Column, Column]) -> DataFrame:
@@ -169,32 +172,19 @@ def _simple_edges(graph: Graph) -> tuple[DataFrame, int]:
     return edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).where("src <> dst").distinct(), n
 
 
+def _bit_line(graph: Graph, head: str, of: Callable) -> DataFrame:
+    edges, n = _simple_edges(graph)
+    ship(graph.spark)
+    none = graph.spark.range(1).select(F.lit(-1).cast("long").alias("src"), F.lit(-1).cast("long").alias("dst"))  # a graph without edges has a line, too
+    rows = edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).unionByName(none)
+    return rows.coalesce(1).mapInArrow(of(n, head + _size(n)), "line string")
+
+
 def graph6(graph: Graph) -> DataFrame:
     """One line; vertices are numbered in the order of ids, loops are left out. A line is a row, which bounds the graph."""
-    edges, n = _simple_edges(graph)
-    k = F.col("dst") * (F.col("dst") - 1) / 2 + F.col("src")
-    held = edges.select(k.cast("long").alias("k")).groupBy(F.floor(F.col("k") / 6).alias("id")).agg(F.sum(F.expr("shiftleft(1, cast(5 - k % 6 as int))")).alias("v"))
-    cells = graph.spark.range((n * (n - 1) // 2 + 5) // 6).join(held, "id", "left").select("id", F.char(F.coalesce("v", F.lit(0)) + 63).alias("c"))
-    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", "c"))), lambda x: x["c"]), "")
-    return cells.agg(F.concat(F.lit(_size(n)), text).alias("line"))
+    return _bit_line(graph, "", graph6_line)
 
 
 def sparse6(graph: Graph) -> DataFrame:
     """One line; vertices are numbered in the order of ids, loops are left out. A line is a row, which bounds the graph."""
-    edges, n = _simple_edges(graph)
-    k = max(1, (n - 1).bit_length())
-    bits = lambda x: F.lpad(F.bin(x), k, "0")
-
-    def step(e, i):
-        before = F.when(i == 0, F.lit(0).cast("long")).otherwise(F.get(F.col("e"), i - 1)["dst"])
-        near = F.concat((e["dst"] - before).cast("string"), bits(e["src"]))
-        return F.when(e["dst"] - before <= 1, near).otherwise(F.concat(F.lit("1"), bits(e["dst"]), F.lit("0"), bits(e["src"])))
-
-    one = edges.agg(F.sort_array(F.collect_list(F.struct("dst", "src"))).alias("e"))
-    one = one.select(F.array_join(F.transform("e", step), "").alias("s"), F.try_element_at("e", F.lit(-1))["dst"].alias("last"))
-    pad = F.pmod(-F.length("s"), F.lit(6))
-    zero = (pad > k) & (F.col("last") == n - 2) if k < 6 and n == 1 << k else F.lit(False)  # ones alone would read as a loop at n - 1
-    padded = one.select(F.concat("s", F.when(zero, F.rpad(F.lit("0"), pad, F.lit("1"))).otherwise(F.rpad(F.lit(""), pad, F.lit("1")))).alias("s"))
-    six = lambda i: F.char(F.conv(F.substring(F.col("s"), i * 6 + 1, F.lit(6)), 2, 10).cast("int") + 63)
-    text = F.when(F.length("s") > 0, F.array_join(F.transform(F.sequence(F.lit(0), (F.length("s") / 6).cast("int") - 1), six), "")).otherwise("")
-    return padded.select(F.concat(F.lit(":" + _size(n)), text).alias("line"))
+    return _bit_line(graph, ":", sparse6_line)
