@@ -39,8 +39,9 @@ def adjacency_matrix(spark: SparkSession, path: str, directed: bool = True, deli
 
     rows = lines(spark, path).where("trim(line) <> ''")
     numbered = running_total(rows, ["file"], [F.col("place")], F.lit(1).cast("long"), "src")
-    cells = numbered.select("src", F.posexplode(F.split(F.trim("line"), delimiter)).alias("dst", "x")).select("src", F.col("dst").cast("long").alias("dst"), F.col("x").cast("double").alias("weight"))
-    edges = cells.where("weight <> 0 and " + ("src <> dst" if directed else "src < dst"))
+    cell = F.transform(F.split(F.trim("line"), delimiter), lambda x, i: F.when(x.cast("double") != 0, F.struct(i.cast("long").alias("dst"), x.cast("double").alias("weight"))))
+    cells = numbered.select("src", F.explode(F.filter(cell, lambda x: x.isNotNull())).alias("c")).select("src", "c.dst", "c.weight")  # a row for each edge, none for a zero
+    edges = cells.where("src <> dst" if directed else "src < dst")
     return Graph(numbered.select(F.col("src").alias("id")), edges, directed)
 
 

@@ -128,13 +128,21 @@ def _numbered(graph: Graph) -> tuple[DataFrame, DataFrame, int]:
 
 
 def adjacency_matrix(graph: Graph) -> DataFrame:
-    """A line of weights for each vertex in the order of ids; 0 is no edge."""
+    """A line of weights for each vertex in the order of ids; 0 is no edge.
+
+    Rows are sorted by the arcs that they hold; the zeros between these come
+    after, so the sort moves no more than the graph.
+    """
     ids, edges, n = _numbered(graph)
     arcs = Graph(ids, edges, graph.directed).arcs()
-    held = arcs.groupBy(F.col("src").alias("new")).agg(F.map_from_entries(F.collect_list(F.struct("dst", F.col("weight").cast("double")))).alias("to"))
-    cell = lambda j: F.coalesce(F.try_element_at("to", j), F.lit(0.0)).cast("string")
-    line = F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")), cell), " ")
-    return _ordered((ids.join(held, "new", "left"), F.lpad(F.col("new").cast("string"), 20, "0"), line))
+    held = arcs.groupBy(F.col("src").alias("new")).agg(F.sort_array(F.collect_list(F.struct("dst", F.col("weight").cast("double").alias("w")))).alias("to"))
+    to = F.coalesce("to", F.array().cast("array<struct<dst:bigint,w:double>>"))
+    zeros = lambda k: F.repeat(F.lit("0.0 "), k.cast("int"))
+    before = lambda i: F.when(i == 0, F.lit(-1).cast("long")).otherwise(F.get(to, i - 1)["dst"])
+    cells = F.array_join(F.transform(to, lambda x, i: F.concat(zeros(x["dst"] - before(i) - 1), x["w"].cast("string"), F.lit(" "))), "")
+    last = F.coalesce(F.try_element_at(to, F.lit(-1))["dst"], F.lit(-1).cast("long"))
+    line = F.rtrim(F.concat(cells, zeros(F.lit(n - 1) - last)))
+    return ids.join(held, "new", "left").orderBy("new").select(line.alias("line"))
 
 
 def leda(graph: Graph, label: str | None = None) -> DataFrame:

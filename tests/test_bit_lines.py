@@ -42,3 +42,19 @@ def test_a_line_of_many_edges_takes_one_pass():
     ends = np.unique(np.sort(rng.integers(0, n, (150_000, 2)), axis=1), axis=0)
     pairs = [tuple(p) for p in ends[ends[:, 0] < ends[:, 1]].tolist()]
     assert back(text(bit_lines.sparse6_line(n, ":" + writers._size(n)), pairs), True) == pairs
+
+
+def test_zeros_of_a_matrix_are_not_sorted_or_made_rows(spark, tmp_path):
+    from graphloom.graph import from_edges
+    from graphloom.sources import readers
+
+    rows = [(0, 2, 2.5), (2, 5, -1.0), (1, 5, 3.0)]
+    g = from_edges(spark.createDataFrame(rows, "src long, dst long, weight double"), True, vertices=spark.range(7))
+    lines = writers.adjacency_matrix(g)
+    assert [r[0] for r in lines.collect()] == [" ".join(str({(a, b): w for a, b, w in rows}.get((i, j), 0.0)) for j in range(7)) for i in range(7)]
+    plan = lines._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("repeat(") < plan.index("Sort [")  # made above the sort
+    writers.write_text(lines.coalesce(1), str(tmp_path / "m"))
+    back = readers.adjacency_matrix(spark, str(tmp_path / "m"))
+    assert sorted(tuple(r) for r in back.edges.collect()) == sorted(rows)
+    assert "Generate explode(filter(" in back.edges._jdf.queryExecution().analyzed().toString()
